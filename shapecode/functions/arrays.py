@@ -13,6 +13,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def fence(df):
+    """Stop filters and projections above from being inlined into ``df``'s expressions.
+
+    Catalyst pushes a filter on a computed column below the projection that
+    computes it, duplicating the expression; for the coding pipeline that
+    would run the nearest-code search twice.  A one-element ``inline`` is a
+    generator node, which predicates on its output cannot cross.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def taper_values(w: int) -> list[float]:
     """Hann taper ``sin^2(pi i / (w-1))``, ``i = 0..w-1``."""
     out = []

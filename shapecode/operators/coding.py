@@ -51,7 +51,7 @@ def first_frame_codebook(frames: DataFrame, w: int, n: int, mode: str = "centere
 
     Long form ``codebook(source_id, code, center)``; all-zero windows give no code.
     """
-    f0 = with_features(frames.where(F.col("frame_no") == 0), w, n, mode)
+    f0 = A.fence(with_features(frames.where(F.col("frame_no") == 0), w, n, mode))
     return (f0.select("source_id", F.posexplode("feats").alias("code", "center"))
             .where(F.col("center").isNotNull())
             .select("source_id", F.col("code").cast("int").alias("code"), "center"))
@@ -94,7 +94,8 @@ def encode(frames_with_book: DataFrame, w: int, n: int, mode: str = "centered")
     df = df.withColumn("src", F.slice("frame", F.lit(w // 2 + 1), F.lit(n * w - w)))
     df = df.withColumn("loss", F.expr(A.residual_expr("src", "coded")))
     df = df.withColumn("score", F.expr(A.max_abs_expr("loss")))
-    return df.withColumn("status", F.when(F.col("book").isNull(), F.lit("no_model")).otherwise(F.lit("ok")))
+    df = df.withColumn("status", F.when(F.col("book").isNull(), F.lit("no_model")).otherwise(F.lit("ok")))
+    return A.fence(df.drop("book"))
 
 
 def codes_string(best_col: str = "best"):

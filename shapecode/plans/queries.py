@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapecode.config import EVENTS, LINEITEM, SignalSpec
+from shapecode.functions import arrays as A
 from shapecode.operators import coding, framing
 from shapecode.plans import sqlgen as Q
 from shapecode.sources.tables import signal_samples
@@ -60,14 +61,7 @@ def frames_tumbling(spark, sf_dir):
 
 # ---------------------------------------------------------------- flagship
 def _scores_sql(spec: SignalSpec, mode: str) -> str:
-    return (
-        Q.pipeline_prefix(spec, mode) +
-        f" SELECT f.source_id, f.frame_no, f.frame_ref, cs.codes, 'ok' AS status, "
-        f"list_max(list_transform(range({spec.frame_len - spec.w}), lambda p: abs(f.frame[{spec.h} + p + 1] - c.coded[p + 1]))) AS score, "
-        f"{Q.lsum('c.coded')} + 0.0 AS coded_sum "
-        f"FROM frames f JOIN coded c USING (source_id, frame_no) JOIN codes cs USING (source_id, frame_no) "
-        f"WHERE f.source_id IN (SELECT source_id FROM book)"
-    )
+    return Q.pipeline_prefix(spec, mode) + ", scores AS (" + Q.scores_select(spec) + ") SELECT * FROM scores"
 
 
 def _scores_out(df: DataFrame) -> DataFrame:
@@ -91,3 +85,163 @@ def frame_scores_events(spark, sf_dir):
 def encode_tapered(spark, sf_dir):
     """Batch coder variant (tapered, norm-scaled centres, no mean)."""
     return _scores_out(scored(spark, sf_dir, LINEITEM, "tapered"))
+
+
+# ---------------------------------------------------------------- windows and features
+LI = LINEITEM
+_PRE_LI = f"WITH samples AS ({Q.samples_cte(LI)}), frames AS ({Q.frames_cte(LI)}), wins AS ({Q.windows_cte(LI)}), wstats AS ({Q.stats_cte(LI)})"
+
+
+@register("frame_budget", (
+    f"WITH samples AS ({Q.samples_cte(LI)}) SELECT source_id, CAST(count(*) AS BIGINT) AS n_samples, "
+    f"CAST(count(*) // {LI.frame_len} AS BIGINT) AS n_frames, CAST(count(*) % {LI.frame_len} AS BIGINT) AS remainder "
+    f"FROM samples GROUP BY 1"))
+def frame_budget(spark, sf_dir):
+    """Whole frames per source and the dropped remainder."""
+    return framing.frame_budget(signal_samples(spark, sf_dir, LI), LI.frame_len)
+
+
+@register("training_budget", f"WITH samples AS ({Q.samples_cte(LI)}) {Q.budget_cte(LI)}")
+def training_budget(spark, sf_dir):
+    """Sliding-window budget and dictionary size per source."""
+    return framing.training_budget(signal_samples(spark, sf_dir, LI), LI.w, LI.step)
+
+
+@register("windows_sliding", (
+    f"WITH samples AS ({Q.samples_cte(LI)}), bud AS ({Q.budget_cte(LI)}), "
+    f"sw AS (SELECT source_id, i, list(value) OVER (PARTITION BY source_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {LI.w - 1} FOLLOWING) AS w FROM samples) "
+    f"SELECT sw.source_id, CAST(i // {LI.step} AS BIGINT) AS j, i AS start, w[1] AS first_value, w[{LI.w}] AS last_value, "
+    f"{Q.lsum('w')} AS w_sum FROM sw JOIN bud USING (source_id) "
+    f"WHERE i % {LI.step} = 0 AND i // {LI.step} < bud.tr AND len(w) = {LI.w}"))
+def windows_sliding(spark, sf_dir):
+    """W2 + A15: the training windows (step W/10, first 20 %) of every source."""
+    s = signal_samples(spark, sf_dir, LI)
+    wins = framing.sliding_windows(s, LI.w, LI.step, framing.training_budget(s, LI.w, LI.step))
+    return wins.select("source_id", "j", "start", F.col("w")[0].alias("first_value"),
+                       F.col("w")[LI.w - 1].alias("last_value"),
+                       F.aggregate("w", F.lit(0.0), lambda a, v: a + v).alias("w_sum"))
+
+
+@register("windows_half_overlap", (
+    _PRE_LI + f" SELECT source_id, frame_no, k, CAST(k * {LI.h} AS INTEGER) AS start, x[1] AS first_value, x[{LI.w}] AS last_value FROM wins"))
+def windows_half_overlap(spark, sf_dir):
+    """2n-1 half-overlapping windows per frame."""
+    w = framing.half_overlap_windows(frames_of(spark, sf_dir, LI), LI.w, LI.n)
+    return w.select("source_id", "frame_no", F.col("k").cast("int").alias("k"), F.col("start").cast("int").alias("start"),
+                    F.col("w")[0].alias("first_value"), F.col("w")[LI.w - 1].alias("last_value"))
+
+
+@register("window_stats", _PRE_LI + " SELECT source_id, frame_no, k, avg, nrm FROM wstats")
+def window_stats(spark, sf_dir):
+    """A3/A4: mean and L2 norm of every half-overlap window."""
+    f = coding.with_features(frames_of(spark, sf_dir, LI), LI.w, LI.n, "centered")
+    return coding.window_rows(f).select("source_id", "frame_no", F.col("k").cast("int").alias("k"), "avg", "nrm")
+
+
+def _feature_stats(df):
+    return df.select("source_id", "frame_no", F.col("k").cast("int").alias("k"),
+                     F.aggregate("feat", F.lit(0.0), lambda a, v: a + v).alias("feat_sum"),
+                     F.aggregate("feat", F.lit(0.0), lambda a, v: a + v * v).alias("feat_sumsq"))
+
+
+_FEAT_SQL = (" SELECT source_id, frame_no, k, {s} AS feat_sum, {q} AS feat_sumsq FROM feats"
+             .format(s=Q.lsum("feat"), q=Q.lsum("list_transform(feat, lambda v: v * v)")))
+
+
+@register("features_centered", _PRE_LI + f", feats AS ({Q.centered_feats_cte(LI)})" + _FEAT_SQL)
+def features_centered(spark, sf_dir):
+    """P7 + W4 + W5: centred, norm-scaled, tapered window features."""
+    f = coding.with_features(frames_of(spark, sf_dir, LI), LI.w, LI.n, "centered")
+    return _feature_stats(coding.window_rows(f))
+
+
+@register("features_tapered", _PRE_LI + f", feats AS ({Q.tapered_feats_cte(LI)})" + _FEAT_SQL)
+def features_tapered(spark, sf_dir):
+    """Tapered window divided by its tapered norm."""
+    f = coding.with_features(frames_of(spark, sf_dir, LI), LI.w, LI.n, "tapered")
+    return _feature_stats(coding.window_rows(f))
+
+
+def _taper_ola_sql(spec: SignalSpec) -> str:
+    h, w = spec.h, spec.w
+    t = Q.dlist(A.taper_values(w))
+    seg = f"list_transform(range({h}), lambda p: pr.x[{h} + p + 1] * ({t})[{h} + p + 1] + c.x[p + 1] * ({t})[p + 1])"
+    m = spec.frame_len - w
+    return (
+        f"WITH samples AS ({Q.samples_cte(spec)}), frames AS ({Q.frames_cte(spec)}), wins AS ({Q.windows_cte(spec)}), "
+        f"seg AS (SELECT c.source_id, c.frame_no, c.k AS j, {seg} AS s FROM wins c JOIN wins pr "
+        f"ON pr.source_id = c.source_id AND pr.frame_no = c.frame_no AND pr.k = c.k - 1), "
+        f"ola AS (SELECT source_id, frame_no, flatten(list(s ORDER BY j)) AS o FROM seg GROUP BY 1, 2) "
+        f"SELECT f.source_id, f.frame_no, list_max(list_transform(range({m}), lambda p: abs(o[p + 1] - f.frame[{h} + p + 1]))) AS ola_max_err "
+        f"FROM frames f JOIN ola USING (source_id, frame_no)"
+    )
+
+
+@register("taper_overlap_check", _taper_ola_sql(LI))
+def taper_overlap_check(spark, sf_dir):
+    """Overlap-add of tapered raw windows vs the trimmed frame (the taper
+    halves sum to 0.9868..0.9999, not exactly 1, for W=120)."""
+    f = coding.with_windows(frames_of(spark, sf_dir, LI), LI.w, LI.n)
+    taper = A.array_literal(A.taper_values(LI.w))
+    f = f.withColumn("tw", F.expr(A.tapered_windows_expr("wins", taper)))
+    h = LI.h
+    ola = F.expr(f"flatten(transform(sequence(1, size(tw) - 1), j -> zip_with(slice(tw[j - 1], {h + 1}, {h}), "
+                 f"slice(tw[j], 1, {h}), (p, q) -> p + q)))")
+    f = f.withColumn("ola", ola).withColumn("src", framing.trimmed("frame", LI.w, LI.n))
+    return f.select("source_id", "frame_no",
+                    F.expr("array_max(zip_with(ola, src, (a, b) -> abs(a - b)))").alias("ola_max_err"))
+
+
+# ---------------------------------------------------------------- coding details
+@register("nearest_code", Q.pipeline_prefix(LI, "centered") + " SELECT source_id, frame_no, CAST(k AS INTEGER) AS k, code, d FROM nearest")
+def nearest_code(spark, sf_dir):
+    """Nearest dictionary code (least squared distance, ties -> lowest code)."""
+    df = scored(spark, sf_dir, LI, "centered")
+    return (df.select("source_id", "frame_no", F.posexplode("best").alias("k", "b"))
+            .where(F.col("b").isNotNull())
+            .select("source_id", "frame_no", F.col("k").cast("int").alias("k"),
+                    F.col("b.code").alias("code"), F.col("b.d").alias("d")))
+
+
+_CODED_LI = Q.pipeline_prefix(LI, "centered") + f", ca AS ({Q.coded_arrays_select(LI)})"
+
+
+@register("frame_profile", _CODED_LI + (
+    " SELECT source_id, frame_ref, list_max(src) AS max_src, list_max(coded) AS max_coded, "
+    "list_max(loss) AS max_loss, list_min(loss) AS min_loss, score AS max_abs_loss FROM ca"))
+def frame_profile(spark, sf_dir):
+    """Per-frame maxima (source, coded, loss)."""
+    from shapecode.operators.evaluate import frame_profile as fp
+    return fp(scored(spark, sf_dir, LI, "centered"))
+
+
+@register("loss_histogram", _CODED_LI + (
+    ", hb AS (SELECT source_id, frame_ref, loss, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo2, "
+    "CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi2 FROM (SELECT *, list_min(loss) AS lo, list_max(loss) AS hi FROM ca)), "
+    "hw AS (SELECT *, (hi2 - lo2) / 50 AS wd, len(loss) AS n FROM hb), "
+    "he AS (SELECT source_id, frame_ref, lo2, wd, n, least(CAST(floor((unnest(loss) - lo2) / wd) AS INTEGER), 49) AS bin FROM hw) "
+    "SELECT source_id, frame_ref, bin, lo2 + bin * wd AS bin_lo, CAST(count(*) AS BIGINT) AS cnt, count(*) / (n * wd) AS height "
+    "FROM he GROUP BY source_id, frame_ref, bin, lo2, wd, n"))
+def loss_histogram(spark, sf_dir):
+    """50-bin density histogram of each frame's loss."""
+    from shapecode.operators.evaluate import loss_histogram as lh
+    return lh(scored(spark, sf_dir, LI, "centered"))
+
+
+@register("frame_slice", (
+    f"WITH samples AS ({Q.samples_cte(LI)}), frames AS ({Q.frames_cte(LI)}) "
+    f"SELECT source_id, frame_ref, frame[11 : 50] AS part_first_last FROM frames"))
+def frame_slice(spark, sf_dir):
+    """Inspection slice ``[10:50]`` of every frame."""
+    f = frames_of(spark, sf_dir, LI)
+    return f.select("source_id", "frame_ref", F.slice("frame", 11, 40).alias("part_first_last"))
+
+
+@register("frame_centred_view", _CODED_LI + (
+    f" SELECT source_id, frame_ref, list_min(list_transform(src, lambda v: v - {Q.dlit(1024 / 200)})) AS min_centred, "
+    f"list_max(list_transform(src, lambda v: v - {Q.dlit(1024 / 200)})) AS max_centred FROM ca"))
+def frame_centred_view(spark, sf_dir):
+    """Source minus the DC offset 1024/200 for display."""
+    df = scored(spark, sf_dir, LI, "centered")
+    c = F.transform("src", lambda v: v - F.lit(1024 / 200))
+    return df.select("source_id", "frame_ref", F.array_min(c).alias("min_centred"), F.array_max(c).alias("max_centred"))

@@ -125,3 +125,60 @@ def pipeline_prefix(spec: SignalSpec, mode: str = "centered", book_sql: str | No
         f"wins AS ({windows_cte(spec)}), wstats AS ({stats_cte(spec)}), feats AS ({feats}), "
         f"book AS ({book_sql}), {coded_ctes(spec, mode)}"
     )
+
+
+def scores_select(spec: SignalSpec) -> str:
+    """Scored frames from the ``pipeline_prefix`` CTEs (frames with a dictionary)."""
+    m = spec.frame_len - spec.w
+    return (
+        f"SELECT f.source_id, f.frame_no, f.frame_ref, cs.codes, 'ok' AS status, "
+        f"list_max(list_transform(range({m}), lambda p: abs(f.frame[{spec.h} + p + 1] - c.coded[p + 1]))) AS score, "
+        f"{lsum('c.coded')} + 0.0 AS coded_sum "
+        f"FROM frames f JOIN coded c USING (source_id, frame_no) JOIN codes cs USING (source_id, frame_no) "
+        f"WHERE f.source_id IN (SELECT source_id FROM book)"
+    )
+
+
+def coded_arrays_select(spec: SignalSpec) -> str:
+    """Per frame ``src``, ``coded``, ``loss`` arrays and ``score``."""
+    m = spec.frame_len - spec.w
+    return (
+        f"SELECT source_id, frame_no, frame_ref, src, coded, loss, list_max(list_transform(loss, lambda v: abs(v))) AS score FROM ("
+        f"SELECT *, list_transform(range({m}), lambda p: src[p + 1] - coded[p + 1]) AS loss FROM ("
+        f"SELECT f.source_id, f.frame_no, f.frame_ref, f.frame[{spec.h + 1} : {spec.frame_len - spec.h}] AS src, c.coded "
+        f"FROM frames f JOIN coded c USING (source_id, frame_no) WHERE f.source_id IN (SELECT source_id FROM book)))"
+    )
+
+
+def annotations_cte(spec: SignalSpec, code_expr: str) -> str:
+    order = ", ".join(spec.order_cols)
+    return (
+        f"SELECT CAST({spec.source_col} AS BIGINT) AS record_id, "
+        f"CAST(row_number() OVER (PARTITION BY {spec.source_col} ORDER BY {order}) - 1 AS BIGINT) AS line_no, "
+        f"CAST(row_number() OVER (PARTITION BY {spec.source_col} ORDER BY {order}) - 1 AS BIGINT) AS sample, "
+        f"{code_expr} AS code FROM {spec.table} WHERE {spec.source_col} IS NOT NULL AND {spec.value_col} IS NOT NULL"
+    )
+
+
+def labels_ctes(spec: SignalSpec, code_expr: str) -> str:
+    """``ann, ext, fr, fcodes, labels`` CTEs."""
+    L = spec.frame_len
+    return (
+        f"ann AS (SELECT * FROM ({annotations_cte(spec, code_expr)}) WHERE code IS NOT NULL), "
+        f"ext AS (SELECT record_id, arg_max(sample, line_no) AS last_sample FROM ann GROUP BY 1), "
+        f"fr AS (SELECT record_id, unnest(range(0, CAST(ceil(last_sample / {L}) AS BIGINT))) AS frame_no FROM ext), "
+        f"fcodes AS (SELECT record_id, sample // {L} AS frame_no, string_agg(code, '' ORDER BY line_no) AS extra "
+        f"FROM ann WHERE code <> 'N' GROUP BY 1, 2), "
+        f"labels AS (SELECT fr.record_id, CAST(fr.frame_no * {L} AS BIGINT) AS frame_ref, 'N' || coalesce(fcodes.extra, '') AS label "
+        f"FROM fr LEFT JOIN fcodes ON fr.record_id = fcodes.record_id AND fr.frame_no = fcodes.frame_no)"
+    )
+
+
+def budget_cte(spec: SignalSpec, samples: str = "samples") -> str:
+    S = spec.step
+    return (
+        f"SELECT source_id, n_samples, max_w, tr, k, CAST(CASE WHEN tr > 0 THEN {spec.w} + (tr - 1) * {S} ELSE 0 END AS BIGINT) AS samples_used FROM ("
+        f"SELECT *, CAST(floor({dlit(0.1)} * tr) AS BIGINT) AS k FROM ("
+        f"SELECT *, CAST(floor({dlit(0.2)} * max_w) AS BIGINT) AS tr FROM ("
+        f"SELECT source_id, CAST(count(*) AS BIGINT) AS n_samples, CAST(count(*) // {S} AS BIGINT) AS max_w FROM {samples} GROUP BY 1)))"
+    )

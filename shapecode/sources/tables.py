@@ -17,19 +17,37 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def signal_samples(spark: SparkSession, sf_dir: str, spec: SignalSpec,
-                   index_method: str = "range") -> DataFrame:
+                   index_method: str = "range", extra: dict[str, str] | None = None) -> DataFrame:
     """``samples(source_id, i, raw, value)``; ``value = raw * scale``.
 
     Only the source, value and order columns are read (column pruning reaches
     the Parquet scan); rows with a null source or sample are not samples.
+    ``extra`` maps output names to SQL expressions over the table row that
+    are carried along (e.g. annotation codes).
     """
+    extra = extra or {}
     t = read_table(spark, sf_dir, spec.table)
     base = (
         t.select(F.col(spec.source_col).cast("bigint").alias("source_id"),
                  F.col(spec.value_col).cast("double").alias("raw"),
-                 *spec.order_cols)
+                 *spec.order_cols, *[F.expr(e).alias(k) for k, e in extra.items()])
         .where(F.col("source_id").isNotNull() & F.col("raw").isNotNull())
     )
     idx = index_within(base, "source_id", spec.order_cols, method=index_method)
     return idx.select("source_id", "i", "raw",
-                      (F.col("raw") * F.lit(float(spec.scale))).alias("value"))
+                      (F.col("raw") * F.lit(float(spec.scale))).alias("value"), *extra.keys())
+
+
+# Annotation codes derived from each signal's table
+# (``N`` is normal; the first letter of any other kind marks an abnormal beat).
+ANNOTATION_CODES = {
+    "events": "CASE WHEN event_type IN ('click', 'view') THEN 'N' ELSE upper(substr(event_type, 1, 1)) END",
+    "lineitem": "l_returnflag",
+}
+
+
+def signal_annotations(spark: SparkSession, sf_dir: str, spec: SignalSpec) -> DataFrame:
+    """``annotations(record_id, line_no, sample, code)`` aligned with the samples."""
+    s = signal_samples(spark, sf_dir, spec, extra={"code": ANNOTATION_CODES[spec.name]})
+    return s.select(F.col("source_id").alias("record_id"), F.col("i").alias("line_no"),
+                    F.col("i").alias("sample"), "code").where(F.col("code").isNotNull())
