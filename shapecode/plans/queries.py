@@ -245,3 +245,165 @@ def frame_centred_view(spark, sf_dir):
     df = scored(spark, sf_dir, LI, "centered")
     c = F.transform("src", lambda v: v - F.lit(1024 / 200))
     return df.select("source_id", "frame_ref", F.array_min(c).alias("min_centred"), F.array_max(c).alias("max_centred"))
+
+
+# ---------------------------------------------------------------- labels and evaluation
+from shapecode.config import ANOMALY_THRESHOLD, SAMPLE_SEED, SPLIT_SEED, SWEEP_STEP, SWEEP_STEPS  # noqa: E402
+from shapecode.operators import evaluate as EV  # noqa: E402
+from shapecode.operators import labels as LB  # noqa: E402
+from shapecode.sources.tables import ANNOTATION_CODES, signal_annotations  # noqa: E402
+
+_LAB_LI = "WITH " + Q.labels_ctes(LI, ANNOTATION_CODES["lineitem"])
+
+
+def labels_of(spark, sf_dir, spec=LI):
+    return LB.frame_labels(signal_annotations(spark, sf_dir, spec), spec.frame_len)
+
+
+@register("frame_labels", _LAB_LI + " SELECT record_id, frame_ref, label FROM labels")
+def frame_labels(spark, sf_dir):
+    """A11/A17: 'N' + the non-N codes of each frame, frames up to the last annotation."""
+    return labels_of(spark, sf_dir, LI)
+
+
+@register("annotation_quarantine", _LAB_LI + (
+    ", nf AS (SELECT record_id, CAST(ceil(last_sample / 100) AS BIGINT) AS n_frames FROM ext) "
+    "SELECT a.record_id, a.line_no, a.sample, a.code, nf.n_frames FROM ann a JOIN nf USING (record_id) "
+    "WHERE a.code <> 'N' AND a.sample // 100 >= nf.n_frames"))
+def annotation_quarantine(spark, sf_dir):
+    """Codes past the last labelled frame (the reference fails on them)."""
+    return LB.out_of_range_codes(signal_annotations(spark, sf_dir, LI), LI.frame_len)
+
+
+def cutoffs_of(spark, sf_dir, spec=LI):
+    b = framing.training_budget(signal_samples(spark, sf_dir, spec), spec.w, spec.step)
+    return b.select("source_id", F.col("samples_used").alias("cutoff"))
+
+
+def labelled_of(spark, sf_dir, spec=LI):
+    lf = EV.labelled_frames(scored(spark, sf_dir, spec, "centered"), labels_of(spark, sf_dir, spec))
+    return EV.with_region(lf, cutoffs_of(spark, sf_dir, spec))
+
+
+_EVAL_PRE = (Q.pipeline_prefix(LI, "centered") + f", scores AS ({Q.scores_select(LI)}), "
+             + Q.labels_ctes(LI, ANNOTATION_CODES["lineitem"])
+             + f", bud AS ({Q.budget_cte(LI)}), "
+             "lf AS (SELECT s.source_id, s.frame_ref, l.label, s.score, CASE WHEN s.frame_ref <= bud.samples_used "
+             "THEN 'train' ELSE 'rest' END AS region FROM scores s JOIN labels l ON s.source_id = l.record_id "
+             "AND s.frame_ref = l.frame_ref LEFT JOIN bud ON s.source_id = bud.source_id), "
+             "rest AS (SELECT * FROM lf WHERE region = 'rest'), "
+             f"sp AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source_id ORDER BY "
+             f"md5(concat_ws(':', '{SPLIT_SEED}', CAST(source_id AS VARCHAR), CAST(frame_ref AS VARCHAR)))) - 1 < "
+             f"floor({Q.dlit(0.4)} * count(*) OVER (PARTITION BY source_id)) THEN 'validation' ELSE 'test' END AS split FROM rest), "
+             "val AS (SELECT * FROM sp WHERE split = 'validation'), tst AS (SELECT * FROM sp WHERE split = 'test'), "
+             f"grid AS (SELECT CAST(r.i AS BIGINT) AS t_index, r.i * {Q.dlit(SWEEP_STEP)} AS t FROM range(0, {SWEEP_STEPS}) r(i)), "
+             "curve AS (SELECT t_index, t, n, pos, neg, fn, fp, 100 * (fn + fp) / n AS total_pct, 100 * fp / n AS fp_pct, "
+             "100 * fn / n AS fn_pct FROM (SELECT g.t_index, g.t, CAST(count(*) AS BIGINT) AS n, "
+             "CAST(count_if(v.label <> 'N') AS BIGINT) AS pos, CAST(count_if(v.label = 'N') AS BIGINT) AS neg, "
+             "CAST(count_if(v.label <> 'N' AND v.score < g.t) AS BIGINT) AS fn, "
+             "CAST(count_if(v.label = 'N' AND v.score >= g.t) AS BIGINT) AS fp FROM grid g CROSS JOIN val v GROUP BY 1, 2)), "
+             "best AS (SELECT * FROM curve ORDER BY total_pct, t_index LIMIT 1)")
+
+
+def _errors_sql(rel: str, t: str) -> str:
+    return (f" SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(label <> 'N') AS BIGINT) AS pos, "
+            f"CAST(count_if(label = 'N') AS BIGINT) AS neg, max({t}) AS t, "
+            f"100 * (count_if(label <> 'N' AND score < {t}) + count_if(label = 'N' AND score >= {t})) / count(*) AS total_pct, "
+            f"100 * count_if(label = 'N' AND score >= {t}) / count(*) AS fp_pct, "
+            f"100 * count_if(label <> 'N' AND score < {t}) / count(*) AS fn_pct FROM {rel}")
+
+
+@register("labelled_frames", _EVAL_PRE + " SELECT source_id, frame_ref, label, score, region FROM lf")
+def labelled_frames(spark, sf_dir):
+    """J1 + P4: scored frames joined with labels, tagged train / rest."""
+    return labelled_of(spark, sf_dir).select("source_id", "frame_ref", "label", "score", "region")
+
+
+def split_of(spark, sf_dir):
+    rest = labelled_of(spark, sf_dir).where(F.col("region") == "rest").select("source_id", "frame_ref", "label", "score")
+    return EV.split_validation_test(rest)
+
+
+@register("split_val_test", _EVAL_PRE + " SELECT source_id, frame_ref, label, score, split FROM sp")
+def split_val_test(spark, sf_dir):
+    """L4: reproducible 40/60 validation/test split of the held-out frames, per source."""
+    return split_of(spark, sf_dir)
+
+
+@register("frame_sample", _EVAL_PRE + (
+    f" SELECT source_id, frame_ref, label, score FROM lf ORDER BY "
+    f"md5(concat_ws(':', '{SAMPLE_SEED}', CAST(source_id AS VARCHAR), CAST(frame_ref AS VARCHAR))) LIMIT 20"))
+def frame_sample(spark, sf_dir):
+    """L3: reproducible sample of 20 labelled frames."""
+    return EV.sample_frames(labelled_of(spark, sf_dir).select("source_id", "frame_ref", "label", "score"), 20)
+
+
+@register("errors_at_threshold", _EVAL_PRE + _errors_sql("val", Q.dlit(ANOMALY_THRESHOLD)))
+def errors_at_threshold(spark, sf_dir):
+    """Validation errors at the fixed online threshold."""
+    val = split_of(spark, sf_dir).where(F.col("split") == "validation")
+    return EV.errors_at(val, ANOMALY_THRESHOLD)
+
+
+@register("threshold_sweep", _EVAL_PRE + " SELECT * FROM curve")
+def threshold_sweep(spark, sf_dir):
+    """The 500-threshold error curve on the validation frames."""
+    return EV.threshold_sweep(split_of(spark, sf_dir).where(F.col("split") == "validation"))
+
+
+@register("best_threshold", _EVAL_PRE + " SELECT * FROM best")
+def best_threshold(spark, sf_dir):
+    """A10: threshold with the least validation error (lowest on ties)."""
+    return EV.best_threshold(EV.threshold_sweep(split_of(spark, sf_dir).where(F.col("split") == "validation")))
+
+
+@register("test_error", _EVAL_PRE + _errors_sql("tst CROSS JOIN (SELECT t AS bt FROM best)", "bt"))
+def test_error(spark, sf_dir):
+    """A8 on the test frames at the chosen threshold."""
+    sp = split_of(spark, sf_dir)
+    best = EV.best_threshold(EV.threshold_sweep(sp.where(F.col("split") == "validation"))).select(F.col("t").alias("bt"))
+    # best has exactly one row (limit 1): a bounded broadcast
+    tst = sp.where(F.col("split") == "test").join(F.broadcast(best), how="inner")
+    return EV.errors_at(tst, F.col("bt"))
+
+
+# ---------------------------------------------------------------- anomalies
+EV_ = EVENTS
+_ANOM_PRE = Q.pipeline_prefix(EV_, "centered") + f", scores AS ({Q.scores_select(EV_)})"
+
+
+@register("anomalies", _ANOM_PRE + f" SELECT source_id, frame_ref, score FROM scores WHERE score > {Q.dlit(ANOMALY_THRESHOLD)}")
+def anomalies(spark, sf_dir):
+    """Frames whose score is strictly above the online threshold."""
+    df = scored(spark, sf_dir, EV_, "centered")
+    return df.where(F.col("score") > F.lit(ANOMALY_THRESHOLD)).select("source_id", "frame_ref", "score")
+
+
+# ---------------------------------------------------------------- words
+from shapecode.operators import words as WD  # noqa: E402
+from shapecode.sources.tables import read_table  # noqa: E402
+
+_WORDS = ("WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), "
+          "totals AS (SELECT lower(word) AS word, CAST(count(*) AS BIGINT) AS word_count FROM w GROUP BY 1)")
+
+
+def totals_of(spark, sf_dir):
+    return WD.word_totals(WD.word_rows(read_table(spark, sf_dir, "documents")))
+
+
+@register("word_totals", _WORDS + " SELECT word, word_count FROM totals")
+def word_totals(spark, sf_dir):
+    """A1 + P9: total count per lower-cased word."""
+    return totals_of(spark, sf_dir)
+
+
+@register("word_topk", _WORDS + " SELECT word, word_count FROM totals ORDER BY word_count DESC, word LIMIT 10")
+def word_topk(spark, sf_dir):
+    """L2: ten most frequent words."""
+    return WD.top_words(totals_of(spark, sf_dir), 10)
+
+
+@register("word_filter", _WORDS + " SELECT word, word_count FROM totals WHERE word_count > 100")
+def word_filter(spark, sf_dir):
+    """P10: words seen more than 100 times."""
+    return WD.words_over(totals_of(spark, sf_dir), 100)
