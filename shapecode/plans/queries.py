@@ -407,3 +407,35 @@ def word_topk(spark, sf_dir):
 def word_filter(spark, sf_dir):
     """P10: words seen more than 100 times."""
     return WD.words_over(totals_of(spark, sf_dir), 100)
+
+
+# ---------------------------------------------------------------- dictionary training
+from shapecode.operators import kmeans as KM  # noqa: E402
+
+LLOYD_CHECK_ITERATIONS = 2
+
+
+def trained_codebook(spark, sf_dir, spec=LI, max_iter=20, tol=0.0):
+    samples = signal_samples(spark, sf_dir, spec)
+    train, budget = KM.training_set(samples, spec.w, spec.step)
+    return KM.lloyd(train, budget, spec.w, max_iter=max_iter, tol=tol)
+
+
+@register("codebook_lloyd", "WITH " + Q.lloyd_ctes(LI, LLOYD_CHECK_ITERATIONS) + (
+    f" SELECT source_id, code, {Q.r6(Q.lsum('center'))} AS center_sum, "
+    f"{Q.r6(Q.lsum('list_transform(center, lambda v: v * v)'))} AS center_sumsq FROM c{LLOYD_CHECK_ITERATIONS}"))
+def codebook_lloyd(spark, sf_dir):
+    """A13(b)-A15: all-source Lloyd k-means, two iterations (the SQL check)."""
+    cb = trained_codebook(spark, sf_dir, LI, max_iter=LLOYD_CHECK_ITERATIONS, tol=None)
+    return cb.select("source_id", "code",
+                     F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v), 6).alias("center_sum"),
+                     F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v * v), 6).alias("center_sumsq"))
+
+
+@register("frame_scores_trained", None)
+def frame_scores_trained(spark, sf_dir):
+    """W10 with a trained dictionary: Lloyd (up to 20 iterations, stop when the
+    cost stops falling) on the first 20 % of each source, then score every frame."""
+    cb = trained_codebook(spark, sf_dir, LI, max_iter=20, tol=0.0)
+    frames = frames_of(spark, sf_dir, LI)
+    return _scores_out(coding.score_frames(frames, coding.pack_codebook(cb), LI.w, LI.n, "centered"))

@@ -182,3 +182,35 @@ def budget_cte(spec: SignalSpec, samples: str = "samples") -> str:
         f"SELECT *, CAST(floor({dlit(0.2)} * max_w) AS BIGINT) AS tr FROM ("
         f"SELECT source_id, CAST(count(*) AS BIGINT) AS n_samples, CAST(count(*) // {S} AS BIGINT) AS max_w FROM {samples} GROUP BY 1)))"
     )
+
+
+def lloyd_ctes(spec: SignalSpec, iterations: int) -> str:
+    """``samples, bud, sw, tw, ts, train, c0, a1, c1, ... a{n}, c{n}`` CTEs (A13 oracle)."""
+    w, S = spec.w, spec.step
+    t = dlist(taper_values(w))
+    parts = [
+        f"samples AS ({samples_cte(spec)})",
+        f"bud AS ({budget_cte(spec)})",
+        f"sw AS (SELECT source_id, i, list(value) OVER (PARTITION BY source_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS w FROM samples)",
+        f"tw AS (SELECT sw.source_id, CAST(i // {S} AS BIGINT) AS j, w FROM sw JOIN bud USING (source_id) "
+        f"WHERE i % {S} = 0 AND i // {S} < bud.tr AND len(w) = {w})",
+        f"ts AS (SELECT *, {lsum('w')} / {w} AS a, sqrt({lsum('list_transform(w, lambda v: v * v)')}) AS n FROM tw)",
+        f"train AS (SELECT source_id, j, list_transform(range({w}), lambda p: (w[p + 1] - a) / n * ({t})[p + 1]) AS feat FROM ts WHERE n <> 0)",
+        "c0 AS (SELECT source_id, CAST(c AS INTEGER) AS code, feat AS center FROM (SELECT t.*, b.tr, b.k, "
+        "(t.j * b.k + b.tr - 1) // b.tr AS c FROM train t JOIN bud b USING (source_id) WHERE b.k > 0) WHERE c < k AND (c * tr) // k = j)",
+    ]
+    d = sqdist("t.feat", "c.center", w)
+    for it in range(1, iterations + 1):
+        prev = f"c{it - 1}"
+        parts.append(
+            f"a{it} AS (SELECT * EXCLUDE (rn) FROM (SELECT t.source_id, t.j, t.feat, c.code, {d} AS d, "
+            f"row_number() OVER (PARTITION BY t.source_id, t.j ORDER BY {d}, c.code) AS rn "
+            f"FROM train t JOIN {prev} c ON t.source_id = c.source_id) WHERE rn = 1)")
+        parts.append(
+            f"u{it} AS (SELECT source_id, code, list(v ORDER BY pos) AS center FROM ("
+            f"SELECT source_id, code, p.pos, avg(feat[p.pos + 1]) AS v FROM a{it} CROSS JOIN range(0, {w}) p(pos) "
+            f"GROUP BY 1, 2, 3) GROUP BY 1, 2)")
+        parts.append(
+            f"c{it} AS (SELECT p.source_id, p.code, coalesce(u.center, p.center) AS center FROM {prev} p "
+            f"LEFT JOIN u{it} u ON p.source_id = u.source_id AND p.code = u.code)")
+    return ", ".join(parts)
