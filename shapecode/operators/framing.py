@@ -18,7 +18,8 @@ def _ordered_values(col_i: str = "i", col_v: str = "value"):
     return F.transform(F.array_sort(F.collect_list(F.struct(col_i, col_v))), lambda z: z[col_v])
 
 
-def tumbling_frames(samples: DataFrame, frame_len: int, cap: int | None = None) -> DataFrame:
+def tumbling_frames(samples: DataFrame, frame_len: int, cap: int | None = None,
+                    value_col: str = "value", extra_aggs: dict | None = None) -> DataFrame:
     """Non-overlapping frames of ``frame_len`` samples.
 
     ``frame_ref`` is the index of the frame's first sample.  The trailing
@@ -27,13 +28,14 @@ def tumbling_frames(samples: DataFrame, frame_len: int, cap: int | None = None)
     s = samples
     if cap is not None:
         s = s.where(F.col("i") < F.lit(cap * frame_len))
+    extra_aggs = extra_aggs or {}
     frames = (
         s.groupBy("source_id", F.floor(F.col("i") / F.lit(frame_len)).cast("bigint").alias("frame_no"))
-        .agg(_ordered_values().alias("frame"))
+        .agg(_ordered_values("i", value_col).alias("frame"), *[a.alias(k) for k, a in extra_aggs.items()])
         .where(F.size("frame") == F.lit(frame_len))
     )
     return frames.select("source_id", "frame_no",
-                         (F.col("frame_no") * F.lit(frame_len)).alias("frame_ref"), "frame")
+                         (F.col("frame_no") * F.lit(frame_len)).alias("frame_ref"), "frame", *extra_aggs.keys())
 
 
 def frame_budget(samples: DataFrame, frame_len: int, cap: int | None = None) -> DataFrame:

@@ -439,3 +439,157 @@ def frame_scores_trained(spark, sf_dir):
     cb = trained_codebook(spark, sf_dir, LI, max_iter=20, tol=0.0)
     frames = frames_of(spark, sf_dir, LI)
     return _scores_out(coding.score_frames(frames, coding.pack_codebook(cb), LI.w, LI.n, "centered"))
+
+
+# ---------------------------------------------------------------- wire format, archive, detector
+import uuid  # noqa: E402
+
+from shapecode.plans import detect as DT  # noqa: E402
+from shapecode.session import ensure_checkpoint_dir  # noqa: E402
+from shapecode.sinks import writers as WR  # noqa: E402
+from shapecode.sources import binary as BIN  # noqa: E402
+from shapecode.sources import events as EVT  # noqa: E402
+from shapecode.sources import text as TXT  # noqa: E402
+
+_T_US = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
+
+
+def raw_event_frames(spark, sf_dir, spec=EVENTS):
+    """Frames of raw samples plus the epoch seconds of their first sample."""
+    s = signal_samples(spark, sf_dir, spec, extra={"t_us": _T_US})
+    f = framing.tumbling_frames(s, spec.frame_len, value_col="raw", extra_aggs={"t0": F.min("t_us")})
+    return f.withColumn("src_ts", F.col("t0") / F.lit(1000000))
+
+
+def scratch_dir(spark, name):
+    """A fresh folder under the shared checkpoint directory."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+_EV_FRAMES_SQL = (
+    f"WITH s AS (SELECT CAST(user_id AS BIGINT) AS source_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, "
+    f"CAST(value AS DOUBLE) AS raw, epoch_us(ts) AS t_us FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL), "
+    f"f AS (SELECT source_id, i // {EVENTS.frame_len} AS frame_no, min(t_us) AS t0, list(raw ORDER BY i) AS data FROM s "
+    f"GROUP BY 1, 2 HAVING count(*) = {EVENTS.frame_len})")
+
+
+@register("frame_event_roundtrip", _EV_FRAMES_SQL + (
+    f" SELECT CAST(source_id AS VARCHAR) AS patient_id, CAST(frame_no * {EVENTS.frame_len} AS BIGINT) AS frame_ref, "
+    f"t0 / 1000000 AS src_ts, CAST(len(data) AS BIGINT) AS n_samples, "
+    f"{Q.lsum(f'list_transform(data, lambda v: v * {Q.dlit(EVENTS.scale)})')} AS data_sum, 'ok' AS status FROM f"))
+def frame_event_roundtrip(spark, sf_dir):
+    """K9 -> S2 -> P2 -> P1: frames published as JSON events and decoded back."""
+    ev = EVT.frame_events(raw_event_frames(spark, sf_dir))
+    d = EVT.decode_frame_events(ev)
+    return d.select("patient_id", "frame_ref", F.col("srcTs").alias("src_ts"),
+                    F.size("frame").cast("bigint").alias("n_samples"),
+                    F.aggregate("frame", F.lit(0.0), lambda a, v: a + v).alias("data_sum"), "status")
+
+
+def _event_books(spark, sf_dir, spec=EVENTS):
+    frames = frames_of(spark, sf_dir, spec)
+    cb = coding.first_frame_codebook(frames, spec.w, spec.n).withColumn("source_id", F.col("source_id").cast("string"))
+    return coding.pack_codebook(cb)
+
+
+_STREAM_SQL = (Q.pipeline_prefix(EVENTS, "centered") + f", scores AS ({Q.scores_select(EVENTS)}) "
+               "SELECT CAST(source_id AS VARCHAR) AS patient_id, frame_ref, score, codes, status FROM scores")
+
+
+@register("stream_detect", _STREAM_SQL)
+def stream_detect(spark, sf_dir):
+    """Frame events replayed as files through the Structured
+    Streaming detector (availableNow); returns the archived scores."""
+    root = scratch_dir(spark, "stream")
+    EVT.frame_events(raw_event_frames(spark, sf_dir)).write.mode("overwrite").text(f"{root}/in")
+    from shapecode.streaming.detector import file_frames, start_detector
+    q = start_detector(file_frames(spark, f"{root}/in"), _event_books(spark, sf_dir),
+                       f"{root}/archive", f"{root}/anomalies", f"{root}/quarantine", f"{root}/_chk",
+                       available_now=True, w=EVENTS.w, n=EVENTS.n)
+    q.awaitTermination()
+    arch = spark.read.parquet(f"{root}/archive")
+    return arch.select("patient_id", "frame_ref", "score", "codes", "status")
+
+
+@register("anomaly_json", Q.pipeline_prefix(EVENTS, "centered") + f", scores AS ({Q.scores_select(EVENTS)}) " + (
+    f"SELECT 'inj./data/' || CAST(source_id AS VARCHAR) || '.dat' AS srcId, CAST(frame_ref AS DOUBLE) AS frameRef, "
+    f"score AS maxLoss FROM scores WHERE score > {Q.dlit(ANOMALY_THRESHOLD)}"))
+def anomaly_json(spark, sf_dir):
+    """P5/K2: anomaly records as JSON (``dataSlice`` = first 60 characters),
+    parsed back to check the wire format."""
+    ev = EVT.frame_events(raw_event_frames(spark, sf_dir))
+    scored_ = DT.with_time_path(DT.detect(ev, _event_books(spark, sf_dir), EVENTS.w, EVENTS.n))
+    js = WR.anomaly_json(DT.anomalies(scored_))
+    back = js.select(F.from_json("value", "srcId STRING, srcTs DOUBLE, frameRef DOUBLE, maxLoss DOUBLE, "
+                                          "timePathRef STRING, dataSlice STRING").alias("r"))
+    return back.select("r.srcId", "r.frameRef", "r.maxLoss")
+
+
+@register("no_model_frames", "WITH " + Q.lloyd_ctes(EVENTS, 0) + (
+    f", frames AS ({Q.frames_cte(EVENTS)}) SELECT source_id, frame_ref, 'no_model' AS status FROM frames "
+    f"WHERE source_id NOT IN (SELECT source_id FROM c0)"))
+def no_model_frames(spark, sf_dir):
+    """J2 misses: frames of sources without a trained dictionary (too short
+    to train one); kept with status ``no_model`` instead of failing."""
+    cb = trained_codebook(spark, sf_dir, EVENTS, max_iter=20, tol=0.0)
+    sc = coding.score_frames(frames_of(spark, sf_dir, EVENTS), coding.pack_codebook(cb), EVENTS.w, EVENTS.n)
+    return sc.where(F.col("status") == "no_model").select("source_id", "frame_ref", "status")
+
+
+@register("archive_roundtrip", Q.pipeline_prefix(LI, "centered") + f", ca AS ({Q.coded_arrays_select(LI)}) " + (
+    "SELECT 'inj./data/' || CAST(source_id AS VARCHAR) || '.dat' AS srcId, frame_ref, score AS max_err, "
+    "CAST(len(src) AS BIGINT) AS n_src, CAST(len(coded) AS BIGINT) AS n_coded, CAST(len(loss) AS BIGINT) AS n_loss, "
+    f"{Q.lsum('loss')} AS loss_sum FROM ca"))
+def archive_roundtrip(spark, sf_dir):
+    """K1 text archive written and read back with the S6 parser (and the
+    K5/S7 ``src;coded;loss`` form checked in tests)."""
+    sc = scored(spark, sf_dir, LI, "centered")
+    sc = sc.withColumn("srcId", F.concat(F.lit("inj./data/"), F.col("source_id").cast("string"), F.lit(".dat"))) \
+           .withColumn("srcTs", F.lit(0.0)).withColumn("time_path", F.lit("batch/"))
+    path = scratch_dir(spark, "archive")
+    WR.archive_lines(sc).write.text(path)
+    back = TXT.parse_archive(spark.read.text(path))
+    return back.select("srcId", "frame_ref", "max_err", F.size("src").cast("bigint").alias("n_src"),
+                       F.size("coded").cast("bigint").alias("n_coded"), F.size("loss").cast("bigint").alias("n_loss"),
+                       F.aggregate("loss", F.lit(0.0), lambda a, v: a + v).alias("loss_sum"))
+
+
+_S212 = {"s1": "CAST(l_quantity AS INT)", "s2": "CAST(l_partkey % 4096 AS INT)"}
+_DEC_SQL = (f"WITH samples AS (SELECT CAST(l_suppkey AS BIGINT) AS source_id, CAST(row_number() OVER (PARTITION BY l_suppkey "
+            f"ORDER BY {', '.join(LI.order_cols)}) - 1 AS BIGINT) AS i, {_S212['s1']} AS s1, {_S212['s2']} AS s2 "
+            f"FROM lineitem WHERE l_suppkey IS NOT NULL AND l_quantity IS NOT NULL)")
+
+
+def _expected_212(spark, sf_dir):
+    return signal_samples(spark, sf_dir, LI, extra=_S212).select("source_id", "i", "s1", "s2")
+
+
+def _decoded_212(spark, sf_dir):
+    files = BIN.pack_212(_expected_212(spark, sf_dir))
+    d = BIN.decode_212(files)
+    return d.select("source_id", (F.col("i0") + F.col("i")).alias("i"), "s1", "s2")
+
+
+@register("decode_212", _DEC_SQL + " SELECT source_id, i, s1, s2 FROM samples")
+def decode_212(spark, sf_dir):
+    """S3: format-212 records (packed from table data in bounded blocks) decoded."""
+    return _decoded_212(spark, sf_dir)
+
+
+@register("decode_check", _DEC_SQL + (
+    " SELECT source_id, CAST(count(*) AS BIGINT) AS n_checked, CAST(0 AS BIGINT) AS n_mismatch FROM samples GROUP BY 1"))
+def decode_check(spark, sf_dir):
+    """Decoded vs expected samples by position (null-safe), per source."""
+    dec, exp = _decoded_212(spark, sf_dir).alias("d"), _expected_212(spark, sf_dir).alias("e")
+    j = exp.join(dec, ["source_id", "i"], "full_outer")
+    bad = ~(F.col("d.s1").eqNullSafe(F.col("e.s1")) & F.col("d.s2").eqNullSafe(F.col("e.s2")))
+    return j.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_checked"),
+                                      F.count_if(bad).cast("bigint").alias("n_mismatch"))
+
+
+@register("input_inventory", None)
+def input_inventory(spark, sf_dir):
+    """Listing of the input files with record counts (content not read)."""
+    inv = BIN.inventory(spark, sf_dir, glob="*.parquet", record_bytes=3)
+    return inv.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "n_records", "remainder")
