@@ -43,7 +43,7 @@ def split_validation_test(rest: DataFrame, fraction: float = VALIDATION_FRACTION
     across many tasks.
     """
     keyed = rest.withColumn("_h", split_key(seed))
-    ranked = index_within(keyed, "source_id", ["_h"], out="_r")
+    ranked = index_within(keyed, "source_id", ["_h"], out="_r", keep_order=False)
     counts = rest.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
     out = ranked.join(counts, "source_id")
     return out.withColumn(

@@ -33,7 +33,7 @@ from shapecode.session import cut_lineage
 
 def index_within(df: DataFrame, key: str, order_cols: list[str] | tuple[str, ...],
                  out: str = "i", method: str = "range",
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, keep_order: bool = True) -> DataFrame:
     order_cols = list(order_cols)
     if method == "window":
         w = Window.partitionBy(key).orderBy(*order_cols)
@@ -48,7 +48,9 @@ def index_within(df: DataFrame, key: str, order_cols: list[str] | tuple[str, ...
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    ranged = cut_lineage(ranged.drop(*[c for c in order_cols if c != key]))
+    if not keep_order:       # callers that only need the index write less
+        ranged = ranged.drop(*[c for c in order_cols if c != key])
+    ranged = cut_lineage(ranged)
     runs = ranged.groupBy(key, "_pid").agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

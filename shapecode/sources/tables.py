@@ -33,7 +33,7 @@ def signal_samples(spark: SparkSession, sf_dir: str, spec: SignalSpec,
                  *spec.order_cols, *[F.expr(e).alias(k) for k, e in extra.items()])
         .where(F.col("source_id").isNotNull() & F.col("raw").isNotNull())
     )
-    idx = index_within(base, "source_id", spec.order_cols, method=index_method)
+    idx = index_within(base, "source_id", spec.order_cols, method=index_method, keep_order=False)
     return idx.select("source_id", "i", "raw",
                       (F.col("raw") * F.lit(float(spec.scale))).alias("value"), *extra.keys())
 
