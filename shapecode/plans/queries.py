@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shapecode.config import EVENTS, LINEITEM, SignalSpec
 from shapecode.functions import arrays as A
 from shapecode.operators import coding, framing
+from shapecode.operators import vectorized as V
 from shapecode.plans import sqlgen as Q
 from shapecode.sources.tables import signal_samples
 
@@ -32,9 +33,24 @@ def frames_of(spark: SparkSession, sf_dir: str, spec: SignalSpec) -> DataFrame:
     return framing.tumbling_frames(signal_samples(spark, sf_dir, spec), spec.frame_len)
 
 
-def scored(spark: SparkSession, sf_dir: str, spec: SignalSpec, mode: str = "centered") -> DataFrame:
-    frames = frames_of(spark, sf_dir, spec)
-    book = coding.pack_codebook(coding.first_frame_codebook(frames, spec.w, spec.n, mode))
+def first_frame_books(samples: DataFrame, spec: SignalSpec, mode: str = "centered") -> DataFrame:
+    """Packed dictionaries from each source's first frame (only ``i < L`` is read)."""
+    f0 = framing.tumbling_frames(samples.where(F.col("i") < F.lit(spec.frame_len)), spec.frame_len)
+    return coding.pack_codebook(coding.first_frame_codebook(f0, spec.w, spec.n, mode))
+
+
+def scored(spark: SparkSession, sf_dir: str, spec: SignalSpec, mode: str = "centered",
+           method: str = "vectorized", samples: DataFrame | None = None) -> DataFrame:
+    """Every frame of a signal coded against its first-frame dictionary.
+
+    ``vectorized``: blocks of frames + Arrow/numpy nearest-code search;
+    ``sql``: frame rows + higher-order functions.  Both give identical rows.
+    """
+    samples = samples if samples is not None else signal_samples(spark, sf_dir, spec)
+    book = first_frame_books(samples, spec, mode)
+    if method == "vectorized":
+        return V.score_samples(samples, book, spec.w, spec.n, mode)
+    frames = framing.tumbling_frames(samples, spec.frame_len)
     return coding.score_frames(frames, book, spec.w, spec.n, mode)
 
 
@@ -75,6 +91,12 @@ def frame_scores(spark, sf_dir):
     return _scores_out(scored(spark, sf_dir, LINEITEM, "centered"))
 
 
+@register("frame_scores_sql", _scores_sql(LINEITEM, "centered"))
+def frame_scores_sql(spark, sf_dir):
+    """W10 on the SQL coder (higher-order functions in the frame row)."""
+    return _scores_out(scored(spark, sf_dir, LINEITEM, "centered", method="sql"))
+
+
 @register("frame_scores_events", _scores_sql(EVENTS, "centered"))
 def frame_scores_events(spark, sf_dir):
     """W10 on the short signal (W=8, 4 windows per frame)."""
@@ -436,9 +458,10 @@ def codebook_lloyd(spark, sf_dir):
 def frame_scores_trained(spark, sf_dir):
     """W10 with a trained dictionary: Lloyd (up to 20 iterations, stop when the
     cost stops falling) on the first 20 % of each source, then score every frame."""
-    cb = trained_codebook(spark, sf_dir, LI, max_iter=20, tol=0.0)
-    frames = frames_of(spark, sf_dir, LI)
-    return _scores_out(coding.score_frames(frames, coding.pack_codebook(cb), LI.w, LI.n, "centered"))
+    samples = signal_samples(spark, sf_dir, LI)
+    train, budget = KM.training_set(samples, LI.w, LI.step)
+    cb = KM.lloyd(train, budget, LI.w, max_iter=20, tol=0.0)
+    return _scores_out(V.score_samples(samples, coding.pack_codebook(cb), LI.w, LI.n, "centered"))
 
 
 # ---------------------------------------------------------------- wire format, archive, detector
