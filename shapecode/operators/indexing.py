@@ -41,7 +41,10 @@ def index_within(df: DataFrame, key: str, order_cols: list[str] | tuple[str, ...
     if method != "range":
         raise ValueError(f"unknown index method {method!r}")
     spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many range partitions as input splits (maxPartitionBytes each), at
+    # least the shuffle width: a range partition never exceeds a scan split
+    parts = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                  df.rdd.getNumPartitions())
     ranged = (
         df.repartitionByRange(parts, key, *order_cols)
         .sortWithinPartitions(key, *order_cols)

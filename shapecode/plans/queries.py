@@ -297,14 +297,19 @@ def annotation_quarantine(spark, sf_dir):
     return LB.out_of_range_codes(signal_annotations(spark, sf_dir, LI), LI.frame_len)
 
 
-def cutoffs_of(spark, sf_dir, spec=LI):
-    b = framing.training_budget(signal_samples(spark, sf_dir, spec), spec.w, spec.step)
+def cutoffs_of(samples, spec=LI):
+    b = framing.training_budget(samples, spec.w, spec.step)
     return b.select("source_id", F.col("samples_used").alias("cutoff"))
 
 
 def labelled_of(spark, sf_dir, spec=LI):
-    lf = EV.labelled_frames(scored(spark, sf_dir, spec, "centered"), labels_of(spark, sf_dir, spec))
-    return EV.with_region(lf, cutoffs_of(spark, sf_dir, spec))
+    """Scores, labels and training cut-offs from one indexed sample table."""
+    samples = signal_samples(spark, sf_dir, spec, extra={"code": ANNOTATION_CODES[spec.name]})
+    ann = samples.where(F.col("code").isNotNull()).select(
+        F.col("source_id").alias("record_id"), F.col("i").alias("line_no"), F.col("i").alias("sample"), "code")
+    labels = LB.frame_labels(ann, spec.frame_len)
+    lf = EV.labelled_frames(scored(spark, sf_dir, spec, "centered", samples=samples), labels)
+    return EV.with_region(lf, cutoffs_of(samples, spec))
 
 
 _EVAL_PRE = (Q.pipeline_prefix(LI, "centered") + f", scores AS ({Q.scores_select(LI)}), "

@@ -96,3 +96,31 @@ def test_windows_and_frames(spark):
     assert [r.w[0] for r in hw] == [0.0, 2.0, 4.0, 6.0, 8.0]
     b = framing.training_budget(s, 10, 1).first()
     assert (b.max_w, b.tr, b.k, b.samples_used) == (107, 21, 2, 30)
+
+
+@pytest.mark.parametrize("mode", ["centered", "tapered"])
+def test_vectorized_equals_sql_coder(spark, mode):
+    """Large dictionary with exact duplicate codes (ties) and all-zero windows."""
+    from shapecode.operators import vectorized as V
+    rng = np.random.default_rng(5)
+    w, n = 10, 3
+    L = w * n
+    rows = []
+    for s_ in range(3):
+        vals = rng.normal(size=L * 7)
+        vals[L:L + w] = 0.0                      # zero windows in frame 1
+        rows += [(s_, i, float(v)) for i, v in enumerate(vals)]
+    samples = spark.createDataFrame(rows, "source_id bigint, i bigint, value double")
+    frames = framing.tumbling_frames(samples, L)
+    feats = coding.window_rows(coding.with_features(frames, w, n, mode)).where("feat IS NOT NULL")
+    book = feats.select("source_id", (F.col("frame_no") * 10 + F.col("k")).cast("int").alias("code"), F.col("feat").alias("center"))
+    dup = book.withColumn("code", F.col("code") + 1000)     # every centre twice -> ties to the lower code
+    packed = coding.pack_codebook(book.unionByName(dup).where("source_id <> 2"))
+    a = coding.score_frames(frames, packed, w, n, mode)
+    b = V.score_samples(samples, packed, w, n, mode, block=3)
+
+    def key(r):
+        return (r.source_id, r.frame_no, r.status, r.score, tuple(r.coded or []),
+                tuple((x.code, x.d) if x else None for x in r.best))
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+    assert b.where("status = 'no_model'").count() == 7
