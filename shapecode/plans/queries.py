@@ -595,8 +595,7 @@ def _expected_212(spark, sf_dir):
 
 def _decoded_212(spark, sf_dir):
     files = BIN.pack_212(_expected_212(spark, sf_dir))
-    d = BIN.decode_212(files)
-    return d.select("source_id", (F.col("i0") + F.col("i")).alias("i"), "s1", "s2")
+    return BIN.decode_212(files).select("source_id", "i", "s1", "s2")
 
 
 @register("decode_212", _DEC_SQL + " SELECT source_id, i, s1, s2 FROM samples")
@@ -621,3 +620,22 @@ def input_inventory(spark, sf_dir):
     """Listing of the input files with record counts (content not read)."""
     inv = BIN.inventory(spark, sf_dir, glob="*.parquet", record_bytes=3)
     return inv.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "n_records", "remainder")
+
+
+_APNEA_CODE = "CASE WHEN event_type = 'error' THEN 'A' ELSE 'N' END"
+
+
+@register("apnea_labels", (
+    f"WITH a AS (SELECT CAST(user_id AS BIGINT) AS record_id, CAST(row_number() OVER (PARTITION BY user_id "
+    f"ORDER BY ts, event_id) - 1 AS BIGINT) AS n, {_APNEA_CODE} AS code FROM events "
+    f"WHERE user_id IS NOT NULL AND value IS NOT NULL) "
+    f"SELECT record_id, n, n * 6000 AS sample, CAST(n // 60 AS INTEGER) AS hh, CAST(n % 60 AS INTEGER) AS mm, code, "
+    f"printf('%04d, %07d, %02d:%02d, %s', n, n * 6000, n // 60, n % 60, code) AS line FROM a"))
+def apnea_labels(spark, sf_dir):
+    """Per-minute apnea records (8 bytes, byte 1 = 0x20 means A),
+    packed from the events table in bounded blocks and decoded back."""
+    s = signal_samples(spark, sf_dir, EVENTS, extra={"_b1": "CASE WHEN event_type = 'error' THEN '20' ELSE '10' END"})
+    rec = F.concat(F.lit("00"), F.col("_b1"), F.lit("000000000000"))
+    files = BIN.pack_records(s.withColumn("_hex", rec), "_hex")
+    d = BIN.decode_apnea(files)
+    return d.select("record_id", "n", "sample", "hh", "mm", "code", "line")

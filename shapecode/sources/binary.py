@@ -29,15 +29,21 @@ _FILE_COLS = ("content", "length", "modificationTime")
 
 
 def _records(files: DataFrame, record_bytes: int) -> DataFrame:
-    """One row per whole record; keeps the file's other columns (``path``, ...)."""
+    """One row per whole record; keeps the file's other columns (``path``, ...).
+
+    ``_k`` is the record's position in the content; ``i`` adds the content's
+    first record number ``i0`` when the input is a block of a longer record.
+    """
     n = F.floor(F.length("content") / F.lit(record_bytes)).cast("bigint")
     if "source_id" not in files.columns:
         files = files.withColumn("source_id", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1))
-    return files.where(n > 0).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("i"))
+    r = files.where(n > 0).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("_k"))
+    first = F.col("i0") if "i0" in files.columns else F.lit(0).cast("bigint")
+    return r.withColumn("i", first + F.col("_k"))
 
 
 def _keep(r: DataFrame):
-    return [c for c in r.columns if c not in _FILE_COLS and c != "i"]
+    return [c for c in r.columns if c not in _FILE_COLS and c not in ("i", "_k", "i0")]
 
 
 def _uint(content, offset, nbytes: int):
@@ -52,7 +58,7 @@ def decode_212(files: DataFrame, signed: bool = False) -> DataFrame:
     Output: ``source_id (file stem), path, i, s1, s2`` (one row per record).
     """
     r = _records(files, 3)
-    v = _uint(F.col("content"), F.col("i") * 3, 3)
+    v = _uint(F.col("content"), F.col("_k") * 3, 3)
     b0, b1, b2 = F.shiftright(v, 16), F.shiftright(v, 8).bitwiseAND(0xFF), v.bitwiseAND(0xFF)
     s1 = F.shiftleft(b1.bitwiseAND(0x0F), 8) + b0
     s2 = F.shiftleft(b1.bitwiseAND(0xF0), 4) + b2
@@ -74,7 +80,7 @@ def decode_212_long(files: DataFrame, signed: bool = False) -> DataFrame:
 def decode_le16(files: DataFrame) -> DataFrame:
     """Signed 16-bit little-endian samples, one channel."""
     r = _records(files, 2)
-    v = _uint(F.col("content"), F.col("i") * 2, 2)
+    v = _uint(F.col("content"), F.col("_k") * 2, 2)
     u = F.shiftleft(v.bitwiseAND(0xFF), 8) + F.shiftright(v, 8)
     raw = F.when(u >= 32768, u - 65536).otherwise(u)
     return r.select(*_keep(r), F.lit(1).alias("channel"), "i", raw.cast("int").alias("raw"))
@@ -87,7 +93,7 @@ def decode_apnea(files: DataFrame, samples_per_minute: int = 6000) -> DataFrame:
     text line ``%04d, %07d, %02d:%02d, %s``.
     """
     r = _records(files, 8)
-    b1 = _uint(F.col("content"), F.col("i") * 8 + F.lit(1), 1)
+    b1 = _uint(F.col("content"), F.col("_k") * 8 + F.lit(1), 1)
     code = F.when(b1 == 0x20, F.lit("A")).otherwise(F.lit("N"))
     out = r.select(F.col("source_id").alias("record_id"), F.col("i").alias("n"),
                    (F.col("i") * F.lit(samples_per_minute)).alias("sample"),
@@ -96,17 +102,24 @@ def decode_apnea(files: DataFrame, samples_per_minute: int = 6000) -> DataFrame:
     return out.withColumn("line", F.format_string("%04d, %07d, %02d:%02d, %s", "n", "sample", "hh", "mm", "code"))
 
 
+def pack_records(records: DataFrame, hex_col: str, block: int = 4096) -> DataFrame:
+    """``(source_id, i, <hex record>)`` -> ``(path, source_id, i0, content)``:
+    blocks of ``block`` consecutive records (bounded groups), for data Spark
+    derives from tables."""
+    g = (records.withColumn("_b", F.floor(F.col("i") / F.lit(block)).cast("bigint"))
+         .groupBy("source_id", "_b")
+         .agg(F.array_sort(F.collect_list(F.struct("i", F.col(hex_col).alias("r")))).alias("_rs"),
+              F.min("i").alias("i0")))
+    return g.select(
+        F.concat(F.lit("mem:/"), F.col("source_id").cast("string"), F.lit("/"), F.col("_b").cast("string"),
+                 F.lit(".dat")).alias("path"),
+        "source_id", "i0", F.unhex(F.array_join(F.transform("_rs", lambda z: z["r"]), "")).alias("content"))
+
+
 def pack_212(samples: DataFrame, block: int = 4096) -> DataFrame:
-    """Inverse of S3 for data Spark derives from tables: ``(source_id, i, s1, s2)``
-    -> ``(path, content)`` blocks of ``block`` records (bounded groups)."""
+    """Inverse of S3: ``(source_id, i, s1, s2)`` -> 3-byte records in blocks."""
     rec = F.concat(
         F.lpad(F.hex(F.col("s1").bitwiseAND(0xFF)), 2, "0"),
         F.lpad(F.hex(F.shiftleft(F.shiftright(F.col("s2"), 8), 4) + F.shiftright(F.col("s1"), 8)), 2, "0"),
         F.lpad(F.hex(F.col("s2").bitwiseAND(0xFF)), 2, "0"))
-    g = samples.withColumn("_b", F.floor(F.col("i") / F.lit(block)).cast("bigint")).groupBy("source_id", "_b").agg(
-        F.array_sort(F.collect_list(F.struct("i", rec.alias("r")))).alias("_rs"), F.min("i").alias("i0"))
-    return g.select(
-        F.concat(F.lit("mem:/"), F.col("source_id").cast("string"), F.lit("/"), F.col("_b").cast("string"),
-                 F.lit(".dat")).alias("path"),
-        F.col("source_id"), "i0",
-        F.unhex(F.array_join(F.transform("_rs", lambda z: z["r"]), "")).alias("content"))
+    return pack_records(samples.withColumn("_hex", rec), "_hex", block)
