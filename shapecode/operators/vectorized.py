@@ -118,6 +118,28 @@ def _encode_block(frames: np.ndarray, centers, codes, w: int, n: int, mode: str,
     return code_v.reshape(nf, nw), dist.reshape(nf, nw), src, coded, loss, score
 
 
+def _book_arrays(book):
+    if book is None or len(book) == 0:
+        return None, None
+    codes = np.array([e["code"] for e in book], dtype=np.int64)
+    centers = np.array([np.asarray(e["center"], dtype=float) for e in book])
+    return centers, codes
+
+
+def _frame_outputs(frames, centers, codes, w, n, mode, taper):
+    """Per-frame output tuples ``(best, src, coded, loss, score, status)``."""
+    nf = frames.shape[0]
+    cv, dv, src, coded, loss, score = _encode_block(frames, centers, codes, w, n, mode, taper)
+    out = []
+    for f in range(nf):
+        if centers is None:
+            out.append(([None] * (2 * n - 1), src[f], None, None, None, "no_model"))
+        else:
+            best = [None if c < 0 else {"d": float(d), "code": int(c)} for c, d in zip(cv[f], dv[f])]
+            out.append((best, src[f], coded[f], loss[f], float(score[f]), "ok"))
+    return out
+
+
 def encode_blocks(blocks_with_book: DataFrame, w: int, n: int, mode: str = "centered",
                   block: int = 64) -> DataFrame:
     """``(source_id, block_no, vals, book)`` -> one coded row per whole frame.
@@ -127,6 +149,7 @@ def encode_blocks(blocks_with_book: DataFrame, w: int, n: int, mode: str = "cent
     L = w * n
     taper = np.array(taper_values(w))
     sid_type = dict(blocks_with_book.dtypes)["source_id"]
+    cols = ["source_id", "frame_no", "frame_ref", "frame", "best", "src", "coded", "loss", "score", "status"]
 
     def run(batches):
         for pdf in batches:
@@ -137,30 +160,60 @@ def encode_blocks(blocks_with_book: DataFrame, w: int, n: int, mode: str = "cent
                 if nf == 0:
                     continue
                 frames = vals[:nf * L].reshape(nf, L)
-                book = r.book
-                if book is None or len(book) == 0:
-                    centers = codes = None
-                else:
-                    codes = np.array([e["code"] for e in book], dtype=np.int64)
-                    centers = np.array([np.asarray(e["center"], dtype=float) for e in book])
-                cv, dv, src, coded, loss, score = _encode_block(frames, centers, codes, w, n, mode, taper)
+                centers, codes = _book_arrays(r.book)
                 base = r.block_no * block
-                for f in range(nf):
+                for f, res in enumerate(_frame_outputs(frames, centers, codes, w, n, mode, taper)):
                     fno = int(base + f)
-                    if centers is None:
-                        best = [None] * (2 * n - 1)
-                        out.append((r.source_id, fno, fno * L, frames[f], best, src[f], None, None, None, "no_model"))
-                        continue
-                    best = [None if c < 0 else {"d": float(d), "code": int(c)} for c, d in zip(cv[f], dv[f])]
-                    out.append((r.source_id, fno, fno * L, frames[f], best, src[f], coded[f], loss[f],
-                                float(score[f]), "ok"))
+                    out.append((r.source_id, fno, fno * L, frames[f], *res))
             if out:
-                yield pd.DataFrame(out, columns=["source_id", "frame_no", "frame_ref", "frame", "best", "src",
-                                                 "coded", "loss", "score", "status"])
+                yield pd.DataFrame(out, columns=cols)
 
     return blocks_with_book.mapInPandas(run, OUT_SCHEMA.format(sid=sid_type))
 
 
+def frame_blocks(frames: DataFrame, frame_len: int, meta_cols: list[str], block: int = 64) -> DataFrame:
+    """Frame rows -> ``(source_id, block_no, items)``: up to ``block`` frames of
+    one source per row (by ``frame_ref``), each item carrying its ``meta``."""
+    key = F.floor(F.col("frame_ref") / F.lit(frame_len * block)).cast("bigint")
+    item = F.struct("frame_ref", "frame", F.struct(*meta_cols).alias("meta"))
+    return frames.groupBy("source_id", key.alias("block_no")).agg(F.collect_list(item).alias("items"))
+
+
+def encode_frame_rows(frames: DataFrame, packed: DataFrame, w: int, n: int, mode: str = "centered",
+                      meta_cols: list[str] | None = None, block: int = 64) -> DataFrame:
+    """Vectorised coding of arbitrary frame rows (e.g. a streaming micro-batch).
+
+    ``frames(source_id, frame_ref, frame, *meta_cols)`` with ``size(frame) = w*n``;
+    returns the meta columns plus ``best, src, coded, loss, score, status``.
+    """
+    meta_cols = meta_cols or []
+    L = w * n
+    taper = np.array(taper_values(w))
+    blocks = frame_blocks(frames, L, meta_cols, block).join(packed, "source_id", "left")
+    sid_type = dict(blocks.dtypes)["source_id"]
+    meta_type = frames.select(F.struct(*meta_cols).alias("m")).schema["m"].dataType.simpleString()
+    schema = (f"source_id {sid_type}, frame_ref bigint, frame array<double>, meta {meta_type}, "
+              "best array<struct<d:double,code:int>>, src array<double>, coded array<double>, "
+              "loss array<double>, score double, status string")
+    cols = ["source_id", "frame_ref", "frame", "meta", "best", "src", "coded", "loss", "score", "status"]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                items = list(r.items)
+                frames_ = np.array([np.asarray(it["frame"], dtype=float) for it in items])
+                centers, codes = _book_arrays(r.book)
+                for it, fr, res in zip(items, frames_, _frame_outputs(frames_, centers, codes, w, n, mode, taper)):
+                    out.append((r.source_id, int(it["frame_ref"]), fr, it["meta"], *res))
+            if out:
+                yield pd.DataFrame(out, columns=cols)
+
+    coded = blocks.mapInPandas(run, schema)
+    return coded.select("source_id", "frame_ref", "frame", *[F.col("meta")[c].alias(c) for c in meta_cols],
+                        "best", "src", "coded", "loss", "score", "status")
+
+
 def score_samples(samples: DataFrame, packed: DataFrame, w: int, n: int, mode: str = "centered",
                   block: int = 64) -> DataFrame:
     """W10 batch form on the vectorised path: samples -> blocks -> join the

@@ -2,7 +2,9 @@
 
 frame events (``value`` JSON) -> decode + scale + patient id (S2, P1, P2)
 -> length check (P16) -> left join with the packed dictionaries (J2)
--> encode, reconstruct, residual, score (J3, W7-W9, A5).
+-> encode, reconstruct, residual, score (J3, W7-W9, A5).  The coder is the
+vectorised block coder by default (frames of a batch grouped per source in
+blocks, one dictionary copy per block) or the SQL coder (``method="sql"``).
 
 Rows that cannot be scored are kept with a ``status``
 (``malformed | bad_source | bad_length | no_model``) and go to a quarantine
@@ -16,12 +18,13 @@ from pyspark.sql import functions as F
 
 from shapecode.config import ANOMALY_THRESHOLD, ECG_STREAM_WINDOWS, ECG_WINDOW
 from shapecode.operators import coding
+from shapecode.operators import vectorized as V
 from shapecode.sinks.writers import date_path
 from shapecode.sources.events import decode_frame_events
 
 
 def detect(events: DataFrame, packed_books: DataFrame, w: int = ECG_WINDOW, n: int = ECG_STREAM_WINDOWS,
-           mode: str = "centered") -> DataFrame:
+           mode: str = "centered", method: str = "vectorized") -> DataFrame:
     """Score frame events.  ``packed_books(source_id STRING, book)`` keyed by patient id.
 
     Output columns: ``srcId, srcTs, frameRef, patient_id, frame_ref, event_time,
@@ -32,7 +35,12 @@ def detect(events: DataFrame, packed_books: DataFrame, w: int = ECG_WINDOW, n: i
                                           F.lit("bad_length")).otherwise(F.col("status")))
     good = dec.where(F.col("status") == "ok").withColumn("source_id", F.col("patient_id"))
     bad = dec.where(F.col("status") != "ok")
-    scored = coding.score_frames(good, packed_books, w, n, mode)
+    meta = ["srcId", "srcTs", "frameRef", "patient_id", "event_time"]
+    if method == "vectorized":
+        scored = V.encode_frame_rows(good.select("source_id", "frame_ref", "frame", *meta), packed_books,
+                                     w, n, mode, meta_cols=meta)
+    else:
+        scored = coding.score_frames(good, packed_books, w, n, mode)
     scored = scored.withColumn("codes", coding.codes_string())
     cols = ["srcId", "srcTs", "frameRef", "patient_id", "frame_ref", "event_time", "frame",
             "src", "coded", "loss", "score", "codes", "status"]

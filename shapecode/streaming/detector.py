@@ -1,9 +1,9 @@
 """Structured Streaming detector.
 
 ``readStream`` (any source with a ``value STRING`` column: Kafka when its
-connector is on the classpath, files in tests) -> :func:`detect` with a
-stream-static join on the dictionaries -> one ``foreachBatch`` that
-persists the batch once and writes:
+connector is on the classpath, files in tests) -> one ``foreachBatch`` that
+runs :func:`detect` on the micro-batch (static join with the dictionaries,
+vectorised block coder), persists the result once and writes:
 
 * the archive of every scored frame (Parquet, partitioned by the batch's
   processing date and hour and by batch id, sorted by patient and frame
@@ -43,10 +43,13 @@ def file_frames(spark: SparkSession, path: str, max_files_per_trigger: int | Non
 
 
 def batch_writer(archive_path: str, anomaly_path: str, quarantine_path: str,
-                 threshold: float = ANOMALY_THRESHOLD):
-    """The ``foreachBatch`` body (T3): persist once, two (three) writes, unpersist."""
+                 threshold: float = ANOMALY_THRESHOLD, score=None):
+    """The ``foreachBatch`` body (T3): score the micro-batch (a static
+    DataFrame, so the block coder may group it), persist once, write the
+    archive, the anomalies and the quarantine, unpersist."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        b = with_time_path(batch).withColumn("batch_id", F.lit(batch_id)).persist()
+        scored = score(batch) if score is not None else batch
+        b = with_time_path(scored).withColumn("batch_id", F.lit(batch_id)).persist()
         try:
             if b.isEmpty():          # P15: skip empty batches
                 return
@@ -76,8 +79,11 @@ def start_detector(events: DataFrame, packed_books: DataFrame, archive_path: str
     ``trigger`` is the micro-batch interval (T1); ``available_now`` drains
     what is there and stops (tests, catch-up runs).
     """
-    scored = detect(events, packed_books, w, n)
-    q = (scored.writeStream.foreachBatch(batch_writer(archive_path, anomaly_path, quarantine_path, threshold))
+    def score(batch: DataFrame) -> DataFrame:
+        return detect(batch, packed_books, w, n)
+
+    q = (events.writeStream
+         .foreachBatch(batch_writer(archive_path, anomaly_path, quarantine_path, threshold, score))
          .option("checkpointLocation", checkpoint_location))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime=trigger)
     return q.start()

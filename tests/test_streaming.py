@@ -31,3 +31,20 @@ def test_stream_equals_batch(spark, tmpdir_path):
     assert quar == {"malformed", "bad_source", "bad_length", "no_model"}
     anom = spark.read.json(tmpdir_path + "/anom")
     assert anom.count() == arch.where("score > 0.3").count()
+
+
+def test_detect_methods_agree(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    w, n = 8, 4
+    rows = [(s, i, float(v)) for s in (1, 2) for i, v in enumerate(rng.integers(0, 400, 96))]
+    samples = spark.createDataFrame(rows, "source_id bigint, i bigint, raw double")
+    frames = framing.tumbling_frames(samples, w * n, value_col="raw").withColumn("src_ts", F.col("frame_ref") / 360.0)
+    ev = EVT.frame_events(frames)
+    scaled = frames.withColumn("frame", F.transform("frame", lambda x: x * (1 / 200.0)))
+    cb = coding.first_frame_codebook(scaled.where("source_id = 1"), w, n).withColumn("source_id", F.col("source_id").cast("string"))
+    books = coding.pack_codebook(cb)
+    cols = ["srcId", "frame_ref", "score", "codes", "status", "event_time"]
+    a = detect(ev, books, w, n, method="sql").select(*cols).collect()
+    b = detect(ev, books, w, n, method="vectorized").select(*cols).collect()
+    assert sorted(a) == sorted(b) and len(a) == 6
