@@ -62,26 +62,50 @@ def training_budget(samples: DataFrame, w: int, step: int) -> DataFrame:
         F.when(F.col("tr") > 0, F.lit(w) + (F.col("tr") - 1) * F.lit(step)).otherwise(F.lit(0)).cast("bigint"))
 
 
-def sliding_windows(samples: DataFrame, w: int, step: int, budget: DataFrame | None = None) -> DataFrame:
+def sliding_windows(samples: DataFrame, w: int, step: int, budget: DataFrame | None = None,
+                    method: str = "blocks", block_windows: int = 256) -> DataFrame:
     """Windows of ``w`` samples starting every ``step`` samples.
 
-    Each sample is sent to the windows that contain it (at most ``ceil(w/step)``),
-    then grouped per (source, window); only full windows are kept.  With a
-    ``budget`` (from :func:`training_budget`) only windows ``j < tr`` are built
-    and samples past the training region are filtered before the explode.
+    ``blocks`` (default): samples are grouped in blocks of
+    ``block_windows * step`` samples plus the ``w - step`` samples the last
+    windows of a block need from the next one, so only that overlap is sent
+    twice; windows are then cut inside the block row.  ``explode`` sends
+    each sample to every window containing it (``ceil(w/step)`` copies).
+    With a ``budget`` (from :func:`training_budget`) only windows ``j < tr``
+    are built and samples past the training region are dropped first.
     """
     s = samples
     if budget is not None:
         s = s.join(budget.select("source_id", "tr"), "source_id").where(
             F.col("i") < F.lit(w) + (F.col("tr") - 1) * F.lit(step))
-    lo = F.greatest(F.lit(0).cast("bigint"),
-                    F.ceil((F.col("i") - F.lit(w - 1)) / F.lit(step)).cast("bigint"))
-    hi = F.floor(F.col("i") / F.lit(step)).cast("bigint")
-    ex = s.withColumn("j", F.explode(F.sequence(lo, hi)))
+    if method == "explode":
+        lo = F.greatest(F.lit(0).cast("bigint"),
+                        F.ceil((F.col("i") - F.lit(w - 1)) / F.lit(step)).cast("bigint"))
+        hi = F.floor(F.col("i") / F.lit(step)).cast("bigint")
+        ex = s.withColumn("j", F.explode(F.sequence(lo, hi)))
+        if budget is not None:
+            ex = ex.where(F.col("j") < F.col("tr"))
+        wins = (ex.groupBy("source_id", "j").agg(_ordered_values().alias("w"))
+                .where(F.size("w") == F.lit(w)))
+        return wins.select("source_id", "j", (F.col("j") * F.lit(step)).alias("start"), "w")
+    # a block must own at least the overlap, so a sample reaches at most two blocks
+    block_windows = max(block_windows, -(-(w - step) // step))
+    m = block_windows * step                   # samples owned by a block
+    b = F.floor(F.col("i") / F.lit(m)).cast("bigint")
+    spill = w - step                           # samples the previous block also needs
+    blocks = F.when((F.col("i") % F.lit(m) < F.lit(spill)) & (b > 0), F.array(b, b - 1)).otherwise(F.array(b)) \
+        if spill > 0 else F.array(b)
+    ex = s.withColumn("_blk", F.explode(blocks))
+    keep = ["tr"] if budget is not None else []
+    grp = ex.groupBy("source_id", "_blk", *keep).agg(_ordered_values().alias("_v"), F.min("i").alias("_i0"))
+    # windows starting in the block: j = blk*block_windows + q, start = j*step
+    q = F.sequence(F.lit(0), F.lit(block_windows - 1))
+    wins = grp.select("source_id", "_blk", *keep, "_i0", F.posexplode(F.transform(
+        q, lambda k: F.slice("_v", k * F.lit(step) + F.lit(1), F.lit(w)))).alias("_q", "w"))
+    wins = wins.withColumn("j", F.col("_blk") * F.lit(block_windows) + F.col("_q"))
+    wins = wins.where((F.size("w") == F.lit(w)) & (F.col("_i0") == F.col("_blk") * F.lit(m)))
     if budget is not None:
-        ex = ex.where(F.col("j") < F.col("tr"))
-    wins = (ex.groupBy("source_id", "j").agg(_ordered_values().alias("w"))
-            .where(F.size("w") == F.lit(w)))
+        wins = wins.where(F.col("j") < F.col("tr"))
     return wins.select("source_id", "j", (F.col("j") * F.lit(step)).alias("start"), "w")
 
 

@@ -124,3 +124,16 @@ def test_vectorized_equals_sql_coder(spark, mode):
                 tuple((x.code, x.d) if x else None for x in r.best))
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
     assert b.where("status = 'no_model'").count() == 7
+
+
+def test_sliding_window_methods_agree(spark):
+    import random
+    r = random.Random(4)
+    rows = [(s, i, r.random()) for s in (1, 2) for i in range(s * 523)]
+    s = spark.createDataFrame(rows, "source_id bigint, i bigint, value double")
+    for w, step, bw in [(20, 2, 7), (8, 1, 5), (12, 12, 3), (10, 3, 4)]:
+        budget = framing.training_budget(s, w, step)
+        for bud in (None, budget):
+            a = framing.sliding_windows(s, w, step, bud, method="explode").collect()
+            b = framing.sliding_windows(s, w, step, bud, method="blocks", block_windows=bw).collect()
+            assert sorted(a) == sorted(b) and len(a) > 0, (w, step, bw, bud is None)
