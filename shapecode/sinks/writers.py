@@ -103,3 +103,14 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
     """K12."""
     df.createOrReplaceTempView(name)
     return df
+
+
+def export_channel(samples: DataFrame, path: str, channel: int = 1, mode: str = "overwrite") -> None:
+    """One channel of decoded recordings as its own table."""
+    (samples.where(F.col("channel") == F.lit(channel)).select("source_id", "i", "raw")
+     .write.mode(mode).partitionBy("source_id").parquet(path))
+
+
+def export_training_windows(windows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K4: the training windows (replaces the reference's CSV round trip)."""
+    windows.write.mode(mode).parquet(path)

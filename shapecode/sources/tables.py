@@ -51,3 +51,22 @@ def signal_annotations(spark: SparkSession, sf_dir: str, spec: SignalSpec) -> Da
     s = signal_samples(spark, sf_dir, spec, extra={"code": ANNOTATION_CODES[spec.name]})
     return s.select(F.col("source_id").alias("record_id"), F.col("i").alias("line_no"),
                     F.col("i").alias("sample"), "code").where(F.col("code").isNotNull())
+
+
+def warehouse_table(spark: SparkSession, table_id: str, default_project: str | None = None,
+                    fmt: str | None = None, path: str | None = None) -> DataFrame:
+    """Read a warehouse table by id.
+
+    ``project:dataset.table`` is fully qualified; ``:dataset.table`` is
+    relative to ``default_project`` (the prefix is added).  The project names
+    a Spark catalog (``project.dataset.table``); without one the session's
+    current catalog is used.  With ``fmt`` and ``path`` the table is read
+    from storage instead.
+    """
+    if fmt and path:
+        return spark.read.format(fmt).load(path)
+    project, sep, name = table_id.rpartition(":")
+    if not sep:
+        name = table_id
+    project = project or default_project
+    return spark.table(f"{project}.{name}" if project else name)

@@ -42,29 +42,46 @@ def file_frames(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     return r.load(path)
 
 
-def batch_writer(archive_path: str, anomaly_path: str, quarantine_path: str,
+def _write_archive(b: DataFrame, archive_path: str) -> None:
+    """Scored frames, partitioned by processing date/hour and batch id, sorted by patient."""
+    now = F.current_timestamp()
+    (b.where(F.col("status") == "ok").withColumn("date", F.to_date(now)).withColumn("hour", F.hour(now))
+     .sortWithinPartitions("patient_id", "frame_ref")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("date", "hour", "batch_id").parquet(archive_path))
+
+
+def _write_alerts(b: DataFrame, anomaly_path: str, quarantine_path: str, batch_id: int, threshold: float) -> None:
+    """Anomaly JSON records (strict ``>``) and the quarantine of the batch."""
+    (anomaly_json(anomalies(b.where(F.col("status") == "ok"), threshold)).withColumn("batch_id", F.lit(batch_id))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").text(anomaly_path))
+    (b.where(F.col("status") != "ok").select("srcId", "frameRef", "patient_id", "status", "batch_id")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(quarantine_path))
+
+
+def _prepared(batch: DataFrame, batch_id: int, score, threshold: float) -> DataFrame:
+    scored = score(batch) if score is not None else batch
+    # Per-batch counts travel with the first write, no extra job
+    scored = scored.observe(f"detector_{batch_id}", F.count(F.lit(1)).alias("frames"),
+                            F.count_if(F.col("status") == "ok").alias("scored"),
+                            F.count_if((F.col("status") == "ok") & (F.col("score") > F.lit(threshold))).alias("anomalies"))
+    return with_time_path(scored).withColumn("batch_id", F.lit(batch_id))
+
+
+def batch_writer(archive_path: str | None, anomaly_path: str | None, quarantine_path: str | None,
                  threshold: float = ANOMALY_THRESHOLD, score=None):
     """The ``foreachBatch`` body (T3): score the micro-batch (a static
     DataFrame, so the block coder may group it), persist once, write the
-    archive, the anomalies and the quarantine, unpersist."""
+    archive and/or the anomalies and quarantine, unpersist."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score(batch) if score is not None else batch
-        b = with_time_path(scored).withColumn("batch_id", F.lit(batch_id)).persist()
+        b = _prepared(batch, batch_id, score, threshold).persist()
         try:
             if b.isEmpty():          # P15: skip empty batches
                 return
-            ok = b.where(F.col("status") == "ok")
-            now = F.current_timestamp()
-            (ok.withColumn("date", F.to_date(now)).withColumn("hour", F.hour(now))
-             .sortWithinPartitions("patient_id", "frame_ref")
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("date", "hour", "batch_id").parquet(archive_path))
-            (anomaly_json(anomalies(ok, threshold)).withColumn("batch_id", F.lit(batch_id))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").text(anomaly_path))
-            (b.where(F.col("status") != "ok").select("srcId", "frameRef", "patient_id", "status", "batch_id")
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(quarantine_path))
+            if archive_path:
+                _write_archive(b, archive_path)
+            if anomaly_path:
+                _write_alerts(b, anomaly_path, quarantine_path, batch_id, threshold)
         finally:
             b.unpersist()
     return write
@@ -77,7 +94,8 @@ def start_detector(events: DataFrame, packed_books: DataFrame, archive_path: str
     """Start the detector; returns the ``StreamingQuery``.
 
     ``trigger`` is the micro-batch interval (T1); ``available_now`` drains
-    what is there and stops (tests, catch-up runs).
+    what is there and stops (tests, catch-up runs).  Batch counts are in
+    ``query.lastProgress["observedMetrics"]`` (T8).
     """
     def score(batch: DataFrame) -> DataFrame:
         return detect(batch, packed_books, w, n)
@@ -87,3 +105,22 @@ def start_detector(events: DataFrame, packed_books: DataFrame, archive_path: str
          .option("checkpointLocation", checkpoint_location))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime=trigger)
     return q.start()
+
+
+def start_split_detector(events_for_alerts: DataFrame, events_for_archive: DataFrame, packed_books: DataFrame,
+                         archive_path: str, anomaly_path: str, quarantine_path: str, checkpoint_root: str,
+                         alert_trigger: str = "2 seconds", archive_trigger: str = "8 seconds",
+                         w: int = ECG_WINDOW, n: int = ECG_STREAM_WINDOWS, threshold: float = ANOMALY_THRESHOLD):
+    """Alerts every 2 s, the archive written in 8 s batches, as the
+    reference's 8 s tumbling window did.  Two queries with their own
+    checkpoints; pass two readers of the same source."""
+    def score(batch: DataFrame) -> DataFrame:
+        return detect(batch, packed_books, w, n)
+
+    q1 = (events_for_alerts.writeStream
+          .foreachBatch(batch_writer(None, anomaly_path, quarantine_path, threshold, score))
+          .option("checkpointLocation", f"{checkpoint_root}/alerts").trigger(processingTime=alert_trigger).start())
+    q2 = (events_for_archive.writeStream
+          .foreachBatch(batch_writer(archive_path, None, None, threshold, score))
+          .option("checkpointLocation", f"{checkpoint_root}/archive").trigger(processingTime=archive_trigger).start())
+    return q1, q2

@@ -48,3 +48,16 @@ def test_detect_methods_agree(spark):
     a = detect(ev, books, w, n, method="sql").select(*cols).collect()
     b = detect(ev, books, w, n, method="vectorized").select(*cols).collect()
     assert sorted(a) == sorted(b) and len(a) == 6
+
+
+def test_codebook_ml_single_source(spark):
+    """A13(a): pyspark.ml KMeans on one source's training windows."""
+    from shapecode.operators import kmeans as KM
+    import numpy as np
+    rng = np.random.default_rng(8)
+    rows = [(1, i, float(v)) for i, v in enumerate(np.sin(np.arange(2000) / 7.0) + rng.normal(0, 0.05, 2000))]
+    s = spark.createDataFrame(rows, "source_id bigint, i bigint, value double")
+    train, budget = KM.training_set(s, 20, 2)
+    k = budget.first().k
+    cb = KM.fit_ml_codebook(train, k, max_iter=5)
+    assert cb.count() == k == 20 and len(cb.first().center) == 20
