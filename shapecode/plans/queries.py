@@ -639,3 +639,16 @@ def apnea_labels(spark, sf_dir):
     files = BIN.pack_records(s.withColumn("_hex", rec), "_hex")
     d = BIN.decode_apnea(files)
     return d.select("record_id", "n", "sample", "hh", "mm", "code", "line")
+
+
+@register("encode_centered", _CODED_LI + (
+    f" SELECT source_id, frame_ref, CAST(len(coded) AS BIGINT) AS n_coded, coded[1] AS coded_first, "
+    f"coded[{LI.frame_len - LI.w}] AS coded_last, {Q.lsum('coded')} AS coded_sum, {Q.lsum('loss')} AS loss_sum FROM ca"))
+def encode_centered(spark, sf_dir):
+    """W7 + W9: the reconstruction (online variant) and residual of every frame."""
+    df = scored(spark, sf_dir, LI, "centered")
+    m = LI.frame_len - LI.w
+    return df.select("source_id", "frame_ref", F.size("coded").cast("bigint").alias("n_coded"),
+                     F.col("coded")[0].alias("coded_first"), F.col("coded")[m - 1].alias("coded_last"),
+                     F.aggregate("coded", F.lit(0.0), lambda a, v: a + v).alias("coded_sum"),
+                     F.aggregate("loss", F.lit(0.0), lambda a, v: a + v).alias("loss_sum"))
