@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shapecode.config import (NORMAL_CODE, SAMPLE_SEED, SPLIT_SEED, SWEEP_STEP, SWEEP_STEPS,
                               VALIDATION_FRACTION)
 from shapecode.operators.indexing import index_within
+from shapecode.session import cut_lineage
 
 
 def labelled_frames(scores: DataFrame, labels: DataFrame) -> DataFrame:
@@ -40,11 +41,14 @@ def split_validation_test(rest: DataFrame, fraction: float = VALIDATION_FRACTION
     are ``validation``, the others ``test`` (reproducible, no driver shuffle).
 
     The md5 rank comes from the skew-safe index, so a hot source is ranked
-    across many tasks.
+    across many tasks.  The held-out frames (a few columns per frame) are
+    written once first: range partitioning samples its input, which would
+    otherwise re-run the whole scoring pipeline.
     """
-    keyed = rest.withColumn("_h", split_key(seed))
+    keyed = cut_lineage(rest.withColumn("_h", split_key(seed)))
     ranked = index_within(keyed, "source_id", ["_h"], out="_r", keep_order=False)
-    counts = rest.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
+    # counted from the (checkpointed) ranking, not by re-running its input
+    counts = ranked.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
     out = ranked.join(counts, "source_id")
     return out.withColumn(
         "split", F.when(F.col("_r") < F.floor(F.lit(fraction) * F.col("_n")), F.lit("validation"))
