@@ -4,12 +4,15 @@ One DataFrame Lloyd loop over ``train(source_id, j, feat)``:
 
 * init  -- ``k`` evenly spaced training windows per source
   (code ``c`` <- window ``floor(c * tr / k)``), deterministic;
-* assign -- nearest centre (J3) after a join with the packed centres of the
-  window's source;
-* update -- ``posexplode`` the features and average per
-  ``(source, code, position)``: partial aggregation map-side, so the shuffle
-  carries at most k x W partial sums per source and task; a hot code is
-  split across tasks by position and by the partial aggregation;
+* assign + partial update -- training windows are grouped once into blocks
+  of up to 256 windows per source; each iteration joins a block with the
+  packed centres of its source (one dictionary copy per block) and a
+  ``mapInPandas`` task finds every window's nearest centre exactly (same
+  arithmetic as the SQL arg-min) and emits, per code present in the block,
+  the member count, the vector sum and the summed distance;
+* update -- partial sums are added per ``(source, code, position)``
+  (map-side partial aggregation; a hot source's codes spread over many
+  keys), divided by the member count and regrouped into centres;
 * a code that lost all its windows keeps its previous centre;
 * the centres are cut from the lineage after each iteration with a
   reliable checkpoint (shared storage), so a lost executor never replays
@@ -76,31 +79,99 @@ def update(assigned: DataFrame, previous: DataFrame, w: int) -> DataFrame:
             .select("source_id", "code", F.coalesce("new_center", "center").alias("center")))
 
 
+def window_blocks(train: DataFrame, block: int = 256) -> DataFrame:
+    """``train(source_id, j, feat)`` -> ``(source_id, blk, items)``, at most
+    ``block`` windows per row (a bounded group)."""
+    return train.groupBy("source_id", F.floor(F.col("j") / F.lit(block)).cast("bigint").alias("blk")).agg(
+        F.collect_list(F.struct("j", "feat")).alias("items"))
+
+
+def block_partials(blocks: DataFrame, centers: DataFrame) -> DataFrame:
+    """Assign every window of every block; emit per-(source, code) partials
+    ``(cnt, vec, cost)`` with ``vec`` the sum of the member features."""
+    import numpy as np
+    import pandas as pd
+
+    from shapecode.operators.vectorized import _book_arrays, _nearest
+
+    packed = centers.groupBy("source_id").agg(
+        F.array_sort(F.collect_list(F.struct("code", "center"))).alias("book"))
+    joined = blocks.join(packed, "source_id", "inner")
+    sid = dict(joined.dtypes)["source_id"]
+    cols = ["source_id", "code", "cnt", "vec", "cost"]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                cent, codes = _book_arrays(r.book)
+                if cent is None:
+                    continue
+                feats = np.array([np.asarray(it["feat"], dtype=float) for it in r.items])
+                ci, d = _nearest(feats, cent, codes)
+                for c in np.unique(ci):
+                    m = ci == c
+                    out.append((r.source_id, int(codes[c]), int(m.sum()), feats[m].sum(axis=0), float(d[m].sum())))
+            if out:
+                yield pd.DataFrame(out, columns=cols)
+
+    return joined.mapInPandas(run, f"source_id {sid}, code int, cnt bigint, vec array<double>, cost double")
+
+
+def update_from_partials(partials: DataFrame, previous: DataFrame) -> DataFrame:
+    """Centre = summed member features / member count; empty codes keep theirs."""
+    n = partials.groupBy("source_id", "code").agg(F.sum("cnt").alias("n"))
+    v = (partials.select("source_id", "code", F.posexplode("vec").alias("pos", "v"))
+         .groupBy("source_id", "code", "pos").agg(F.sum("v").alias("v")))
+    new = (v.join(n, ["source_id", "code"]).withColumn("v", F.col("v") / F.col("n"))
+           .groupBy("source_id", "code")
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda z: z["v"]).alias("new_center")))
+    return (previous.join(new, ["source_id", "code"], "left")
+            .select("source_id", "code", F.coalesce("new_center", "center").alias("center")))
+
+
+SMALL_BOOK_VALUES = 4096   # k * W up to which a dictionary rides along each window row
+
+
 def lloyd(train: DataFrame, budget: DataFrame, w: int, max_iter: int = 20,
-          tol: float | None = 0.0, checkpoint: bool = True) -> DataFrame:
+          tol: float | None = 0.0, checkpoint: bool = True, method: str = "auto") -> DataFrame:
     """All-source Lloyd iterations; returns the long codebook.
 
     Stops after ``max_iter`` or, when ``tol`` is not None, once the total
-    squared distance falls by no more than ``tol`` (one small aggregate per
-    iteration reaches the driver: a single number).
+    squared distance falls by no more than ``tol`` (one number per
+    iteration reaches the driver).  ``method``: ``blocks`` (vectorised,
+    one dictionary copy per block of windows), ``sql`` (SQL arg-min with the
+    dictionary on every window row) or ``auto``: ``sql`` while the largest
+    dictionary holds at most ``SMALL_BOOK_VALUES`` numbers, else ``blocks``.
     """
+    if method == "auto":
+        max_k = budget.agg(F.max("k")).first()[0] or 0
+        method = "sql" if max_k * w <= SMALL_BOOK_VALUES else "blocks"
     if checkpoint:
         train = cut_lineage(train)      # read every iteration: materialise once
     centers = init_centers(train, budget)
     if checkpoint:
         centers = cut_lineage(centers)
+    blocks = window_blocks(train) if method == "blocks" else None
+    if blocks is not None and checkpoint:
+        blocks = cut_lineage(blocks)
     last = None
     for _ in range(max_iter):
-        assigned = assign(train, centers).persist(StorageLevel.MEMORY_AND_DISK)
-        centers = update(assigned, centers, w)
-        if checkpoint:
-            centers = cut_lineage(centers)
+        if method == "blocks":
+            part = block_partials(blocks, centers).persist(StorageLevel.MEMORY_AND_DISK)
+            new_centers = update_from_partials(part, centers)
+            cost_of = part
+        else:
+            part = assign(train, centers).persist(StorageLevel.MEMORY_AND_DISK)
+            new_centers = update(part, centers, w)
+            cost_of = part.withColumnRenamed("d", "cost")
+        centers = cut_lineage(new_centers) if checkpoint else new_centers
         stop = False
         if tol is not None:
-            cost = assigned.agg(F.sum("d")).first()[0] or 0.0
+            cost = cost_of.agg(F.sum("cost")).first()[0] or 0.0
             stop = last is not None and last - cost <= tol
             last = cost
-        assigned.unpersist()
+        part.unpersist()
         if stop:
             break
     return centers

@@ -137,3 +137,17 @@ def test_sliding_window_methods_agree(spark):
             a = framing.sliding_windows(s, w, step, bud, method="explode").collect()
             b = framing.sliding_windows(s, w, step, bud, method="blocks", block_windows=bw).collect()
             assert sorted(a) == sorted(b) and len(a) > 0, (w, step, bw, bud is None)
+
+
+def test_lloyd_block_and_sql_assignments_agree(spark):
+    from shapecode.operators import kmeans as KM
+    rng = np.random.default_rng(12)
+    rows = [(s, i, float(v)) for s in (1, 2, 3) for i, v in enumerate(np.sin(np.arange(900) / (5.0 + s)) + rng.normal(0, 0.2, 900))]
+    s = spark.createDataFrame(rows, "source_id bigint, i bigint, value double")
+    train, budget = KM.training_set(s, 12, 2)
+    a = KM.lloyd(train, budget, 12, max_iter=3, tol=None, method="blocks").collect()
+    b = KM.lloyd(train, budget, 12, max_iter=3, tol=None, method="sql").collect()
+    da = {(r.source_id, r.code): np.array(r.center) for r in a}
+    db = {(r.source_id, r.code): np.array(r.center) for r in b}
+    assert da.keys() == db.keys() and len(da) == 3 * 9      # k = int(0.1 * int(0.2 * 900 div 2))
+    assert all(np.allclose(da[k], db[k], atol=1e-12) for k in da)
