@@ -652,3 +652,25 @@ def encode_centered(spark, sf_dir):
                      F.col("coded")[0].alias("coded_first"), F.col("coded")[m - 1].alias("coded_last"),
                      F.aggregate("coded", F.lit(0.0), lambda a, v: a + v).alias("coded_sum"),
                      F.aggregate("loss", F.lit(0.0), lambda a, v: a + v).alias("loss_sum"))
+
+
+_LLOYD_BOOK = (f"SELECT source_id, code, center FROM c{LLOYD_CHECK_ITERATIONS}")
+
+
+def _lloyd_scores_sql() -> str:
+    # the dictionary is the 2-iteration Lloyd codebook; scores rounded to 6 places
+    pre = ("WITH " + Q.lloyd_ctes(LI, LLOYD_CHECK_ITERATIONS) + ", "
+           + Q.pipeline_prefix(LI, "centered", _LLOYD_BOOK, include_samples=False))
+    return (pre + f", scores AS ({Q.scores_select(LI)}) SELECT source_id, frame_ref, codes, "
+            f"{Q.r6('score')} AS score FROM scores")
+
+
+@register("frame_scores_lloyd", _lloyd_scores_sql())
+def frame_scores_lloyd(spark, sf_dir):
+    """A13(b) -> W10: every frame scored against the two-iteration Lloyd dictionary."""
+    samples = signal_samples(spark, sf_dir, LI)
+    train, budget = KM.training_set(samples, LI.w, LI.step)
+    cb = KM.lloyd(train, budget, LI.w, max_iter=LLOYD_CHECK_ITERATIONS, tol=None)
+    sc = V.score_samples(samples, coding.pack_codebook(cb), LI.w, LI.n, "centered")
+    return sc.where(F.col("status") == "ok").select("source_id", "frame_ref", coding.codes_string().alias("codes"),
+                                                     F.round("score", 6).alias("score"))

@@ -115,13 +115,15 @@ def coded_ctes(spec: SignalSpec, mode: str = "centered") -> str:
     )
 
 
-def pipeline_prefix(spec: SignalSpec, mode: str = "centered", book_sql: str | None = None) -> str:
+def pipeline_prefix(spec: SignalSpec, mode: str = "centered", book_sql: str | None = None,
+                    include_samples: bool = True) -> str:
     """``WITH samples, frames, wins, wstats, feats, book, nearest, cw, seg, coded, codes``."""
     feats = centered_feats_cte(spec) if mode == "centered" else tapered_feats_cte(spec)
     book_sql = book_sql or ("SELECT source_id, CAST(k AS INTEGER) AS code, feat AS center "
                             "FROM feats WHERE frame_no = 0 AND feat IS NOT NULL")
+    head = f"WITH samples AS ({samples_cte(spec)}), " if include_samples else ""
     return (
-        f"WITH samples AS ({samples_cte(spec)}), frames AS ({frames_cte(spec)}), "
+        f"{head}frames AS ({frames_cte(spec)}), "
         f"wins AS ({windows_cte(spec)}), wstats AS ({stats_cte(spec)}), feats AS ({feats}), "
         f"book AS ({book_sql}), {coded_ctes(spec, mode)}"
     )
