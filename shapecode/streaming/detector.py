@@ -113,14 +113,18 @@ def start_split_detector(events_for_alerts: DataFrame, events_for_archive: DataF
                          w: int = ECG_WINDOW, n: int = ECG_STREAM_WINDOWS, threshold: float = ANOMALY_THRESHOLD):
     """Alerts every 2 s, the archive written in 8 s batches, as the
     reference's 8 s tumbling window did.  Two queries with their own
-    checkpoints; pass two readers of the same source."""
+    checkpoints; pass two readers of the same source.  A trigger of ``None``
+    means ``availableNow`` (drain and stop)."""
     def score(batch: DataFrame) -> DataFrame:
         return detect(batch, packed_books, w, n)
 
-    q1 = (events_for_alerts.writeStream
-          .foreachBatch(batch_writer(None, anomaly_path, quarantine_path, threshold, score))
-          .option("checkpointLocation", f"{checkpoint_root}/alerts").trigger(processingTime=alert_trigger).start())
-    q2 = (events_for_archive.writeStream
-          .foreachBatch(batch_writer(archive_path, None, None, threshold, score))
-          .option("checkpointLocation", f"{checkpoint_root}/archive").trigger(processingTime=archive_trigger).start())
+    def trig(w_, t):
+        return w_.trigger(availableNow=True) if t is None else w_.trigger(processingTime=t)
+
+    q1 = trig(events_for_alerts.writeStream
+              .foreachBatch(batch_writer(None, anomaly_path, quarantine_path, threshold, score))
+              .option("checkpointLocation", f"{checkpoint_root}/alerts"), alert_trigger).start()
+    q2 = trig(events_for_archive.writeStream
+              .foreachBatch(batch_writer(archive_path, None, None, threshold, score))
+              .option("checkpointLocation", f"{checkpoint_root}/archive"), archive_trigger).start()
     return q1, q2

@@ -61,3 +61,24 @@ def test_codebook_ml_single_source(spark):
     k = budget.first().k
     cb = KM.fit_ml_codebook(train, k, max_iter=5)
     assert cb.count() == k == 20 and len(cb.first().center) == 20
+
+
+def test_split_detector_alerts_and_archive(spark, tmpdir_path):
+    """Alerts and archive as two queries over the same source."""
+    import numpy as np
+    from shapecode.streaming.detector import start_split_detector
+    rng = np.random.default_rng(3)
+    w, n = 8, 4
+    rows = [(s, i, float(v)) for s in (1, 2) for i, v in enumerate(rng.integers(0, 400, 64))]
+    samples = spark.createDataFrame(rows, "source_id bigint, i bigint, raw double")
+    frames = framing.tumbling_frames(samples, w * n, value_col="raw").withColumn("src_ts", F.col("frame_ref") / 360.0)
+    EVT.frame_events(frames).write.mode("overwrite").text(tmpdir_path + "/in")
+    scaled = frames.withColumn("frame", F.transform("frame", lambda x: x * (1 / 200.0)))
+    books = coding.pack_codebook(coding.first_frame_codebook(scaled, w, n).withColumn("source_id", F.col("source_id").cast("string")))
+    q1, q2 = start_split_detector(file_frames(spark, tmpdir_path + "/in"), file_frames(spark, tmpdir_path + "/in"), books,
+                                  tmpdir_path + "/arch", tmpdir_path + "/anom", tmpdir_path + "/quar", tmpdir_path + "/chk",
+                                  alert_trigger=None, archive_trigger=None, w=w, n=n, threshold=0.0)
+    q1.awaitTermination()
+    q2.awaitTermination()
+    assert spark.read.parquet(tmpdir_path + "/arch").count() == 4
+    assert spark.read.json(tmpdir_path + "/anom").count() == 4        # threshold 0: every scored frame
