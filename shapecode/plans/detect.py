@@ -7,7 +7,7 @@ vectorised block coder by default (frames of a batch grouped per source in
 blocks, one dictionary copy per block) or the SQL coder (``method="sql"``).
 
 Rows that cannot be scored are kept with a ``status``
-(``malformed | bad_source | bad_length | no_model``) and go to a quarantine
+(``malformed | bad_source | bad_length | bad_sample | no_model``) and go to a quarantine
 instead of failing the batch.
 """
 
@@ -31,8 +31,11 @@ def detect(events: DataFrame, packed_books: DataFrame, w: int = ECG_WINDOW, n: i
     frame, src, coded, loss, score, codes, status``.
     """
     dec = decode_frame_events(events)
+    bad_value = F.exists("frame", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     dec = dec.withColumn("status", F.when((F.col("status") == "ok") & (F.size("frame") != F.lit(n * w)),
-                                          F.lit("bad_length")).otherwise(F.col("status")))
+                                          F.lit("bad_length"))
+                         .when((F.col("status") == "ok") & bad_value, F.lit("bad_sample"))
+                         .otherwise(F.col("status")))
     good = dec.where(F.col("status") == "ok").withColumn("source_id", F.col("patient_id"))
     bad = dec.where(F.col("status") != "ok")
     meta = ["srcId", "srcTs", "frameRef", "patient_id", "event_time"]

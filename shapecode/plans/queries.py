@@ -7,17 +7,29 @@ feature itself (top-k, sampling).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapecode.config import EVENTS, LINEITEM, SignalSpec
+from shapecode.config import (ANOMALY_THRESHOLD, EVENTS, LINEITEM, SAMPLE_SEED, SPLIT_SEED, SWEEP_STEP,
+                              SWEEP_STEPS, SignalSpec)
 from shapecode.functions import arrays as A
 from shapecode.operators import coding, framing
+from shapecode.operators import evaluate as EV
+from shapecode.operators import kmeans as KM
+from shapecode.operators import labels as LB
 from shapecode.operators import vectorized as V
+from shapecode.operators import words as WD
+from shapecode.plans import detect as DT
 from shapecode.plans import sqlgen as Q
-from shapecode.sources.tables import signal_samples
+from shapecode.session import ensure_checkpoint_dir
+from shapecode.sinks import writers as WR
+from shapecode.sources import binary as BIN
+from shapecode.sources import events as EVT
+from shapecode.sources import text as TXT
+from shapecode.sources.tables import ANNOTATION_CODES, read_table, signal_annotations, signal_samples
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -270,10 +282,6 @@ def frame_centred_view(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- labels and evaluation
-from shapecode.config import ANOMALY_THRESHOLD, SAMPLE_SEED, SPLIT_SEED, SWEEP_STEP, SWEEP_STEPS  # noqa: E402
-from shapecode.operators import evaluate as EV  # noqa: E402
-from shapecode.operators import labels as LB  # noqa: E402
-from shapecode.sources.tables import ANNOTATION_CODES, signal_annotations  # noqa: E402
 
 _LAB_LI = "WITH " + Q.labels_ctes(LI, ANNOTATION_CODES["lineitem"])
 
@@ -407,8 +415,6 @@ def anomalies(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- words
-from shapecode.operators import words as WD  # noqa: E402
-from shapecode.sources.tables import read_table  # noqa: E402
 
 _WORDS = ("WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), "
           "totals AS (SELECT lower(word) AS word, CAST(count(*) AS BIGINT) AS word_count FROM w GROUP BY 1)")
@@ -437,7 +443,6 @@ def word_filter(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- dictionary training
-from shapecode.operators import kmeans as KM  # noqa: E402
 
 LLOYD_CHECK_ITERATIONS = 2
 
@@ -470,14 +475,7 @@ def frame_scores_trained(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- wire format, archive, detector
-import uuid  # noqa: E402
-
-from shapecode.plans import detect as DT  # noqa: E402
-from shapecode.session import ensure_checkpoint_dir  # noqa: E402
-from shapecode.sinks import writers as WR  # noqa: E402
-from shapecode.sources import binary as BIN  # noqa: E402
-from shapecode.sources import events as EVT  # noqa: E402
-from shapecode.sources import text as TXT  # noqa: E402
+
 
 _T_US = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 

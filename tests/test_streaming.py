@@ -14,7 +14,9 @@ def test_stream_equals_batch(spark, tmpdir_path):
     samples = spark.createDataFrame(rows, "source_id bigint, i bigint, raw double")
     frames = framing.tumbling_frames(samples, w * n, value_col="raw").withColumn("src_ts", F.col("frame_ref") / 360.0)
     ev = EVT.frame_events(frames.where("source_id <> 3 OR frame_no > 0"))
-    bad = spark.createDataFrame([("{broken",), ('{"srcId": "x", "data": [1]}',), ('{"srcId": "i./d/9.dat", "data": [1, 2]}',)], "value string")
+    nan_frame = '{"srcId": "i./d/1.dat", "frameRef": 3200.0, "data": [' + ", ".join(["1.0"] * 31 + ["NaN"]) + ']}'
+    bad = spark.createDataFrame([("{broken",), ('{"srcId": "x", "data": [1]}',), ('{"srcId": "i./d/9.dat", "data": [1, 2]}',),
+                                 (nan_frame,)], "value string")
     ev.unionByName(bad).write.mode("overwrite").text(tmpdir_path + "/in")
     scaled = frames.withColumn("frame", F.transform("frame", lambda x: x * (1 / 200.0)))
     cb = coding.first_frame_codebook(scaled.where("source_id <> 3"), w, n).withColumn("source_id", F.col("source_id").cast("string"))
@@ -28,7 +30,7 @@ def test_stream_equals_batch(spark, tmpdir_path):
     assert sorted(arch.collect()) == sorted(batch.collect())
     assert arch.count() == 6
     quar = {r.status for r in spark.read.parquet(tmpdir_path + "/quar").collect()}
-    assert quar == {"malformed", "bad_source", "bad_length", "no_model"}
+    assert quar == {"malformed", "bad_source", "bad_length", "bad_sample", "no_model"}
     anom = spark.read.json(tmpdir_path + "/anom")
     assert anom.count() == arch.where("score > 0.3").count()
 
