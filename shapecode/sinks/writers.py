@@ -28,6 +28,15 @@ def date_path(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy/MM/dd/H"), F.lit("/"))
 
 
+def time_of_day_key(ts: Column) -> Column:
+    """Second of minute and millisecond of day, ``s-A`` (UTC), e.g. ``7-3607123``.
+
+    Spark has no pattern letter for milli-of-day, so it is computed.
+    """
+    day_ms = F.unix_millis(ts) - F.unix_millis(F.date_trunc("DAY", ts))
+    return F.concat(F.date_format(ts, "s"), F.lit("-"), day_ms.cast("string"))
+
+
 def archive_lines(coded: DataFrame) -> DataFrame:
     """K1 text form: ``(srcId,srcTs,frameRef,maxErr,path,;src;coded;loss;)``."""
     return coded.select(F.concat(

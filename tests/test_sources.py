@@ -94,3 +94,19 @@ def test_codebook_save_load(spark, tmpdir_path):
     WR.save_codebook(cb.where("source_id = 2").withColumn("center", F.array(F.lit(9.0), F.lit(9.0))), tmpdir_path + "/cb", 2, 1)
     back = {r.source_id: r.center for r in WR.load_codebook(spark, tmpdir_path + "/cb", 2).collect()}
     assert back == {1: [0.1, 0.2], 2: [9.0, 9.0]}     # dynamic overwrite replaced patient 2 only
+
+
+def test_time_path_parts(spark):
+    df = spark.sql("SELECT TIMESTAMP'2024-03-05 01:00:07.123' AS t")
+    r = df.select(WR.date_path(F.col("t")).alias("p"), WR.time_of_day_key(F.col("t")).alias("k")).first()
+    assert r.p == "2024/03/05/1/" and r.k == "7-3607123"
+
+
+def test_text_sinks_round_trip(spark, tmpdir_path):
+    coded = spark.createDataFrame([([1.0, 2.5], [0.5, 2.0], [0.5, 0.5])], "src array<double>, coded array<double>, loss array<double>")
+    WR.batch_coded_lines(coded).write.text(tmpdir_path + "/coded")
+    back = TXT.parse_batch_coded(spark.read.text(tmpdir_path + "/coded")).first()
+    assert (back.src, back.coded, back.loss) == ([1.0, 2.5], [0.5, 2.0], [0.5, 0.5])
+    labels = spark.createDataFrame([(0, "N"), (1800, "NV")], "frame_ref bigint, label string")
+    WR.label_lines(labels).write.text(tmpdir_path + "/labels")
+    assert sorted(TXT.read_labels(spark, tmpdir_path + "/labels").collect()) == sorted(labels.collect())
