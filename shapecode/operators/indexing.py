@@ -21,6 +21,10 @@ the same partitions, and a lost executor re-reads files instead of
 re-deriving tags.
 
 ``i = offset + (mid - first mid of the run)``.
+
+Decoded binary recordings (``sources.binary``) already carry ``i`` (the
+record's position in the file), so they need no ranking at all; this
+index is for tables whose sample order is given by columns.
 """
 
 from __future__ import annotations
@@ -41,10 +45,11 @@ def index_within(df: DataFrame, key: str, order_cols: list[str] | tuple[str, ...
     if method != "range":
         raise ValueError(f"unknown index method {method!r}")
     spark = df.sparkSession
-    # as many range partitions as input splits (maxPartitionBytes each), at
-    # least the shuffle width: a range partition never exceeds a scan split
-    parts = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                  df.rdd.getNumPartitions())
+    # one range partition per input split (maxPartitionBytes each), at least
+    # the shuffle width and at most four times it: a 100 TB input has ~10^6
+    # splits, far more reduce partitions than a shuffle should carry
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = num_partitions or min(max(width, df.rdd.getNumPartitions()), 4 * width)
     ranged = (
         df.repartitionByRange(parts, key, *order_cols)
         .sortWithinPartitions(key, *order_cols)
