@@ -333,10 +333,12 @@ _EVAL_PRE = (Q.pipeline_prefix(LI, "centered") + f", scores AS ({Q.scores_select
              "val AS (SELECT * FROM sp WHERE split = 'validation'), tst AS (SELECT * FROM sp WHERE split = 'test'), "
              f"grid AS (SELECT CAST(r.i AS BIGINT) AS t_index, r.i * {Q.dlit(SWEEP_STEP)} AS t FROM range(0, {SWEEP_STEPS}) r(i)), "
              "curve AS (SELECT t_index, t, n, pos, neg, fn, fp, 100 * (fn + fp) / n AS total_pct, 100 * fp / n AS fp_pct, "
-             "100 * fn / n AS fn_pct FROM (SELECT g.t_index, g.t, CAST(count(*) AS BIGINT) AS n, "
-             "CAST(count_if(v.label <> 'N') AS BIGINT) AS pos, CAST(count_if(v.label = 'N') AS BIGINT) AS neg, "
-             "CAST(count_if(v.label <> 'N' AND v.score < g.t) AS BIGINT) AS fn, "
-             "CAST(count_if(v.label = 'N' AND v.score >= g.t) AS BIGINT) AS fp FROM grid g CROSS JOIN val v GROUP BY 1, 2)), "
+             "100 * fn / n AS fn_pct FROM (SELECT g.t_index, g.t, "
+             "(SELECT CAST(count(*) AS BIGINT) FROM val) AS n, "
+             "(SELECT CAST(count_if(label <> 'N') AS BIGINT) FROM val) AS pos, "
+             "(SELECT CAST(count_if(label = 'N') AS BIGINT) FROM val) AS neg, "
+             "(SELECT CAST(count_if(v.label <> 'N' AND v.score < g.t) AS BIGINT) FROM val v) AS fn, "
+             "(SELECT CAST(count_if(v.label = 'N' AND v.score >= g.t) AS BIGINT) FROM val v) AS fp FROM grid g)), "
              "best AS (SELECT * FROM curve ORDER BY total_pct, t_index LIMIT 1)")
 
 
@@ -392,14 +394,13 @@ def best_threshold(spark, sf_dir):
     return EV.best_threshold(EV.threshold_sweep(split_of(spark, sf_dir).where(F.col("split") == "validation")))
 
 
-@register("test_error", _EVAL_PRE + _errors_sql("tst CROSS JOIN (SELECT t AS bt FROM best)", "bt"))
+@register("test_error", _EVAL_PRE + _errors_sql("tst", "(SELECT t FROM best)"))
 def test_error(spark, sf_dir):
     """A8 on the test frames at the chosen threshold."""
     sp = split_of(spark, sf_dir)
-    best = EV.best_threshold(EV.threshold_sweep(sp.where(F.col("split") == "validation"))).select(F.col("t").alias("bt"))
-    # best has exactly one row (limit 1): a bounded broadcast
-    tst = sp.where(F.col("split") == "test").join(F.broadcast(best), how="inner")
-    return EV.errors_at(tst, F.col("bt"))
+    best = EV.best_threshold(EV.threshold_sweep(sp.where(F.col("split") == "validation")))
+    # the chosen threshold enters as a scalar subquery (one row, one column)
+    return EV.errors_at(sp.where(F.col("split") == "test"), best.select("t").scalar())
 
 
 # ---------------------------------------------------------------- anomalies

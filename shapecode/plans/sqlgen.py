@@ -50,8 +50,8 @@ def frames_cte(spec: SignalSpec, samples: str = "samples") -> str:
 def windows_cte(spec: SignalSpec, frames: str = "frames") -> str:
     w, h = spec.w, spec.h
     return (
-        f"SELECT source_id, frame_no, frame_ref, CAST(r.k AS INTEGER) AS k, frame[r.k * {h} + 1 : r.k * {h} + {w}] AS x "
-        f"FROM {frames} CROSS JOIN range(0, {spec.n_windows}) AS r(k)"
+        f"SELECT source_id, frame_no, frame_ref, CAST(k AS INTEGER) AS k, frame[k * {h} + 1 : k * {h} + {w}] AS x "
+        f"FROM (SELECT *, unnest(range(0, {spec.n_windows})) AS k FROM {frames})"
     )
 
 
@@ -210,7 +210,7 @@ def lloyd_ctes(spec: SignalSpec, iterations: int) -> str:
             f"FROM train t JOIN {prev} c ON t.source_id = c.source_id) WHERE rn = 1)")
         parts.append(
             f"u{it} AS (SELECT source_id, code, list(v ORDER BY pos) AS center FROM ("
-            f"SELECT source_id, code, p.pos, avg(feat[p.pos + 1]) AS v FROM a{it} CROSS JOIN range(0, {w}) p(pos) "
+            f"SELECT source_id, code, pos, avg(feat[pos + 1]) AS v FROM (SELECT *, unnest(range(0, {w})) AS pos FROM a{it}) "
             f"GROUP BY 1, 2, 3) GROUP BY 1, 2)")
         parts.append(
             f"c{it} AS (SELECT p.source_id, p.code, coalesce(u.center, p.center) AS center FROM {prev} p "
