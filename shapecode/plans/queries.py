@@ -264,11 +264,15 @@ def loss_histogram(spark, sf_dir):
 
 @register("frame_slice", (
     f"WITH samples AS ({Q.samples_cte(LI)}), frames AS ({Q.frames_cte(LI)}) "
-    f"SELECT source_id, frame_ref, frame[11 : 50] AS part_first_last FROM frames"))
+    f"SELECT source_id, frame_ref, CAST(len(part) AS BIGINT) AS slice_len, part[1] AS slice_first, part[40] AS slice_last, "
+    f"list_max(part) AS slice_max, {Q.lsum('part')} AS slice_sum FROM (SELECT *, frame[11 : 50] AS part FROM frames)"))
 def frame_slice(spark, sf_dir):
     """Inspection slice ``[10:50]`` of every frame."""
-    f = frames_of(spark, sf_dir, LI)
-    return f.select("source_id", "frame_ref", F.slice("frame", 11, 40).alias("part_first_last"))
+    f = frames_of(spark, sf_dir, LI).withColumn("part", F.slice("frame", 11, 40))
+    return f.select("source_id", "frame_ref", F.size("part").cast("bigint").alias("slice_len"),
+                    F.col("part")[0].alias("slice_first"), F.col("part")[39].alias("slice_last"),
+                    F.array_max("part").alias("slice_max"),
+                    F.aggregate("part", F.lit(0.0), lambda a, v: a + v).alias("slice_sum"))
 
 
 @register("frame_centred_view", _CODED_LI + (
