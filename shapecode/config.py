@@ -11,6 +11,11 @@ Fixed values (they define scores and labels, so they must stay as written):
   * anomaly record keeps the first 60 characters of the payload
   * annotation pattern ``(\\d*:\\d*.\\d*)(\\s*)(\\d*)(\\s*)(\\D)``, groups 1, 3, 5
   * annotation codes: ``N`` is normal, any other code marks the frame abnormal
+  * apnea records: 8 bytes, byte 1 equal to 0x20 means ``A``, one record per
+    minute of 6000 samples, text line ``%04d, %07d, %02d:%02d, %s``
+  * archive path ``yyyy/MM/dd/H/`` (UTC); inspection DC offset 1024/200
+  * frame event fields ``srcTs, srcId, frameRef, data, scale``; anomaly record
+    fields ``srcId, srcTs, frameRef, maxLoss, timePathRef, dataSlice``
 """
 
 from __future__ import annotations
@@ -31,6 +36,11 @@ VALIDATION_FRACTION = 0.4
 DATA_SLICE_CHARS = 60
 ANNOTATION_PATTERN = r"(\d*:\d*.\d*)(\s*)(\d*)(\s*)(\D)"
 NORMAL_CODE = "N"
+APNEA_MARK = 0x20
+APNEA_SAMPLES_PER_MINUTE = 6000
+APNEA_LINE_FORMAT = "%04d, %07d, %02d:%02d, %s"
+DATE_PATH_FORMAT = "yyyy/MM/dd/H"
+DC_OFFSET = 1024 / 200.0
 SPLIT_SEED = "split-v1"
 SAMPLE_SEED = "sample-v1"
 

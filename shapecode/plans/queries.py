@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapecode.config import (ANOMALY_THRESHOLD, EVENTS, LINEITEM, SAMPLE_SEED, SPLIT_SEED, SWEEP_STEP,
-                              SWEEP_STEPS, SignalSpec)
+from shapecode.config import (ANOMALY_THRESHOLD, APNEA_LINE_FORMAT, APNEA_SAMPLES_PER_MINUTE, DC_OFFSET, EVENTS,
+                              LINEITEM, SAMPLE_SEED, SPLIT_SEED, SWEEP_STEP, SWEEP_STEPS, SignalSpec)
 from shapecode.functions import arrays as A
 from shapecode.operators import coding, framing
 from shapecode.operators import evaluate as EV
@@ -276,12 +276,12 @@ def frame_slice(spark, sf_dir):
 
 
 @register("frame_centred_view", _CODED_LI + (
-    f" SELECT source_id, frame_ref, list_min(list_transform(src, lambda v: v - {Q.dlit(1024 / 200)})) AS min_centred, "
-    f"list_max(list_transform(src, lambda v: v - {Q.dlit(1024 / 200)})) AS max_centred FROM ca"))
+    f" SELECT source_id, frame_ref, list_min(list_transform(src, lambda v: v - {Q.dlit(DC_OFFSET)})) AS min_centred, "
+    f"list_max(list_transform(src, lambda v: v - {Q.dlit(DC_OFFSET)})) AS max_centred FROM ca"))
 def frame_centred_view(spark, sf_dir):
     """Source minus the DC offset 1024/200 for display."""
     df = scored(spark, sf_dir, LI, "centered")
-    c = F.transform("src", lambda v: v - F.lit(1024 / 200))
+    c = F.transform("src", lambda v: v - F.lit(DC_OFFSET))
     return df.select("source_id", "frame_ref", F.array_min(c).alias("min_centred"), F.array_max(c).alias("max_centred"))
 
 
@@ -632,8 +632,9 @@ _APNEA_CODE = "CASE WHEN event_type = 'error' THEN 'A' ELSE 'N' END"
     f"WITH a AS (SELECT CAST(user_id AS BIGINT) AS record_id, CAST(row_number() OVER (PARTITION BY user_id "
     f"ORDER BY ts, event_id) - 1 AS BIGINT) AS n, {_APNEA_CODE} AS code FROM events "
     f"WHERE user_id IS NOT NULL AND value IS NOT NULL) "
-    f"SELECT record_id, n, n * 6000 AS sample, CAST(n // 60 AS INTEGER) AS hh, CAST(n % 60 AS INTEGER) AS mm, code, "
-    f"printf('%04d, %07d, %02d:%02d, %s', n, n * 6000, n // 60, n % 60, code) AS line FROM a"))
+    f"SELECT record_id, n, n * {APNEA_SAMPLES_PER_MINUTE} AS sample, CAST(n // 60 AS INTEGER) AS hh, "
+    f"CAST(n % 60 AS INTEGER) AS mm, code, printf('{APNEA_LINE_FORMAT}', n, n * {APNEA_SAMPLES_PER_MINUTE}, "
+    f"n // 60, n % 60, code) AS line FROM a"))
 def apnea_labels(spark, sf_dir):
     """Per-minute apnea records (8 bytes, byte 1 = 0x20 means A),
     packed from the events table in bounded blocks and decoded back."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapecode.config import DATA_SLICE_CHARS
+from shapecode.config import DATA_SLICE_CHARS, DATE_PATH_FORMAT
 
 
 def num_list(col: str | Column, sep: str = ",") -> Column:
@@ -25,7 +25,7 @@ def payload(src="src", coded="coded", loss="loss") -> Column:
 
 def date_path(ts: Column) -> Column:
     """UTC ``yyyy/MM/dd/H/`` path of an event time."""
-    return F.concat(F.date_format(ts, "yyyy/MM/dd/H"), F.lit("/"))
+    return F.concat(F.date_format(ts, DATE_PATH_FORMAT), F.lit("/"))
 
 
 def time_of_day_key(ts: Column) -> Column:

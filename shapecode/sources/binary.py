@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shapecode.config import APNEA_LINE_FORMAT, APNEA_MARK, APNEA_SAMPLES_PER_MINUTE
+
 
 def read_binary(spark: SparkSession, path: str, glob: str = "*.dat") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
@@ -86,7 +88,7 @@ def decode_le16(files: DataFrame) -> DataFrame:
     return r.select(*_keep(r), F.lit(1).alias("channel"), "i", raw.cast("int").alias("raw"))
 
 
-def decode_apnea(files: DataFrame, samples_per_minute: int = 6000) -> DataFrame:
+def decode_apnea(files: DataFrame, samples_per_minute: int = APNEA_SAMPLES_PER_MINUTE) -> DataFrame:
     """8-byte records; byte 1 equal to 0x20 means ``A`` (apnea), else ``N``.
 
     Row ``n`` -> ``(n, n * 6000, hh = n div 60, mm = n % 60, code)`` and the
@@ -94,12 +96,12 @@ def decode_apnea(files: DataFrame, samples_per_minute: int = 6000) -> DataFrame:
     """
     r = _records(files, 8)
     b1 = _uint(F.col("content"), F.col("_k") * 8 + F.lit(1), 1)
-    code = F.when(b1 == 0x20, F.lit("A")).otherwise(F.lit("N"))
+    code = F.when(b1 == APNEA_MARK, F.lit("A")).otherwise(F.lit("N"))
     out = r.select(F.col("source_id").alias("record_id"), F.col("i").alias("n"),
                    (F.col("i") * F.lit(samples_per_minute)).alias("sample"),
                    F.floor(F.col("i") / 60).cast("int").alias("hh"), (F.col("i") % 60).cast("int").alias("mm"),
                    code.alias("code"))
-    return out.withColumn("line", F.format_string("%04d, %07d, %02d:%02d, %s", "n", "sample", "hh", "mm", "code"))
+    return out.withColumn("line", F.format_string(APNEA_LINE_FORMAT, "n", "sample", "hh", "mm", "code"))
 
 
 def pack_records(records: DataFrame, hex_col: str, block: int = 4096) -> DataFrame:
