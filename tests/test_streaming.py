@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from shapecode.operators import coding, framing
@@ -84,3 +86,32 @@ def test_split_detector_alerts_and_archive(spark, tmpdir_path):
     q2.awaitTermination()
     assert spark.read.parquet(tmpdir_path + "/arch").count() == 4
     assert spark.read.json(tmpdir_path + "/anom").count() == 4        # threshold 0: every scored frame
+
+
+def test_multi_batch_and_restart_are_exactly_once(spark, tmpdir_path):
+    import numpy as np
+    rng = np.random.default_rng(9)
+    w, n = 8, 4
+    rows = [(s, i, float(v)) for s in (1, 2) for i, v in enumerate(rng.integers(0, 400, 96))]
+    samples = spark.createDataFrame(rows, "source_id bigint, i bigint, raw double")
+    frames = framing.tumbling_frames(samples, w * n, value_col="raw").withColumn("src_ts", F.col("frame_ref") / 360.0)
+    ev = EVT.frame_events(frames).coalesce(1)
+    for part in range(3):   # three files -> three micro-batches
+        ev.where(F.get_json_object("value", "$.frameRef").cast("double") == part * 32.0) \
+          .write.mode("overwrite").text(f"{tmpdir_path}/stage{part}")
+        import glob
+        import shutil
+        os.makedirs(f"{tmpdir_path}/in", exist_ok=True)
+        for f in glob.glob(f"{tmpdir_path}/stage{part}/part-*"):
+            shutil.copy(f, f"{tmpdir_path}/in/batch{part}.txt")
+    scaled = frames.withColumn("frame", F.transform("frame", lambda x: x * (1 / 200.0)))
+    books = coding.pack_codebook(coding.first_frame_codebook(scaled, w, n).withColumn("source_id", F.col("source_id").cast("string")))
+    paths = [f"{tmpdir_path}/{p}" for p in ("arch", "anom", "quar", "chk")]
+    for _ in range(2):      # second run restarts from the checkpoint: nothing new to do
+        q = start_detector(file_frames(spark, f"{tmpdir_path}/in", max_files_per_trigger=1), books, *paths,
+                           available_now=True, w=w, n=n)
+        q.awaitTermination()
+    arch = spark.read.parquet(paths[0])
+    assert arch.count() == 6
+    assert arch.select("batch_id").distinct().count() == 3
+    assert arch.select("patient_id", "frame_ref").distinct().count() == 6
