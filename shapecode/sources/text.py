@@ -73,7 +73,7 @@ def parse_annotations(lines: DataFrame, record_id: Column | str, value_col: str
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """S9 over files: record id = file stem, line number from the file position."""
-    df = spark.read.text(path).withColumn("_path", F.input_file_name())
+    df = spark.read.text(path).withColumn("_path", F.col("_metadata.file_path"))
     df = df.withColumn("line_no", F.monotonically_increasing_id())
     stem = F.regexp_extract("_path", r"([^/]+?)(\.[^./]*)?$", 1)
     return parse_annotations(df, stem)
