@@ -29,7 +29,8 @@ from shapecode.sinks import writers as WR
 from shapecode.sources import binary as BIN
 from shapecode.sources import events as EVT
 from shapecode.sources import text as TXT
-from shapecode.sources.tables import ANNOTATION_CODES, read_table, signal_annotations, signal_samples
+from shapecode.sources.tables import (ANNOTATION_CODES, embedding_windows, read_table, signal_annotations,
+                                     signal_samples)
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -678,3 +679,30 @@ def frame_scores_lloyd(spark, sf_dir):
     sc = V.score_samples(samples, coding.pack_codebook(cb), LI.w, LI.n, "centered")
     return sc.where(F.col("status") == "ok").select("source_id", "frame_ref", coding.codes_string().alias("codes"),
                                                      F.round("score", 6).alias("score"))
+
+
+_EMB = "WITH " + ", ".join(Q.embedding_train_ctes() + Q.lloyd_iter_ctes(64, LLOYD_CHECK_ITERATIONS))
+
+
+@register("embedding_codes", _EMB + (
+    f", nn AS (SELECT * EXCLUDE (rn) FROM (SELECT t.source_id, t.j, c.code, {Q.sqdist('t.feat', 'c.center', 64)} AS d, "
+    f"row_number() OVER (PARTITION BY t.source_id, t.j ORDER BY {Q.sqdist('t.feat', 'c.center', 64)}, c.code) AS rn "
+    f"FROM train t JOIN c0 c ON t.source_id = c.source_id) WHERE rn = 1) SELECT source_id, j, code, d FROM nn"))
+def embedding_codes(spark, sf_dir):
+    """J3 on ready-made 64-dim windows: every embedding's nearest code in its
+    label's dictionary (k = 10 % of the label's vectors, evenly spaced by id)."""
+    train, budget = embedding_windows(spark, sf_dir)
+    book = KM.init_centers(train, budget)
+    return KM.assign(train.select("source_id", "j", "feat"), book).select("source_id", "j", "code", "d")
+
+
+@register("embedding_codebook", _EMB + (
+    f" SELECT source_id, code, {Q.r6(Q.lsum('center'))} AS center_sum, "
+    f"{Q.r6(Q.lsum('list_transform(center, lambda v: v * v)'))} AS center_sumsq FROM c{LLOYD_CHECK_ITERATIONS}"))
+def embedding_codebook(spark, sf_dir):
+    """A13(b) on the embeddings: two Lloyd iterations per label, all labels at once."""
+    train, budget = embedding_windows(spark, sf_dir)
+    cb = KM.lloyd(train.select("source_id", "j", "feat"), budget, 64, max_iter=LLOYD_CHECK_ITERATIONS, tol=None)
+    return cb.select("source_id", "code",
+                     F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v), 6).alias("center_sum"),
+                     F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v * v), 6).alias("center_sumsq"))

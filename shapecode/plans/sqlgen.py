@@ -186,11 +186,11 @@ def budget_cte(spec: SignalSpec, samples: str = "samples") -> str:
     )
 
 
-def lloyd_ctes(spec: SignalSpec, iterations: int) -> str:
-    """``samples, bud, sw, tw, ts, train, c0, a1, c1, ... a{n}, c{n}`` CTEs (A13 oracle)."""
+def lloyd_train_ctes(spec: SignalSpec) -> list[str]:
+    """``samples, bud, sw, tw, ts, train``: the training windows of A15 with P7 + W5 features."""
     w, S = spec.w, spec.step
     t = dlist(taper_values(w))
-    parts = [
+    return [
         f"samples AS ({samples_cte(spec)})",
         f"bud AS ({budget_cte(spec)})",
         f"sw AS (SELECT source_id, i, list(value) OVER (PARTITION BY source_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS w FROM samples)",
@@ -198,6 +198,12 @@ def lloyd_ctes(spec: SignalSpec, iterations: int) -> str:
         f"WHERE i % {S} = 0 AND i // {S} < bud.tr AND len(w) = {w})",
         f"ts AS (SELECT *, {lsum('w')} / {w} AS a, sqrt({lsum('list_transform(w, lambda v: v * v)')}) AS n FROM tw)",
         f"train AS (SELECT source_id, j, list_transform(range({w}), lambda p: (w[p + 1] - a) / n * ({t})[p + 1]) AS feat FROM ts WHERE n <> 0)",
+    ]
+
+
+def lloyd_iter_ctes(w: int, iterations: int) -> list[str]:
+    """``c0, a1, u1, c1, ...``: evenly spaced init and Lloyd iterations over ``train`` / ``bud``."""
+    parts = [
         "c0 AS (SELECT source_id, CAST(c AS INTEGER) AS code, feat AS center FROM (SELECT t.*, b.tr, b.k, "
         "(t.j * b.k + b.tr - 1) // b.tr AS c FROM train t JOIN bud b USING (source_id) WHERE b.k > 0) WHERE c < k AND (c * tr) // k = j)",
     ]
@@ -215,4 +221,18 @@ def lloyd_ctes(spec: SignalSpec, iterations: int) -> str:
         parts.append(
             f"c{it} AS (SELECT p.source_id, p.code, coalesce(u.center, p.center) AS center FROM {prev} p "
             f"LEFT JOIN u{it} u ON p.source_id = u.source_id AND p.code = u.code)")
-    return ", ".join(parts)
+    return parts
+
+
+def lloyd_ctes(spec: SignalSpec, iterations: int) -> str:
+    """``samples, bud, sw, tw, ts, train, c0, a1, c1, ... a{n}, c{n}`` CTEs (A13 oracle)."""
+    return ", ".join(lloyd_train_ctes(spec) + lloyd_iter_ctes(spec.w, iterations))
+
+
+def embedding_train_ctes() -> list[str]:
+    """``train`` = embedding vectors per label ranked by ``vec_id``; ``bud`` with ``tr = n``, ``k = int(0.1 n)``."""
+    return [
+        "train AS (SELECT CAST(label AS BIGINT) AS source_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS j, "
+        "CAST(embedding AS DOUBLE[]) AS feat FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)",
+        f"bud AS (SELECT source_id, CAST(count(*) AS BIGINT) AS tr, CAST(floor({dlit(0.1)} * count(*)) AS BIGINT) AS k FROM train GROUP BY 1)",
+    ]
