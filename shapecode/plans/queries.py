@@ -301,15 +301,33 @@ def frame_labels(spark, sf_dir):
     return labels_of(spark, sf_dir, LI)
 
 
-@register("annotation_quarantine", _LAB_LI + (
-    ", nf AS (SELECT record_id, CAST(ceil(last_sample / 100) AS BIGINT) AS n_frames FROM ext) "
-    "SELECT a.record_id, a.line_no, a.sample, a.code, nf.n_frames FROM ann a JOIN nf USING (record_id) "
-    "WHERE a.code <> 'N' AND a.sample // 100 >= nf.n_frames"))
+@register("frame_labels_events", "WITH " + Q.labels_ctes(EVENTS, ANNOTATION_CODES["events"])
+          + " SELECT record_id, frame_ref, label FROM labels")
+def frame_labels_events(spark, sf_dir):
+    """A11 on the short signal: codes from event kinds (click/view normal)."""
+    return labels_of(spark, sf_dir, EVENTS)
+
+
+def _quarantine_sql(spec: SignalSpec) -> str:
+    return ("WITH " + Q.labels_ctes(spec, ANNOTATION_CODES[spec.name]) + (
+        f", nf AS (SELECT record_id, CAST(ceil(last_sample / {spec.frame_len}) AS BIGINT) AS n_frames FROM ext) "
+        f"SELECT a.record_id, a.line_no, a.sample, a.code, nf.n_frames FROM ann a JOIN nf USING (record_id) "
+        f"WHERE a.code <> 'N' AND a.sample // {spec.frame_len} >= nf.n_frames"))
+
+
+@register("annotation_quarantine", _quarantine_sql(LI))
 def annotation_quarantine(spark, sf_dir):
     """Codes past the last labelled frame (the reference fails on them)."""
     return LB.out_of_range_codes(signal_annotations(spark, sf_dir, LI), LI.frame_len)
 
 
+@register("annotation_quarantine_events", _quarantine_sql(EVENTS))
+def annotation_quarantine_events(spark, sf_dir):
+    """Out-of-range codes on the short signal (a code on the last sample that
+    falls exactly on a frame boundary)."""
+    return LB.out_of_range_codes(signal_annotations(spark, sf_dir, EVENTS), EVENTS.frame_len)
+
+
 def cutoffs_of(samples, spec=LI):
     b = framing.training_budget(samples, spec.w, spec.step)
     return b.select("source_id", F.col("samples_used").alias("cutoff"))
