@@ -110,3 +110,14 @@ def test_text_sinks_round_trip(spark, tmpdir_path):
     labels = spark.createDataFrame([(0, "N"), (1800, "NV")], "frame_ref bigint, label string")
     WR.label_lines(labels).write.text(tmpdir_path + "/labels")
     assert sorted(TXT.read_labels(spark, tmpdir_path + "/labels").collect()) == sorted(labels.collect())
+
+
+def test_warehouse_read_write(spark, tmpdir_path):
+    from shapecode.sources.tables import warehouse_table
+    df = spark.createDataFrame([("The", 3), ("cat", 2)], "word string, word_count bigint")
+    WR.write_table(df, tmpdir_path + "/wc", mode="overwrite")
+    WR.write_table(df, tmpdir_path + "/wc", mode="append")
+    assert warehouse_table(spark, "proj:ds.wc", fmt="parquet", path=tmpdir_path + "/wc").count() == 4
+    WR.register_view(df, "shapecode_wc")
+    assert warehouse_table(spark, ":shapecode_wc").count() == 2
+    assert warehouse_table(spark, "shapecode_wc").count() == 2
