@@ -65,7 +65,11 @@ def _prepared(batch: DataFrame, batch_id: int, score, threshold: float) -> DataF
     scored = scored.observe(f"detector_{batch_id}", F.count(F.lit(1)).alias("frames"),
                             F.count_if(F.col("status") == "ok").alias("scored"),
                             F.count_if((F.col("status") == "ok") & (F.col("score") > F.lit(threshold))).alias("anomalies"))
-    return with_time_path(scored).withColumn("batch_id", F.lit(batch_id))
+    # a micro-batch is small: at most one partition per core, so the three
+    # writes do not leave a file per shuffle partition (AQE cannot coalesce
+    # across the persisted batch)
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    return with_time_path(scored).withColumn("batch_id", F.lit(batch_id)).coalesce(cores)
 
 
 def batch_writer(archive_path: str | None, anomaly_path: str | None, quarantine_path: str | None,
