@@ -177,14 +177,22 @@ def lloyd(train: DataFrame, budget: DataFrame, w: int, max_iter: int = 20,
     return centers
 
 
-def fit_ml_codebook(train_one_source: DataFrame, k: int, max_iter: int = 20, seed: int = 1) -> DataFrame:
-    """A13(a): ``pyspark.ml`` KMeans for one source; returns ``(code, center)``."""
+def fit_ml_codebook(train_one_source: DataFrame, k: int, max_iter: int = 20, seed: int = 1,
+                    with_members: bool = False) -> DataFrame:
+    """A13(a): ``pyspark.ml`` KMeans over one training set; returns ``(code, center)``
+    (plus ``n_members`` from the model's own assignment when asked)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     data = train_one_source.select(array_to_vector("feat").alias("features"))
     model = KMeans(k=k, maxIter=max_iter, seed=seed, initMode="k-means||").fit(data)
     spark = train_one_source.sparkSession
+    # the model holds k centres (its size is k x W by construction)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centers = spark.createDataFrame(rows, "code int, center array<double>")
-    return centers.select("code", F.col("center"))
+    if not with_members:
+        return centers
+    members = (model.transform(data).groupBy(F.col("prediction").cast("int").alias("code"))
+               .agg(F.count(F.lit(1)).alias("n_members")))
+    return centers.join(members, "code", "left").select(
+        "code", "center", F.coalesce("n_members", F.lit(0)).alias("n_members"))

@@ -724,3 +724,13 @@ def embedding_codebook(spark, sf_dir):
     return cb.select("source_id", "code",
                      F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v), 6).alias("center_sum"),
                      F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v * v), 6).alias("center_sumsq"))
+
+
+@register("codebook_ml", None)
+def codebook_ml(spark, sf_dir):
+    """A13(a): ``pyspark.ml`` KMeans (k-means||, seeded, 20 iterations) on all
+    embedding vectors as one training set, k = 10 % of the vectors."""
+    train, _ = embedding_windows(spark, sf_dir)
+    n = train.count()
+    cb = KM.fit_ml_codebook(train, max(1, int(0.1 * n)), max_iter=20, seed=1, with_members=True)
+    return cb.select("code", "n_members", F.sqrt(F.aggregate("center", F.lit(0.0), lambda a, v: a + v * v)).alias("center_norm"))
