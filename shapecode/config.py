@@ -23,9 +23,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 SCALE = 1 / 200.0
-ECG_WINDOW = 120
-ECG_STREAM_WINDOWS = 15
-ECG_BATCH_WINDOWS = 30
+SIGNAL_WINDOW = 120
+STREAM_WINDOWS = 15
+BATCH_WINDOWS = 30
 TRAIN_FRACTION = 0.2
 DICT_FRACTION = 0.10
 ANOMALY_THRESHOLD = 0.9

@@ -16,14 +16,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapecode.config import ANOMALY_THRESHOLD, ECG_STREAM_WINDOWS, ECG_WINDOW
+from shapecode.config import ANOMALY_THRESHOLD, STREAM_WINDOWS, SIGNAL_WINDOW
 from shapecode.operators import coding
 from shapecode.operators import vectorized as V
 from shapecode.sinks.writers import date_path
 from shapecode.sources.events import decode_frame_events
 
 
-def detect(events: DataFrame, packed_books: DataFrame, w: int = ECG_WINDOW, n: int = ECG_STREAM_WINDOWS,
+def detect(events: DataFrame, packed_books: DataFrame, w: int = SIGNAL_WINDOW, n: int = STREAM_WINDOWS,
            mode: str = "centered", method: str = "vectorized") -> DataFrame:
     """Score frame events.  ``packed_books(source_id STRING, book)`` keyed by patient id.
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapecode.config import ANOMALY_THRESHOLD, ECG_STREAM_WINDOWS, ECG_WINDOW
+from shapecode.config import ANOMALY_THRESHOLD, STREAM_WINDOWS, SIGNAL_WINDOW
 from shapecode.plans.detect import anomalies, detect, with_time_path
 from shapecode.sinks.writers import anomaly_json
 
@@ -93,7 +93,7 @@ def batch_writer(archive_path: str | None, anomaly_path: str | None, quarantine_
 
 def start_detector(events: DataFrame, packed_books: DataFrame, archive_path: str, anomaly_path: str,
                    quarantine_path: str, checkpoint_location: str, trigger: str | None = "2 seconds",
-                   available_now: bool = False, w: int = ECG_WINDOW, n: int = ECG_STREAM_WINDOWS,
+                   available_now: bool = False, w: int = SIGNAL_WINDOW, n: int = STREAM_WINDOWS,
                    threshold: float = ANOMALY_THRESHOLD):
     """Start the detector; returns the ``StreamingQuery``.
 
@@ -114,7 +114,7 @@ def start_detector(events: DataFrame, packed_books: DataFrame, archive_path: str
 def start_split_detector(events_for_alerts: DataFrame, events_for_archive: DataFrame, packed_books: DataFrame,
                          archive_path: str, anomaly_path: str, quarantine_path: str, checkpoint_root: str,
                          alert_trigger: str = "2 seconds", archive_trigger: str = "8 seconds",
-                         w: int = ECG_WINDOW, n: int = ECG_STREAM_WINDOWS, threshold: float = ANOMALY_THRESHOLD):
+                         w: int = SIGNAL_WINDOW, n: int = STREAM_WINDOWS, threshold: float = ANOMALY_THRESHOLD):
     """Alerts every 2 s, the archive written in 8 s batches, as the
     reference's 8 s tumbling window did.  Two queries with their own
     checkpoints; pass two readers of the same source.  A trigger of ``None``
