@@ -151,3 +151,13 @@ def test_lloyd_block_and_sql_assignments_agree(spark):
     db = {(r.source_id, r.code): np.array(r.center) for r in b}
     assert da.keys() == db.keys() and len(da) == 3 * 9      # k = int(0.1 * int(0.2 * 900 div 2))
     assert all(np.allclose(da[k], db[k], atol=1e-12) for k in da)
+
+
+def test_frame_cap_is_per_source(spark):
+    """A cap limits frames of every source separately (no carry-over)."""
+    rows = [(s, i, float(i)) for s, n in ((1, 95), (2, 41)) for i in range(n)]
+    s = spark.createDataFrame(rows, "source_id bigint, i bigint, value double")
+    got = {(r.source_id, r.frame_no) for r in framing.tumbling_frames(s, 20, cap=3).collect()}
+    assert got == {(1, 0), (1, 1), (1, 2), (2, 0), (2, 1)}
+    b = {r.source_id: (r.n_frames, r.remainder) for r in framing.frame_budget(s, 20, cap=3).collect()}
+    assert b == {1: (3, 15), 2: (2, 1)}

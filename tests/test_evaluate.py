@@ -71,3 +71,10 @@ def test_words(spark):
     t = {r.word: r.word_count for r in WD.word_totals(WD.word_rows(docs)).collect()}
     assert t == {"the": 3, "cat": 3, "hat": 1, "end": 1}
     assert [r.word for r in WD.top_words(WD.word_totals(WD.word_rows(docs)), 2).collect()] == ["cat", "the"]
+
+
+def test_distributed_range_chunk_boundaries(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, 4), (4, 5), (5, 9)], "record_id bigint, n_frames bigint")
+    out = LB.distributed_range(df, "n_frames", "f", chunk=4).collect()
+    got = sorted((r.record_id, r.f) for r in out)
+    assert got == sorted((r, f) for r, n in [(1, 0), (2, 1), (3, 4), (4, 5), (5, 9)] for f in range(n))
