@@ -106,19 +106,22 @@ def centers_expr(best: str, w: int) -> str:
 
 
 def reconstruct_centered_expr(cents: str, avgs: str, nrms: str, w: int) -> str:
-    """Segment j = (C[j-1][H..W) + C[j][0..H)) * nrm_j + mean_j, j = 1..2n-2."""
+    """Segment j = (C[j-1][H..W) + C[j][0..H)) * nrm_j + mean_j, j = 1..2n-2
+    (empty for a one-window frame; ``sequence(1, 0)`` would count down)."""
     h = w // 2
-    return (f"flatten(transform(sequence(1, size({cents}) - 1), j -> zip_with("
+    return (f"IF(size({cents}) < 2, CAST(array() AS array<double>), "
+            f"flatten(transform(sequence(1, size({cents}) - 1), j -> zip_with("
             f"slice({cents}[j - 1], {h + 1}, {h}), slice({cents}[j], 1, {h}), "
-            f"(p, q) -> (p + q) * {nrms}[j] + {avgs}[j])))")
+            f"(p, q) -> (p + q) * {nrms}[j] + {avgs}[j]))))")
 
 
 def reconstruct_tapered_expr(cents: str, tnrms: str, w: int) -> str:
     """Each centre scaled by its own window's tapered norm, halves summed."""
     h = w // 2
-    return (f"flatten(transform(sequence(1, size({cents}) - 1), j -> zip_with("
+    return (f"IF(size({cents}) < 2, CAST(array() AS array<double>), "
+            f"flatten(transform(sequence(1, size({cents}) - 1), j -> zip_with("
             f"slice({cents}[j - 1], {h + 1}, {h}), slice({cents}[j], 1, {h}), "
-            f"(p, q) -> p * {tnrms}[j - 1] + q * {tnrms}[j])))")
+            f"(p, q) -> p * {tnrms}[j - 1] + q * {tnrms}[j]))))")
 
 
 def residual_expr(src: str, coded: str) -> str:

@@ -81,7 +81,8 @@ def encode(frames_with_book: DataFrame, w: int, n: int, mode: str = "centered")
     """J3 + W7/W8 + P6 + W9 + A5 on frames that carry ``book``.
 
     Adds ``best`` (per-window struct(d, code, center)), ``coded``, ``src``,
-    ``loss``, ``score`` and ``status`` ('ok' | 'no_model').
+    ``loss``, ``score`` and ``status`` ('ok' | 'no_model' | 'single_window':
+    a one-window frame has nothing to rebuild and no score).
     """
     df = with_features(frames_with_book, w, n, mode)
     df = df.withColumn("best", F.expr(A.nearest_expr("feats", "book")))
@@ -94,7 +95,8 @@ def encode(frames_with_book: DataFrame, w: int, n: int, mode: str = "centered")
     df = df.withColumn("src", F.slice("frame", F.lit(w // 2 + 1), F.lit(n * w - w)))
     df = df.withColumn("loss", F.expr(A.residual_expr("src", "coded")))
     df = df.withColumn("score", F.expr(A.max_abs_expr("loss")))
-    df = df.withColumn("status", F.when(F.col("book").isNull(), F.lit("no_model")).otherwise(F.lit("ok")))
+    df = df.withColumn("status", F.when(F.col("book").isNull(), F.lit("no_model"))
+                       .when(F.size("coded") == 0, F.lit("single_window")).otherwise(F.lit("ok")))
     return A.fence(df.drop("book"))
 
 

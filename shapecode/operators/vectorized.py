@@ -134,6 +134,9 @@ def _frame_outputs(frames, centers, codes, w, n, mode, taper):
     for f in range(nf):
         if centers is None:
             out.append(([None] * (2 * n - 1), src[f], None, None, None, "no_model"))
+        elif coded.shape[1] == 0:      # one window: nothing between two halves to rebuild
+            best = [None if c < 0 else {"d": float(d), "code": int(c)} for c, d in zip(cv[f], dv[f])]
+            out.append((best, src[f], coded[f], loss[f], None, "single_window"))
         else:
             best = [None if c < 0 else {"d": float(d), "code": int(c)} for c, d in zip(cv[f], dv[f])]
             out.append((best, src[f], coded[f], loss[f], float(score[f]), "ok"))

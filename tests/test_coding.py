@@ -161,3 +161,13 @@ def test_frame_cap_is_per_source(spark):
     assert got == {(1, 0), (1, 1), (1, 2), (2, 0), (2, 1)}
     b = {r.source_id: (r.n_frames, r.remainder) for r in framing.frame_budget(s, 20, cap=3).collect()}
     assert b == {1: (3, 15), 2: (2, 1)}
+
+
+def test_single_window_frames_have_no_score(spark):
+    from shapecode.operators import vectorized as V
+    s = spark.createDataFrame([(1, i, float(i % 5)) for i in range(24)], "source_id bigint, i bigint, value double")
+    frames = framing.tumbling_frames(s, 8)
+    book = coding.pack_codebook(coding.first_frame_codebook(frames, 8, 1))
+    for df in (coding.score_frames(frames, book, 8, 1), V.score_samples(s, book, 8, 1)):
+        rows = df.select("status", "score").collect()
+        assert len(rows) == 3 and all(r.status == "single_window" and r.score is None for r in rows)
