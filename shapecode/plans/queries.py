@@ -734,3 +734,11 @@ def codebook_ml(spark, sf_dir):
     n = train.count()
     cb = KM.fit_ml_codebook(train, max(1, int(0.1 * n)), max_iter=20, seed=1, with_members=True)
     return cb.select("code", "n_members", F.sqrt(F.aggregate("center", F.lit(0.0), lambda a, v: a + v * v)).alias("center_norm"))
+
+
+@register("word_preview_filter", _WORDS + (
+    " SELECT word, word_count FROM (SELECT * FROM totals ORDER BY word LIMIT 10) WHERE word_count > 100"))
+def word_preview_filter(spark, sf_dir):
+    """P10 first form: the ``> 100`` filter applied after a 10-row preview
+    (the preview is made deterministic: first ten words in word order)."""
+    return WD.words_over(totals_of(spark, sf_dir).orderBy("word").limit(10), 100)
