@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from shapecode.functions import arrays as A
 from shapecode.operators import framing
-from shapecode.session import cut_lineage
+from shapecode.session import cut_lineage, ship_package
 
 
 def window_feature_expr(w_col: str, w: int) -> str:
@@ -115,6 +115,7 @@ def block_partials(blocks: DataFrame, centers: DataFrame) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=cols)
 
+    ship_package(joined.sparkSession)
     return joined.mapInPandas(run, f"source_id {sid}, code int, cnt bigint, vec array<double>, cost double")
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shapecode.functions.arrays import taper_values
+from shapecode.session import ship_package
 
 OUT_SCHEMA = ("source_id {sid}, frame_no bigint, frame_ref bigint, frame array<double>, "
               "best array<struct<d:double,code:int>>, src array<double>, coded array<double>, "
@@ -171,6 +172,7 @@ def encode_blocks(blocks_with_book: DataFrame, w: int, n: int, mode: str = "cent
             if out:
                 yield pd.DataFrame(out, columns=cols)
 
+    ship_package(blocks_with_book.sparkSession)
     return blocks_with_book.mapInPandas(run, OUT_SCHEMA.format(sid=sid_type))
 
 
@@ -212,6 +214,7 @@ def encode_frame_rows(frames: DataFrame, packed: DataFrame, w: int, n: int, mode
             if out:
                 yield pd.DataFrame(out, columns=cols)
 
+    ship_package(blocks.sparkSession)
     coded = blocks.mapInPandas(run, schema)
     return coded.select("source_id", "frame_ref", "frame", *[F.col("meta")[c].alias(c) for c in meta_cols],
                         "best", "src", "coded", "loss", "score", "status")

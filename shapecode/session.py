@@ -57,3 +57,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable (shared-storage) checkpoint; survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shapecode`` importable in Python workers (``--py-files`` equivalent).
+
+    Arrow stages (``mapInPandas``) run functions of this package on the
+    executors; when the job was not submitted with the package on
+    ``--py-files``, zip it once per application and add it to the context.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="shapecode-pyfiles-"), "shapecode.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
