@@ -17,6 +17,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_countmin_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shapecode.llm.substring_dedup import remove_repeated_windows
+
+    return remove_repeated_windows(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shapecode.llm.packing import pack
 
@@ -38,6 +44,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_countmin_windows": (op1_countmin_windows, None),
     "op3_minimum_bin_slack": (op3_minimum_bin_slack, None),
     "op9_warc_normaliser": (op9_warc_normaliser, None),
     "op10_feistel_shards": (op10_feistel_shards, None),
