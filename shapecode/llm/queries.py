@@ -29,6 +29,12 @@ def op3_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_minhash_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shapecode.llm.ngram_join import link_texts
+
+    return link_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shapecode.llm.warc import round_trip
 
@@ -46,6 +52,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_countmin_windows": (op1_countmin_windows, None),
     "op3_minimum_bin_slack": (op3_minimum_bin_slack, None),
+    "op8_minhash_banding": (op8_minhash_banding, None),
     "op9_warc_normaliser": (op9_warc_normaliser, None),
     "op10_feistel_shards": (op10_feistel_shards, None),
 }
