@@ -29,6 +29,22 @@ def op3_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shapecode.llm.embed_dedup import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_neighbour_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shapecode.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+                         F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op8_minhash_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shapecode.llm.ngram_join import link_texts
 
@@ -52,6 +68,8 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_countmin_windows": (op1_countmin_windows, None),
     "op3_minimum_bin_slack": (op3_minimum_bin_slack, None),
+    "op6_collision_counting": (op6_collision_counting, None),
+    "op7_neighbour_voting": (op7_neighbour_voting, None),
     "op8_minhash_banding": (op8_minhash_banding, None),
     "op9_warc_normaliser": (op9_warc_normaliser, None),
     "op10_feistel_shards": (op10_feistel_shards, None),
