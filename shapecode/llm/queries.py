@@ -29,6 +29,13 @@ def op3_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shapecode.llm.secrets import find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op6_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shapecode.llm.embed_dedup import link_vectors
 
@@ -68,6 +75,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_countmin_windows": (op1_countmin_windows, None),
     "op3_minimum_bin_slack": (op3_minimum_bin_slack, None),
+    "op4_trigram_index": (op4_trigram_index, None),
     "op6_collision_counting": (op6_collision_counting, None),
     "op7_neighbour_voting": (op7_neighbour_voting, None),
     "op8_minhash_banding": (op8_minhash_banding, None),
