@@ -36,6 +36,12 @@ def op4_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shapecode.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shapecode.llm.embed_dedup import link_vectors
 
@@ -76,6 +82,7 @@ REGISTRY = {
     "op1_countmin_windows": (op1_countmin_windows, None),
     "op3_minimum_bin_slack": (op3_minimum_bin_slack, None),
     "op4_trigram_index": (op4_trigram_index, None),
+    "op5_weak_supervision": (op5_weak_supervision, None),
     "op6_collision_counting": (op6_collision_counting, None),
     "op7_neighbour_voting": (op7_neighbour_voting, None),
     "op8_minhash_banding": (op8_minhash_banding, None),
