@@ -23,6 +23,12 @@ def op1_countmin_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shapecode.llm.decontaminate import leaked_items
+
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shapecode.llm.packing import pack
 
@@ -80,6 +86,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_countmin_windows": (op1_countmin_windows, None),
+    "op2_template_windows": (op2_template_windows, None),
     "op3_minimum_bin_slack": (op3_minimum_bin_slack, None),
     "op4_trigram_index": (op4_trigram_index, None),
     "op5_weak_supervision": (op5_weak_supervision, None),
