@@ -17,7 +17,8 @@ pair of similarity s shares a band with probability 1 - (1 - s**r)**b.
 
 Defined cases: a text of fewer than n words is one n-gram of all its words;
 null and empty texts have an empty set and link with nothing; rows with a null
-id link with nothing; repeated rows are members of one class; an empty table
+id link with nothing; repeated rows are members of one class; different texts
+under one id count as one node of the link graph; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -100,7 +101,7 @@ def _parts(batch, limit=1 << 22):
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int, sets: bool = False) -> DataFrame:
-    """(doc_id, grams, set_a, set_b, bands[, gram_set]) for every row; no shuffle."""
+    """(doc_id, row_key, grams, set_a, set_b, bands[, gram_set]) for every row; no shuffle."""
     ship_package(docs.sparkSession)
 
     def sign(batches):
@@ -110,18 +111,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
             for a, b, buf, off in _parts(batch):
                 text, g = _grams(buf, off, n)
                 count, da, db, out = _signature(text, g, b - a, bands, rows)
-                cols = [batch.column("doc_id").slice(a, b - a), pa.array(count.astype(np.int64)), pa.array(da), pa.array(db),
+                cols = [batch.column("doc_id").slice(a, b - a), batch.column("row_key").slice(a, b - a), pa.array(count.astype(np.int64)), pa.array(da), pa.array(db),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands, dtype=np.int32)),
                                                  pa.array(out.ravel()))]
-                names = ["doc_id", "grams", "set_a", "set_b", "bands"]
+                names = ["doc_id", "row_key", "grams", "set_a", "set_b", "bands"]
                 if sets:
                     end = np.cumsum(count)
                     cols.append(pa.array([g[e - c : e].tobytes() for e, c in zip(end, count, strict=True)], pa.binary()))
                     names.append("gram_set")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(sign, "doc_id long, grams long, set_a long, set_b long, bands array<int>"
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"))
+    return slim.mapInArrow(sign, "doc_id long, row_key long, grams long, set_a long, set_b long, bands array<int>"
                            + (", gram_set binary" if sets else ""))
 
 
@@ -173,7 +175,7 @@ def _verify(threshold):
 
 def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD,
                recall: float = RECALL, rows: int = ROWS, block_members: int = BLOCK_MEMBERS) -> DataFrame:
-    """(doc_id, class_id, n_links, group_id, kept) for every row.
+    """(doc_id, row_key, class_id, n_links, group_id, kept) for every row; row_key hashes id and text.
 
     class_id: smallest doc_id with the same n-gram set; n_links: other rows linked
     directly (equal sets included); group_id: smallest doc_id reachable by links;
@@ -228,7 +230,29 @@ def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = sig.join(known, ["set_a", "set_b", "grams"], "left")
     linked = F.col("doc_id").isNotNull() & (F.col("grams") > 0)
     pick = lambda c, other: F.when(linked, F.col(c)).otherwise(other)
-    return out.select("doc_id", pick("class_id", F.col("doc_id")).alias("class_id"),
+    return out.select("doc_id", "row_key", pick("class_id", F.col("doc_id")).alias("class_id"),
                       F.coalesce(pick("n_links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
                       pick("group_id", F.col("doc_id")).alias("group_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs``, same columns, with one row of each group: its smallest (id, hash of id and text).
+
+    Rows that link with nothing (null ids, null and empty texts among them) all
+    stay; of rows with equal id and text one stays.
+    """
+    names = docs.columns
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
+    at, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
+    own = own.withColumn("_key", F.xxhash64(at, text))
+    grouped = link_texts(docs, id_col, text_col, **options).where(F.col("n_links") > 0)   # only these can go
+    place = F.struct("doc_id", "row_key")
+    firsts = grouped.groupBy("group_id").agg(F.min(place).alias("_first"))
+    gone = grouped.join(firsts, "group_id").where(place != F.col("_first")).select("row_key").distinct()
+    again = grouped.groupBy("row_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("row_key").alias("_again"))
+    left = own.join(gone, F.col("_key") == F.col("row_key"), "left_anti").join(again, F.col("_key") == F.col("_again"), "left")
+    single = left.where("_again is null").drop("_again", "_key")
+    first = (left.where("_again is not null").groupBy("_again")
+             .agg(F.first(F.struct(*[c for c in own.columns if c != "_key"])).alias("r")).select("r.*"))
+    return single.unionByName(first).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])

@@ -67,7 +67,7 @@ def op7_neighbour_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shapecode.llm.ngram_join import link_texts
 
-    return link_texts(table(spark, sf_dir, "documents"))
+    return link_texts(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,12 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 REGISTRY = {
     "op1_countmin_windows": (op1_countmin_windows, None),
     "op2_template_windows": (op2_template_windows, None),
@@ -95,4 +101,5 @@ REGISTRY = {
     "op8_minhash_banding": (op8_minhash_banding, None),
     "op9_warc_normaliser": (op9_warc_normaliser, None),
     "op10_feistel_shards": (op10_feistel_shards, None),
+    "pipeline": (pipeline, None),
 }
