@@ -41,7 +41,7 @@ UNITS = ("km", "m", "cm", "mm", "miles", "mile", "feet", "foot", "ft", "inches",
 
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 _NAME = r"(?<=[\p{L}\p{N},;:][\x20])\p{Lu}[\p{L}\p{M}'-]*"
-_OUTER = r"(?<![^\s])[^\p{L}\p{N}<\s]+(?=[\p{L}\p{N}<])|(?<=[\p{L}\p{N}>])[^\p{L}\p{N}<\s]+(?![^\s])"
+_OUTER = r"(?<![^\s])[^\p{L}\p{N}<>\s]+(?=[\p{L}\p{N}<])|(?<=[\p{L}\p{N}>])[^\p{L}\p{N}<>\s]+(?![^\s])"
 
 
 def canonical(text: Column) -> Column:
