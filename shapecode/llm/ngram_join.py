@@ -38,9 +38,9 @@ N = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 ROWS = 5
-BLOCK_MEMBERS = 64          # members of a bucket verified against each other in one task
-BLOCK_GRAMS = 1 << 20       # and n-grams of those members
-MATRIX_COLUMNS = 1 << 16    # n-grams per step of a verification
+BLOCK_MEMBERS = 512         # members of a bucket in one block; a task verifies a pair of blocks
+BLOCK_GRAMS = 1 << 22       # and n-grams of those members
+MATRIX_CELLS = 1 << 24      # members x n-grams per step of a verification
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -134,9 +134,10 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(where, kind="stable")
     where, owner = where[order], owner[order]
     out = np.zeros((len(sets), len(sets)), dtype=np.float64)
-    for a in range(0, len(every), MATRIX_COLUMNS):
-        lo, hi = np.searchsorted(where, [a, a + MATRIX_COLUMNS])
-        m = np.zeros((len(sets), min(MATRIX_COLUMNS, len(every) - a)), dtype=np.float32)
+    width = max(1024, MATRIX_CELLS // len(sets))
+    for a in range(0, len(every), width):
+        lo, hi = np.searchsorted(where, [a, a + width])
+        m = np.zeros((len(sets), min(width, len(every) - a)), dtype=np.float32)
         m[owner[lo:hi], where[lo:hi] - a] = 1
         out += m @ m.T
     return out
