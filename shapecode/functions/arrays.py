@@ -54,9 +54,10 @@ def sumsq_expr(arr: str) -> str:
     return f"aggregate({arr}, 0D, (a, v) -> a + v * v)"
 
 
-def windows_expr(frame: str, w: int, n: int) -> str:
-    """W3 inside a row: ``2n-1`` half-overlapping windows of a frame."""
-    return f"transform(sequence(0, {2 * n - 2}), k -> slice({frame}, k * {w // 2} + 1, {w}))"
+def windows_expr(frame: str, w: int, n: int | None) -> str:
+    """W3 inside a row: ``2n-1`` half-overlapping windows of a frame (``n = None``: as many as it holds)."""
+    last = 2 * n - 2 if n else f"2 * CAST(size({frame}) / {w} AS INT) - 2"
+    return f"transform(sequence(0, {last}), k -> slice({frame}, k * {w // 2} + 1, {w}))"
 
 
 def means_expr(wins: str, w: int) -> str:

@@ -92,7 +92,7 @@ def encode(frames_with_book: DataFrame, w: int, n: int, mode: str = "centered")
     else:
         coded = A.reconstruct_tapered_expr("cents", "tnrms", w)
     df = df.withColumn("coded", F.when(F.col("book").isNotNull(), F.expr(coded)))
-    df = df.withColumn("src", F.slice("frame", F.lit(w // 2 + 1), F.lit(n * w - w)))
+    df = df.withColumn("src", F.slice("frame", F.lit(w // 2 + 1), F.lit(n * w - w) if n else F.size("frame") - F.lit(w)))
     df = df.withColumn("loss", F.expr(A.residual_expr("src", "coded")))
     df = df.withColumn("score", F.expr(A.max_abs_expr("loss")))
     df = df.withColumn("status", F.when(F.col("book").isNull(), F.lit("no_model"))

@@ -67,14 +67,18 @@ def is_positive():
 def errors_at(df: DataFrame, t) -> DataFrame:
     """One-row error report at threshold ``t`` (offline rule ``>=``).
 
-    Percentages share the denominator ``n``; ``n = 0`` gives NULL.
+    Only scored frames count; frames without a score are reported apart, as
+    ``unscored``, by this report and the sweep alike.  Percentages share the
+    denominator ``n``; ``n = 0`` gives NULL.
     """
-    pos, neg = is_positive(), ~is_positive()
+    has = F.col("score").isNotNull()
+    pos, neg = is_positive() & has, ~is_positive() & has
     t = F.lit(float(t)) if not hasattr(t, "alias") else t
     fn = F.count_if(pos & (F.col("score") < t))
     fp = F.count_if(neg & (F.col("score") >= t))
-    n = F.count(F.lit(1))
+    n = F.count("score")
     return df.agg(
+        F.count_if(~has).alias("unscored"),
         n.alias("n"), F.count_if(pos).alias("pos"), F.count_if(neg).alias("neg"),
         F.max(t).alias("t"),
         F.try_divide(F.lit(100) * (fn + fp), n).alias("total_pct"),
@@ -95,24 +99,27 @@ def threshold_sweep(df: DataFrame, step: float = SWEEP_STEP, steps: int = SWEEP_
     """Error curve for thresholds ``t_i = i * step``, ``i < steps``.
 
     Frames are bucketed by the largest threshold they reach and counted per
-    bucket (partial aggregation, <= steps+1 groups); FN(i) is the running
+    bucket (partial aggregation, <= steps+1 groups, one of them for the frames
+    without a score, which are only reported as ``unscored``); FN(i) is the running
     count of positives below bucket i and FP(i) the negatives from bucket i
     up, over a <= ``steps``-row table.  Equal to the brute-force evaluation
     of every threshold.  Scores are absolute values, so no bucket lies below 0.
     """
     spark = df.sparkSession
-    b = (df.where(F.col("score").isNotNull())
-         .withColumn("b", threshold_bucket("score", step, steps))
+    bucket = F.when(F.col("score").isNotNull(), threshold_bucket("score", step, steps)).otherwise(F.lit(-1))
+    b = (df.withColumn("b", bucket)
          .groupBy("b").agg(F.count_if(is_positive()).alias("p"), F.count_if(~is_positive()).alias("q")))
-    grid = spark.range(0, steps).withColumnRenamed("id", "i")
-    # grid is fixed-size (steps rows) and per-bucket counts are <= steps+1 rows
+    grid = spark.range(-1, steps).withColumnRenamed("id", "i")      # -1: frames without a score
+    # grid is fixed-size (steps + 1 rows) and per-bucket counts are <= steps+1 rows
     g = grid.join(F.broadcast(b), grid["i"] == b["b"], "left").select(
         "i", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q"))
+    whole = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    g = g.withColumn("unscored", F.sum(F.when(F.col("i") < 0, F.col("p") + F.col("q")).otherwise(0)).over(whole)).where("i >= 0")
     w_all = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     w_before = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     w_from = Window.orderBy("i").rowsBetween(0, Window.unboundedFollowing)
     g = g.select(
-        "i",
+        "i", "unscored",
         F.sum("p").over(w_all).alias("pos"),
         F.sum("q").over(w_all).alias("neg"),
         F.coalesce(F.sum("p").over(w_before), F.lit(0)).alias("fn"),
@@ -120,7 +127,7 @@ def threshold_sweep(df: DataFrame, step: float = SWEEP_STEP, steps: int = SWEEP_
     n = F.col("pos") + F.col("neg")
     return g.select(
         F.col("i").alias("t_index"), (F.col("i") * F.lit(step)).alias("t"),
-        n.alias("n"), "pos", "neg", "fn", "fp",
+        "unscored", n.alias("n"), "pos", "neg", "fn", "fp",
         F.try_divide(F.lit(100) * (F.col("fn") + F.col("fp")), n).alias("total_pct"),
         F.try_divide(F.lit(100) * F.col("fp"), n).alias("fp_pct"),
         F.try_divide(F.lit(100) * F.col("fn"), n).alias("fn_pct"))
@@ -143,9 +150,10 @@ def frame_profile(coded: DataFrame) -> DataFrame:
 def loss_histogram(coded: DataFrame, bins: int = 50) -> DataFrame:
     """Density histogram of each frame's loss, ``bins`` equal bins.
 
-    Built inside the row in one pass over the loss (no shuffle); last bin
-    closed; ``min = max`` uses ``[min - 0.5, max + 0.5]``.  Height =
-    count / (n * width).  Only non-empty bins are returned.
+    Built inside the row (no shuffle): the sample's bins are sorted once and
+    counted by their run ends; last bin closed; ``min = max`` uses
+    ``[min - 0.5, max + 0.5]``.  Height = count / (n * width).  All bins are
+    returned, empty ones with height 0; an empty loss gives none.
     """
     lo = F.array_min("loss")
     hi = F.array_max("loss")
@@ -154,13 +162,15 @@ def loss_histogram(coded: DataFrame, bins: int = 50) -> DataFrame:
         F.when(lo == hi, lo - F.lit(0.5)).otherwise(lo).alias("_lo"),
         F.when(lo == hi, hi + F.lit(0.5)).otherwise(hi).alias("_hi"))
     df = df.withColumn("_wd", (F.col("_hi") - F.col("_lo")) / F.lit(bins))
-    counts = F.aggregate(
-        "loss", F.array_repeat(F.lit(0).cast("bigint"), bins),
-        lambda acc, x: F.transform(acc, lambda c, j: F.when(
-            j == F.least(F.floor((x - F.col("_lo")) / F.col("_wd")).cast("int"), F.lit(bins - 1)), c + 1
-        ).otherwise(c)))
+    of = F.transform("loss", lambda x: F.least(F.floor((x - F.col("_lo")) / F.col("_wd")).cast("int"), F.lit(bins - 1)))
+    df = df.where(F.size("loss") > 0).withColumn("_bins", F.array_sort(F.concat(of, F.sequence(F.lit(0), F.lit(bins - 1)))))
+    # every bin stands once more in the sorted list, so its run ends where its last copy is
+    ends = F.filter(F.transform("_bins", lambda b, j: F.when(
+        F.get("_bins", j + 1).isNull() | (F.get("_bins", j + 1) != b), j + 1)), lambda e: e.isNotNull())
+    df = df.withColumn("_ends", ends)
+    counts = F.transform("_ends", lambda e, j: (e - F.coalesce(F.get("_ends", j - 1), F.lit(0)) - 1).cast("bigint"))
     df = df.select("source_id", "frame_ref", "_lo", "_wd", F.size("loss").alias("_n"),
-                   F.posexplode(counts).alias("bin", "cnt")).where(F.col("cnt") > 0)
+                   F.posexplode(counts).alias("bin", "cnt"))
     return df.select(
         "source_id", "frame_ref", F.col("bin").cast("int").alias("bin"),
         (F.col("_lo") + F.col("bin") * F.col("_wd")).alias("bin_lo"),

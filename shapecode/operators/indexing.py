@@ -46,10 +46,10 @@ def index_within(df: DataFrame, key: str, order_cols: list[str] | tuple[str, ...
         raise ValueError(f"unknown index method {method!r}")
     spark = df.sparkSession
     # one range partition per input split (maxPartitionBytes each), at least
-    # the shuffle width and at most four times it: a 100 TB input has ~10^6
-    # splits, far more reduce partitions than a shuffle should carry
+    # the shuffle width: a sorted piece stays as small as an input split
+    # however large the input (fewer, larger pieces: raise maxPartitionBytes)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = num_partitions or min(max(width, df.rdd.getNumPartitions()), 4 * width)
+    parts = num_partitions or max(width, df.rdd.getNumPartitions())
     ranged = (
         df.repartitionByRange(parts, key, *order_cols)
         .sortWithinPartitions(key, *order_cols)

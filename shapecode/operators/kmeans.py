@@ -1,29 +1,34 @@
 """Dictionary training (A13-A15): k-means over window shapes, every source at once.
 
-One DataFrame Lloyd loop over ``train(source_id, j, feat)``:
+One DataFrame Lloyd loop over ``train(source_id, j, feat)``, on one path
+whatever the sizes:
 
 * init  -- ``k`` evenly spaced training windows per source
-  (code ``c`` <- window ``floor(c * tr / k)``), deterministic;
+  (code ``c`` <- window ``floor(c * tr / k)``), deterministic; an all-zero
+  seed window has no shape and seeds a zero centre, so ``k`` codes remain;
 * assign + partial update -- training windows are grouped once into blocks
   of up to 256 windows per source; each iteration joins a block with the
   packed centres of its source (one dictionary copy per block) and a
   ``mapInPandas`` task finds every window's nearest centre exactly (same
   arithmetic as the SQL arg-min) and emits, per code present in the block,
-  the member count, the vector sum and the summed distance;
+  the vector sum with the member count as its last element;
 * update -- partial sums are added per ``(source, code, position)``
   (map-side partial aggregation; a hot source's codes spread over many
-  keys), divided by the member count and regrouped into centres;
+  keys) and regrouped into centres;
 * a code that lost all its windows keeps its previous centre;
 * the centres are cut from the lineage after each iteration with a
   reliable checkpoint (shared storage), so a lost executor never replays
   earlier iterations.
 
+Features are multiples of ``1/GRID``, so sums over members are exact whole
+numbers in any order, centres do not depend on partitioning, and the loop ends
+early exactly when an iteration changes no centre.
+
 ``fit_ml_codebook`` is the library path (``pyspark.ml`` KMeans, one source).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,31 +37,41 @@ from shapecode.operators import framing
 from shapecode.session import cut_lineage, ship_package
 
 
+GRID = 1 << 30             # features are multiples of 1 / GRID
+ITERATIONS = 20
+
+
+def on_grid(arr: str) -> str:
+    """Feature vector rounded to the grid."""
+    return f"transform({arr}, v -> floor(v * {GRID}D + 0.5D) / {GRID}D)"
+
+
 def window_feature_expr(w_col: str, w: int) -> str:
-    """P7 + W5 on a single window column (NULL for an all-zero window)."""
+    """P7 + W5 on a single window column, on the grid (NULL for an all-zero window)."""
     taper = A.array_literal(A.taper_values(w))
     avg = f"({A.sum_expr(w_col)} / {w})"
     nrm = f"sqrt({A.sumsq_expr(w_col)})"
-    return (f"transform(array(named_struct('a', {avg}, 'n', {nrm})), s -> IF(s.n = 0D, NULL, "
-            f"zip_with(transform({w_col}, v -> (v - s.a) / s.n), {taper}, (a, b) -> a * b)))[0]")
+    feat = on_grid(f"zip_with(transform({w_col}, v -> (v - s.a) / s.n), {taper}, (a, b) -> a * b)")
+    return f"transform(array(named_struct('a', {avg}, 'n', {nrm})), s -> IF(s.n = 0D, NULL, {feat}))[0]"
 
 
 def training_set(samples: DataFrame, w: int, step: int) -> tuple[DataFrame, DataFrame]:
-    """(train(source_id, j, feat), budget) -- the first 20 % of sliding windows."""
+    """(train(source_id, j, feat), budget) -- the first 20 % of sliding windows
+    (``feat`` is NULL for an all-zero window)."""
     budget = framing.training_budget(samples, w, step)
     wins = framing.sliding_windows(samples, w, step, budget)
     train = wins.select("source_id", "j", F.expr(window_feature_expr("w", w)).alias("feat"))
-    return A.fence(train).where(F.col("feat").isNotNull()), budget
+    return A.fence(train), budget
 
 
-def init_centers(train: DataFrame, budget: DataFrame) -> DataFrame:
-    """Code ``c`` starts at training window ``floor(c * tr / k)``, ``c < k``."""
+def init_centers(train: DataFrame, budget: DataFrame, w: int) -> DataFrame:
+    """Code ``c`` starts at training window ``floor(c * tr / k)``, ``c < k`` (a zero centre for an all-zero window)."""
     b = budget.where(F.col("k") > 0).select("source_id", "tr", "k")
     t = train.join(b, "source_id")
     c = F.floor((F.col("j") * F.col("k") + F.col("tr") - 1) / F.col("tr")).cast("bigint")
     t = t.withColumn("code", c)
     t = t.where((F.col("code") < F.col("k")) & (F.floor(F.col("code") * F.col("tr") / F.col("k")) == F.col("j")))
-    return t.select("source_id", F.col("code").cast("int").alias("code"), F.col("feat").alias("center"))
+    return t.select("source_id", F.col("code").cast("int").alias("code"), F.coalesce("feat", F.array_repeat(F.lit(0.0), w)).alias("center"))
 
 
 def assign(train: DataFrame, centers: DataFrame) -> DataFrame:
@@ -69,26 +84,16 @@ def assign(train: DataFrame, centers: DataFrame) -> DataFrame:
     return out.select("source_id", "j", "feat", F.col("b.code").alias("code"), F.col("b.d").alias("d"))
 
 
-def update(assigned: DataFrame, previous: DataFrame, w: int) -> DataFrame:
-    """Mean of the assigned windows per code; empty codes keep their centre."""
-    sums = (assigned.select("source_id", "code", F.posexplode("feat").alias("pos", "v"))
-            .groupBy("source_id", "code", "pos").agg(F.avg("v").alias("v")))
-    new = sums.groupBy("source_id", "code").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda z: z["v"]).alias("new_center"))
-    return (previous.join(new, ["source_id", "code"], "left")
-            .select("source_id", "code", F.coalesce("new_center", "center").alias("center")))
-
-
 def window_blocks(train: DataFrame, block: int = 256) -> DataFrame:
     """``train(source_id, j, feat)`` -> ``(source_id, blk, items)``, at most
     ``block`` windows per row (a bounded group)."""
-    return train.groupBy("source_id", F.floor(F.col("j") / F.lit(block)).cast("bigint").alias("blk")).agg(
+    return train.where(F.col("feat").isNotNull()).groupBy("source_id", F.floor(F.col("j") / F.lit(block)).cast("bigint").alias("blk")).agg(
         F.collect_list(F.struct("j", "feat")).alias("items"))
 
 
 def block_partials(blocks: DataFrame, centers: DataFrame) -> DataFrame:
-    """Assign every window of every block; emit per-(source, code) partials
-    ``(cnt, vec, cost)`` with ``vec`` the sum of the member features."""
+    """Assign every window of every block; emit per (source, code) ``vec``: the
+    member features' sum in grid units, then the member count."""
     import numpy as np
     import pandas as pd
 
@@ -98,7 +103,7 @@ def block_partials(blocks: DataFrame, centers: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("code", "center"))).alias("book"))
     joined = blocks.join(packed, "source_id", "inner")
     sid = dict(joined.dtypes)["source_id"]
-    cols = ["source_id", "code", "cnt", "vec", "cost"]
+    cols = ["source_id", "code", "vec"]
 
     def run(batches):
         for pdf in batches:
@@ -108,73 +113,47 @@ def block_partials(blocks: DataFrame, centers: DataFrame) -> DataFrame:
                 if cent is None:
                     continue
                 feats = np.array([np.asarray(it["feat"], dtype=float) for it in r.items])
-                ci, d = _nearest(feats, cent, codes)
+                ci, _d = _nearest(feats, cent, codes)
+                whole = np.rint(feats * GRID).astype(np.int64)
                 for c in np.unique(ci):
                     m = ci == c
-                    out.append((r.source_id, int(codes[c]), int(m.sum()), feats[m].sum(axis=0), float(d[m].sum())))
+                    out.append((r.source_id, int(codes[c]), np.append(whole[m].sum(axis=0), m.sum())))
             if out:
                 yield pd.DataFrame(out, columns=cols)
 
     ship_package(joined.sparkSession)
-    return joined.mapInPandas(run, f"source_id {sid}, code int, cnt bigint, vec array<double>, cost double")
+    return joined.mapInPandas(run, f"source_id {sid}, code int, vec array<bigint>")
 
 
-def update_from_partials(partials: DataFrame, previous: DataFrame) -> DataFrame:
+def update_from_partials(partials: DataFrame, previous: DataFrame, w: int) -> DataFrame:
     """Centre = summed member features / member count; empty codes keep theirs."""
-    n = partials.groupBy("source_id", "code").agg(F.sum("cnt").alias("n"))
     v = (partials.select("source_id", "code", F.posexplode("vec").alias("pos", "v"))
          .groupBy("source_id", "code", "pos").agg(F.sum("v").alias("v")))
-    new = (v.join(n, ["source_id", "code"]).withColumn("v", F.col("v") / F.col("n"))
-           .groupBy("source_id", "code")
-           .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda z: z["v"]).alias("new_center")))
+    new = (v.groupBy("source_id", "code")
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda z: z["v"]).alias("vec")))
+    new = new.select("source_id", "code", F.transform(
+        F.slice("vec", 1, w), lambda x: x.cast("double") / F.element_at("vec", -1).cast("double") / F.lit(float(GRID))).alias("new_center"))
     return (previous.join(new, ["source_id", "code"], "left")
             .select("source_id", "code", F.coalesce("new_center", "center").alias("center")))
 
 
-SMALL_BOOK_VALUES = 4096   # k * W up to which a dictionary rides along each window row
-
-
-def lloyd(train: DataFrame, budget: DataFrame, w: int, max_iter: int = 20,
-          tol: float | None = 0.0, checkpoint: bool = True, method: str = "auto") -> DataFrame:
+def lloyd(train: DataFrame, budget: DataFrame, w: int, max_iter: int = ITERATIONS) -> DataFrame:
     """All-source Lloyd iterations; returns the long codebook.
 
-    Stops after ``max_iter`` or, when ``tol`` is not None, once the total
-    squared distance falls by no more than ``tol`` (one number per
-    iteration reaches the driver).  ``method``: ``blocks`` (vectorised,
-    one dictionary copy per block of windows), ``sql`` (SQL arg-min with the
-    dictionary on every window row) or ``auto``: ``sql`` while the largest
-    dictionary holds at most ``SMALL_BOOK_VALUES`` numbers, else ``blocks``.
+    Runs ``max_iter`` iterations, or fewer where one changes no centre (every
+    later one would repeat it); one checksum per iteration reaches the driver.
     """
-    if method == "auto":
-        max_k = budget.agg(F.max("k")).first()[0] or 0
-        method = "sql" if max_k * w <= SMALL_BOOK_VALUES else "blocks"
-    if checkpoint:
-        train = cut_lineage(train)      # read every iteration: materialise once
-    centers = init_centers(train, budget)
-    if checkpoint:
-        centers = cut_lineage(centers)
-    blocks = window_blocks(train) if method == "blocks" else None
-    if blocks is not None and checkpoint:
-        blocks = cut_lineage(blocks)
-    last = None
+    train = cut_lineage(train)      # read every iteration: materialise once
+    centers = cut_lineage(init_centers(train, budget, w))
+    blocks = cut_lineage(window_blocks(train))
+    mark = F.sum(F.xxhash64("source_id", "code", "center").cast("decimal(38,0)"))
+    seen = centers.agg(mark).first()[0]
     for _ in range(max_iter):
-        if method == "blocks":
-            part = block_partials(blocks, centers).persist(StorageLevel.MEMORY_AND_DISK)
-            new_centers = update_from_partials(part, centers)
-            cost_of = part
-        else:
-            part = assign(train, centers).persist(StorageLevel.MEMORY_AND_DISK)
-            new_centers = update(part, centers, w)
-            cost_of = part.withColumnRenamed("d", "cost")
-        centers = cut_lineage(new_centers) if checkpoint else new_centers
-        stop = False
-        if tol is not None:
-            cost = cost_of.agg(F.sum("cost")).first()[0] or 0.0
-            stop = last is not None and last - cost <= tol
-            last = cost
-        part.unpersist()
-        if stop:
+        centers = cut_lineage(update_from_partials(block_partials(blocks, centers), centers, w))
+        now = centers.agg(mark).first()[0]
+        if now == seen:
             break
+        seen = now
     return centers
 
 

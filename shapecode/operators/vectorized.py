@@ -176,25 +176,28 @@ def encode_blocks(blocks_with_book: DataFrame, w: int, n: int, mode: str = "cent
     return blocks_with_book.mapInPandas(run, OUT_SCHEMA.format(sid=sid_type))
 
 
-def frame_blocks(frames: DataFrame, frame_len: int, meta_cols: list[str], block: int = 64) -> DataFrame:
-    """Frame rows -> ``(source_id, block_no, items)``: up to ``block`` frames of
-    one source per row (by ``frame_ref``), each item carrying its ``meta``."""
-    key = F.floor(F.col("frame_ref") / F.lit(frame_len * block)).cast("bigint")
-    item = F.struct("frame_ref", "frame", F.struct(*meta_cols).alias("meta"))
-    return frames.groupBy("source_id", key.alias("block_no")).agg(F.collect_list(item).alias("items"))
-
-
-def encode_frame_rows(frames: DataFrame, packed: DataFrame, w: int, n: int, mode: str = "centered",
-                      meta_cols: list[str] | None = None, block: int = 64) -> DataFrame:
+def frame_blocks(frames: DataFrame, meta_cols: list[str], span: int = 1024) -> DataFrame:
+    """Frame rows -> ``(source_id, block_no, items)``: the frames of one source
+    among ``span`` rows that stand together in the input, so a block never
+    holds more than ``span`` frames, whatever their ``frame_ref`` says."""
+    key = F.floor(F.monotonically_increasing_id() / F.lit(span)).cast("bigint")
+    item = F.struct("frame_ref", "frame", "status", F.struct(*meta_cols).alias("meta"))
+    return (frames.withColumn("block_no", key).groupBy("source_id", "block_no")
+            .agg(F.collect_list(item).alias("items")))
+
+
+def encode_frame_rows(frames: DataFrame, packed: DataFrame, w: int, mode: str = "centered",
+                      meta_cols: list[str] | None = None, span: int = 1024) -> DataFrame:
     """Vectorised coding of arbitrary frame rows (e.g. a streaming micro-batch).
 
-    ``frames(source_id, frame_ref, frame, *meta_cols)`` with ``size(frame) = w*n``;
-    returns the meta columns plus ``best, src, coded, loss, score, status``.
+    ``frames(source_id, frame_ref, frame, status, *meta_cols)``; a frame of
+    status ``ok`` holds a whole number of windows, any other row passes
+    through uncoded.  Returns the meta columns plus ``best, src, coded, loss,
+    score, status``.
     """
     meta_cols = meta_cols or []
-    L = w * n
     taper = np.array(taper_values(w))
-    blocks = frame_blocks(frames, L, meta_cols, block).join(packed, "source_id", "left")
+    blocks = frame_blocks(frames, meta_cols, span).join(packed, "source_id", "left")
     sid_type = dict(blocks.dtypes)["source_id"]
     meta_type = frames.select(F.struct(*meta_cols).alias("m")).schema["m"].dataType.simpleString()
     schema = (f"source_id {sid_type}, frame_ref bigint, frame array<double>, meta {meta_type}, "
@@ -206,11 +209,19 @@ def encode_frame_rows(frames: DataFrame, packed: DataFrame, w: int, n: int, mode
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                items = list(r.items)
-                frames_ = np.array([np.asarray(it["frame"], dtype=float) for it in items])
                 centers, codes = _book_arrays(r.book)
-                for it, fr, res in zip(items, frames_, _frame_outputs(frames_, centers, codes, w, n, mode, taper)):
-                    out.append((r.source_id, int(it["frame_ref"]), fr, it["meta"], *res))
+                by_length: dict[int, list] = {}
+                for it in r.items:
+                    if it["status"] == "ok":
+                        by_length.setdefault(len(it["frame"]), []).append(it)
+                    else:
+                        out.append((r.source_id, int(it["frame_ref"]), it["frame"], it["meta"],
+                                    None, None, None, None, None, it["status"]))
+                for length, items in by_length.items():
+                    frames_ = np.array([np.asarray(it["frame"], dtype=float) for it in items])
+                    res_ = _frame_outputs(frames_, centers, codes, w, length // w, mode, taper)
+                    for it, fr, res in zip(items, frames_, res_):
+                        out.append((r.source_id, int(it["frame_ref"]), fr, it["meta"], *res))
             if out:
                 yield pd.DataFrame(out, columns=cols)
 

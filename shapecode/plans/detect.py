@@ -27,26 +27,28 @@ def detect(events: DataFrame, packed_books: DataFrame, w: int = SIGNAL_WINDOW, n
            mode: str = "centered", method: str = "vectorized") -> DataFrame:
     """Score frame events.  ``packed_books(source_id STRING, book)`` keyed by patient id.
 
+    A frame holds any whole number of windows (``n`` is only what the batch
+    forms cut); other lengths are ``bad_length``.
+
     Output columns: ``srcId, srcTs, frameRef, patient_id, frame_ref, event_time,
     frame, src, coded, loss, score, codes, status``.
     """
     dec = decode_frame_events(events)
     bad_value = F.exists("frame", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    dec = dec.withColumn("status", F.when((F.col("status") == "ok") & (F.size("frame") != F.lit(n * w)),
+    dec = dec.withColumn("status", F.when((F.col("status") == "ok") & ((F.size("frame") < F.lit(w)) | (F.size("frame") % F.lit(w) != 0)),
                                           F.lit("bad_length"))
                          .when((F.col("status") == "ok") & bad_value, F.lit("bad_sample"))
                          .otherwise(F.col("status")))
-    good = dec.where(F.col("status") == "ok").withColumn("source_id", F.col("patient_id"))
-    bad = dec.where(F.col("status") != "ok")
     meta = ["srcId", "srcTs", "frameRef", "patient_id", "event_time"]
-    if method == "vectorized":
-        scored = V.encode_frame_rows(good.select("source_id", "frame_ref", "frame", *meta), packed_books,
-                                     w, n, mode, meta_cols=meta)
-    else:
-        scored = coding.score_frames(good, packed_books, w, n, mode)
-    scored = scored.withColumn("codes", coding.codes_string())
     cols = ["srcId", "srcTs", "frameRef", "patient_id", "frame_ref", "event_time", "frame",
             "src", "coded", "loss", "score", "codes", "status"]
+    if method == "vectorized":      # unusable rows pass through, so a micro-batch is parsed once
+        rows = dec.withColumn("source_id", F.col("patient_id")).select("source_id", "frame_ref", "frame", "status", *meta)
+        scored = V.encode_frame_rows(rows, packed_books, w, mode, meta_cols=meta)
+        return scored.withColumn("codes", F.when(F.col("best").isNotNull(), coding.codes_string())).select(*cols)
+    good = dec.where(F.col("status") == "ok").withColumn("source_id", F.col("patient_id"))
+    bad = dec.where(F.col("status") != "ok")
+    scored = coding.score_frames(good, packed_books, w, None, mode).withColumn("codes", coding.codes_string())
     empty = {"src": "array<double>", "coded": "array<double>", "loss": "array<double>",
              "score": "double", "codes": "string"}
     bad = bad.select(*[F.lit(None).cast(empty[c]).alias(c) if c in empty else F.col(c) for c in cols])
@@ -59,5 +61,5 @@ def anomalies(scored: DataFrame, threshold: float = ANOMALY_THRESHOLD) -> DataFr
 
 
 def with_time_path(scored: DataFrame) -> DataFrame:
-    """Archive path of the batch, from the batch's own time (not start-up time)."""
-    return scored.withColumn("time_path", date_path(F.current_timestamp()))
+    """Archive path of every frame, from its own event time: a replay gives the same path."""
+    return scored.withColumn("time_path", date_path(F.col("event_time")))

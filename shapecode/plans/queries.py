@@ -46,25 +46,34 @@ def frames_of(spark: SparkSession, sf_dir: str, spec: SignalSpec) -> DataFrame:
     return framing.tumbling_frames(signal_samples(spark, sf_dir, spec), spec.frame_len)
 
 
-def first_frame_books(samples: DataFrame, spec: SignalSpec, mode: str = "centered") -> DataFrame:
-    """Packed dictionaries from each source's first frame (only ``i < L`` is read)."""
-    f0 = framing.tumbling_frames(samples.where(F.col("i") < F.lit(spec.frame_len)), spec.frame_len)
-    return coding.pack_codebook(coding.first_frame_codebook(f0, spec.w, spec.n, mode))
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_codebook(spark: SparkSession, sf_dir: str, spec: SignalSpec) -> DataFrame:
+    """The signal's trained dictionary, read from the store (K7, S13); trained and saved on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, spec.name)
+    if key not in _STORED:
+        path = scratch_dir(spark, f"codebook-{spec.name}")
+        train, budget = KM.training_set(signal_samples(spark, sf_dir, spec), spec.w, spec.step)
+        WR.save_codebook(KM.lloyd(train, budget, spec.w), path, spec.w, spec.step)
+        _STORED[key] = path
+    return WR.load_codebook(spark, _STORED[key], spec.w, spec.step).select("source_id", "code", "center")
 
 
 def scored(spark: SparkSession, sf_dir: str, spec: SignalSpec, mode: str = "centered",
            method: str = "vectorized", samples: DataFrame | None = None) -> DataFrame:
-    """Every frame of a signal coded against its first-frame dictionary.
+    """Every frame of a source with a dictionary, coded against its trained dictionary.
 
     ``vectorized``: blocks of frames + Arrow/numpy nearest-code search;
     ``sql``: frame rows + higher-order functions.  Both give identical rows.
     """
     samples = samples if samples is not None else signal_samples(spark, sf_dir, spec)
-    book = first_frame_books(samples, spec, mode)
+    book = coding.pack_codebook(stored_codebook(spark, sf_dir, spec))
     if method == "vectorized":
-        return V.score_samples(samples, book, spec.w, spec.n, mode)
-    frames = framing.tumbling_frames(samples, spec.frame_len)
-    return coding.score_frames(frames, book, spec.w, spec.n, mode)
+        out = V.score_samples(samples, book, spec.w, spec.n, mode)
+    else:
+        out = coding.score_frames(framing.tumbling_frames(samples, spec.frame_len), book, spec.w, spec.n, mode)
+    return out.where(F.col("status") != "no_model")
 
 
 # ---------------------------------------------------------------- samples, frames
@@ -90,7 +99,7 @@ def frames_tumbling(spark, sf_dir):
 
 # ---------------------------------------------------------------- flagship
 def _scores_sql(spec: SignalSpec, mode: str) -> str:
-    return Q.pipeline_prefix(spec, mode) + ", scores AS (" + Q.scores_select(spec) + ") SELECT * FROM scores"
+    return Q.trained_prefix(spec, mode) + ", scores AS (" + Q.scores_select(spec) + ") SELECT * FROM scores"
 
 
 def _scores_out(df: DataFrame) -> DataFrame:
@@ -228,7 +237,7 @@ def taper_overlap_check(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- coding details
-@register("nearest_code", Q.pipeline_prefix(LI, "centered") + " SELECT source_id, frame_no, CAST(k AS INTEGER) AS k, code, d FROM nearest")
+@register("nearest_code", Q.trained_prefix(LI, "centered") + " SELECT source_id, frame_no, CAST(k AS INTEGER) AS k, code, d FROM nearest")
 def nearest_code(spark, sf_dir):
     """Nearest dictionary code (least squared distance, ties -> lowest code)."""
     df = scored(spark, sf_dir, LI, "centered")
@@ -238,7 +247,7 @@ def nearest_code(spark, sf_dir):
                     F.col("b.code").alias("code"), F.col("b.d").alias("d")))
 
 
-_CODED_LI = Q.pipeline_prefix(LI, "centered") + f", ca AS ({Q.coded_arrays_select(LI)})"
+_CODED_LI = Q.trained_prefix(LI, "centered") + f", ca AS ({Q.coded_arrays_select(LI)})"
 
 
 @register("frame_profile", _CODED_LI + (
@@ -254,9 +263,11 @@ def frame_profile(spark, sf_dir):
     ", hb AS (SELECT source_id, frame_ref, loss, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo2, "
     "CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi2 FROM (SELECT *, list_min(loss) AS lo, list_max(loss) AS hi FROM ca)), "
     "hw AS (SELECT *, (hi2 - lo2) / 50 AS wd, len(loss) AS n FROM hb), "
-    "he AS (SELECT source_id, frame_ref, lo2, wd, n, least(CAST(floor((unnest(loss) - lo2) / wd) AS INTEGER), 49) AS bin FROM hw) "
-    "SELECT source_id, frame_ref, bin, lo2 + bin * wd AS bin_lo, CAST(count(*) AS BIGINT) AS cnt, count(*) / (n * wd) AS height "
-    "FROM he GROUP BY source_id, frame_ref, bin, lo2, wd, n"))
+    "he AS (SELECT source_id, frame_ref, least(CAST(floor((unnest(loss) - lo2) / wd) AS INTEGER), 49) AS bin FROM hw), "
+    "hc AS (SELECT source_id, frame_ref, bin, count(*) AS c FROM he GROUP BY ALL), "
+    "hg AS (SELECT source_id, frame_ref, lo2, wd, n, CAST(unnest(range(0, 50)) AS INTEGER) AS bin FROM hw WHERE n > 0) "
+    "SELECT source_id, frame_ref, bin, lo2 + bin * wd AS bin_lo, CAST(coalesce(c, 0) AS BIGINT) AS cnt, "
+    "coalesce(c, 0) / (n * wd) AS height FROM hg LEFT JOIN hc USING (source_id, frame_ref, bin)"))
 def loss_histogram(spark, sf_dir):
     """50-bin density histogram of each frame's loss."""
     from shapecode.operators.evaluate import loss_histogram as lh
@@ -343,10 +354,9 @@ def labelled_of(spark, sf_dir, spec=LI):
     return EV.with_region(lf, cutoffs_of(samples, spec))
 
 
-_EVAL_PRE = (Q.pipeline_prefix(LI, "centered") + f", scores AS ({Q.scores_select(LI)}), "
+_EVAL_PRE = (Q.trained_prefix(LI, "centered") + f", scores AS ({Q.scores_select(LI)}), "
              + Q.labels_ctes(LI, ANNOTATION_CODES["lineitem"])
-             + f", bud AS ({Q.budget_cte(LI)}), "
-             "lf AS (SELECT s.source_id, s.frame_ref, l.label, s.score, CASE WHEN s.frame_ref <= bud.samples_used "
+             + ", lf AS (SELECT s.source_id, s.frame_ref, l.label, s.score, CASE WHEN s.frame_ref <= bud.samples_used "
              "THEN 'train' ELSE 'rest' END AS region FROM scores s JOIN labels l ON s.source_id = l.record_id "
              "AND s.frame_ref = l.frame_ref LEFT JOIN bud ON s.source_id = bud.source_id), "
              "rest AS (SELECT * FROM lf WHERE region = 'rest'), "
@@ -355,22 +365,24 @@ _EVAL_PRE = (Q.pipeline_prefix(LI, "centered") + f", scores AS ({Q.scores_select
              f"floor({Q.dlit(0.4)} * count(*) OVER (PARTITION BY source_id)) THEN 'validation' ELSE 'test' END AS split FROM rest), "
              "val AS (SELECT * FROM sp WHERE split = 'validation'), tst AS (SELECT * FROM sp WHERE split = 'test'), "
              f"grid AS (SELECT CAST(r.i AS BIGINT) AS t_index, r.i * {Q.dlit(SWEEP_STEP)} AS t FROM range(0, {SWEEP_STEPS}) r(i)), "
-             "curve AS (SELECT t_index, t, n, pos, neg, fn, fp, 100 * (fn + fp) / n AS total_pct, 100 * fp / n AS fp_pct, "
+             "curve AS (SELECT t_index, t, unscored, n, pos, neg, fn, fp, 100 * (fn + fp) / n AS total_pct, 100 * fp / n AS fp_pct, "
              "100 * fn / n AS fn_pct FROM (SELECT g.t_index, g.t, "
-             "(SELECT CAST(count(*) AS BIGINT) FROM val) AS n, "
-             "(SELECT CAST(count_if(label <> 'N') AS BIGINT) FROM val) AS pos, "
-             "(SELECT CAST(count_if(label = 'N') AS BIGINT) FROM val) AS neg, "
+             "(SELECT CAST(count_if(score IS NULL) AS BIGINT) FROM val) AS unscored, "
+             "(SELECT CAST(count(score) AS BIGINT) FROM val) AS n, "
+             "(SELECT CAST(count_if(label <> 'N' AND score IS NOT NULL) AS BIGINT) FROM val) AS pos, "
+             "(SELECT CAST(count_if(label = 'N' AND score IS NOT NULL) AS BIGINT) FROM val) AS neg, "
              "(SELECT CAST(count_if(v.label <> 'N' AND v.score < g.t) AS BIGINT) FROM val v) AS fn, "
              "(SELECT CAST(count_if(v.label = 'N' AND v.score >= g.t) AS BIGINT) FROM val v) AS fp FROM grid g)), "
              "best AS (SELECT * FROM curve ORDER BY total_pct, t_index LIMIT 1)")
 
 
 def _errors_sql(rel: str, t: str) -> str:
-    return (f" SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(label <> 'N') AS BIGINT) AS pos, "
-            f"CAST(count_if(label = 'N') AS BIGINT) AS neg, max({t}) AS t, "
-            f"100 * (count_if(label <> 'N' AND score < {t}) + count_if(label = 'N' AND score >= {t})) / count(*) AS total_pct, "
-            f"100 * count_if(label = 'N' AND score >= {t}) / count(*) AS fp_pct, "
-            f"100 * count_if(label <> 'N' AND score < {t}) / count(*) AS fn_pct FROM {rel}")
+    return (f" SELECT CAST(count_if(score IS NULL) AS BIGINT) AS unscored, CAST(count(score) AS BIGINT) AS n, "
+            f"CAST(count_if(label <> 'N' AND score IS NOT NULL) AS BIGINT) AS pos, "
+            f"CAST(count_if(label = 'N' AND score IS NOT NULL) AS BIGINT) AS neg, max({t}) AS t, "
+            f"100 * (count_if(label <> 'N' AND score < {t}) + count_if(label = 'N' AND score >= {t})) / count(score) AS total_pct, "
+            f"100 * count_if(label = 'N' AND score >= {t}) / count(score) AS fp_pct, "
+            f"100 * count_if(label <> 'N' AND score < {t}) / count(score) AS fn_pct FROM {rel}")
 
 
 @register("labelled_frames", _EVAL_PRE + " SELECT source_id, frame_ref, label, score, region FROM lf")
@@ -428,7 +440,7 @@ def test_error(spark, sf_dir):
 
 # ---------------------------------------------------------------- anomalies
 EV_ = EVENTS
-_ANOM_PRE = Q.pipeline_prefix(EV_, "centered") + f", scores AS ({Q.scores_select(EV_)})"
+_ANOM_PRE = Q.trained_prefix(EV_, "centered") + f", scores AS ({Q.scores_select(EV_)})"
 
 
 @register("anomalies", _ANOM_PRE + f" SELECT source_id, frame_ref, score FROM scores WHERE score > {Q.dlit(ANOMALY_THRESHOLD)}")
@@ -468,36 +480,18 @@ def word_filter(spark, sf_dir):
 
 # ---------------------------------------------------------------- dictionary training
 
-LLOYD_CHECK_ITERATIONS = 2
-
-
-def trained_codebook(spark, sf_dir, spec=LI, max_iter=20, tol=0.0):
-    samples = signal_samples(spark, sf_dir, spec)
-    train, budget = KM.training_set(samples, spec.w, spec.step)
-    return KM.lloyd(train, budget, spec.w, max_iter=max_iter, tol=tol)
-
-
-@register("codebook_lloyd", "WITH " + Q.lloyd_ctes(LI, LLOYD_CHECK_ITERATIONS) + (
+@register("codebook_lloyd", "WITH " + Q.lloyd_ctes(LI, KM.ITERATIONS) + (
     f" SELECT source_id, code, {Q.r6(Q.lsum('center'))} AS center_sum, "
-    f"{Q.r6(Q.lsum('list_transform(center, lambda v: v * v)'))} AS center_sumsq FROM c{LLOYD_CHECK_ITERATIONS}"))
+    f"{Q.r6(Q.lsum('list_transform(center, lambda v: v * v)'))} AS center_sumsq FROM c{KM.ITERATIONS}"))
 def codebook_lloyd(spark, sf_dir):
-    """A13(b)-A15: all-source Lloyd k-means, two iterations (the SQL check)."""
-    cb = trained_codebook(spark, sf_dir, LI, max_iter=LLOYD_CHECK_ITERATIONS, tol=None)
+    """A13(b)-A15: all-source Lloyd k-means, 20 iterations."""
+    train, budget = KM.training_set(signal_samples(spark, sf_dir, LI), LI.w, LI.step)
+    cb = KM.lloyd(train, budget, LI.w)
     return cb.select("source_id", "code",
                      F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v), 6).alias("center_sum"),
                      F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v * v), 6).alias("center_sumsq"))
 
 
-@register("frame_scores_trained", None)
-def frame_scores_trained(spark, sf_dir):
-    """W10 with a trained dictionary: Lloyd (up to 20 iterations, stop when the
-    cost stops falling) on the first 20 % of each source, then score every frame."""
-    samples = signal_samples(spark, sf_dir, LI)
-    train, budget = KM.training_set(samples, LI.w, LI.step)
-    cb = KM.lloyd(train, budget, LI.w, max_iter=20, tol=0.0)
-    return _scores_out(V.score_samples(samples, coding.pack_codebook(cb), LI.w, LI.n, "centered"))
-
-
 # ---------------------------------------------------------------- wire format, archive, detector
 
 
@@ -538,12 +532,10 @@ def frame_event_roundtrip(spark, sf_dir):
 
 
 def _event_books(spark, sf_dir, spec=EVENTS):
-    frames = frames_of(spark, sf_dir, spec)
-    cb = coding.first_frame_codebook(frames, spec.w, spec.n).withColumn("source_id", F.col("source_id").cast("string"))
-    return coding.pack_codebook(cb)
+    return coding.pack_codebook(stored_codebook(spark, sf_dir, spec).withColumn("source_id", F.col("source_id").cast("string")))
 
 
-_STREAM_SQL = (Q.pipeline_prefix(EVENTS, "centered") + f", scores AS ({Q.scores_select(EVENTS)}) "
+_STREAM_SQL = (Q.trained_prefix(EVENTS, "centered") + f", scores AS ({Q.scores_select(EVENTS)}) "
                "SELECT CAST(source_id AS VARCHAR) AS patient_id, frame_ref, score, codes, status FROM scores")
 
 
@@ -554,7 +546,8 @@ def stream_detect(spark, sf_dir):
     root = scratch_dir(spark, "stream")
     EVT.frame_events(raw_event_frames(spark, sf_dir)).write.mode("overwrite").text(f"{root}/in")
     from shapecode.streaming.detector import file_frames, start_detector
-    q = start_detector(file_frames(spark, f"{root}/in"), _event_books(spark, sf_dir),
+    stored_codebook(spark, sf_dir, EVENTS)      # the detector reads the store for every micro-batch
+    q = start_detector(file_frames(spark, f"{root}/in"), lambda: _event_books(spark, sf_dir),
                        f"{root}/archive", f"{root}/anomalies", f"{root}/quarantine", f"{root}/_chk",
                        available_now=True, w=EVENTS.w, n=EVENTS.n)
     q.awaitTermination()
@@ -562,7 +555,7 @@ def stream_detect(spark, sf_dir):
     return arch.select("patient_id", "frame_ref", "score", "codes", "status")
 
 
-@register("anomaly_json", Q.pipeline_prefix(EVENTS, "centered") + f", scores AS ({Q.scores_select(EVENTS)}) " + (
+@register("anomaly_json", Q.trained_prefix(EVENTS, "centered") + f", scores AS ({Q.scores_select(EVENTS)}) " + (
     f"SELECT 'inj./data/' || CAST(source_id AS VARCHAR) || '.dat' AS srcId, CAST(frame_ref AS DOUBLE) AS frameRef, "
     f"score AS maxLoss FROM scores WHERE score > {Q.dlit(ANOMALY_THRESHOLD)}"))
 def anomaly_json(spark, sf_dir):
@@ -582,12 +575,12 @@ def anomaly_json(spark, sf_dir):
 def no_model_frames(spark, sf_dir):
     """J2 misses: frames of sources without a trained dictionary (too short
     to train one); kept with status ``no_model`` instead of failing."""
-    cb = trained_codebook(spark, sf_dir, EVENTS, max_iter=20, tol=0.0)
+    cb = stored_codebook(spark, sf_dir, EVENTS)
     sc = coding.score_frames(frames_of(spark, sf_dir, EVENTS), coding.pack_codebook(cb), EVENTS.w, EVENTS.n)
     return sc.where(F.col("status") == "no_model").select("source_id", "frame_ref", "status")
 
 
-@register("archive_roundtrip", Q.pipeline_prefix(LI, "centered") + f", ca AS ({Q.coded_arrays_select(LI)}) " + (
+@register("archive_roundtrip", Q.trained_prefix(LI, "centered") + f", ca AS ({Q.coded_arrays_select(LI)}) " + (
     "SELECT 'inj./data/' || CAST(source_id AS VARCHAR) || '.dat' AS srcId, frame_ref, score AS max_err, "
     "CAST(len(src) AS BIGINT) AS n_src, CAST(len(coded) AS BIGINT) AS n_coded, CAST(len(loss) AS BIGINT) AS n_loss, "
     f"{Q.lsum('loss')} AS loss_sum FROM ca"))
@@ -637,13 +630,6 @@ def decode_check(spark, sf_dir):
                                       F.count_if(bad).cast("bigint").alias("n_mismatch"))
 
 
-@register("input_inventory", None)
-def input_inventory(spark, sf_dir):
-    """Listing of the input files with record counts (content not read)."""
-    inv = BIN.inventory(spark, sf_dir, glob="*.parquet", record_bytes=3)
-    return inv.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "n_records", "remainder")
-
-
 _APNEA_CODE = "CASE WHEN event_type = 'error' THEN 'A' ELSE 'N' END"
 
 
@@ -677,29 +663,36 @@ def encode_centered(spark, sf_dir):
                      F.aggregate("loss", F.lit(0.0), lambda a, v: a + v).alias("loss_sum"))
 
 
-_LLOYD_BOOK = (f"SELECT source_id, code, center FROM c{LLOYD_CHECK_ITERATIONS}")
-
+@register("codebook_store_roundtrip", "WITH " + Q.lloyd_ctes(EVENTS, 0) + (
+    ", coarse AS (SELECT source_id, code, 16 AS w, 2 AS step, CAST(16 AS BIGINT) AS n FROM c0), "
+    f"fine AS (SELECT source_id, code, {EVENTS.w} AS w, {EVENTS.step} AS step, CAST({EVENTS.w} AS BIGINT) AS n FROM c0) "
+    "SELECT * FROM coarse UNION ALL SELECT * FROM fine"))
+def codebook_store_roundtrip(spark, sf_dir):
+    """K7 + S13: two window sizes of one patient, the smaller saved twice; both load, once each."""
+    path = scratch_dir(spark, "codebooks")
+    cb = stored_codebook(spark, sf_dir, EVENTS)
+    wide = cb.withColumn("center", F.flatten(F.array("center", "center")))
+    WR.save_codebook(cb.withColumn("center", F.transform("center", lambda v: v + 1.0)), path, EVENTS.w, EVENTS.step)
+    WR.save_codebook(wide, path, 16, 2)
+    WR.save_codebook(cb, path, EVENTS.w, EVENTS.step)
+    read = lambda w, step: WR.load_codebook(spark, path, w, step).select(
+        "source_id", "code", F.lit(w).alias("w"), F.lit(step).alias("step"), F.size("center").cast("bigint").alias("n"))
+    return read(EVENTS.w, EVENTS.step).unionByName(read(16, 2))
 
-def _lloyd_scores_sql() -> str:
-    # the dictionary is the 2-iteration Lloyd codebook; scores rounded to 6 places
-    pre = ("WITH " + Q.lloyd_ctes(LI, LLOYD_CHECK_ITERATIONS) + ", "
-           + Q.pipeline_prefix(LI, "centered", _LLOYD_BOOK, include_samples=False))
-    return (pre + f", scores AS ({Q.scores_select(LI)}) SELECT source_id, frame_ref, codes, "
-            f"{Q.r6('score')} AS score FROM scores")
 
+@register("normalised_windows", _PRE_LI + (
+    f" SELECT source_id, frame_ref, k, list_max(win) AS win_max, {Q.lsum('win')} AS win_sum FROM ("
+    "SELECT *, list_transform(x, lambda v: (v - avg) / nrm) AS win FROM wstats WHERE nrm <> 0)"))
+def normalised_windows(spark, sf_dir):
+    """Centred, norm-divided, un-tapered windows, written and read back."""
+    path = scratch_dir(spark, "windows")
+    WR.normalised_windows(frames_of(spark, sf_dir, LI), LI.w, LI.n).write.parquet(path)
+    back = spark.read.parquet(path)
+    return back.select("source_id", "frame_ref", F.col("k").cast("int").alias("k"), F.array_max("window").alias("win_max"),
+                       F.aggregate("window", F.lit(0.0), lambda a, v: a + v).alias("win_sum"))
 
-@register("frame_scores_lloyd", _lloyd_scores_sql())
-def frame_scores_lloyd(spark, sf_dir):
-    """A13(b) -> W10: every frame scored against the two-iteration Lloyd dictionary."""
-    samples = signal_samples(spark, sf_dir, LI)
-    train, budget = KM.training_set(samples, LI.w, LI.step)
-    cb = KM.lloyd(train, budget, LI.w, max_iter=LLOYD_CHECK_ITERATIONS, tol=None)
-    sc = V.score_samples(samples, coding.pack_codebook(cb), LI.w, LI.n, "centered")
-    return sc.where(F.col("status") == "ok").select("source_id", "frame_ref", coding.codes_string().alias("codes"),
-                                                     F.round("score", 6).alias("score"))
 
-
-_EMB = "WITH " + ", ".join(Q.embedding_train_ctes() + Q.lloyd_iter_ctes(64, LLOYD_CHECK_ITERATIONS))
+_EMB = "WITH " + ", ".join(Q.embedding_train_ctes() + Q.lloyd_iter_ctes(64, KM.ITERATIONS))
 
 
 @register("embedding_codes", _EMB + (
@@ -710,30 +703,38 @@ def embedding_codes(spark, sf_dir):
     """J3 on ready-made 64-dim windows: every embedding's nearest code in its
     label's dictionary (k = 10 % of the label's vectors, evenly spaced by id)."""
     train, budget = embedding_windows(spark, sf_dir)
-    book = KM.init_centers(train, budget)
+    book = KM.init_centers(train, budget, 64)
     return KM.assign(train.select("source_id", "j", "feat"), book).select("source_id", "j", "code", "d")
 
 
 @register("embedding_codebook", _EMB + (
     f" SELECT source_id, code, {Q.r6(Q.lsum('center'))} AS center_sum, "
-    f"{Q.r6(Q.lsum('list_transform(center, lambda v: v * v)'))} AS center_sumsq FROM c{LLOYD_CHECK_ITERATIONS}"))
+    f"{Q.r6(Q.lsum('list_transform(center, lambda v: v * v)'))} AS center_sumsq FROM c{KM.ITERATIONS}"))
 def embedding_codebook(spark, sf_dir):
-    """A13(b) on the embeddings: two Lloyd iterations per label, all labels at once."""
+    """A13(b) on the embeddings: 20 Lloyd iterations per label, all labels at once."""
     train, budget = embedding_windows(spark, sf_dir)
-    cb = KM.lloyd(train.select("source_id", "j", "feat"), budget, 64, max_iter=LLOYD_CHECK_ITERATIONS, tol=None)
+    cb = KM.lloyd(train.select("source_id", "j", "feat"), budget, 64)
     return cb.select("source_id", "code",
                      F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v), 6).alias("center_sum"),
                      F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v * v), 6).alias("center_sumsq"))
 
 
-@register("codebook_ml", None)
+ML_CODES = 16
+
+
+@register("codebook_ml", (
+    f"SELECT CAST({ML_CODES} AS BIGINT) AS n_codes, CAST(count(*) AS BIGINT) AS n_members, true AS all_finite "
+    "FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL"))
 def codebook_ml(spark, sf_dir):
     """A13(a): ``pyspark.ml`` KMeans (k-means||, seeded, 20 iterations) on all
-    embedding vectors as one training set, k = 10 % of the vectors."""
+    embedding vectors as one training set, with a fixed number of codes; its
+    seeds depend on partitioning, so what is checked is free of order: codes
+    within k, every vector a member of one, finite centres."""
     train, _ = embedding_windows(spark, sf_dir)
-    n = train.count()
-    cb = KM.fit_ml_codebook(train, max(1, int(0.1 * n)), max_iter=20, seed=1, with_members=True)
-    return cb.select("code", "n_members", F.sqrt(F.aggregate("center", F.lit(0.0), lambda a, v: a + v * v)).alias("center_norm"))
+    cb = KM.fit_ml_codebook(train, ML_CODES, max_iter=20, seed=1, with_members=True)
+    finite = F.forall("center", lambda v: ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return cb.agg(F.count(F.lit(1)).alias("n_codes"), F.sum("n_members").cast("bigint").alias("n_members"),
+                  F.bool_and(finite).alias("all_finite"))
 
 
 @register("word_preview_filter", _WORDS + (

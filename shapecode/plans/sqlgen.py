@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from shapecode.config import SignalSpec
 from shapecode.functions.arrays import taper_values
+from shapecode.operators.kmeans import GRID, ITERATIONS
 
 
 def dlit(x: float) -> str:
@@ -129,6 +130,12 @@ def pipeline_prefix(spec: SignalSpec, mode: str = "centered", book_sql: str | No
     )
 
 
+def trained_prefix(spec: SignalSpec, mode: str = "centered") -> str:
+    """``pipeline_prefix`` with the dictionary trained on the first 20 % of each source (A13-A15), all iterations."""
+    return ("WITH " + lloyd_ctes(spec, ITERATIONS) + ", " + pipeline_prefix(
+        spec, mode, f"SELECT source_id, code, center FROM c{ITERATIONS}", include_samples=False))
+
+
 def scores_select(spec: SignalSpec) -> str:
     """Scored frames from the ``pipeline_prefix`` CTEs (frames with a dictionary)."""
     m = spec.frame_len - spec.w
@@ -186,40 +193,47 @@ def budget_cte(spec: SignalSpec, samples: str = "samples") -> str:
     )
 
 
+def on_grid(arr: str) -> str:
+    """Feature vector rounded to multiples of 1 / GRID."""
+    return f"list_transform({arr}, lambda v: floor(v * CAST({GRID} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST({GRID} AS DOUBLE))"
+
+
 def lloyd_train_ctes(spec: SignalSpec) -> list[str]:
     """``samples, bud, sw, tw, ts, train``: the training windows of A15 with P7 + W5 features."""
     w, S = spec.w, spec.step
     t = dlist(taper_values(w))
     return [
-        f"samples AS ({samples_cte(spec)})",
-        f"bud AS ({budget_cte(spec)})",
+        f"samples AS MATERIALIZED ({samples_cte(spec)})",
+        f"bud AS MATERIALIZED ({budget_cte(spec)})",
         f"sw AS (SELECT source_id, i, list(value) OVER (PARTITION BY source_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS w FROM samples)",
         f"tw AS (SELECT sw.source_id, CAST(i // {S} AS BIGINT) AS j, w FROM sw JOIN bud USING (source_id) "
         f"WHERE i % {S} = 0 AND i // {S} < bud.tr AND len(w) = {w})",
         f"ts AS (SELECT *, {lsum('w')} / {w} AS a, sqrt({lsum('list_transform(w, lambda v: v * v)')}) AS n FROM tw)",
-        f"train AS (SELECT source_id, j, list_transform(range({w}), lambda p: (w[p + 1] - a) / n * ({t})[p + 1]) AS feat FROM ts WHERE n <> 0)",
+        f"train AS MATERIALIZED (SELECT source_id, j, CASE WHEN n = 0 THEN NULL ELSE "
+        f"{on_grid(f'list_transform(range({w}), lambda p: (w[p + 1] - a) / n * ({t})[p + 1])')} END AS feat FROM ts)",
     ]
 
 
 def lloyd_iter_ctes(w: int, iterations: int) -> list[str]:
     """``c0, a1, u1, c1, ...``: evenly spaced init and Lloyd iterations over ``train`` / ``bud``."""
+    zeros = f"list_transform(range({w}), lambda p: CAST(0 AS DOUBLE))"
     parts = [
-        "c0 AS (SELECT source_id, CAST(c AS INTEGER) AS code, feat AS center FROM (SELECT t.*, b.tr, b.k, "
+        f"c0 AS MATERIALIZED (SELECT source_id, CAST(c AS INTEGER) AS code, coalesce(feat, {zeros}) AS center FROM (SELECT t.*, b.tr, b.k, "
         "(t.j * b.k + b.tr - 1) // b.tr AS c FROM train t JOIN bud b USING (source_id) WHERE b.k > 0) WHERE c < k AND (c * tr) // k = j)",
     ]
     d = sqdist("t.feat", "c.center", w)
     for it in range(1, iterations + 1):
         prev = f"c{it - 1}"
         parts.append(
-            f"a{it} AS (SELECT * EXCLUDE (rn) FROM (SELECT t.source_id, t.j, t.feat, c.code, {d} AS d, "
+            f"a{it} AS MATERIALIZED (SELECT * EXCLUDE (rn) FROM (SELECT t.source_id, t.j, t.feat, c.code, {d} AS d, "
             f"row_number() OVER (PARTITION BY t.source_id, t.j ORDER BY {d}, c.code) AS rn "
-            f"FROM train t JOIN {prev} c ON t.source_id = c.source_id) WHERE rn = 1)")
+            f"FROM train t JOIN {prev} c ON t.source_id = c.source_id WHERE t.feat IS NOT NULL) WHERE rn = 1)")
         parts.append(
             f"u{it} AS (SELECT source_id, code, list(v ORDER BY pos) AS center FROM ("
-            f"SELECT source_id, code, pos, avg(feat[pos + 1]) AS v FROM (SELECT *, unnest(range(0, {w})) AS pos FROM a{it}) "
+            f"SELECT source_id, code, pos, CAST(sum(CAST(feat[pos + 1] * {GRID} AS BIGINT)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / CAST({GRID} AS DOUBLE) AS v FROM (SELECT *, unnest(range(0, {w})) AS pos FROM a{it}) "
             f"GROUP BY 1, 2, 3) GROUP BY 1, 2)")
         parts.append(
-            f"c{it} AS (SELECT p.source_id, p.code, coalesce(u.center, p.center) AS center FROM {prev} p "
+            f"c{it} AS MATERIALIZED (SELECT p.source_id, p.code, coalesce(u.center, p.center) AS center FROM {prev} p "
             f"LEFT JOIN u{it} u ON p.source_id = u.source_id AND p.code = u.code)")
     return parts
 
@@ -233,6 +247,6 @@ def embedding_train_ctes() -> list[str]:
     """``train`` = embedding vectors per label ranked by ``vec_id``; ``bud`` with ``tr = n``, ``k = int(0.1 n)``."""
     return [
         "train AS (SELECT CAST(label AS BIGINT) AS source_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS j, "
-        "CAST(embedding AS DOUBLE[]) AS feat FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)",
+        f"{on_grid('CAST(embedding AS DOUBLE[])')} AS feat FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)",
         f"bud AS (SELECT source_id, CAST(count(*) AS BIGINT) AS tr, CAST(floor({dlit(0.1)} * count(*)) AS BIGINT) AS k FROM train GROUP BY 1)",
     ]

@@ -12,22 +12,30 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                 app: str = "shapecode") -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off.
 
-    On a cluster the master and sizes come from spark-submit; locally we pick
-    ``local[$BENCH_CPUS]`` and a shuffle width equal to the core count.
+    A master and a shuffle width named by spark-submit (or by the defaults
+    file) stay as they are unless the caller asks for others; only where no
+    master is named we pick ``local[$BENCH_CPUS]`` with as many shuffle
+    partitions as cores.
     """
+    from pyspark import SparkConf
+
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    master = master or f"local[{cpus}]"
-    shuffle_partitions = shuffle_partitions or cpus
+    named = SparkConf()
+    builder = SparkSession.builder.appName(app)
+    if master or not named.contains("spark.master"):
+        builder = builder.master(master or f"local[{cpus}]")
+        shuffle_partitions = shuffle_partitions or cpus
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        SparkSession.builder.master(master).appName(app)
-        .config("spark.ui.enabled", "false")
+        builder.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("SHAPECODE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", "128m")
     )
@@ -39,8 +47,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only if unset.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; we use it.
-    Only when nothing is configured (tests, local runs) do we create one.
+    A cluster names a shared folder in ``spark.checkpoint.dir``; we use it and
+    raise an error where a cluster names none.  Only a local master, whose
+    executors share the driver's disk, gets a temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="shapecode-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

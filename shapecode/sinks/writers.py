@@ -7,10 +7,14 @@ and ``score`` kept as a top-level column so evaluation reads no arrays).
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapecode.config import DATA_SLICE_CHARS, DATE_PATH_FORMAT
+from shapecode.config import DATA_SLICE_CHARS
+from shapecode.functions import arrays as A
+from shapecode.sources.tables import table_name
 
 
 def num_list(col: str | Column, sep: str = ",") -> Column:
@@ -24,8 +28,14 @@ def payload(src="src", coded="coded", loss="loss") -> Column:
 
 
 def date_path(ts: Column) -> Column:
-    """UTC ``yyyy/MM/dd/H/`` path of an event time."""
-    return F.concat(F.date_format(ts, DATE_PATH_FORMAT), F.lit("/"))
+    """UTC ``yyyy/MM/dd/H/`` path of an event time, whatever the session's zone."""
+    at = utc(ts)
+    return F.concat(F.translate(F.to_date(at).cast("string"), "-", "/"), F.lit("/"), F.hour(at).cast("string"), F.lit("/"))
+
+
+def utc(ts: Column) -> Column:
+    """The instant's UTC wall clock as a timestamp without zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def time_of_day_key(ts: Column) -> Column:
@@ -33,8 +43,9 @@ def time_of_day_key(ts: Column) -> Column:
 
     Spark has no pattern letter for milli-of-day, so it is computed.
     """
-    day_ms = F.unix_millis(ts) - F.unix_millis(F.date_trunc("DAY", ts))
-    return F.concat(F.date_format(ts, "s"), F.lit("-"), day_ms.cast("string"))
+    day_ms = F.pmod(F.unix_millis(ts), F.lit(86_400_000))
+    second = F.floor(day_ms / F.lit(1000)).cast("long") % F.lit(60)
+    return F.concat(second.cast("string"), F.lit("-"), day_ms.cast("string"))
 
 
 def archive_lines(coded: DataFrame) -> DataFrame:
@@ -46,10 +57,11 @@ def archive_lines(coded: DataFrame) -> DataFrame:
 
 
 def write_archive(coded: DataFrame, path: str, mode: str = "append") -> None:
-    """K1 at scale: Parquet partitioned by processing date and hour, sorted by
-    patient and frame inside the files (row-group statistics prune on patient)."""
-    now = F.current_timestamp()
-    (coded.withColumn("date", F.to_date(now)).withColumn("hour", F.hour(now))
+    """K1 at scale: Parquet partitioned by UTC event date and hour, sorted by
+    patient and frame inside the files (row-group statistics prune on patient).
+    The partition follows from the row, so a replay writes to the same one."""
+    at = utc(F.col("event_time"))
+    (coded.withColumn("date", F.to_date(at)).withColumn("hour", F.hour(at))
      .sortWithinPartitions("patient_id", "frame_ref")
      .write.mode(mode).partitionBy("date", "hour").parquet(path))
 
@@ -83,29 +95,38 @@ def label_lines(labels: DataFrame) -> DataFrame:
 
 
 def save_codebook(codebook: DataFrame, path: str, w: int, step: int) -> None:
-    """K7: codebook Parquet partitioned by patient; only the written patients'
-    partitions are replaced (dynamic partition overwrite)."""
+    """K7: dictionaries named by patient, window size and step.
+
+    Appends a new version below ``w_size=/step=`` and deletes nothing: other
+    sizes, steps and patients stay, and ``load_codebook`` takes the newest
+    version of each patient.  One folder per size and step, not per patient.
+    """
     (codebook.withColumn("patient_id", F.col("source_id").cast("string"))
+     .withColumn("version", F.lit(time.time_ns()))
      .withColumn("w_size", F.lit(w)).withColumn("step", F.lit(step))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("patient_id").parquet(path))
+     .sortWithinPartitions("patient_id", "code")
+     .write.mode("append").partitionBy("w_size", "step").parquet(path))
 
 
-def load_codebook(spark, path: str, w: int | None = None) -> DataFrame:
-    """Read the codebook back (partition pruning on ``patient_id``)."""
-    df = spark.read.parquet(path)
-    if w is not None:
-        df = df.where(F.col("w_size") == w)
-    return df.select(F.col("patient_id"), "source_id", "code", "center")
+def load_codebook(spark, path: str, w: int, step: int) -> DataFrame:
+    """The newest dictionary of every patient for one window size and step."""
+    df = spark.read.parquet(path).where((F.col("w_size") == w) & (F.col("step") == step))
+    newest = df.groupBy("patient_id").agg(F.max("version").alias("version"))
+    return df.join(newest, ["patient_id", "version"], "left_semi").select("patient_id", "source_id", "code", "center")
 
 
-def write_table(df: DataFrame, path_or_table: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """K8: warehouse write, ``overwrite`` (truncate) or ``append``."""
+def write_table(df: DataFrame, path_or_table: str, fmt: str = "parquet", mode: str = "append",
+                default_project: str | None = None) -> None:
+    """K8: warehouse write, ``overwrite`` (truncate) or ``append``.
+
+    Takes the ids that ``warehouse_table`` takes (``project:dataset.table``,
+    ``:dataset.table``, ``dataset.table``) or a path, which holds a ``/``.
+    """
     w = df.write.mode(mode).format(fmt)
-    if "/" in path_or_table or ":" in path_or_table:
+    if "/" in path_or_table:
         w.save(path_or_table)
     else:
-        w.saveAsTable(path_or_table)
+        w.saveAsTable(table_name(path_or_table, default_project))
 
 
 def register_view(df: DataFrame, name: str) -> DataFrame:
@@ -120,6 +141,15 @@ def export_channel(samples: DataFrame, path: str, channel: int = 1, mode: str =
      .write.mode(mode).partitionBy("source_id").parquet(path))
 
 
+def normalised_windows(frames: DataFrame, w: int, n: int) -> DataFrame:
+    """K13 rows: every half-overlapping window, centred and divided by its norm, not tapered
+    (an all-zero window has none)."""
+    f = frames.select("source_id", "frame_no", "frame_ref", F.posexplode(F.expr(A.windows_expr("frame", w, n))).alias("k", "x"))
+    f = f.select("source_id", "frame_no", "frame_ref", "k", "x", F.expr(f"{A.sum_expr('x')} / {w}").alias("avg"),
+                 F.expr(f"sqrt({A.sumsq_expr('x')})").alias("nrm")).where("nrm <> 0D")
+    return f.select("source_id", "frame_no", "frame_ref", "k", F.expr("transform(x, v -> (v - avg) / nrm)").alias("window"))
+
+
 def export_training_windows(windows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K4: the training windows (replaces the reference's CSV round trip)."""
     windows.write.mode(mode).parquet(path)

@@ -65,22 +65,26 @@ def warehouse_table(spark: SparkSession, table_id: str, default_project: str | N
     """
     if fmt and path:
         return spark.read.format(fmt).load(path)
+    return spark.table(table_name(table_id, default_project))
+
+
+def table_name(table_id: str, default_project: str | None = None) -> str:
+    """``project:dataset.table`` or ``:dataset.table`` as a name Spark resolves."""
     project, sep, name = table_id.rpartition(":")
-    if not sep:
-        name = table_id
     project = project or default_project
-    return spark.table(f"{project}.{name}" if project else name)
+    return f"{project}.{name if sep else table_id}" if project else (name if sep else table_id)
 
 
 def embedding_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """``embeddings`` as ready-made windows: ``train(source_id = label, j, vec_id, feat)``
-    with ``j`` the vector's rank by ``vec_id`` inside its label (skew-safe
+    on the training grid, with ``j`` the vector's rank by ``vec_id`` inside its label (skew-safe
     index), and the per-label budget ``(source_id, tr = n, k = int(0.1 n))``."""
     from shapecode.config import DICT_FRACTION
+    from shapecode.operators.kmeans import on_grid
     e = (read_table(spark, sf_dir, "embeddings")
          .where(F.col("label").isNotNull() & F.col("embedding").isNotNull())
          .select(F.col("label").cast("bigint").alias("source_id"), "vec_id",
-                 F.col("embedding").cast("array<double>").alias("feat")))
+                 F.expr(on_grid("CAST(embedding AS array<double>)")).alias("feat")))
     train = index_within(e, "source_id", ["vec_id"], out="j")
     budget = train.groupBy("source_id").agg(F.count(F.lit(1)).alias("tr")).withColumn(
         "k", F.floor(F.lit(DICT_FRACTION) * F.col("tr")).cast("bigint"))

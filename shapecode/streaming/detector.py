@@ -5,11 +5,11 @@ connector is on the classpath, files in tests) -> one ``foreachBatch`` that
 runs :func:`detect` on the micro-batch (static join with the dictionaries,
 vectorised block coder), persists the result once and writes:
 
-* the archive of every scored frame (Parquet, partitioned by the batch's
-  processing date and hour and by batch id, sorted by patient and frame
+* the archive of every scored frame (Parquet, partitioned by batch id and by
+  the frames' own UTC event date and hour, sorted by patient and frame
   inside the files so Parquet statistics prune on patient without one
-  small file per patient; dynamic overwrite of the batch's own partitions
-  makes a replayed batch idempotent),
+  small file per patient; nothing in the partition depends on the clock, so
+  dynamic overwrite makes a replayed batch idempotent whenever it runs),
 * the anomalies (``score > 0.9``) as JSON records,
 * the quarantine (malformed, bad source, bad length, no dictionary).
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from shapecode.config import ANOMALY_THRESHOLD, STREAM_WINDOWS, SIGNAL_WINDOW
 from shapecode.plans.detect import anomalies, detect, with_time_path
-from shapecode.sinks.writers import anomaly_json
+from shapecode.sinks.writers import anomaly_json, utc
 
 
 def kafka_frames(spark: SparkSession, servers: str, topics: str, starting: str = "latest") -> DataFrame:
@@ -43,12 +43,12 @@ def file_frames(spark: SparkSession, path: str, max_files_per_trigger: int | Non
 
 
 def _write_archive(b: DataFrame, archive_path: str) -> None:
-    """Scored frames, partitioned by processing date/hour and batch id, sorted by patient."""
-    now = F.current_timestamp()
-    (b.where(F.col("status") == "ok").withColumn("date", F.to_date(now)).withColumn("hour", F.hour(now))
+    """Scored frames, partitioned by batch id and event date/hour (UTC), sorted by patient."""
+    at = utc(F.col("event_time"))
+    (b.where(F.col("status") == "ok").withColumn("date", F.to_date(at)).withColumn("hour", F.hour(at))
      .sortWithinPartitions("patient_id", "frame_ref")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("date", "hour", "batch_id").parquet(archive_path))
+     .partitionBy("batch_id", "date", "hour").parquet(archive_path))
 
 
 def _write_alerts(b: DataFrame, anomaly_path: str, quarantine_path: str, batch_id: int, threshold: float) -> None:
@@ -59,28 +59,33 @@ def _write_alerts(b: DataFrame, anomaly_path: str, quarantine_path: str, batch_i
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(quarantine_path))
 
 
-def _prepared(batch: DataFrame, batch_id: int, score, threshold: float) -> DataFrame:
+def _prepared(batch: DataFrame, batch_id: int, score) -> DataFrame:
     scored = score(batch) if score is not None else batch
-    # Per-batch counts travel with the first write, no extra job
-    scored = scored.observe(f"detector_{batch_id}", F.count(F.lit(1)).alias("frames"),
-                            F.count_if(F.col("status") == "ok").alias("scored"),
-                            F.count_if((F.col("status") == "ok") & (F.col("score") > F.lit(threshold))).alias("anomalies"))
-    # a micro-batch is small: at most one partition per core, so the three
-    # writes do not leave a file per shuffle partition (AQE cannot coalesce
-    # across the persisted batch)
-    cores = batch.sparkSession.sparkContext.defaultParallelism
-    return with_time_path(scored).withColumn("batch_id", F.lit(batch_id)).coalesce(cores)
+    return with_time_path(scored).withColumn("batch_id", F.lit(batch_id))
+
+
+def batch_counts(b: DataFrame, threshold: float) -> dict[str, int]:
+    """Frames, scored frames, anomalies and quarantined rows of a scored batch."""
+    ok = F.col("status") == "ok"
+    return b.agg(F.count(F.lit(1)).alias("frames"), F.count_if(ok).alias("scored"),
+                 F.count_if(ok & (F.col("score") > F.lit(threshold))).alias("anomalies"),
+                 F.count_if(~ok).alias("quarantined")).first().asDict()
 
 
 def batch_writer(archive_path: str | None, anomaly_path: str | None, quarantine_path: str | None,
-                 threshold: float = ANOMALY_THRESHOLD, score=None):
+                 threshold: float = ANOMALY_THRESHOLD, score=None, on_counts=None):
     """The ``foreachBatch`` body (T3): score the micro-batch (a static
     DataFrame, so the block coder may group it), persist once, write the
-    archive and/or the anomalies and quarantine, unpersist."""
+    archive and/or the anomalies and quarantine, unpersist.  The counts that
+    fill the persisted batch also tell whether it is empty (P15) and go to
+    ``on_counts(batch_id, counts)`` (T8)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        b = _prepared(batch, batch_id, score, threshold).persist()
+        b = _prepared(batch, batch_id, score).persist()
         try:
-            if b.isEmpty():          # P15: skip empty batches
+            counts = batch_counts(b, threshold)
+            if on_counts:
+                on_counts(batch_id, counts)
+            if counts["frames"] == 0:          # P15: skip empty batches
                 return
             if archive_path:
                 _write_archive(b, archive_path)
@@ -94,18 +99,22 @@ def batch_writer(archive_path: str | None, anomaly_path: str | None, quarantine_
 def start_detector(events: DataFrame, packed_books: DataFrame, archive_path: str, anomaly_path: str,
                    quarantine_path: str, checkpoint_location: str, trigger: str | None = "2 seconds",
                    available_now: bool = False, w: int = SIGNAL_WINDOW, n: int = STREAM_WINDOWS,
-                   threshold: float = ANOMALY_THRESHOLD):
+                   threshold: float = ANOMALY_THRESHOLD, on_counts=None):
     """Start the detector; returns the ``StreamingQuery``.
 
+    ``packed_books`` is the packed dictionary table, or a function without
+    arguments that reads it: it is called for every micro-batch, so a
+    dictionary saved meanwhile is used without a restart.
+
     ``trigger`` is the micro-batch interval (T1); ``available_now`` drains
-    what is there and stops (tests, catch-up runs).  Batch counts are in
-    ``query.lastProgress["observedMetrics"]`` (T8).
+    what is there and stops (tests, catch-up runs).  Batch counts go to
+    ``on_counts(batch_id, counts)`` (T8).
     """
     def score(batch: DataFrame) -> DataFrame:
-        return detect(batch, packed_books, w, n)
+        return detect(batch, packed_books() if callable(packed_books) else packed_books, w, n)
 
     q = (events.writeStream
-         .foreachBatch(batch_writer(archive_path, anomaly_path, quarantine_path, threshold, score))
+         .foreachBatch(batch_writer(archive_path, anomaly_path, quarantine_path, threshold, score, on_counts))
          .option("checkpointLocation", checkpoint_location))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime=trigger)
     return q.start()

@@ -139,18 +139,37 @@ def test_sliding_window_methods_agree(spark):
             assert sorted(a) == sorted(b) and len(a) > 0, (w, step, bw, bud is None)
 
 
-def test_lloyd_block_and_sql_assignments_agree(spark):
+def test_lloyd_equals_numpy_whatever_the_sizes(spark):
+    """One path for every size; centres equal a plain loop exactly and do not depend on partitioning."""
     from shapecode.operators import kmeans as KM
     rng = np.random.default_rng(12)
     rows = [(s, i, float(v)) for s in (1, 2, 3) for i, v in enumerate(np.sin(np.arange(900) / (5.0 + s)) + rng.normal(0, 0.2, 900))]
     s = spark.createDataFrame(rows, "source_id bigint, i bigint, value double")
     train, budget = KM.training_set(s, 12, 2)
-    a = KM.lloyd(train, budget, 12, max_iter=3, tol=None, method="blocks").collect()
-    b = KM.lloyd(train, budget, 12, max_iter=3, tol=None, method="sql").collect()
-    da = {(r.source_id, r.code): np.array(r.center) for r in a}
-    db = {(r.source_id, r.code): np.array(r.center) for r in b}
-    assert da.keys() == db.keys() and len(da) == 3 * 9      # k = int(0.1 * int(0.2 * 900 div 2))
-    assert all(np.allclose(da[k], db[k], atol=1e-12) for k in da)
+    got = {(r.source_id, r.code): r.center for r in KM.lloyd(train, budget, 12).collect()}
+    again = {(r.source_id, r.code): r.center for r in KM.lloyd(train.repartition(7), budget, 12).collect()}
+    assert got == again and len(got) == 3 * 9      # k = int(0.1 * int(0.2 * 900 div 2))
+    feats = {}
+    for r in train.collect():
+        feats.setdefault(r.source_id, {})[r.j] = np.array(r.feat)
+    for s_, by in feats.items():
+        x = np.stack([by[j] for j in sorted(by)])
+        c = np.stack([x[i * len(x) // 9] for i in range(9)])
+        for _ in range(20):
+            code = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.stack([np.rint(x[code == i] * KM.GRID).sum(axis=0) / (code == i).sum() / KM.GRID if (code == i).any() else c[i]
+                          for i in range(9)])
+        assert all(np.allclose(got[s_, i], c[i], atol=1e-12) for i in range(9))
+
+
+def test_zero_seed_window_keeps_k_codes(spark):
+    from shapecode.operators import kmeans as KM
+    rows = [(1, i, 0.0 if i < 60 else float(np.sin(i / 3.0))) for i in range(900)]
+    s = spark.createDataFrame(rows, "source_id bigint, i bigint, value double")
+    train, budget = KM.training_set(s, 12, 2)
+    assert train.where("feat is null").count() > 0
+    cb = KM.lloyd(train, budget, 12, max_iter=2)
+    assert sorted(r.code for r in cb.collect()) == list(range(9))
 
 
 def test_frame_cap_is_per_source(spark):

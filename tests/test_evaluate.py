@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,7 +64,28 @@ def test_split_is_reproducible_and_exact(spark):
 def test_histogram_constant_loss(spark):
     df = spark.createDataFrame([(1, 0, [0.5, 0.5, 0.5])], "source_id bigint, frame_ref bigint, loss array<double>")
     h = EV.loss_histogram(df).collect()
-    assert len(h) == 1 and h[0].cnt == 3 and h[0].bin == 25
+    assert [r.bin for r in sorted(h)] == list(range(50)) and {r.bin: r.cnt for r in h if r.cnt} == {25: 3}
+    assert all(r.height == 0.0 for r in h if not r.cnt)
+
+
+def test_histogram_counts_every_sample(spark):
+    rng = np.random.default_rng(4)
+    loss = [float(x) for x in rng.normal(0, 1, 700)]
+    df = spark.createDataFrame([(1, 0, loss), (1, 1, [])], "source_id bigint, frame_ref bigint, loss array<double>")
+    h = {(r.frame_ref, r.bin): r.cnt for r in EV.loss_histogram(df).collect()}
+    lo, wd = min(loss), (max(loss) - min(loss)) / 50
+    want = np.bincount([min(int((x - lo) // wd), 49) for x in loss], minlength=50)
+    assert sum(h.values()) == 700 and len(h) == 50
+    assert sum(abs(h[0, b] - want[b]) for b in range(50)) <= 2      # floor(x / w) against x // w at bin edges
+
+
+def test_unscored_frames_are_reported_apart(spark):
+    """Both error reports count the same frames."""
+    rows = [(1, 0, "N", 0.9), (1, 1, "NV", None), (1, 2, "NV", 0.2)]
+    r = EV.errors_at(labelled(spark, rows), 0.5).first()
+    assert (r.unscored, r.n, r.pos, r.neg, r.fp_pct, r.fn_pct) == (1, 2, 1, 1, 50.0, 50.0)
+    curve = EV.threshold_sweep(labelled(spark, rows)).collect()
+    assert len(curve) == 500 and {(c.unscored, c.n, c.pos, c.neg) for c in curve} == {(1, 2, 1, 1)}
 
 
 def test_words(spark):

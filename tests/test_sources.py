@@ -92,14 +92,37 @@ def test_codebook_save_load(spark, tmpdir_path):
     cb = spark.createDataFrame([(1, 0, [0.1, 0.2]), (2, 0, [0.3, 0.4])], "source_id bigint, code int, center array<double>")
     WR.save_codebook(cb, tmpdir_path + "/cb", 2, 1)
     WR.save_codebook(cb.where("source_id = 2").withColumn("center", F.array(F.lit(9.0), F.lit(9.0))), tmpdir_path + "/cb", 2, 1)
-    back = {r.source_id: r.center for r in WR.load_codebook(spark, tmpdir_path + "/cb", 2).collect()}
-    assert back == {1: [0.1, 0.2], 2: [9.0, 9.0]}     # dynamic overwrite replaced patient 2 only
+    WR.save_codebook(cb.where("source_id = 1").withColumn("center", F.array(*[F.lit(7.0)] * 4)), tmpdir_path + "/cb", 4, 1)
+    WR.save_codebook(cb.where("source_id = 1").withColumn("center", F.array(F.lit(5.0), F.lit(5.0))), tmpdir_path + "/cb", 2, 2)
+    load = lambda w, step: {r.source_id: r.center for r in WR.load_codebook(spark, tmpdir_path + "/cb", w, step).collect()}
+    assert load(2, 1) == {1: [0.1, 0.2], 2: [9.0, 9.0]}     # the new version replaced patient 2 only
+    assert load(4, 1) == {1: [7.0] * 4} and load(2, 2) == {1: [5.0, 5.0]}
+
+
+def test_table_ids_and_missing_checkpoint_folder(spark):
+    from shapecode.sources.tables import table_name
+    assert table_name(":d.t") == "d.t" and table_name("d.t") == "d.t" and table_name("p:d.t") == "p.d.t"
+    assert table_name(":d.t", "q") == "q.d.t" and table_name("p:d.t", "q") == "p.d.t"
+    df = spark.createDataFrame([(1,)], "a int")
+    WR.write_table(df, ":default.anoms_test", mode="overwrite")
+    WR.write_table(df, ":default.anoms_test")
+    from shapecode.sources.tables import warehouse_table
+    assert warehouse_table(spark, ":default.anoms_test").count() == 2
+    spark.sql("DROP TABLE default.anoms_test")
 
 
 def test_time_path_parts(spark):
     df = spark.sql("SELECT TIMESTAMP'2024-03-05 01:00:07.123' AS t")
     r = df.select(WR.date_path(F.col("t")).alias("p"), WR.time_of_day_key(F.col("t")).alias("k")).first()
     assert r.p == "2024/03/05/1/" and r.k == "7-3607123"
+    df = spark.sql("SELECT timestamp_millis(1709600407123) AS t")
+    try:      # the same instant, whatever the session's zone
+        for zone in ("America/New_York", "Asia/Kolkata", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            r = df.select(WR.date_path(F.col("t")).alias("p"), WR.time_of_day_key(F.col("t")).alias("k")).first()
+            assert r.p == "2024/03/05/1/" and r.k == "7-3607123"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_text_sinks_round_trip(spark, tmpdir_path):

@@ -23,8 +23,10 @@ def test_stream_equals_batch(spark, tmpdir_path):
     scaled = frames.withColumn("frame", F.transform("frame", lambda x: x * (1 / 200.0)))
     cb = coding.first_frame_codebook(scaled.where("source_id <> 3"), w, n).withColumn("source_id", F.col("source_id").cast("string"))
     books = coding.pack_codebook(cb)
+    counts = []
     q = start_detector(file_frames(spark, tmpdir_path + "/in"), books, tmpdir_path + "/arch", tmpdir_path + "/anom",
-                       tmpdir_path + "/quar", tmpdir_path + "/chk", available_now=True, w=w, n=n, threshold=0.3)
+                       tmpdir_path + "/quar", tmpdir_path + "/chk", available_now=True, w=w, n=n, threshold=0.3,
+                       on_counts=lambda batch, c: counts.append(c))
     q.awaitTermination()
     arch = spark.read.parquet(tmpdir_path + "/arch").select("patient_id", "frame_ref", "score", "status")
     batch = detect(spark.read.text(tmpdir_path + "/in"), books, w, n).where("status = 'ok'") \
@@ -35,6 +37,46 @@ def test_stream_equals_batch(spark, tmpdir_path):
     assert quar == {"malformed", "bad_source", "bad_length", "bad_sample", "no_model"}
     anom = spark.read.json(tmpdir_path + "/anom")
     assert anom.count() == arch.where("score > 0.3").count()
+    total = {k: sum(c[k] for c in counts) for k in counts[0]}       # T8
+    assert total == {"frames": spark.read.text(tmpdir_path + "/in").count(), "scored": 6, "anomalies": anom.count(),
+                     "quarantined": spark.read.parquet(tmpdir_path + "/quar").count()}
+
+
+def test_replay_of_a_batch_with_another_clock_writes_the_same_partitions(spark, tmpdir_path):
+    from shapecode.streaming.detector import batch_writer
+    rows = [("i./d/1.dat", 1, 0, 1709600407.0 + 3600 * h, h) for h in range(3)]
+    b = spark.createDataFrame(rows, "srcId string, patient_id string, frame_ref bigint, srcTs double, h int").select(
+        "srcId", "srcTs", "patient_id", "frame_ref", F.lit(0.0).alias("frameRef"), F.timestamp_seconds("srcTs").alias("event_time"),
+        F.array(F.lit(1.0)).alias("src"), F.array(F.lit(1.0)).alias("coded"), F.array(F.lit(0.0)).alias("loss"),
+        F.lit(0.0).alias("score"), F.lit("0").alias("codes"), F.lit("ok").alias("status"))
+    write = batch_writer(tmpdir_path + "/arch", None, None)
+    import time
+    write(b, 7)
+    time.sleep(1.1)
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")        # a replay on another day and clock
+        write(b, 7)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    arch = spark.read.parquet(tmpdir_path + "/arch")
+    assert arch.count() == 3 and arch.select("date", "hour").distinct().count() == 3
+
+
+def test_frames_of_any_whole_number_of_windows_and_repeated_refs(spark):
+    import numpy as np
+    from shapecode.operators import vectorized as V
+    rng = np.random.default_rng(5)
+    w, n = 8, 4
+    data = {k: [float(x) for x in rng.integers(0, 400, k)] for k in (32, 64, 24, 8, 30, 4)}
+    ev = spark.createDataFrame([(f'{{"srcId": "i./d/1.dat", "frameRef": 0.0, "data": {d}}}',) for d in data.values()], "value string")
+    f0 = spark.createDataFrame([(1, 0, 0, [x / 200 for x in data[32]])], "source_id bigint, frame_no bigint, frame_ref bigint, frame array<double>")
+    books = coding.pack_codebook(coding.first_frame_codebook(f0, w, n).withColumn("source_id", F.lit("1")))
+    for method in ("vectorized", "sql"):
+        got = {len(r.frame): (r.status, None if r.coded is None else len(r.coded)) for r in detect(ev, books, w, n, method=method).collect()}
+        assert got == {32: ("ok", 24), 64: ("ok", 56), 24: ("ok", 16), 8: ("single_window", 0), 30: ("bad_length", None), 4: ("bad_length", None)}
+    same = spark.range(5000).select(F.lit("1").alias("source_id"), F.lit(0).cast("bigint").alias("frame_ref"),
+                                    F.array(F.lit(1.0)).alias("frame"), F.lit("ok").alias("status"), "id")
+    assert V.frame_blocks(same, ["id"], 64).agg(F.max(F.size("items"))).first()[0] <= 64
 
 
 def test_detect_methods_agree(spark):
