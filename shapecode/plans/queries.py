@@ -289,12 +289,15 @@ def frame_slice(spark, sf_dir):
 
 @register("frame_centred_view", _CODED_LI + (
     f" SELECT source_id, frame_ref, list_min(list_transform(src, lambda v: v - {Q.dlit(DC_OFFSET)})) AS min_centred, "
-    f"list_max(list_transform(src, lambda v: v - {Q.dlit(DC_OFFSET)})) AS max_centred FROM ca"))
+    f"list_max(list_transform(src, lambda v: v - {Q.dlit(DC_OFFSET)})) AS max_centred, "
+    f"list_min(list_transform(coded, lambda v: v - {Q.dlit(DC_OFFSET)})) AS min_centred_coded, "
+    f"list_max(list_transform(coded, lambda v: v - {Q.dlit(DC_OFFSET)})) AS max_centred_coded FROM ca"))
 def frame_centred_view(spark, sf_dir):
-    """Source minus the DC offset 1024/200 for display."""
+    """Source and reconstruction minus the DC offset 1024/200 for display."""
     df = scored(spark, sf_dir, LI, "centered")
-    c = F.transform("src", lambda v: v - F.lit(DC_OFFSET))
-    return df.select("source_id", "frame_ref", F.array_min(c).alias("min_centred"), F.array_max(c).alias("max_centred"))
+    c, d = (F.transform(x, lambda v: v - F.lit(DC_OFFSET)) for x in ("src", "coded"))
+    return df.select("source_id", "frame_ref", F.array_min(c).alias("min_centred"), F.array_max(c).alias("max_centred"),
+                     F.array_min(d).alias("min_centred_coded"), F.array_max(d).alias("max_centred_coded"))
 
 
 # ---------------------------------------------------------------- labels and evaluation

@@ -49,8 +49,8 @@ def parse_batch_coded(lines: DataFrame, value_col: str = "value") -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``frameStart,label`` lines."""
-    return spark.read.schema("frame_ref BIGINT, label STRING").csv(path)
+    """``frameStart,label`` lines, with the file of each as ``_path``."""
+    return spark.read.schema("frame_ref BIGINT, label STRING").csv(path).withColumn("_path", F.col("_metadata.file_path"))
 
 
 def parse_annotations(lines: DataFrame, record_id: Column | str, value_col: str = "value",
@@ -71,15 +71,23 @@ def parse_annotations(lines: DataFrame, record_id: Column | str, value_col: str
         "record_id", "line_no", "t", F.col("_s").cast("bigint").alias("sample"), "code")
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """S9 over files: record id = file stem, line number from the file position."""
+FILE_STEM = r"([^/]+?)(\.[^./]*)?$"
+
+
+def read_annotations(spark: SparkSession, path: str, record_pattern: str = FILE_STEM) -> DataFrame:
+    """S9 over files: record id from the file path, line order from the file position.
+
+    Splits of a file may be packed into tasks in any order, so a line is placed
+    by where its split starts, then by its position among the task's rows.
+    """
     df = spark.read.text(path).withColumn("_path", F.col("_metadata.file_path"))
-    df = df.withColumn("line_no", F.monotonically_increasing_id())
-    stem = F.regexp_extract("_path", r"([^/]+?)(\.[^./]*)?$", 1)
-    return parse_annotations(df, stem)
+    place = F.monotonically_increasing_id().bitwiseAND(2**33 - 1).cast("decimal(38,0)")
+    start = F.col("_metadata.file_block_start").cast("decimal(20,0)")
+    df = df.withColumn("line_no", (start * F.lit(2**33).cast("decimal(11,0)") + place).cast("decimal(38,0)"))
+    return parse_annotations(df, F.regexp_extract("_path", record_pattern, 1))
 
 
 def read_reference_samples(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated ``index, channel 1, channel 2`` (+ difference)."""
     df = spark.read.option("sep", "\t").schema("i BIGINT, s1 INT, s2 INT").csv(path)
-    return df.withColumn("diff", F.col("s1") - F.col("s2"))
+    return df.withColumn("_path", F.col("_metadata.file_path")).withColumn("diff", F.col("s1") - F.col("s2"))
