@@ -20,7 +20,7 @@ from shapecode.session import get_session  # noqa: E402
 
 HEADLINE = [
     "frame_scores", "frame_scores_events", "nearest_code", "frames_tumbling", "windows_sliding",
-    "codebook_lloyd", "labelled_frames", "threshold_sweep", "frame_labels", "stream_detect", "word_totals",
+    "codebook_lloyd", "labelled_frames", "threshold_sweep", "frame_labels", "stream_detect", "word_totals", "loss_histogram",
 ]
 
 

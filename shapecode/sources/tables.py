@@ -33,9 +33,21 @@ def signal_samples(spark: SparkSession, sf_dir: str, spec: SignalSpec,
                  *spec.order_cols, *[F.expr(e).alias(k) for k, e in extra.items()])
         .where(F.col("source_id").isNotNull() & F.col("raw").isNotNull())
     )
-    idx = index_within(base, "source_id", spec.order_cols, method=index_method, keep_order=False)
-    return idx.select("source_id", "i", "raw",
-                      (F.col("raw") * F.lit(float(spec.scale))).alias("value"), *extra.keys())
+    key = (spark.sparkContext.applicationId, spec, index_method, tuple(sorted(t.inputFiles())), tuple(sorted(extra.items())))
+    if key not in _INDEXED:
+        idx = index_within(base, "source_id", spec.order_cols, method=index_method, keep_order=False)
+        _INDEXED[key] = idx.select("source_id", "i", "raw",
+                                   (F.col("raw") * F.lit(float(spec.scale))).alias("value"), *extra.keys())
+    return _INDEXED[key]
+
+
+# Indexed signals of the running applications: a signal is range-partitioned, sorted and written to the checkpoint
+# folder once, and every query over it reads that table.  ``forget_signals`` lets the cleaner delete them.
+_INDEXED: dict[tuple, DataFrame] = {}
+
+
+def forget_signals() -> None:
+    _INDEXED.clear()
 
 
 # Annotation codes derived from each signal's table
