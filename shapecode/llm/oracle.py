@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from shapecode.llm import sharding
+
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 REPEATED_WINDOWS = f"""
@@ -54,3 +56,35 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN last_id END AS refers_to
 FROM q"""
+
+
+def _feistel(source: str, rounds: int, seed: int) -> str:
+    """One application of the network to ``x`` of ``source(row_number, x, k, a, b, n)``: columns l, r."""
+    q = f"SELECT *, x % a AS l, x // a AS r FROM ({source})"
+    for j in range(1, rounds + 1):
+        v = f"CAST('0x' || substr(md5('{seed}:{j}:' || CAST(r AS VARCHAR)), 1, 13) AS BIGINT)"
+        q = f"SELECT * REPLACE (r AS l, (l + {v}) % {'a' if j % 2 else 'b'} AS r) FROM ({q})"
+    return q
+
+
+def feistel_shards(shards: int, rounds: int = sharding.ROUNDS, seed: int = sharding.SEED, overhead: int = sharding.OVERHEAD) -> str:
+    """Row numbers, their permutation and the checksums, from their definitions (CRC-32 byte by byte)."""
+    return f"""
+WITH RECURSIVE t AS (SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce(
+    list_prepend(CAST(n AS BIGINT), CAST(range(8) AS BIGINT[])),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0xEDB88320}) ELSE c >> 1 END) AS v FROM range(256) u(n))),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS nb FROM documents),
+crc AS (SELECT doc_id, nb, xor(list_reduce(list_prepend(CAST({2**32 - 1} AS BIGINT),
+    list_transform(range(nb), lambda i: CAST('0x' || hx[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), {2**32 - 1}) AS text_crc32 FROM d, t),
+numbered AS (SELECT doc_id, CAST(nb + {overhead} AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32,
+    row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, nb) - 1 AS row_number FROM crc),
+g AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM (SELECT n, CASE WHEN n > 1
+    THEN CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 ELSE 1 END AS a FROM (SELECT count(*) AS n FROM numbered))),
+f AS (SELECT row_number, row_number AS x, 0 AS k, a, b, n FROM numbered, g
+    UNION ALL SELECT row_number, {'l * a + r' if rounds % 2 else 'l + r * a'} AS x, k + 1 AS k, a, b, n
+    FROM ({_feistel("SELECT * FROM f WHERE k = 0 OR x >= n", rounds, seed)})),
+p AS (SELECT row_number, x FROM f WHERE k > 0 AND x < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % {shards} AS INTEGER) AS shard, CAST(x // {shards} AS BIGINT) AS slot,
+    CAST(NULL AS INTEGER) AS grown_shard, CAST(numbered.row_number AS BIGINT) AS row_number
+FROM numbered JOIN p ON p.row_number = numbered.row_number"""

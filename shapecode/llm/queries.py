@@ -112,6 +112,6 @@ REGISTRY = {
     "op7_neighbour_voting": (op7_neighbour_voting, None),
     "op8_minhash_banding": (op8_minhash_banding, oracle.NGRAM_LINKS),
     "op9_warc_normaliser": (op9_warc_normaliser, oracle.WARC_ROUND_TRIP),
-    "op10_feistel_shards": (op10_feistel_shards, None),
+    "op10_feistel_shards": (op10_feistel_shards, oracle.feistel_shards(SHARDS)),
     "pipeline": (pipeline, None),
 }

@@ -29,6 +29,7 @@ from shapecode.llm.common import shuffle_width, written
 ROUNDS = 4
 WALK = 64
 OVERHEAD = 16
+SEED = 20240
 
 
 def _round_value(seed: int, j: int, right: Column) -> Column:
@@ -90,7 +91,7 @@ def permuted(row: Column, n: int, seed: int) -> Column:
     return F.when(first < F.lit(n), first).otherwise(walk)
 
 
-def shard_rows(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 20240,
+def shard_rows(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED,
                overhead: int = OVERHEAD) -> DataFrame:
     """(doc_id, size, text_crc32, row_number, permuted, shard, slot) for every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
