@@ -40,13 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> int:
     """Delete the folders this application's operators wrote; call it once their results are stored."""
     paths = _MADE.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, p)
     return len(paths)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this module handed out."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
