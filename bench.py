@@ -18,9 +18,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from shapecode.plans.queries import REGISTRY  # noqa: E402
 from shapecode.session import get_session  # noqa: E402
 
-HEADLINE = [
-    "frame_scores", "frame_scores_events", "nearest_code", "frames_tumbling", "windows_sliding",
-    "codebook_lloyd", "labelled_frames", "threshold_sweep", "frame_labels", "stream_detect", "word_totals", "loss_histogram",
+HEADLINE = [       # codebook_lloyd trains and stores the dictionary that the later queries load
+    "codebook_lloyd", "frame_scores", "frame_scores_events", "nearest_code", "frames_tumbling", "windows_sliding",
+    "labelled_frames", "threshold_sweep", "frame_labels", "stream_detect", "word_totals", "loss_histogram",
 ]
 
 

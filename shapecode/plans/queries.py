@@ -487,9 +487,8 @@ def word_filter(spark, sf_dir):
     f" SELECT source_id, code, {Q.r6(Q.lsum('center'))} AS center_sum, "
     f"{Q.r6(Q.lsum('list_transform(center, lambda v: v * v)'))} AS center_sumsq FROM c{KM.ITERATIONS}"))
 def codebook_lloyd(spark, sf_dir):
-    """A13(b)-A15: all-source Lloyd k-means, 20 iterations."""
-    train, budget = KM.training_set(signal_samples(spark, sf_dir, LI), LI.w, LI.step)
-    cb = KM.lloyd(train, budget, LI.w)
+    """A13(b)-A15: all-source Lloyd k-means, 20 iterations, saved to and read from the store."""
+    cb = stored_codebook(spark, sf_dir, LI)
     return cb.select("source_id", "code",
                      F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v), 6).alias("center_sum"),
                      F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v * v), 6).alias("center_sumsq"))
