@@ -209,4 +209,6 @@ def stream_anomalies(spark, sf_dir):
     "'no_model' AS status FROM frames WHERE source_id NOT IN (SELECT source_id FROM c0)"))
 def stream_quarantine(spark, sf_dir):
     """J2 misses of the stream: frames without a dictionary stand in the quarantine."""
-    return spark.read.parquet(f"{_replayed(spark, sf_dir)}/quarantine").select("patient_id", "frameRef", "status")
+    # a replay without such frames leaves no files, so the schema is given
+    quarantine = spark.read.schema("srcId string, frameRef double, patient_id string, status string, batch_id int")
+    return quarantine.parquet(f"{_replayed(spark, sf_dir)}/quarantine").select("patient_id", "frameRef", "status")
