@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             buf, off = text_buffer(b.column("text"))
             x = [features(*p) for p in _pieces(buf, off)]
-            rows = [r.astype(np.float32).tobytes() for m in x for r in m]
+            rows = [r.astype(np.float16).tobytes() for m in x for r in m]     # half precision: the driver holds them all
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(rows, pa.binary())],
                                              names=["_id", "_y", "x"])
 
@@ -141,18 +141,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not got:
         return model
     got.sort(key=lambda r: (r["_id"], r["_y"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in got])
     y = np.array([r["_y"] for r in got])
+    x = np.empty((len(got), TERMS + EXTRA), dtype=np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r["x"], dtype=np.float16)
+    del got
     mean = x.mean(axis=0)
+    x -= mean
     rng = np.random.default_rng(3)
     # randomised truncated decomposition of the centred sample
-    q, _ = np.linalg.qr((x - mean) @ rng.standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32))
+    q, _ = np.linalg.qr(x @ rng.standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32))
     for _ in range(3):
-        z, _ = np.linalg.qr((x - mean).T @ q)
-        q, _ = np.linalg.qr((x - mean) @ z)
-    _, _, vt = np.linalg.svd(q.T @ (x - mean), full_matrices=False)
+        z, _ = np.linalg.qr(x.T @ q)
+        q, _ = np.linalg.qr(x @ z)
+    _, _, vt = np.linalg.svd(q.T @ x, full_matrices=False)
     projection = np.ascontiguousarray(vt[:rank].T, dtype=np.float32)
-    latent = (x - mean) @ projection
+    latent = x @ projection
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     seen = np.bincount(y, minlength=2)
     weight = np.array([total.get(c, 0) / max(seen[c], 1) for c in (0, 1)])[y]
