@@ -6,9 +6,13 @@ sentence ``<name>``; other words lose outer punctuation and capitals.  Every
 window of ``k`` canonical words of a document is hashed and joined with the
 benchmark's windows, so a question whose numbers, names and units were
 replaced still matches.  Matches are gathered by (document, item, diagonal);
-the words of a matching stretch are compared again, and the placeholders must
-be filled consistently: one value of the item always became the same value in
-the document, and a window needs ``least_literal`` ordinary words to count.
+the words of a matching stretch are compared again, and a window needs
+``LITERAL_SHARE`` ordinary words to count.  Windows without a gap between them
+form a run.  A stretch leaks if it holds a window of the item's own words, a
+run whose names are filled consistently (one name of the item always became
+the same name in the document), or 2 k words so filled of a longer run.  Words
+between the runs are not judged.  Equal numbers or units may stand for two
+things, so each may become another value in each place.
 
 DataFrame functions only.  The benchmark's windows are broadcast up to a
 checked number of rows and shuffled beyond it.
@@ -110,17 +114,45 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             .select("key", "doc_id", "item_id", "k", F.arrays_zip(
                 F.slice("dc", F.col("lo") + 1, F.col("n")).alias("dc"), F.slice("ic", F.col("at") + 1, F.col("n")).alias("ic"),
                 F.slice("dr", F.col("lo") + 1, F.col("n")).alias("dr"), F.slice("ir", F.col("at") + 1, F.col("n")).alias("ir")).alias("z")))
-    same = F.filter("z", lambda w: w["dc"] == w["ic"])
-    bare = lambda c: F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    both = both.withColumn("same", same).where(F.size("same") >= F.col("k"))
-    slots = F.transform(F.filter("same", lambda w: w["dc"].startswith("<")),
-                        lambda w: F.struct(w["dc"].alias("slot"), bare(w["ir"]).alias("item"), bare(w["dr"]).alias("doc")))
-    both = both.withColumn("slots", F.array_distinct(slots))
-    held = F.array_distinct(F.transform("slots", lambda s: F.struct(s["slot"].alias("slot"), s["item"].alias("item"))))
-    both = both.where(F.size("slots") == F.size(held))
+    both = both.withColumn("p", F.transform("z", _compared)).withColumn("same", F.size(F.filter("p", lambda w: w["same"])))
+    both = both.where((F.col("same") >= F.col("k")) & _leaks())
     return (both.groupBy("key", "doc_id", "item_id").agg(
-        F.max(F.size("same")).cast("int").alias("n_words"),
-        F.bool_or(F.forall("slots", lambda s: s["item"] == s["doc"])).alias("verbatim")))
+        F.max("same").cast("int").alias("n_words"),
+        F.bool_or(F.forall("p", lambda w: ~w["same"] | w["own"])).alias("verbatim")))
+
+
+def _compared(w: Column) -> Column:
+    """Two words in the same place: equal in canonical form, equal as they stand, ordinary, names."""
+    bare = lambda c: F.lower(F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    same = w["dc"] == w["ic"]
+    return F.struct(same.alias("same"), (same & (bare(w["dr"]) == bare(w["ir"]))).alias("own"), (~w["ic"].startswith("<")).alias("ordinary"),
+                    w["ic"].startswith("<name>").alias("name"), bare(w["ir"]).alias("item"), bare(w["dr"]).alias("doc"))
+
+
+def _leaks() -> Column:
+    """Whether the compared words ``p`` of a diagonal hold a leak of windows of ``k`` words."""
+    p, k = F.col("p"), F.col("k")
+    window = lambda s: F.slice(p, s + 1, k)
+    own = lambda s: F.forall(window(s), lambda w: w["own"])
+    alike = lambda s: (F.forall(window(s), lambda w: w["same"])
+                       & (F.size(F.filter(window(s), lambda w: w["ordinary"])) >= k * LITERAL_SHARE))
+    starts = F.filter(F.sequence(F.lit(0), F.size(p) - k), lambda s: own(s) | alike(s))
+
+    def join(acc, s):
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
+                          F.array(F.struct(last["a"].alias("a"), (s + k).alias("b"))))
+        return F.when(last["b"] >= s, longer).otherwise(F.concat(acc, F.array(F.struct(s.alias("a"), (s + k).alias("b")))))
+
+    def consistent(a, n):
+        names = F.array_distinct(F.transform(F.filter(F.slice(p, a + 1, n), lambda w: w["same"] & w["name"]),
+                                             lambda w: F.struct(w["item"].alias("item"), w["doc"].alias("doc"))))
+        return F.size(names) == F.size(F.array_distinct(F.transform(names, lambda x: x["item"])))
+
+    runs = F.aggregate(starts, F.array().cast("array<struct<a:int,b:int>>"), join)
+    part = lambda r: F.exists(F.sequence(r["a"], F.greatest(r["a"], r["b"] - 2 * k)), lambda s: consistent(s, 2 * k))
+    return F.exists(starts, own) | F.exists(runs, lambda r: consistent(r["a"], r["b"] - r["a"]) | (
+        (r["b"] - r["a"] >= 2 * k) & part(r)))
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame, **cols) -> DataFrame:

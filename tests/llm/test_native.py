@@ -196,6 +196,25 @@ def test_template_windows(spark):
     assert decontaminate.leaked_items(docs, bench.limit(0)).collect() == []
 
 
+def leaks(spark, items, docs):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, *r.item_ids) for r in decontaminate.leaked_items(frame(spark, list(enumerate(docs))), bench).collect()}
+
+
+def test_inconsistent_slots_do_not_hide_windows(spark):
+    plain = [f"ordinary{a}{b}" for a in "abcdef" for b in "qrstuvwxyz"]
+    number, name = " ".join(plain[:3] + ["5"] + plain[3:40] + ["5"] + plain[40:]), " ".join(plain[:30] + ["Ann", "saw"] + plain[30:] + ["Ann", "go"])
+    roles = "A shop sells 2 apples and 2 pears to each of the people who come there early"
+    gap = " ".join(plain[:12] + ["met", "Ann", "or", "Ann", "there"] + plain[12:30])
+    other = " ".join(plain[:9] + ["Ann", "went"] + plain[9:25] + ["Bob", "sat"] + plain[25:40] + ["Ann", "ran"])
+    items = [number, name, roles, gap, other]
+    docs = [number[:-400] + number[-400:].replace(" 5 ", " 7 "), name.replace("Ann go", "Eve go"), roles.replace("2 a", "3 a").replace("2 p", "5 p"),
+            gap.replace("met Ann or Ann", "saw Eve or Zed"),
+            other.replace("Ann went", "Eve went").replace("Bob", "Tom").replace("Ann ran", "Zed ran")]
+    for i, (item, doc) in enumerate(zip(items, docs)):
+        assert item != doc and leaks(spark, [item], [f"So {doc}."]) == {(0, 0)}, i
+
+
 def test_canonical_words_line_up(spark):
     rows = [(1, "He met Ann (aged 41) - in 3 km; <b> 1,200.5! \"Quoted,\" l'été ... %%%")]
     r = frame(spark, rows).select(decontaminate.words(decontaminate.canonical(F.col("text"))).alias("c"),
