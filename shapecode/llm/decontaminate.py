@@ -17,9 +17,12 @@ things, so each may become another value in each place.
 DataFrame functions only.  The benchmark's windows are broadcast up to a
 checked number of rows and shuffled beyond it.
 
-Defined cases: null and empty texts match nothing; items of fewer than
-``shortest`` words are ignored, items of fewer than k words are compared as a
-whole; rows that repeat are reported alike; null ids are kept; an empty table
+Windows with fewer ordinary words and items of fewer than ``SHORTEST`` words
+are joined on their own words (without capitals and outer punctuation), so
+verbatim copies of them are found as well.
+
+Defined cases: null and empty texts match nothing; items of fewer than k words
+are compared as a whole; rows that repeat are reported alike; null ids are kept; an empty table
 or benchmark gives an empty result; other columns are ignored.
 """
 
@@ -62,10 +65,15 @@ def words(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
 
 
-def _windows(rows: DataFrame, k: int, keep: list[str]) -> DataFrame:
-    """Exploded window hashes (keep..., pos, h) of an array column ``canon``."""
-    hashes = F.when(F.size("canon") >= k, F.transform(
-        F.sequence(F.lit(0), F.size("canon") - k), lambda i: F.xxhash64(F.slice("canon", i + 1, k))))
+def plain(text: Column) -> Column:
+    """Text without capitals and outer punctuation; its words line up with the text's."""
+    return F.lower(F.upper(F.regexp_replace(F.regexp_replace(text, r"[<>]", "_"), _OUTER, "")))
+
+
+def _windows(rows: DataFrame, k: int, keep: list[str], words_col: str) -> DataFrame:
+    """Exploded window hashes (keep..., pos, h) of an array column."""
+    hashes = F.when(F.size(words_col) >= k, F.transform(
+        F.sequence(F.lit(0), F.size(words_col) - k), lambda i: F.xxhash64(F.slice(words_col, i + 1, k))))
     return rows.select(*keep, F.posexplode(hashes).alias("pos", "h"))
 
 
@@ -75,6 +83,10 @@ def _canon_rows(df: DataFrame, text_col: str, **keep: Column) -> DataFrame:
             .withColumn("canon", words(canonical(F.col("text")))))
 
 
+def _with_plain(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("plain", words(plain(F.col("text"))))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_id_col: str = "item_id", item_text_col: str = "text", k: int = K) -> DataFrame:
     """(key, doc_id, item_id, n_words, verbatim): one row for each row of ``docs`` and item that it leaks.
@@ -85,31 +97,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     doc = _canon_rows(docs, text_col, key=key, doc_id=F.col(id_col))
-    item = _canon_rows(benchmark, item_text_col, item_id=F.col(item_id_col))
-    item = (item.where(F.size("canon") >= SHORTEST).withColumn("raw", words(F.col("text"))).drop("text")
+    item = _with_plain(_canon_rows(benchmark, item_text_col, item_id=F.col(item_id_col)))
+    item = (item.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("raw", words(F.col("text"))).drop("text")
             .dropDuplicates(["item_id", "raw"]))
     item = written(item.withColumn("item_key", F.xxhash64("item_id", F.array_join("raw", " "))), "benchmark-items")
     lengths = sorted({min(int(r["n"]), k) for r in item.select(F.least(F.size("canon"), F.lit(k)).alias("n")).distinct().collect()})
     hits = []
     for n in lengths:                                   # k, and the lengths below it of shorter items
         own = item.where(F.size("canon") >= n) if n == k else item.where(F.size("canon") == n)
-        literal = F.size(F.filter(F.slice("canon", F.col("pos") + 1, n), lambda w: ~w.startswith("<")))
-        asked = (_windows(own, n, ["item_key", "canon"]).where(literal >= n * LITERAL_SHARE)
-                 .select("item_key", "h", F.col("pos").alias("item_pos")))
-        asked = written(asked, "benchmark-windows")
-        if asked.count() <= BROADCAST_WINDOWS:
-            asked = F.broadcast(asked)
-        met = _windows(doc, n, ["key"]).join(asked, "h")
-        hits.append(met.groupBy("key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"))
-                    .agg(F.min("pos").alias("lo"), (F.max("pos") + F.lit(n)).alias("hi")).withColumn("k", F.lit(n)))
+        ordinary = F.size(F.filter(F.slice("canon", F.col("pos") + 1, n), lambda w: ~w.startswith("<"))) >= n * LITERAL_SHARE
+        template = ordinary & F.lit(n >= SHORTEST)
+        for name, form, these in (("template", "canon", template), ("verbatim", "plain", ~template)):
+            asked = written(_windows(own, n, ["item_key", "canon"], form).where(these)
+                            .select("item_key", "h", F.col("pos").alias("item_pos")), f"benchmark-{name}-windows")
+            count = asked.count()
+            if not count:
+                continue                                # the documents need not be read for this form
+            if count <= BROADCAST_WINDOWS:
+                asked = F.broadcast(asked)
+            met = _windows(doc if form == "canon" else _with_plain(doc), n, ["key"], form).join(asked, "h")
+            hits.append(met.groupBy("key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"))
+                        .agg(F.min("pos").alias("lo"), (F.max("pos") + F.lit(n)).alias("hi")).withColumn("k", F.lit(n)))
     names = "key long, doc_id long, item_id long, n_words int, verbatim boolean"
     if not hits:
         return docs.sparkSession.createDataFrame([], names)
-    runs = written(reduce(DataFrame.unionByName, hits), "leak-stretches")
+    runs = reduce(DataFrame.unionByName, hits).groupBy("key", "item_key", "shift", "k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    runs = written(runs, "leak-stretches")
     # again with the words themselves, for the rows that have a stretch
     full = doc.join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    full = full.withColumn("raw", words(F.col("text"))).select("key", "doc_id", F.col("canon").alias("dc"), F.col("raw").alias("dr"))
-    both = (runs.join(full, "key").join(item.select("item_key", "item_id", F.col("canon").alias("ic"), F.col("raw").alias("ir")), "item_key")
+    full = _with_plain(full).select("key", "doc_id", F.col("canon").alias("dc"), F.col("plain").alias("dr"))
+    both = (runs.join(full, "key").join(item.select("item_key", "item_id", F.col("canon").alias("ic"), F.col("plain").alias("ir")), "item_key")
             .withColumn("n", F.col("hi") - F.col("lo")).withColumn("at", F.col("lo") - F.col("shift"))
             .select("key", "doc_id", "item_id", "k", F.arrays_zip(
                 F.slice("dc", F.col("lo") + 1, F.col("n")).alias("dc"), F.slice("ic", F.col("at") + 1, F.col("n")).alias("ic"),
@@ -123,10 +140,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def _compared(w: Column) -> Column:
     """Two words in the same place: equal in canonical form, equal as they stand, ordinary, names."""
-    bare = lambda c: F.lower(F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    same = w["dc"] == w["ic"]
-    return F.struct(same.alias("same"), (same & (bare(w["dr"]) == bare(w["ir"]))).alias("own"), (~w["ic"].startswith("<")).alias("ordinary"),
-                    w["ic"].startswith("<name>").alias("name"), bare(w["ir"]).alias("item"), bare(w["dr"]).alias("doc"))
+    own = w["dr"] == w["ir"]
+    return F.struct((own | (w["dc"] == w["ic"])).alias("same"), own.alias("own"), (~w["ic"].startswith("<")).alias("ordinary"),
+                    (w["ic"].startswith("<name>") & w["dc"].startswith("<name>")).alias("name"), w["ir"].alias("item"), w["dr"].alias("doc"))
 
 
 def _leaks() -> Column:
@@ -134,7 +150,7 @@ def _leaks() -> Column:
     p, k = F.col("p"), F.col("k")
     window = lambda s: F.slice(p, s + 1, k)
     own = lambda s: F.forall(window(s), lambda w: w["own"])
-    alike = lambda s: (F.forall(window(s), lambda w: w["same"])
+    alike = lambda s: ((k >= SHORTEST) & F.forall(window(s), lambda w: w["same"])
                        & (F.size(F.filter(window(s), lambda w: w["ordinary"])) >= k * LITERAL_SHARE))
     starts = F.filter(F.sequence(F.lit(0), F.size(p) - k), lambda s: own(s) | alike(s))
 

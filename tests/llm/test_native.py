@@ -215,6 +215,14 @@ def test_inconsistent_slots_do_not_hide_windows(spark):
         assert item != doc and leaks(spark, [item], [f"So {doc}."]) == {(0, 0)}, i
 
 
+def test_verbatim_copies_without_ordinary_words(spark):
+    items = ["Alice Smith, Bob Jones, Carol White, Dan Brown, Eve Black, Fay Green, Gus Gray, Hal Reed, Ida Ross, Jan Lee",
+             "What is 7?", "1 2 3 4 5 6 7 8 9 10 11 12", "Ann Lee saw Bob Roe", "No"]
+    docs = [f"They were {items[0]} and so on", "He asked: What is 7? And left", "first " + items[2], "then Ann Lee saw Bob Roe again", "He asked what is 8 then",
+            "then Eve Lee saw Tom Poe again", "a 2 3 4 5 6 7 8 9 10 12 13", "he said no"]
+    assert leaks(spark, items, docs) == {(0, 0), (1, 1), (2, 2), (3, 3), (7, 4)}
+
+
 def test_canonical_words_line_up(spark):
     rows = [(1, "He met Ann (aged 41) - in 3 km; <b> 1,200.5! \"Quoted,\" l'été ... %%%")]
     r = frame(spark, rows).select(decontaminate.words(decontaminate.canonical(F.col("text"))).alias("c"),
