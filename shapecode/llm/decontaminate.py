@@ -2,8 +2,9 @@
 
 Texts are cut at ASCII white space.  In a canonical text numbers become
 ``<num>``, a unit after a number ``<unit>``, a capitalised word inside a
-sentence ``<name>``; other words lose outer punctuation and capitals.  Every
-window of ``k`` canonical words of a document is hashed and joined with the
+sentence ``<name>``; other words lose outer punctuation and capitals.  A folded
+text has the same without names and units, so that a copy in other capitals
+matches with other numbers (not with other names or units).  Every window of ``k`` canonical words of a document is hashed and joined with the
 benchmark's windows, so a question whose numbers, names and units were
 replaced still matches.  Matches are gathered by (document, item, diagonal);
 the words of a matching stretch are compared again, and a window needs
@@ -51,14 +52,22 @@ _NAME = r"(?<=[\p{L}\p{N},;:][\x20])\p{Lu}[\p{L}\p{M}'-]*"
 _OUTER = r"(?<![^\s])[^\p{L}\p{N}<>\s]+(?=[\p{L}\p{N}<])|(?<=[\p{L}\p{N}>])[^\p{L}\p{N}<>\s]+(?![^\s])"
 
 
-def canonical(text: Column) -> Column:
-    """Canonical text with the same white space, so its words line up with the text's."""
-    c = F.regexp_replace(text, r"[<>]", "_")
-    c = F.regexp_replace(c, _NAME, "<name>")
+def _marked(text: Column) -> Column:
+    """Folded text, white space in single spaces, numbers replaced, ``<name>`` set before names."""
+    c = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), r"[<>]", "_")
+    c = F.regexp_replace(c, _NAME, "<name>$0")
     c = F.regexp_replace(c, _NUMBER, "<num>")
-    c = F.regexp_replace(c, _OUTER, "")
-    c = F.regexp_replace(F.lower(c), rf"(?<=<num>[\x20])(?:{'|'.join(UNITS)})(?![^\s])", "<unit>")
-    return c
+    return F.lower(F.upper(F.regexp_replace(c, _OUTER, "")))
+
+
+def _templates(marked: Column) -> Column:
+    c = F.regexp_replace(marked, r"<name>[\p{L}\p{M}'-]*", "<name>")
+    return F.regexp_replace(c, rf"(?<=<num>[\x20])(?:{'|'.join(UNITS)})(?![^\s])", "<unit>")
+
+
+def canonical(text: Column) -> Column:
+    """Canonical text; its words line up with the text's."""
+    return _templates(_marked(text))
 
 
 def words(text: Column) -> Column:
@@ -70,17 +79,52 @@ def plain(text: Column) -> Column:
     return F.lower(F.upper(F.regexp_replace(F.regexp_replace(text, r"[<>]", "_"), _OUTER, "")))
 
 
-def _windows(rows: DataFrame, k: int, keep: list[str], words_col: str) -> DataFrame:
-    """Exploded window hashes (keep..., pos, h) of an array column."""
-    hashes = F.when(F.size(words_col) >= k, F.transform(
-        F.sequence(F.lit(0), F.size(words_col) - k), lambda i: F.xxhash64(F.slice(words_col, i + 1, k))))
-    return rows.select(*keep, F.posexplode(hashes).alias("pos", "h"))
+def _run_hashes(rows: DataFrame, col: str, n: int) -> DataFrame:
+    """Columns ``col``_1 (a hash a word) and ``col``_n (a hash for each run of n words), runs doubled and then added up."""
+    def add(rows, x, y):
+        at = F.sequence(F.lit(0), F.size(col) - (x + y))
+        return rows.withColumn(f"{col}_{x + y}", F.transform(at, lambda i: F.xxhash64(F.get(f"{col}_{x}", i), F.get(f"{col}_{y}", i + x))))
+
+    rows = rows.withColumn(f"{col}_1", F.transform(col, lambda w: F.xxhash64(w)))
+    have = 1
+    while 2 * have <= n:
+        rows, have = add(rows, have, have), 2 * have
+    for bit in reversed([1 << j for j in range(have.bit_length() - 1)]):
+        if n & bit:
+            rows, have = add(rows, have, bit), have + bit
+    return rows
+
+
+def _windows(rows: DataFrame, k: int, keep: list[str], col: str, fold: str | None = None) -> DataFrame:
+    """Exploded window hashes (keep..., pos, h) of an array column.
+
+    With ``fold`` also the windows of that column where they differ, and those
+    of ``col`` behind the first word of ``fold``: what stands before a passage
+    may make its first word look like a name or a unit.
+    """
+    rows, rest = rows.where(F.size(col) >= k), max(k - 1, 1)
+    for c in [col] + [fold] * (fold is not None):
+        rows = _run_hashes(rows, c, rest)
+    at = F.sequence(F.lit(0), F.size(col) - k)
+    head = lambda c, i: F.get(f"{c}_1", i)
+    tail = lambda c, i: F.get(f"{c}_{rest}", i + 1) if k > 1 else F.lit(0).cast("long")
+    hashes = [F.transform(at, lambda i: F.xxhash64(head(col, i), tail(col, i)))]
+    if fold is not None:
+        hashes += [F.transform(at, lambda i: F.when((head(col, i) != head(fold, i)) | (tail(col, i) != tail(fold, i)),
+                                                    F.xxhash64(head(fold, i), tail(fold, i)))),
+                   F.transform(at, lambda i: F.when((head(col, i) != head(fold, i)) & (tail(col, i) != tail(fold, i)),
+                                                    F.xxhash64(head(fold, i), tail(col, i))))]
+    return (rows.select(*keep, F.explode(F.array(*hashes)).alias("hashes")).select(*keep, F.posexplode("hashes").alias("pos", "h"))
+            .where(F.col("h").isNotNull()))
 
 
 def _canon_rows(df: DataFrame, text_col: str, **keep: Column) -> DataFrame:
+    """Rows with the words as templates (``canon``) and with numbers only replaced (``fold``)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return (df.select(*[c.alias(n) for n, c in keep.items()], text.alias("text"))
-            .withColumn("canon", words(canonical(F.col("text")))))
+    marked = F.col("marked")
+    return (df.select(*[c.alias(n) for n, c in keep.items()], text.alias("text")).withColumn("marked", _marked(F.col("text")))
+            .withColumn("canon", words(_templates(marked))).withColumn("fold", words(F.replace(marked, F.lit("<name>"), F.lit(""))))
+            .drop("marked"))
 
 
 def _with_plain(rows: DataFrame) -> DataFrame:
@@ -96,7 +140,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     holds the item's own value.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    doc = _canon_rows(docs, text_col, key=key, doc_id=F.col(id_col))
+    base = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own_columns = {"key": F.col("key"), "doc_id": F.col("doc_id")}
+    doc = _canon_rows(base, "text", **own_columns)
     item = _with_plain(_canon_rows(benchmark, item_text_col, item_id=F.col(item_id_col)))
     item = (item.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("raw", words(F.col("text"))).drop("text")
             .dropDuplicates(["item_id", "raw"]))
@@ -105,18 +151,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     hits = []
     for n in lengths:                                   # k, and the lengths below it of shorter items
         own = item.where(F.size("canon") >= n) if n == k else item.where(F.size("canon") == n)
-        ordinary = F.size(F.filter(F.slice("canon", F.col("pos") + 1, n), lambda w: ~w.startswith("<"))) >= n * LITERAL_SHARE
-        template = ordinary & F.lit(n >= SHORTEST)
-        for name, form, these in (("template", "canon", template), ("verbatim", "plain", ~template)):
-            asked = written(_windows(own, n, ["item_key", "canon"], form).where(these)
-                            .select("item_key", "h", F.col("pos").alias("item_pos")), f"benchmark-{name}-windows")
+        ordinary = lambda c: F.size(F.filter(F.slice(c, F.col("pos") + 1, n), lambda w: ~w.startswith("<"))) >= n * LITERAL_SHARE
+        long = F.lit(n >= SHORTEST)
+        asking = lambda form, these: (_windows(own, n, ["item_key", "canon", "fold"], form).where(these)
+                                      .select("item_key", "h", F.col("pos").alias("item_pos")))
+        template = asking("canon", long & ordinary("canon")).union(asking("fold", long & ordinary("fold"))).distinct()
+        for name, asked in (("template", template), ("verbatim", asking("plain", ~(long & ordinary("fold"))))):
+            asked = written(asked, f"benchmark-{name}-windows")
             count = asked.count()
             if not count:
                 continue                                # the documents need not be read for this form
             if count <= BROADCAST_WINDOWS:
                 asked = F.broadcast(asked)
-            met = _windows(doc if form == "canon" else _with_plain(doc), n, ["key"], form).join(asked, "h")
-            hits.append(met.groupBy("key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"))
+            met = _windows(doc, n, ["key"], "canon", "fold") if name == "template" else _windows(_with_plain(doc), n, ["key"], "plain")
+            hits.append(met.join(asked, "h").groupBy("key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"))
                         .agg(F.min("pos").alias("lo"), (F.max("pos") + F.lit(n)).alias("hi")).withColumn("k", F.lit(n)))
     names = "key long, doc_id long, item_id long, n_words int, verbatim boolean"
     if not hits:
@@ -124,12 +172,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     runs = reduce(DataFrame.unionByName, hits).groupBy("key", "item_key", "shift", "k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     runs = written(runs, "leak-stretches")
     # again with the words themselves, for the rows that have a stretch
-    full = doc.join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    full = _with_plain(full).select("key", "doc_id", F.col("canon").alias("dc"), F.col("plain").alias("dr"))
-    both = (runs.join(full, "key").join(item.select("item_key", "item_id", F.col("canon").alias("ic"), F.col("plain").alias("ir")), "item_key")
+    full = base.join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    full = _with_plain(_canon_rows(full, "text", **own_columns)).select("key", "doc_id", F.col("canon").alias("dc"), F.col("fold").alias("df"), F.col("plain").alias("dr"))
+    both = (runs.join(full, "key").join(item.select("item_key", "item_id", F.col("canon").alias("ic"), F.col("fold").alias("if"), F.col("plain").alias("ir")),
+                                   "item_key")
             .withColumn("n", F.col("hi") - F.col("lo")).withColumn("at", F.col("lo") - F.col("shift"))
             .select("key", "doc_id", "item_id", "k", F.arrays_zip(
                 F.slice("dc", F.col("lo") + 1, F.col("n")).alias("dc"), F.slice("ic", F.col("at") + 1, F.col("n")).alias("ic"),
+                F.slice("df", F.col("lo") + 1, F.col("n")).alias("df"), F.slice("if", F.col("at") + 1, F.col("n")).alias("if"),
                 F.slice("dr", F.col("lo") + 1, F.col("n")).alias("dr"), F.slice("ir", F.col("at") + 1, F.col("n")).alias("ir")).alias("z")))
     both = both.withColumn("p", F.transform("z", _compared)).withColumn("same", F.size(F.filter("p", lambda w: w["same"])))
     both = both.where((F.col("same") >= F.col("k")) & _leaks())
@@ -140,8 +190,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def _compared(w: Column) -> Column:
     """Two words in the same place: equal in canonical form, equal as they stand, ordinary, names."""
-    own = w["dr"] == w["ir"]
-    return F.struct((own | (w["dc"] == w["ic"])).alias("same"), own.alias("own"), (~w["ic"].startswith("<")).alias("ordinary"),
+    own, folded = w["dr"] == w["ir"], w["df"] == w["if"]
+    return F.struct((own | folded | (w["dc"] == w["ic"])).alias("same"), own.alias("own"),
+                    (~w["ic"].startswith("<") | (folded & ~w["if"].startswith("<"))).alias("ordinary"),
                     (w["ic"].startswith("<name>") & w["dc"].startswith("<name>")).alias("name"), w["ir"].alias("item"), w["dr"].alias("doc"))
 
 

@@ -223,6 +223,17 @@ def test_verbatim_copies_without_ordinary_words(spark):
     assert leaks(spark, items, docs) == {(0, 0), (1, 1), (2, 2), (3, 3), (7, 4)}
 
 
+def test_copies_in_other_capitals_and_white_space(spark):
+    item = "Der Hund und die Katze laufen über die Straße zum Markt, wo Anna Brot und Milch für 12 Euro kauft"
+    names = "so Tom and Ann and Bob and Eve ran and Jan sat"
+    docs = [f"Text: {item.upper()}!", item.lower(), item.title(), item.upper().replace("12", "15"), item.swapcase(), names.upper(),
+            "so Kim and\nZed and  Roy and\tIda ran and\n\nMax sat", "so Kim and"]
+    got = leaks(spark, [item, names], docs)
+    assert got == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1)}
+    question = "In which town did the old king Karl build ships"
+    assert leaks(spark, [question], [f"12. {question}?", "A heading\n" + question.replace("Karl", "Otto")]) == {(0, 0), (1, 0)}
+
+
 def test_canonical_words_line_up(spark):
     rows = [(1, "He met Ann (aged 41) - in 3 km; <b> 1,200.5! \"Quoted,\" l'été ... %%%")]
     r = frame(spark, rows).select(decontaminate.words(decontaminate.canonical(F.col("text"))).alias("c"),
