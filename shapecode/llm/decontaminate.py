@@ -34,7 +34,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shapecode.functions.arrays import fence
 from shapecode.llm.common import written
+from shapecode.llm.spans import let
 
 K = 10
 SHORTEST = 5
@@ -47,14 +49,17 @@ UNITS = ("km", "m", "cm", "mm", "miles", "mile", "feet", "foot", "ft", "inches",
          "seconds", "second", "s", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar",
          "cents", "euros", "euro", "percent", "degrees", "volts", "watts", "mph", "kmh")
 
+# White space apart from a lone space; the look-aheads in front only make the search cheap.
+_SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-_NAME = r"(?<=[\p{L}\p{N},;:][\x20])\p{Lu}[\p{L}\p{M}'-]*"
-_OUTER = r"(?<![^\s])[^\p{L}\p{N}<>\s]+(?=[\p{L}\p{N}<])|(?<=[\p{L}\p{N}>])[^\p{L}\p{N}<>\s]+(?![^\s])"
+_NAME = r"(?=\p{Lu})(?<=[\p{L}\p{N},;:][\x20])\p{Lu}[\p{L}\p{M}'-]*"
+_OUTER = (r"(?![A-Za-z0-9\x20])(?=[^\p{L}\p{N}<>\s])"
+          r"(?:(?<![^\s])[^\p{L}\p{N}<>\s]+(?=[\p{L}\p{N}<])|(?<=[\p{L}\p{N}>])[^\p{L}\p{N}<>\s]+(?![^\s]))")
 
 
 def _marked(text: Column) -> Column:
     """Folded text, white space in single spaces, numbers replaced, ``<name>`` set before names."""
-    c = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), r"[<>]", "_")
+    c = F.regexp_replace(F.regexp_replace(text, _SPACES, " "), r"[<>]", "_")
     c = F.regexp_replace(c, _NAME, "<name>$0")
     c = F.regexp_replace(c, _NUMBER, "<num>")
     return F.lower(F.upper(F.regexp_replace(c, _OUTER, "")))
@@ -65,13 +70,17 @@ def _templates(marked: Column) -> Column:
     return F.regexp_replace(c, rf"(?<=<num>[\x20])(?:{'|'.join(UNITS)})(?![^\s])", "<unit>")
 
 
+def _folded(marked: Column) -> Column:
+    return F.replace(marked, F.lit("<name>"), F.lit(""))
+
+
 def canonical(text: Column) -> Column:
     """Canonical text; its words line up with the text's."""
     return _templates(_marked(text))
 
 
 def words(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
+    return F.split(F.trim(F.regexp_replace(text, _SPACES, " ")), "[ ]")
 
 
 def plain(text: Column) -> Column:
@@ -79,109 +88,167 @@ def plain(text: Column) -> Column:
     return F.lower(F.upper(F.regexp_replace(F.regexp_replace(text, r"[<>]", "_"), _OUTER, "")))
 
 
-def _run_hashes(rows: DataFrame, col: str, n: int) -> DataFrame:
-    """Columns ``col``_1 (a hash a word) and ``col``_n (a hash for each run of n words), runs doubled and then added up."""
-    def add(rows, x, y):
-        at = F.sequence(F.lit(0), F.size(col) - (x + y))
-        return rows.withColumn(f"{col}_{x + y}", F.transform(at, lambda i: F.xxhash64(F.get(f"{col}_{x}", i), F.get(f"{col}_{y}", i + x))))
+# ------------------------------------------------------------------ windows
+
+def _hashes(found: Column) -> Column:
+    return F.transform(found, lambda w: F.xxhash64(w))
+
+
+def _window(head: Column, tail: Column, at: Column, n: int) -> Column:
+    """Hash of the window of ``n`` word hashes at ``at``: the first of ``head``, the others of ``tail``."""
+    return F.xxhash64(F.get(head, at), F.slice(tail, at + 2, n - 1)) if n > 1 else F.xxhash64(F.get(head, at))
+
+
+def _starts(h: Column, n: int) -> Column:
+    return F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
+
+
+def _slots(of: Column, table_size: int) -> Column:
+    return F.pmod(of, F.lit(table_size)).cast("int")
+
+
+def _pair(h: Column, x: Column, i: Column) -> Column:
+    return F.xxhash64(x, F.get(h, i + 1))
+
+
+def _known(h: Column, filled: Column, table_size: int) -> Column:
+    """Per word: whether it and the next one may be neighbours in a benchmark item (never false for a true pair)."""
+    return F.transform(h, lambda x, i: F.get(filled, _slots(_pair(h, x, i), table_size)))
+
 
-    rows = rows.withColumn(f"{col}_1", F.transform(col, lambda w: F.xxhash64(w)))
-    have = 1
-    while 2 * have <= n:
-        rows, have = add(rows, have, have), 2 * have
-    for bit in reversed([1 << j for j in range(have.bit_length() - 1)]):
-        if n & bit:
-            rows, have = add(rows, have, bit), have + bit
-    return rows
+def _may_match(known: Column, first: int, n: int):
+    """Whether the neighbours of a window, from its word ``first`` on, are all known."""
+    return lambda s: reduce(lambda a, b: a & b, [F.get(known, s + j) for j in range(first, n - 1)], F.lit(True))
 
 
-def _windows(rows: DataFrame, k: int, keep: list[str], col: str, fold: str | None = None) -> DataFrame:
-    """Exploded window hashes (keep..., pos, h) of an array column.
+def _found_windows(text: Column, filled: Column, table_size: int, templates: list[int], verbatim: list[int]) -> Column:
+    """array<struct<form, n, pos, h>>: the windows of a text that may be a benchmark's.
 
-    With ``fold`` also the windows of that column where they differ, and those
-    of ``col`` behind the first word of ``fold``: what stands before a passage
-    may make its first word look like a name or a unit.
+    A template window is one of canonical words or, where they differ, of
+    folded words; what stands before a passage may make its first word look
+    like a name or a unit, so the first word may be folded alone.  Each array
+    is bound once (``let``) and every step is linear in the words.
     """
-    rows, rest = rows.where(F.size(col) >= k), max(k - 1, 1)
-    for c in [col] + [fold] * (fold is not None):
-        rows = _run_hashes(rows, c, rest)
-    at = F.sequence(F.lit(0), F.size(col) - k)
-    head = lambda c, i: F.get(f"{c}_1", i)
-    tail = lambda c, i: F.get(f"{c}_{rest}", i + 1) if k > 1 else F.lit(0).cast("long")
-    hashes = [F.transform(at, lambda i: F.xxhash64(head(col, i), tail(col, i)))]
-    if fold is not None:
-        hashes += [F.transform(at, lambda i: F.when((head(col, i) != head(fold, i)) | (tail(col, i) != tail(fold, i)),
-                                                    F.xxhash64(head(fold, i), tail(fold, i)))),
-                   F.transform(at, lambda i: F.when((head(col, i) != head(fold, i)) & (tail(col, i) != tail(fold, i)),
-                                                    F.xxhash64(head(fold, i), tail(col, i))))]
-    return (rows.select(*keep, F.explode(F.array(*hashes)).alias("hashes")).select(*keep, F.posexplode("hashes").alias("pos", "h"))
-            .where(F.col("h").isNotNull()))
+    kind = lambda form, n, s, h: F.struct(F.lit(form).alias("form"), F.lit(n).alias("n"), s.alias("pos"), h.alias("h"))
+
+    def of_templates(filled, a):
+        c, f = a["c"], a["f"]
+
+        def of_length(known, n):
+            near = lambda k: F.filter(_starts(c, n), _may_match(k, 1, n))
+            other_tail = lambda s: F.slice(c, s + 2, n - 1) != F.slice(f, s + 2, n - 1)
+            return [F.transform(near(known["c"]), lambda s: kind(0, n, s, _window(c, c, s, n))),
+                    F.transform(F.filter(near(known["c"]), lambda s: F.get(c, s) != F.get(f, s)), lambda s: kind(0, n, s, _window(f, c, s, n))),
+                    F.transform(F.filter(near(known["f"]), other_tail), lambda s: kind(0, n, s, _window(f, f, s, n)))]
+        return let(F.struct(_known(c, filled, table_size).alias("c"), _known(f, filled, table_size).alias("f")),
+                   lambda known: F.concat(*[x for n in templates for x in of_length(known, n)]))
+
+    def of_verbatim(filled, p):
+        def of_length(known, n):
+            own = _may_match(known, 0, n) if n > 1 else lambda s: F.get(filled, _slots(F.get(p, s), table_size))
+            return F.transform(F.filter(_starts(p, n), own), lambda s: kind(1, n, s, _window(p, p, s, n)))
+        return let(_known(p, filled, table_size), lambda known: F.concat(*[of_length(known, n) for n in verbatim]))
+
+    def both(filled):
+        out = []
+        if templates:
+            hashed = let(_marked(text), lambda m: F.struct(_hashes(F.split(F.trim(_templates(m)), "[ ]")).alias("c"),
+                                                           _hashes(F.split(F.trim(_folded(m)), "[ ]")).alias("f")))
+            out.append(let(hashed, lambda a: of_templates(filled, a)))
+        if verbatim:
+            out.append(let(_hashes(words(plain(text))), lambda p: of_verbatim(filled, p)))
+        return F.concat(*out) if len(out) > 1 else out[0]
+    return let(filled, both)
+
+
+def _filled_slots(item: DataFrame, table_size: int) -> Column:
+    """The filter: one boolean a slot, set for every word and pair of neighbours of an item in any form."""
+    slots = None
+    for c in ("canon", "fold", "plain"):
+        of = item.select(F.explode(let(_hashes(F.col(c)), lambda h: F.concat(h, F.transform(h, lambda x, i: _pair(h, x, i))))).alias("x"))
+        slots = of if slots is None else slots.unionByName(of)
+    slots = slots.select(_slots(F.col("x"), table_size).alias("slot")).distinct().withColumn("set", F.lit(True))
+    every = item.sparkSession.range(table_size).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("set", F.lit(False)).alias("set")))), lambda x: x["set"])
+                     .alias("filled")).scalar()
 
 
 def _canon_rows(df: DataFrame, text_col: str, **keep: Column) -> DataFrame:
-    """Rows with the words as templates (``canon``) and with numbers only replaced (``fold``)."""
+    """Rows with the words as templates (``canon``), with numbers only replaced (``fold``) and as they stand (``plain``)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = F.col("marked")
-    return (df.select(*[c.alias(n) for n, c in keep.items()], text.alias("text")).withColumn("marked", _marked(F.col("text")))
-            .withColumn("canon", words(_templates(marked))).withColumn("fold", words(F.replace(marked, F.lit("<name>"), F.lit(""))))
-            .drop("marked"))
+    forms = let(_marked(F.col("text")), lambda m: F.struct(words(_templates(m)).alias("canon"), words(_folded(m)).alias("fold")))
+    return (df.select(*[c.alias(n) for n, c in keep.items()], text.alias("text"))
+            .select(*keep, "text", forms.alias("forms"), words(plain(F.col("text"))).alias("plain"))
+            .select(*keep, "text", "forms.canon", "forms.fold", "plain"))
 
 
-def _with_plain(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("plain", words(plain(F.col("text"))))
+def row_key(id_col: Column, text: Column) -> Column:
+    """128 bits of the text and the id: rows of equal key are equal in both."""
+    return F.struct(id_col.alias("id"), F.md5(F.encode(text, "UTF-8")).alias("digest"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_id_col: str = "item_id", item_text_col: str = "text", k: int = K) -> DataFrame:
     """(key, doc_id, item_id, n_words, verbatim): one row for each row of ``docs`` and item that it leaks.
 
-    ``key`` is the hash of id and text that identifies the row; n_words are
+    ``key`` (id and digest of the text) identifies the row; n_words are
     the matching words of the longest stretch; verbatim: every placeholder
     holds the item's own value.
     """
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    base = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    own_columns = {"key": F.col("key"), "doc_id": F.col("doc_id")}
-    doc = _canon_rows(base, "text", **own_columns)
-    item = _with_plain(_canon_rows(benchmark, item_text_col, item_id=F.col(item_id_col)))
+    base = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    item = _canon_rows(benchmark, item_text_col, item_id=F.col(item_id_col))
     item = (item.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("raw", words(F.col("text"))).drop("text")
             .dropDuplicates(["item_id", "raw"]))
-    item = written(item.withColumn("item_key", F.xxhash64("item_id", F.array_join("raw", " "))), "benchmark-items")
-    lengths = sorted({min(int(r["n"]), k) for r in item.select(F.least(F.size("canon"), F.lit(k)).alias("n")).distinct().collect()})
-    hits = []
-    for n in lengths:                                   # k, and the lengths below it of shorter items
+    item = written(item.withColumn("item_key", F.struct(F.col("item_id").alias("id"), F.md5(F.array_join("raw", " ")).alias("digest"))),
+                   "benchmark-items")
+    sizes = item.agg(F.collect_set(F.least(F.size("canon"), F.lit(k))), F.sum(F.size("canon"))).first()
+    lengths = sorted(int(n) for n in sizes[0])          # k, and the lengths below it of shorter items
+    asked, used = None, {0: [], 1: []}
+    for n in lengths:
         own = item.where(F.size("canon") >= n) if n == k else item.where(F.size("canon") == n)
-        ordinary = lambda c: F.size(F.filter(F.slice(c, F.col("pos") + 1, n), lambda w: ~w.startswith("<"))) >= n * LITERAL_SHARE
+        ordinary = lambda c, n=n: F.size(F.filter(F.slice(c, F.col("pos") + 1, n), lambda w: ~w.startswith("<"))) >= n * LITERAL_SHARE
         long = F.lit(n >= SHORTEST)
-        asking = lambda form, these: (_windows(own, n, ["item_key", "canon", "fold"], form).where(these)
-                                      .select("item_key", "h", F.col("pos").alias("item_pos")))
-        template = asking("canon", long & ordinary("canon")).union(asking("fold", long & ordinary("fold"))).distinct()
-        for name, asked in (("template", template), ("verbatim", asking("plain", ~(long & ordinary("fold"))))):
-            asked = written(asked, f"benchmark-{name}-windows")
-            count = asked.count()
-            if not count:
-                continue                                # the documents need not be read for this form
-            if count <= BROADCAST_WINDOWS:
-                asked = F.broadcast(asked)
-            met = _windows(doc, n, ["key"], "canon", "fold") if name == "template" else _windows(_with_plain(doc), n, ["key"], "plain")
-            hits.append(met.join(asked, "h").groupBy("key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"))
-                        .agg(F.min("pos").alias("lo"), (F.max("pos") + F.lit(n)).alias("hi")).withColumn("k", F.lit(n)))
-    names = "key long, doc_id long, item_id long, n_words int, verbatim boolean"
-    if not hits:
+        at = own.withColumn("pos", F.explode(_starts(F.col("canon"), n)))
+
+        def asking(form, col, these, n=n, at=at):
+            h = _hashes(F.slice(col, F.col("pos") + 1, n))
+            return at.where(these).select(F.lit(form).alias("form"), F.lit(n).alias("n"), let(h, lambda x: _window(x, x, F.lit(0), n)).alias("h"),
+                                          "item_key", F.col("pos").alias("item_pos"))
+        parts = [asking(1, "plain", ~(long & ordinary("fold")))]
+        if n >= SHORTEST:
+            parts += [asking(0, "canon", ordinary("canon")), asking(0, "fold", ordinary("fold"))]
+        for part in parts:
+            asked = part if asked is None else asked.unionByName(part)
+    names = f"key {base.schema['key'].dataType.simpleString()}, doc_id long, item_id long, n_words int, verbatim boolean"
+    if asked is None:
         return docs.sparkSession.createDataFrame([], names)
-    runs = reduce(DataFrame.unionByName, hits).groupBy("key", "item_key", "shift", "k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    runs = written(runs, "leak-stretches")
-    # again with the words themselves, for the rows that have a stretch
-    full = base.join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    full = _with_plain(_canon_rows(full, "text", **own_columns)).select("key", "doc_id", F.col("canon").alias("dc"), F.col("fold").alias("df"), F.col("plain").alias("dr"))
-    both = (runs.join(full, "key").join(item.select("item_key", "item_id", F.col("canon").alias("ic"), F.col("fold").alias("if"), F.col("plain").alias("ir")),
-                                   "item_key")
-            .withColumn("n", F.col("hi") - F.col("lo")).withColumn("at", F.col("lo") - F.col("shift"))
-            .select("key", "doc_id", "item_id", "k", F.arrays_zip(
-                F.slice("dc", F.col("lo") + 1, F.col("n")).alias("dc"), F.slice("ic", F.col("at") + 1, F.col("n")).alias("ic"),
-                F.slice("df", F.col("lo") + 1, F.col("n")).alias("df"), F.slice("if", F.col("at") + 1, F.col("n")).alias("if"),
-                F.slice("dr", F.col("lo") + 1, F.col("n")).alias("dr"), F.slice("ir", F.col("at") + 1, F.col("n")).alias("ir")).alias("z")))
-    both = both.withColumn("p", F.transform("z", _compared)).withColumn("same", F.size(F.filter("p", lambda w: w["same"])))
+    asked = written(asked.distinct(), "benchmark-windows")
+    count = 0
+    for r in asked.groupBy("form", "n").count().collect():          # two forms, at most k lengths
+        used[r["form"]].append(r["n"])
+        count += r["count"]
+    table_size = 1 << max(16, min(22, (16 * int(sizes[1])).bit_length()))
+    found = _found_windows(F.coalesce("text", F.lit("")), F.col("filled"), table_size, sorted(used[0]), sorted(used[1]))
+    met = (base.withColumn("filled", _filled_slots(item, table_size)).select("key", found.alias("windows"))
+           .select("key", F.explode("windows").alias("w")).select("key", "w.*"))
+    hits = (met.join(F.broadcast(asked) if count <= BROADCAST_WINDOWS else asked, ["form", "n", "h"])
+            .groupBy("key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"), F.col("n").alias("k"))
+            .agg(F.min("pos").alias("lo"), (F.max("pos") + F.max("n")).alias("hi")))
+    runs = written(hits, "leak-stretches")
+    # again with the words themselves, for the rows that have a stretch: each is cut from the row's own arrays
+    stretches = runs.groupBy("key").agg(F.collect_list(F.struct("item_key", "shift", "k", "lo", "hi")).alias("stretches"))
+    full = _canon_rows(base.join(stretches.select("key"), "key", "left_semi").dropDuplicates(["key"]), "text", key=F.col("key"))
+    cut = lambda c, r: F.slice(F.col(c), r["lo"] + 1, r["hi"] - r["lo"]).alias(c)
+    mine = stretches.join(full, "key").select("key", F.explode(F.transform("stretches", lambda r: F.struct(
+        r["item_key"].alias("item_key"), r["k"].alias("k"), (r["lo"] - r["shift"]).alias("at"), (r["hi"] - r["lo"]).alias("n"),
+        cut("canon", r), cut("fold", r), cut("plain", r)))).alias("r")).select("key", "r.*")
+    theirs = item.select("item_key", "item_id", F.col("canon").alias("ic"), F.col("fold").alias("if"), F.col("plain").alias("ir"))
+    both = mine.join(theirs, "item_key").select("key", F.col("key")["id"].cast("long").alias("doc_id"), "item_id", "k", F.arrays_zip(
+        F.col("canon").alias("dc"), F.slice("ic", F.col("at") + 1, F.col("n")).alias("ic"),
+        F.col("fold").alias("df"), F.slice("if", F.col("at") + 1, F.col("n")).alias("if"),
+        F.col("plain").alias("dr"), F.slice("ir", F.col("at") + 1, F.col("n")).alias("ir")).alias("z"))
+    both = fence(fence(both).withColumn("p", F.transform("z", _compared)).drop("z"))
+    both = both.withColumn("same", F.size(F.filter("p", lambda w: w["same"])))
     both = both.where((F.col("same") >= F.col("k")) & _leaks())
     return (both.groupBy("key", "doc_id", "item_id").agg(
         F.max("same").cast("int").alias("n_words"),
@@ -235,6 +302,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     bad = find_leaks(docs, benchmark, id_col, text_col, **cols).select(F.col("key").alias("_leak_key")).distinct()
     names = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
-    key = F.xxhash64(f"_c{names.index(id_col)}", f"_c{names.index(text_col)}")
-    kept = own.join(bad, key == F.col("_leak_key"), "left_anti")
+    key = row_key(F.col(f"_c{names.index(id_col)}"), F.col(f"_c{names.index(text_col)}"))
+    kept = own.join(bad, key.eqNullSafe(F.col("_leak_key")), "left_anti")
     return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])

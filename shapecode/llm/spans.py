@@ -19,6 +19,11 @@ CONTEXT = 40               # code points kept from the gap before a match
 MATCH_TYPE = "struct<start:int,end:int,hit:string,part:string,before:string>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body reads it, inner functions included."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str, group: int = 0, when: Column | None = None) -> Column:
     """array<struct<start, end, hit, part, before>> of all matches; ``part`` is the given group.
 
