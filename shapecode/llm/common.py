@@ -153,6 +153,19 @@ def hash_words(buf: np.ndarray, off: np.ndarray, hashes: int = 1, piece: int = 1
     return first, out
 
 
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: int = 1, piece: int = 1 << 20) -> list[np.ndarray]:
+    """One uint64 array per wanted hash of the byte spans, given in order; at most ``piece`` bytes at a time (or one span)."""
+    out = [np.empty(len(starts), dtype=np.uint64) for _ in range(hashes)]
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + piece, side="right")))
+        lo, hi = starts[a], ends[b - 1]
+        for k in range(hashes):
+            out[k][a:b] = _poly(buf[lo:hi], starts[a:b] - lo, ends[a:b] - lo, *_BASES[k])
+        a = b
+    return out
+
+
 def window_hash(h: np.ndarray, k: int, factor: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:
     """Hash of every run of ``k`` consecutive words (runs over text ends included; mask them)."""
     n = len(h) - k + 1

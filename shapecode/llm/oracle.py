@@ -88,3 +88,15 @@ p AS (SELECT row_number, x FROM f WHERE k > 0 AND x < n)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % {shards} AS INTEGER) AS shard, CAST(x // {shards} AS BIGINT) AS slot,
     CAST(NULL AS INTEGER) AS grown_shard, CAST(numbered.row_number AS BIGINT) AS row_number
 FROM numbered JOIN p ON p.row_number = numbered.row_number"""
+
+
+_ENDS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+SHARED_LINES = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, row_number() OVER () AS r FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM d),
+k AS (SELECT *, translate(trim(line, {_ENDS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, count(DISTINCT doc_id) AS n, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.r, k.p, k.line, c.key IS NOT NULL AND k.doc_id <> c.keeper AS gone FROM k LEFT JOIN c ON c.key = k.key)
+SELECT d.doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM m JOIN d ON d.r = m.r GROUP BY d.r, d.doc_id"""

@@ -95,6 +95,13 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op12_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that three documents or more hold dropped, but for the largest document's; digests of what is kept."""
+    from shapecode.llm.line_dedup import drop_repeated_lines
+
+    return drop_repeated_lines(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py applied to all documents: the packed pieces."""
     import corpus_pipeline
@@ -113,5 +120,6 @@ REGISTRY = {
     "op8_minhash_banding": (op8_minhash_banding, oracle.NGRAM_LINKS),
     "op9_warc_normaliser": (op9_warc_normaliser, oracle.WARC_ROUND_TRIP),
     "op10_feistel_shards": (op10_feistel_shards, oracle.feistel_shards(SHARDS)),
+    "op12_bloom_lines": (op12_bloom_lines, oracle.SHARED_LINES),
     "pipeline": (pipeline, None),
 }
