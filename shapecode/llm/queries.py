@@ -95,6 +95,15 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op11_shared_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its first positives."""
+    from shapecode.llm.hard_negatives import mine
+
+    label = F.col("label")
+    return mine(table(spark, sf_dir, "embeddings"), is_anchor=F.col("vec_id") % 100 == 0,
+                relabel=F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 def op12_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that three documents or more hold dropped, but for the largest document's; digests of what is kept."""
     from shapecode.llm.line_dedup import drop_repeated_lines
@@ -120,6 +129,7 @@ REGISTRY = {
     "op8_minhash_banding": (op8_minhash_banding, oracle.NGRAM_LINKS),
     "op9_warc_normaliser": (op9_warc_normaliser, oracle.WARC_ROUND_TRIP),
     "op10_feistel_shards": (op10_feistel_shards, oracle.feistel_shards(SHARDS)),
+    "op11_shared_lists": (op11_shared_lists, oracle.HARD_NEGATIVES),
     "op12_bloom_lines": (op12_bloom_lines, oracle.SHARED_LINES),
     "pipeline": (pipeline, None),
 }
