@@ -116,3 +116,27 @@ SELECT * FROM (SELECT p.anchor_id, p.positive_id,
   s.other_id AS negative_id, p.positive_score, s.score AS negative_score
   FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
   AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score) WHERE rank <= 5"""
+
+PREFIX_TRIE = f"""
+WITH tab AS (SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce(
+    list_prepend(CAST(n AS BIGINT), CAST(range(8) AS BIGINT[])),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0xEDB88320}) ELSE c >> 1 END) AS v FROM range(256) u(n))),
+t0 AS (SELECT conv_id AS c, turn, octet_length(encode(coalesce(text, ''))) AS b,
+  md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS g FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT c, g, b, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) AS i FROM t0),
+v AS (SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(CAST({2**32 - 1} AS BIGINT),
+    list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), {2**32 - 1}) % 9 AS h FROM (SELECT DISTINCT c FROM t), tab),
+m AS (SELECT v.c, v.base, v.h, count(t.i) AS m FROM v LEFT JOIN t ON t.c = v.base AND t.i <= v.h GROUP BY 1, 2, 3),
+r AS (SELECT m.c, t.i AS d, t.g, t.b FROM m JOIN t ON t.c = m.base AND t.i <= m.h
+  UNION ALL SELECT m.c, m.m + t.i - m.h, t.g, t.b FROM m JOIN t ON t.c = m.c AND t.i > m.h),
+p AS (SELECT c, d, b, string_agg(g, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS p FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM v),
+q AS (SELECT *, max(d) OVER (PARTITION BY c) AS n FROM p),
+n AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, max(b) AS b, max(n) = d AS leaf,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM q GROUP BY 1, 2),
+a AS (SELECT n.*, left(p, 32 * CAST(k AS BIGINT)) AS up, k FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM n) n),
+s AS (SELECT up AS p, k AS d, count(*) FILTER (leaf) AS n_leaves, count(*) FILTER (d = k + 1) AS n_children, sum((n_convs - 1) * b) AS saved FROM a GROUP BY 1, 2)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN s ON s.p = n.p AND s.d = n.d LEFT JOIN n u ON u.d = n.d - 1 AND u.p = left(n.p, 32 * (CAST(n.d AS BIGINT) - 1)) AND n.d > 0"""

@@ -111,6 +111,13 @@ def op12_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op13_time_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations with the totals of its subtree."""
+    from shapecode.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py applied to all documents: the packed pieces."""
     import corpus_pipeline
@@ -131,5 +138,6 @@ REGISTRY = {
     "op10_feistel_shards": (op10_feistel_shards, oracle.feistel_shards(SHARDS)),
     "op11_shared_lists": (op11_shared_lists, oracle.HARD_NEGATIVES),
     "op12_bloom_lines": (op12_bloom_lines, oracle.SHARED_LINES),
+    "op13_time_forward": (op13_time_forward, oracle.PREFIX_TRIE),
     "pipeline": (pipeline, None),
 }
