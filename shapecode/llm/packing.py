@@ -56,11 +56,12 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"] if t["special"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.full = tiktoken.Encoding("full", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.plain = tiktoken.Encoding("plain", pat_str=PATTERN.replace(LOOKAHEAD, ""), mergeable_ranks=ranks, special_tokens={})
+        self.full = tiktoken.Encoding("full", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.plain = tiktoken.Encoding("plain", pat_str=PATTERN.replace(LOOKAHEAD, ""), mergeable_ranks=ranks, special_tokens=special)
+        self.marker = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -69,7 +70,9 @@ class Encoder:
         return cls._own[path]
 
     def encode(self, text: str) -> bytes:
-        ids = (self.full if _RUN.search(text) else self.plain).encode_ordinary(text)
+        coder = self.full if _RUN.search(text) else self.plain
+        # the markers of the file, as its library reads them, are one id each
+        ids = coder.encode(text, allowed_special="all") if self.marker and self.marker.search(text) else coder.encode_ordinary(text)
         out = array("I", ids)
         if sys.byteorder == "big":
             out.byteswap()

@@ -78,14 +78,13 @@ def test_sketch_loses_no_repeat(spark):
 
 # ---------------------------------------------------------------- packing
 
-TEXTS = ["", " ", "  two  spaces ", "line\n\nbreaks \n x", "it's we'll I'D", "é ü x　y", "<|endoftext|> a", "tab\tand\r\nmore  ",
+TEXTS = ["", " ", "  two  spaces ", "line\n\nbreaks \n x", "it's we'll I'D", "é ü x　y", "<|endoftext|> a", "a <|endoftext|> b", "a  <|endoftext|>  <|endoftext|><|endoftext|>\n", "<|endoftext|", "x <|EndOfText|>", "tab\tand\r\nmore  ",
          "数字 ١٢٣ ½ ² ⅷ", "😀😀 áb", "x" * 5000, "\x1c\x1d\x85 a", "a ​ b", "'s 's's 'LL", "1 22 333 a1b2"]
 
 
 def test_ids_equal_the_tokenizers_library(spark):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     rng = random.Random(6)
     alphabet = list("ab Z9é'\n\t.,  ") + ["'s", " ", "😀", "ß"]
     texts = TEXTS + ["".join(rng.choices(alphabet, k=60)) for _ in range(400)]
