@@ -30,12 +30,13 @@ are ignored (``redact`` passes them through).
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapecode.llm.common import written
-from shapecode.llm.spans import matches, printed
+from shapecode.llm.spans import cut, ends_of, let, matches, pieces, printed, running_max, touches
 
 # Base patterns.  Possessive repeats and run guards only spare Java's recursion and rescans.
 EMAIL = (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -165,6 +166,10 @@ def _length_class(m: Column) -> Column:
     return out
 
 
+def _of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def candidates(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """``rows`` with ``_base`` and ``_loose``: array<struct<start, rank, kind, end, votes, size>> of each."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -179,9 +184,10 @@ def candidates(rows: DataFrame, text_col: str = "text") -> DataFrame:
     base = F.concat(*[candidate(k) for k in BASE])
     loose = F.concat(*[candidate(k) for k in LOOSE])
     out = rows.withColumns({"_base": base, "_loose": loose}).drop(*[f"_m_{k}" for k in KINDS])
-    # a loose span that touches a base span is part of it
-    free = F.filter("_loose", lambda s: ~F.exists("_base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    return out.withColumn("_loose", free)
+    # a loose span that touches a base span is part of it; the spans of one kind are in order and apart
+    of_kinds = F.struct(*[ends_of(_of_kind(F.col("_base"), k)).alias(k) for k in BASE])
+    free = let(of_kinds, lambda of: F.filter("_loose", lambda s: ~reduce(lambda a, b: a | b, [touches(s, of[k]) for k in BASE])))
+    return out.withColumn("_loose", F.when(F.size("_loose") > 0, free).otherwise(F.col("_loose")))
 
 
 # ------------------------------------------------------------------ label model and classifier (driver, on counts)
@@ -302,17 +308,16 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = written(candidates(inner, at), "pii-candidates")
     out = decide(found, train(found.select("_base", "_loose")))
     text = F.coalesce(F.col(at).cast("string"), F.lit(""))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc, s):
-        gap = F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
-        label = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        inside = s["start"] < acc["pos"]
-        return F.when(inside, F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["parts"].alias("parts"))).otherwise(
-            F.struct(s["end"].alias("pos"), F.concat(acc["parts"], F.array(gap, label)).alias("parts")))
-
-    spans = F.array_sort(F.concat("_base", "_added"))
-    done = F.aggregate(spans, zero, step, lambda acc: F.concat(
-        F.array_join(acc["parts"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
+
+    def replaced(a):
+        """Each span that starts behind all spans before it: the text since their end, then its label."""
+        spans, before, of = a["spans"], a["before"], a["of"]
+        parts = F.filter(F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(before, i), F.concat(
+            cut(of, F.get(before, i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))), lambda x: x.isNotNull())
+        return F.concat(F.array_join(parts, ""), cut(of, F.array_max(spans["end"]), F.length(text)))
+
+    spans = let(F.array_sort(F.concat("_base", "_added")), lambda s: F.struct(
+        s.alias("spans"), running_max(s["end"]).alias("before"), pieces(text).alias("of")))
+    done = let(spans, replaced)
     new = F.when(F.size(F.concat("_base", "_added")) > 0, done).otherwise(F.col(at))
     return out.select(*[(new if f"_c{k}" == at else F.col(f"_c{k}")).alias(c) for k, c in enumerate(names)])
