@@ -1,14 +1,17 @@
 """Sharding, secrets, personal data and decontamination against brute force."""
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from shapecode.llm import decontaminate, pii, secrets, sharding
+from shapecode.llm import decontaminate, pii, secrets, sharding, spans
 
 ODD = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "null id"), (7, "Ünïcode 😀 text"), (8, "x " * 5000)]
 SCHEMA = "doc_id long, text string, shard int, spans string, key string, pos int"      # clashing names
@@ -93,6 +96,38 @@ def test_secrets_equal_plain_regular_expressions(spark):
     assert secrets.find_secrets(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_many_matches_in_one_text(spark):
+    """Spans of one text cost the same each, however many there are (a quadratic walk would take hours)."""
+    secret, private = "token=abcdefgh é " * 60000, "415-555-1234 jo@web.de 1.2.3.4 4111111111111112 +49 30 1234567 ü " * 12000
+    start = time.time()
+    r = secrets.find_secrets(frame(spark, [(1, secret)])).first()
+    assert r.base_sha256 == hashlib.sha256(secret_spans(secret).encode()).hexdigest() and r.n_assign == 60000
+    r = pii.find_personal_data(frame(spark, [(1, private)])).first()
+    want = private_spans(private)
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in want).encode()).hexdigest()
+    assert r.spans.count("local_phone:") == 12000
+    text = pii.redact(frame(spark, [(1, private)])).first().text
+    assert text == "<LOCAL_PHONE> <EMAIL> <IP> 4111111111111112 <PHONE> ü " * 12000
+    assert time.time() - start < 240
+
+
+def test_running_values_and_halving(spark):
+    rng = random.Random(3)
+    rows = [[rng.randrange(9) for _ in range(n)] for n in (0, 1, 63, 64, 65, 128, 4095, 4096, 5000, 300000)]
+    df = spark.createDataFrame([(v,) for v in rows], "v array<int>")
+    out = df.select("v", spans.running_sum(F.col("v")).alias("s"), spans.running_max(F.col("v")).alias("m")).collect()
+    for r in out:
+        assert r.s == [0, *itertools.accumulate(r.v)][: len(r.v)] and r.m == [0, *itertools.accumulate(r.v, max)][: len(r.v)]
+    ordered = sorted(rng.randrange(1000) for _ in range(333))
+    probe = spark.createDataFrame([(ordered[:n], x) for n in (0, 1, 2, 333) for x in range(-1, 1001, 7)], "v array<int>, x int")
+    assert all(r.n == bisect.bisect_left(r.v, r.x) for r in probe.select("v", "x", spans.count_below(F.col("v"), F.col("x")).alias("n")).collect())
+    text = "".join(rng.choice("aé😀\n") for _ in range(5000))
+    ends = [(a, min(5000, a + rng.randrange(-1, 3000))) for a in range(0, 5000, 137)]
+    cuts = spark.createDataFrame([(text, a, b) for a, b in ends], "t string, a int, b int").select(
+        "a", "b", spans.let(spans.pieces(F.col("t")), lambda of: spans.cut(of, F.col("a"), F.col("b"))).alias("c")).collect()
+    assert all(r.c == text[r.a : max(r.a, r.b)] for r in cuts)
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{24,}") == []
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
@@ -234,6 +269,45 @@ def test_copies_in_other_capitals_and_white_space(spark):
     assert leaks(spark, [question], [f"12. {question}?", "A heading\n" + question.replace("Karl", "Otto")]) == {(0, 0), (1, 0)}
 
 
+def test_leaks_equal_brute_force(spark):
+    """Words and numbers only: a window leaks as it stands, or with other numbers if half of it are words."""
+    rng = random.Random(11)
+    word = lambda: rng.choice([f"w{chr(97 + rng.randrange(26))}", "the", str(rng.randrange(4))])
+    items = [[word() for _ in range(n)] for n in (3, 5, 9, 10, 14, 25, 40)]
+    docs = [[word() for _ in range(rng.randrange(60))] for _ in range(150)]
+    for d in docs[::2]:
+        item = rng.choice(items)
+        a, b = rng.choice([(0, len(item)), sorted(rng.sample(range(len(item) + 1), 2))])
+        part = [str(rng.randrange(9)) if x.isdigit() and rng.random() < 0.4 else x for x in item[a:b]]
+        at = rng.randrange(len(d) + 1)
+        d[at:at] = part
+    want = set()
+    shape = lambda ws: ["#" if x.isdigit() else x for x in ws]
+    for i, d in enumerate(docs):
+        for j, item in enumerate(items):
+            k = min(10, len(item))
+            windows = [(d[x : x + k], item[y : y + k]) for x in range(len(d) - k + 1) for y in range(len(item) - k + 1)]
+            if any(p == q or (k >= 5 and shape(p) == shape(q) and sum(not x.isdigit() for x in q) >= k / 2) for p, q in windows):
+                want.add((i, j))
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    found = decontaminate.find_leaks(frame(spark, [(i, " ".join(d)) for i, d in enumerate(docs)]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 30
+
+
+def test_long_and_repetitive_texts_cost_no_more_a_word(spark):
+    rng = random.Random(4)
+    bench = spark.createDataFrame([(1, "a b " * 10), (2, " ".join(f"u{k}" for k in range(30)))], "item_id long, text string")
+
+    def seconds(n):
+        text = " ".join(f"v{rng.randrange(999)}" for _ in range(n)) + " a b" * (n // 20) + " u3 u4"
+        start = time.time()
+        assert {r.item_id for r in decontaminate.find_leaks(frame(spark, [(1, text)]), bench).collect()} == {1}
+        return time.time() - start
+
+    seconds(2000)
+    assert seconds(200000) <= 10 * max(seconds(20000), 4)
+
+
 def test_canonical_words_line_up(spark):
     rows = [(1, "He met Ann (aged 41) - in 3 km; <b> 1,200.5! \"Quoted,\" l'été ... %%%")]
     r = frame(spark, rows).select(decontaminate.words(decontaminate.canonical(F.col("text"))).alias("c"),
