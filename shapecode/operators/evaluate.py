@@ -176,3 +176,11 @@ def loss_histogram(coded: DataFrame, bins: int = 50) -> DataFrame:
         (F.col("_lo") + F.col("bin") * F.col("_wd")).alias("bin_lo"),
         F.col("cnt").alias("cnt"),
         (F.col("cnt") / (F.col("_n") * F.col("_wd"))).alias("height"))
+
+
+def decode_mismatches(decoded: DataFrame, expected: DataFrame) -> DataFrame:
+    """Positions whose two channels differ from the reference samples or stand on one side only, with both values."""
+    d = decoded.select("source_id", "i", F.col("s1").alias("decoded_s1"), F.col("s2").alias("decoded_s2"))
+    e = expected.select("source_id", "i", F.col("s1").alias("expected_s1"), F.col("s2").alias("expected_s2"))
+    same = F.col("decoded_s1").eqNullSafe(F.col("expected_s1")) & F.col("decoded_s2").eqNullSafe(F.col("expected_s2"))
+    return e.join(d, ["source_id", "i"], "full_outer").where(~same)

@@ -1,9 +1,7 @@
 """Registered queries over the file formats: data packed from the tables into
 files below the shared checkpoint folder, then read back with the readers.
 
-Binary files are written by Spark's text writer from string columns that hold
-the raw bytes; the line feed it adds is a trailing partial record, which the
-decoders ignore.
+Binary files are written and read by the splittable ``fixed_records`` source.
 """
 
 from __future__ import annotations
@@ -21,28 +19,43 @@ from shapecode.plans.queries import LI, register, scratch_dir
 from shapecode.sinks import writers as WR
 from shapecode.sources import binary as BIN
 from shapecode.sources import events as EVT
+from shapecode.sources import records as REC
 from shapecode.sources import tables as TB
 from shapecode.sources import text as TXT
 
 
-def _write_binary(files: DataFrame, path: str) -> None:
-    """One file for each (source, first record) of packed blocks."""
-    (files.select("source_id", "i0", F.col("content").cast("string").alias("value"))
-     .write.partitionBy("source_id", "i0").text(path))
+def _source_id():
+    return F.regexp_extract("path", r"source_id=([^/]+)", 1).cast("bigint").alias("source_id")
 
 
-def _read_binary(spark, path: str) -> DataFrame:
-    files = BIN.read_binary(spark, path, "part-*")
-    part = lambda c: F.regexp_extract("path", rf"{c}=([^/]+)", 1).cast("bigint")
-    return files.select(part("source_id").alias("source_id"), part("i0").alias("i0"), "path", "content")
+def _through_files(spark, records: DataFrame, layout: str, name: str) -> DataFrame:
+    """``(source_id, i, _hex)`` records written as binary files and read back in splits of whole records."""
+    path = scratch_dir(spark, name)
+    REC.write_records(BIN.pack_records(records, "_hex"), path, REC.LAYOUTS[layout][0])
+    return REC.read_records(spark, path, layout)
 
 
 @register("decode_212_files", P._DEC_SQL + " SELECT source_id, i, s1, s2 FROM samples")
 def decode_212_files(spark, sf_dir):
-    """S3 through binaryFile: format-212 files written, listed and decoded."""
+    """S3 from files: format-212 recordings written, listed, split and decoded."""
     path = scratch_dir(spark, "f212")
-    _write_binary(BIN.pack_212(P._expected_212(spark, sf_dir)), path)
-    return BIN.decode_212(_read_binary(spark, path)).select("source_id", "i", "s1", "s2")
+    REC.write_records(BIN.pack_212(P._expected_212(spark, sf_dir)), path, 3)
+    return REC.read_records(spark, path, "212").select(_source_id(), "i", "s1", "s2")
+
+
+_DAMAGED = "i % 97 = 13"
+
+
+@register("decode_mismatches", P._DEC_SQL + (
+    f" SELECT source_id, i, s1 AS expected_s1, s2 AS expected_s2, xor(s1, 5) AS decoded_s1, s2 AS decoded_s2 FROM samples WHERE {_DAMAGED}"))
+def decode_mismatches(spark, sf_dir):
+    """J4 on files with damaged records: every decoded sample that differs from the reference sample, with both values."""
+    expected = P._expected_212(spark, sf_dir)
+    hurt = expected.withColumn("s1", F.when(F.expr(_DAMAGED), F.col("s1").bitwiseXOR(F.lit(5))).otherwise(F.col("s1")))
+    path = scratch_dir(spark, "f212")
+    REC.write_records(BIN.pack_212(hurt), path, 3)
+    decoded = REC.read_records(spark, path, "212").select(_source_id(), "i", "s1", "s2")
+    return EV.decode_mismatches(decoded, expected)
 
 
 _LE16 = "CAST(l_quantity AS INT) - 25 * CAST(l_partkey % 7 AS INT)"
@@ -52,23 +65,22 @@ _LE16 = "CAST(l_quantity AS INT) - 25 * CAST(l_partkey % 7 AS INT)"
     f"SELECT CAST(l_suppkey AS BIGINT) AS source_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(LI.order_cols)}) - 1 "
     f"AS BIGINT) AS i, {_LE16} AS raw FROM lineitem WHERE l_suppkey IS NOT NULL AND l_quantity IS NOT NULL"))
 def decode_le16_files(spark, sf_dir):
-    """S4 through binaryFile: signed 16-bit little-endian files, negative samples included."""
+    """S4 from files: signed 16-bit little-endian samples, negative ones included."""
     s = TB.signal_samples(spark, sf_dir, LI, extra={"v": _LE16})
     u = F.pmod("v", F.lit(65536))
     rec = F.concat(F.lpad(F.hex(u.bitwiseAND(0xFF)), 2, "0"), F.lpad(F.hex(F.shiftright(u, 8)), 2, "0"))
-    path = scratch_dir(spark, "le16")
-    _write_binary(BIN.pack_records(s.withColumn("_hex", rec), "_hex"), path)
-    return BIN.decode_le16(_read_binary(spark, path)).select("source_id", "i", "raw")
+    return _through_files(spark, s.withColumn("_hex", rec), "le16", "le16").select(_source_id(), "i", "raw")
 
 
 @register("apnea_files", P.REGISTRY["apnea_labels"][1])
 def apnea_files(spark, sf_dir):
-    """S10/K10 through binaryFile; the text lines written and read back."""
+    """S10 -> K10 -> S10: annotation records read from files, their text lines written, one folder a bucket of records, and read back."""
     s = TB.signal_samples(spark, sf_dir, EVENTS, extra={"_b1": "CASE WHEN event_type = 'error' THEN '20' ELSE '10' END"})
-    path = scratch_dir(spark, "apnea")
-    _write_binary(BIN.pack_records(s.withColumn("_hex", F.concat(F.lit("00"), F.col("_b1"), F.lit("000000000000"))), "_hex"), path)
-    d = BIN.decode_apnea(_read_binary(spark, path))
-    return d.select("record_id", "n", "sample", "hh", "mm", "code", "line")
+    rec = s.withColumn("_hex", F.concat(F.lit("00"), F.col("_b1"), F.lit("000000000000")))
+    d = BIN.apnea_rows(_through_files(spark, rec, "apnea", "apnea").withColumn("record_id", _source_id()), F.col("mark"))
+    path = scratch_dir(spark, "apnea-lines")
+    WR.export_apnea(d, path)
+    return TXT.read_apnea(spark, path)
 
 
 @register("channel_export", P._DEC_SQL + " SELECT source_id, i, s1 AS raw FROM samples")

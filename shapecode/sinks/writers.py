@@ -94,6 +94,13 @@ def label_lines(labels: DataFrame) -> DataFrame:
     return labels.select(F.concat_ws(",", F.col("frame_ref").cast("string"), F.col("label")).alias("value"))
 
 
+def export_apnea(apnea: DataFrame, path: str, buckets: int = 64, mode: str = "append") -> None:
+    """``record,line`` text, a folder for each bucket of records (not one a record)."""
+    (apnea.select(F.concat(F.col("record_id").cast("string"), F.lit(","), F.col("line")).alias("value"),
+                  F.pmod(F.xxhash64("record_id"), F.lit(buckets)).cast("int").alias("bucket"))
+     .write.mode(mode).partitionBy("bucket").text(path))
+
+
 def save_codebook(codebook: DataFrame, path: str, w: int, step: int) -> None:
     """K7: dictionaries named by patient, window size and step.
 

@@ -94,10 +94,14 @@ def decode_apnea(files: DataFrame, samples_per_minute: int = APNEA_SAMPLES_PER_M
     Row ``n`` -> ``(n, n * 6000, hh = n div 60, mm = n % 60, code)`` and the
     text line ``%04d, %07d, %02d:%02d, %s``.
     """
-    r = _records(files, 8)
-    b1 = _uint(F.col("content"), F.col("_k") * 8 + F.lit(1), 1)
-    code = F.when(b1 == APNEA_MARK, F.lit("A")).otherwise(F.lit("N"))
-    out = r.select(F.col("source_id").alias("record_id"), F.col("i").alias("n"),
+    r = _records(files, 8).withColumn("record_id", F.col("source_id"))
+    return apnea_rows(r, _uint(F.col("content"), F.col("_k") * 8 + F.lit(1), 1), samples_per_minute)
+
+
+def apnea_rows(records: DataFrame, mark, samples_per_minute: int = APNEA_SAMPLES_PER_MINUTE) -> DataFrame:
+    """Minutes, codes and text lines of apnea records ``(record_id, i)`` with the mark byte's value."""
+    code = F.when(mark == APNEA_MARK, F.lit("A")).otherwise(F.lit("N"))
+    out = records.select("record_id", F.col("i").alias("n"),
                    (F.col("i") * F.lit(samples_per_minute)).alias("sample"),
                    F.floor(F.col("i") / 60).cast("int").alias("hh"), (F.col("i") % 60).cast("int").alias("mm"),
                    code.alias("code"))

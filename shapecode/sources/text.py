@@ -91,3 +91,12 @@ def read_reference_samples(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated ``index, channel 1, channel 2`` (+ difference)."""
     df = spark.read.option("sep", "\t").schema("i BIGINT, s1 INT, s2 INT").csv(path)
     return df.withColumn("_path", F.col("_metadata.file_path")).withColumn("diff", F.col("s1") - F.col("s2"))
+
+
+def read_apnea(spark: SparkSession, path: str) -> DataFrame:
+    """Apnea lines ``record,n, sample, hh:mm, code`` as (record_id, n, sample, hh, mm, code, line)."""
+    v = spark.read.text(path).select(F.regexp_extract("value", r"^(-?\d+),", 1).cast("bigint").alias("record_id"),
+                                     F.regexp_replace("value", r"^-?\d+,", "").alias("line"))
+    part = lambda k: F.regexp_extract("line", r"^(\d+), (\d+), (\d+):(\d+), (\w)$", k)
+    return v.select("record_id", part(1).cast("bigint").alias("n"), part(2).cast("bigint").alias("sample"), part(3).cast("int").alias("hh"),
+                    part(4).cast("int").alias("mm"), part(5).alias("code"), "line")
