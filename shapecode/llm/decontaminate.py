@@ -6,8 +6,8 @@ sentence ``<name>``; other words lose outer punctuation and capitals.  A folded
 text has the same without names and units, so that a copy in other capitals
 matches with other numbers (not with other names or units).  Every window of ``k`` canonical words of a document is hashed and joined with the
 benchmark's windows, so a question whose numbers, names and units were
-replaced still matches.  Matches are gathered by (document, item, diagonal);
-the words of a matching stretch are compared again, and a window needs
+replaced still matches.  Matches are gathered by (document, item, diagonal)
+with their words; these are compared again, and a window needs
 ``LITERAL_SHARE`` ordinary words to count.  Windows without a gap between them
 form a run.  A stretch leaks if it holds a window of the item's own words, a
 run whose names are filled consistently (one name of the item always became
@@ -15,6 +15,10 @@ the same name in the document), or 2 k words so filled of a longer run.  Words
 between the runs are not judged.  Equal numbers or units may stand for two
 things, so each may become another value in each place.
 
+A window is hashed only where all its neighbouring words are neighbours in some
+item by a bitmap of bounded size, which never denies a true pair, so most
+texts are read once, hashed word by word and dropped.
+
 DataFrame functions only.  The benchmark's windows are broadcast up to a
 checked number of rows and shuffled beyond it.
 
@@ -104,11 +108,11 @@ def _starts(h: Column, n: int) -> Column:
 
 
 def _slots(of: Column, table_size: int) -> Column:
-    return F.pmod(of, F.lit(table_size)).cast("int")
+    return of.bitwiseAND(F.lit(table_size - 1).cast("long")).cast("int")
 
 
 def _pair(h: Column, x: Column, i: Column) -> Column:
-    return F.xxhash64(x, F.get(h, i + 1))
+    return x.bitwiseXOR(F.shiftright(F.coalesce(F.get(h, i + F.lit(1)), F.lit(0).cast("long")), 7))
 
 
 def _known(h: Column, filled: Column, table_size: int) -> Column:
@@ -129,6 +133,7 @@ def _found_windows(text: Column, filled: Column, table_size: int, templates: lis
     like a name or a unit, so the first word may be folded alone.  Each array
     is bound once (``let``) and every step is linear in the words.
     """
+    none = F.array().cast("array<struct<form:int,n:int,pos:int,h:bigint>>")
     kind = lambda form, n, s, h: F.struct(F.lit(form).alias("form"), F.lit(n).alias("n"), s.alias("pos"), h.alias("h"))
 
     def of_templates(filled, a):
@@ -137,9 +142,9 @@ def _found_windows(text: Column, filled: Column, table_size: int, templates: lis
         def of_length(known, n):
             near = lambda k: F.filter(_starts(c, n), _may_match(k, 1, n))
             other_tail = lambda s: F.slice(c, s + 2, n - 1) != F.slice(f, s + 2, n - 1)
-            return [F.transform(near(known["c"]), lambda s: kind(0, n, s, _window(c, c, s, n))),
-                    F.transform(F.filter(near(known["c"]), lambda s: F.get(c, s) != F.get(f, s)), lambda s: kind(0, n, s, _window(f, c, s, n))),
-                    F.transform(F.filter(near(known["f"]), other_tail), lambda s: kind(0, n, s, _window(f, f, s, n)))]
+            folded = F.concat(F.transform(F.filter(near(known["c"]), lambda s: F.get(c, s) != F.get(f, s)), lambda s: kind(0, n, s, _window(f, c, s, n))),
+                              F.transform(F.filter(near(known["f"]), other_tail), lambda s: kind(0, n, s, _window(f, f, s, n))))
+            return [F.transform(near(known["c"]), lambda s: kind(0, n, s, _window(c, c, s, n))), F.coalesce(folded, none)]
         return let(F.struct(_known(c, filled, table_size).alias("c"), _known(f, filled, table_size).alias("f")),
                    lambda known: F.concat(*[x for n in templates for x in of_length(known, n)]))
 
@@ -152,8 +157,10 @@ def _found_windows(text: Column, filled: Column, table_size: int, templates: lis
     def both(filled):
         out = []
         if templates:
-            hashed = let(_marked(text), lambda m: F.struct(_hashes(F.split(F.trim(_templates(m)), "[ ]")).alias("c"),
-                                                           _hashes(F.split(F.trim(_folded(m)), "[ ]")).alias("f")))
+            split = lambda t: _hashes(F.split(F.trim(t), "[ ]"))
+            forms = let(_marked(text), lambda m: F.struct(_templates(m).alias("c"), _folded(m).alias("f")))
+            # a text without names and units has one form (f is null)
+            hashed = let(forms, lambda t: F.struct(split(t["c"]).alias("c"), F.when(t["c"] != t["f"], split(t["f"])).alias("f")))
             out.append(let(hashed, lambda a: of_templates(filled, a)))
         if verbatim:
             out.append(let(_hashes(words(plain(text))), lambda p: of_verbatim(filled, p)))
@@ -173,13 +180,32 @@ def _filled_slots(item: DataFrame, table_size: int) -> Column:
                      .alias("filled")).scalar()
 
 
+def _forms(text: Column) -> Column:
+    """The words as templates (``canon``), with numbers only replaced (``fold``) and as they stand (``plain``)."""
+    return let(_marked(text), lambda m: F.struct(words(_templates(m)).alias("canon"), words(_folded(m)).alias("fold"), words(plain(text)).alias("plain")))
+
+
 def _canon_rows(df: DataFrame, text_col: str, **keep: Column) -> DataFrame:
-    """Rows with the words as templates (``canon``), with numbers only replaced (``fold``) and as they stand (``plain``)."""
+    """Rows with the text and its forms."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    forms = let(_marked(F.col("text")), lambda m: F.struct(words(_templates(m)).alias("canon"), words(_folded(m)).alias("fold")))
     return (df.select(*[c.alias(n) for n, c in keep.items()], text.alias("text"))
-            .select(*keep, "text", forms.alias("forms"), words(plain(F.col("text"))).alias("plain"))
-            .select(*keep, "text", "forms.canon", "forms.fold", "plain"))
+            .select(*keep, "text", _forms(F.col("text")).alias("forms")).select(*keep, "text", "forms.*"))
+
+
+def _laid_out() -> Column:
+    """The windows of a diagonal as one row of word pairs; between windows stand pairs of nulls, which equal nothing."""
+    k, shift = F.col("k"), F.col("shift")
+    words_of = ("canon", "dc", "ic"), ("fold", "df", "if"), ("plain", "dr", "ir")
+    pair = ", ".join(f"{name}:string" for _, d, i in words_of for name in (d, i))
+    gap = F.lit(None).cast(f"struct<{pair}>")
+
+    def part(ws, w, j):
+        step = F.coalesce(F.get(ws, j + 1)["pos"] - w["pos"], k)
+        n = F.least(step, k)
+        zipped = F.arrays_zip(*[x for form, d, i in words_of for x in (
+            F.slice(w[form], F.lit(1), n).alias(d), F.slice(F.col(i), w["pos"] - shift + 1, n).alias(i))])
+        return F.concat(zipped, F.array_repeat(gap, F.greatest(step - k, F.lit(0)).cast("int")))
+    return F.flatten(let(F.col("windows"), lambda ws: F.transform(ws, lambda w, j: part(ws, w, j))))
 
 
 def row_key(id_col: Column, text: Column) -> Column:
@@ -228,26 +254,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         used[r["form"]].append(r["n"])
         count += r["count"]
     table_size = 1 << max(16, min(22, (16 * int(sizes[1])).bit_length()))
-    found = _found_windows(F.coalesce("text", F.lit("")), F.col("filled"), table_size, sorted(used[0]), sorted(used[1]))
-    met = (base.withColumn("filled", _filled_slots(item, table_size)).select("key", found.alias("windows"))
-           .select("key", F.explode("windows").alias("w")).select("key", "w.*"))
-    hits = (met.join(F.broadcast(asked) if count <= BROADCAST_WINDOWS else asked, ["form", "n", "h"])
-            .groupBy("key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"), F.col("n").alias("k"))
-            .agg(F.min("pos").alias("lo"), (F.max("pos") + F.max("n")).alias("hi")))
-    runs = written(hits, "leak-stretches")
-    # again with the words themselves, for the rows that have a stretch: each is cut from the row's own arrays
-    stretches = runs.groupBy("key").agg(F.collect_list(F.struct("item_key", "shift", "k", "lo", "hi")).alias("stretches"))
-    full = _canon_rows(base.join(stretches.select("key"), "key", "left_semi").dropDuplicates(["key"]), "text", key=F.col("key"))
-    cut = lambda c, r: F.slice(F.col(c), r["lo"] + 1, r["hi"] - r["lo"]).alias(c)
-    mine = stretches.join(full, "key").select("key", F.explode(F.transform("stretches", lambda r: F.struct(
-        r["item_key"].alias("item_key"), r["k"].alias("k"), (r["lo"] - r["shift"]).alias("at"), (r["hi"] - r["lo"]).alias("n"),
-        cut("canon", r), cut("fold", r), cut("plain", r)))).alias("r")).select("key", "r.*")
+    # documents: what each window that the filter lets through needs for the comparison travels with it
+    text = F.coalesce("text", F.lit(""))
+    found = _found_windows(text, F.col("filled"), table_size, sorted(used[0]), sorted(used[1]))
+    cut = lambda c, w: F.slice(c, w["pos"] + 1, w["n"])
+    with_words = let(found, lambda ws: F.when(F.size(ws) > 0, let(_forms(text), lambda a: F.transform(ws, lambda w: F.struct(
+        w["form"].alias("form"), w["n"].alias("n"), w["pos"].alias("pos"), w["h"].alias("h"),
+        *[cut(a[c], w).alias(c) for c in ("canon", "fold", "plain")])))))
+    met = (base.withColumn("filled", _filled_slots(item, table_size)).select("key", with_words.alias("windows"))
+           # outer: an inner explode gets a filter on the array's size, which would compute all windows a second time
+           .select("key", F.explode_outer("windows").alias("w")).select("key", "w.*").where(F.col("h").isNotNull()))
+    hits = met.join(F.broadcast(asked) if count <= BROADCAST_WINDOWS else asked, ["form", "n", "h"])
+    # one row a diagonal, which holds no more windows than the item
+    diagonals = (hits.groupBy("key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"), F.col("n").alias("k"))
+                 .agg(F.array_sort(F.collect_set(F.struct("pos", "canon", "fold", "plain"))).alias("windows")))
     theirs = item.select("item_key", "item_id", F.col("canon").alias("ic"), F.col("fold").alias("if"), F.col("plain").alias("ir"))
-    both = mine.join(theirs, "item_key").select("key", F.col("key")["id"].cast("long").alias("doc_id"), "item_id", "k", F.arrays_zip(
-        F.col("canon").alias("dc"), F.slice("ic", F.col("at") + 1, F.col("n")).alias("ic"),
-        F.col("fold").alias("df"), F.slice("if", F.col("at") + 1, F.col("n")).alias("if"),
-        F.col("plain").alias("dr"), F.slice("ir", F.col("at") + 1, F.col("n")).alias("ir")).alias("z"))
-    both = fence(fence(both).withColumn("p", F.transform("z", _compared)).drop("z"))
+    both = diagonals.join(theirs, "item_key").select("key", F.col("key")["id"].cast("long").alias("doc_id"), "item_id", "k", _laid_out().alias("z"))
+    both = fence(both.withColumn("p", F.transform("z", _compared)).drop("z"))
     both = both.withColumn("same", F.size(F.filter("p", lambda w: w["same"])))
     both = both.where((F.col("same") >= F.col("k")) & _leaks())
     return (both.groupBy("key", "doc_id", "item_id").agg(
@@ -258,9 +281,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def _compared(w: Column) -> Column:
     """Two words in the same place: equal in canonical form, equal as they stand, ordinary, names."""
     own, folded = w["dr"] == w["ir"], w["df"] == w["if"]
-    return F.struct((own | folded | (w["dc"] == w["ic"])).alias("same"), own.alias("own"),
-                    (~w["ic"].startswith("<") | (folded & ~w["if"].startswith("<"))).alias("ordinary"),
-                    (w["ic"].startswith("<name>") & w["dc"].startswith("<name>")).alias("name"), w["ir"].alias("item"), w["dr"].alias("doc"))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return F.struct(sure(own | folded | (w["dc"] == w["ic"])).alias("same"), sure(own).alias("own"),
+                    sure(~w["ic"].startswith("<") | (folded & ~w["if"].startswith("<"))).alias("ordinary"),
+                    sure(w["ic"].startswith("<name>") & w["dc"].startswith("<name>")).alias("name"), w["ir"].alias("item"), w["dr"].alias("doc"))
 
 
 def _leaks() -> Column:
