@@ -97,8 +97,12 @@ def block_partials(blocks: DataFrame, centers: DataFrame) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    from shapecode.operators.vectorized import _book_arrays, _nearest
+    from shapecode.operators import chunked
+    from shapecode.operators.code_index import IndexCache
+    from shapecode.operators.vectorized import _index
 
+    if not chunked.fits_one_chunk(centers):
+        return chunked.chunked_partials(blocks, centers, GRID)
     packed = centers.groupBy("source_id").agg(
         F.array_sort(F.collect_list(F.struct("code", "center"))).alias("book"))
     joined = blocks.join(packed, "source_id", "inner")
@@ -106,18 +110,19 @@ def block_partials(blocks: DataFrame, centers: DataFrame) -> DataFrame:
     cols = ["source_id", "code", "vec"]
 
     def run(batches):
+        held = IndexCache()
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                cent, codes = _book_arrays(r.book)
-                if cent is None:
+                index = _index(held, r.source_id, r.book)
+                if index is None:
                     continue
                 feats = np.array([np.asarray(it["feat"], dtype=float) for it in r.items])
-                ci, _d = _nearest(feats, cent, codes)
+                ci, _d = index.nearest(feats)
                 whole = np.rint(feats * GRID).astype(np.int64)
                 for c in np.unique(ci):
                     m = ci == c
-                    out.append((r.source_id, int(codes[c]), np.append(whole[m].sum(axis=0), m.sum())))
+                    out.append((r.source_id, int(index.codes[c]), np.append(whole[m].sum(axis=0), m.sum())))
             if out:
                 yield pd.DataFrame(out, columns=cols)
 

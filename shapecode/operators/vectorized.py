@@ -8,7 +8,8 @@ same single shuffle that cuts frames), each block is joined once with its
 source's packed dictionary (so the dictionary is copied once per block, not
 per frame), and ``mapInPandas`` codes a whole block with numpy:
 
-* distances are screened with one matrix product, then every code within a
+* distances are screened with matrix products (``code_index`` skips groups of
+  codes that cannot hold the nearest one), then every code within a
   safe margin of the best is re-measured exactly, summing squared
   differences left to right like the SQL form -- codes, distances and
   reconstructions are identical to ``coding.encode``;
@@ -21,12 +22,15 @@ consumers use (``best`` holds ``struct(d, code)``).
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shapecode.functions.arrays import taper_values
+from shapecode.operators.code_index import CodeIndex, IndexCache
 from shapecode.session import ship_package
 
 OUT_SCHEMA = ("source_id {sid}, frame_no bigint, frame_ref bigint, frame array<double>, "
@@ -52,71 +56,59 @@ def _seq_sum(a: np.ndarray) -> np.ndarray:
 
 def _nearest(feats: np.ndarray, centers: np.ndarray, codes: np.ndarray):
     """Exact arg-min (ties -> lowest code) of sum_p (f_p - c_p)^2."""
-    m = feats.shape[0]
-    if m == 0 or centers.shape[0] == 0:
-        return np.full(m, -1), np.full(m, np.nan)
-    ff = (feats * feats).sum(axis=1)
-    cc = (centers * centers).sum(axis=1)
-    approx = ff[:, None] - 2.0 * feats @ centers.T + cc[None, :]
-    best = approx.min(axis=1)
-    margin = 1e-9 * (ff + cc.max()) + 1e-12
-    rows, cols = np.nonzero(approx <= (best + margin)[:, None])
-    d = np.zeros(rows.shape[0])
-    for p in range(feats.shape[1]):
-        diff = feats[rows, p] - centers[cols, p]
-        d = d + diff * diff
-    order = np.lexsort((codes[cols], d, rows))
-    rows_o = rows[order]
-    first = np.ones(rows_o.shape[0], dtype=bool)
-    first[1:] = rows_o[1:] != rows_o[:-1]
-    sel = order[first]
-    out_c, out_d = np.full(m, -1), np.full(m, np.nan)
-    out_c[rows[sel]] = cols[sel]
-    out_d[rows[sel]] = d[sel]
-    return out_c, out_d
-
-
-def _encode_block(frames: np.ndarray, centers, codes, w: int, n: int, mode: str, taper: np.ndarray):
-    nf, L = frames.shape
-    h, nw = w // 2, 2 * n - 1
-    idx = (np.arange(nw)[:, None] * h + np.arange(w)[None, :])
-    X = frames[:, idx]                                   # (nf, nw, w)
+    return CodeIndex(centers, codes).nearest(feats)
+
+
+class Features(NamedTuple):
+    """The windows of frames: means, norms, features, which windows have one, and (tapered mode) tapered norms."""
+    avg: np.ndarray
+    nrm: np.ndarray
+    feats: np.ndarray
+    valid: np.ndarray
+    scale: np.ndarray | None
+
+
+def window_features(frames: np.ndarray, w: int, n: int, mode: str, taper: np.ndarray) -> Features:
+    idx = (np.arange(2 * n - 1)[:, None] * (w // 2) + np.arange(w)[None, :])
+    X = frames[:, idx]                                   # (frames, windows, w)
     avg = _seq_sum(X) / w
     nrm = np.sqrt(_seq_sum(X * X))
     with np.errstate(divide="ignore", invalid="ignore"):
         if mode == "centered":
-            feat = (X - avg[..., None]) / nrm[..., None] * taper
-            valid = nrm != 0
-            scale_j = None
-        else:
-            tw = X * taper
-            tn = np.sqrt(_seq_sum(tw * tw))
-            feat = tw / tn[..., None]
-            valid = tn != 0
-            scale_j = tn
-    flat = feat.reshape(nf * nw, w)
-    ok = valid.reshape(-1)
-    code_i = np.full(nf * nw, -1)
-    dist = np.full(nf * nw, np.nan)
-    if centers is not None:
-        ci, di = _nearest(flat[ok], centers, codes)
-        code_i[ok], dist[ok] = ci, di
-    chosen = np.zeros((nf * nw, w))
-    hit = code_i >= 0
-    if centers is not None and hit.any():
-        chosen[hit] = centers[code_i[hit]]
-    C = chosen.reshape(nf, nw, w)
+            return Features(avg, nrm, (X - avg[..., None]) / nrm[..., None] * taper, nrm != 0, None)
+        tw = X * taper
+        tn = np.sqrt(_seq_sum(tw * tw))
+        return Features(avg, nrm, tw / tn[..., None], tn != 0, tn)
+
+
+def rebuild(frames: np.ndarray, s: Features, chosen: np.ndarray, w: int, n: int, mode: str):
+    """(src, coded, loss, score) of frames from the chosen centre of every window (zeros where it has none)."""
+    h, nw = w // 2, 2 * n - 1
+    C = chosen.reshape(len(frames), nw, w)
     a, b = C[:, :-1, h:], C[:, 1:, :h]
     if mode == "centered":
-        seg = (a + b) * nrm[:, 1:, None] + avg[:, 1:, None]
+        seg = (a + b) * s.nrm[:, 1:, None] + s.avg[:, 1:, None]
     else:
-        seg = a * scale_j[:, :-1, None] + b * scale_j[:, 1:, None]
-    coded = seg.reshape(nf, (nw - 1) * h)
-    src = frames[:, h:L - h]
+        seg = a * s.scale[:, :-1, None] + b * s.scale[:, 1:, None]
+    coded = seg.reshape(len(frames), (nw - 1) * h)
+    src = frames[:, h:frames.shape[1] - h]
     loss = src - coded
-    score = np.abs(loss).max(axis=1) if loss.shape[1] else np.full(nf, np.nan)
-    code_v = np.where(code_i >= 0, codes[np.maximum(code_i, 0)] if centers is not None else -1, -1)
-    return code_v.reshape(nf, nw), dist.reshape(nf, nw), src, coded, loss, score
+    score = np.abs(loss).max(axis=1) if loss.shape[1] else np.full(len(frames), np.nan)
+    return src, coded, loss, score
+
+
+def _encode_block(frames: np.ndarray, index: CodeIndex | None, w: int, n: int, mode: str, taper: np.ndarray):
+    nf, nw = len(frames), 2 * n - 1
+    s = window_features(frames, w, n, mode, taper)
+    code = np.full(nf * nw, -1)
+    dist = np.full(nf * nw, np.nan)
+    chosen = np.zeros((nf * nw, w))
+    if index is not None:
+        ok = s.valid.reshape(-1)
+        ci, dist[ok] = index.nearest(s.feats.reshape(nf * nw, w)[ok])
+        code[ok] = index.codes[ci]
+        chosen[ok] = index.centers[ci]
+    return code.reshape(nf, nw), dist.reshape(nf, nw), *rebuild(frames, s, chosen, w, n, mode)
 
 
 def _book_arrays(book):
@@ -127,23 +119,34 @@ def _book_arrays(book):
     return centers, codes
 
 
-def _frame_outputs(frames, centers, codes, w, n, mode, taper):
+def frame_rows(cv, dv, src, coded, loss, score, n: int, has_model: bool) -> list[tuple]:
     """Per-frame output tuples ``(best, src, coded, loss, score, status)``."""
-    nf = frames.shape[0]
-    cv, dv, src, coded, loss, score = _encode_block(frames, centers, codes, w, n, mode, taper)
     out = []
-    for f in range(nf):
-        if centers is None:
+    for f in range(len(src)):
+        if not has_model:
             out.append(([None] * (2 * n - 1), src[f], None, None, None, "no_model"))
-        elif coded.shape[1] == 0:      # one window: nothing between two halves to rebuild
-            best = [None if c < 0 else {"d": float(d), "code": int(c)} for c, d in zip(cv[f], dv[f])]
+            continue
+        best = [None if c < 0 else {"d": float(d), "code": int(c)} for c, d in zip(cv[f], dv[f], strict=True)]
+        if coded.shape[1] == 0:        # one window: nothing between two halves to rebuild
             out.append((best, src[f], coded[f], loss[f], None, "single_window"))
         else:
-            best = [None if c < 0 else {"d": float(d), "code": int(c)} for c, d in zip(cv[f], dv[f])]
             out.append((best, src[f], coded[f], loss[f], float(score[f]), "ok"))
     return out
 
 
+def _frame_outputs(frames, index, w, n, mode, taper):
+    return frame_rows(*_encode_block(frames, index, w, n, mode, taper), n, index is not None)
+
+
+def _index(held: IndexCache, source_id, book) -> CodeIndex | None:
+    """The index of a source's dictionary row, built once a task."""
+    if book is None or len(book) == 0:
+        return None
+    if source_id not in held.held:
+        return held.of(source_id, *_book_arrays(book))
+    return held.held[source_id]
+
+
 def encode_blocks(blocks_with_book: DataFrame, w: int, n: int, mode: str = "centered",
                   block: int = 64) -> DataFrame:
     """``(source_id, block_no, vals, book)`` -> one coded row per whole frame.
@@ -156,6 +159,7 @@ def encode_blocks(blocks_with_book: DataFrame, w: int, n: int, mode: str = "cent
     cols = ["source_id", "frame_no", "frame_ref", "frame", "best", "src", "coded", "loss", "score", "status"]
 
     def run(batches):
+        held = IndexCache()
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
@@ -164,9 +168,9 @@ def encode_blocks(blocks_with_book: DataFrame, w: int, n: int, mode: str = "cent
                 if nf == 0:
                     continue
                 frames = vals[:nf * L].reshape(nf, L)
-                centers, codes = _book_arrays(r.book)
+                index = _index(held, r.source_id, r.book)
                 base = r.block_no * block
-                for f, res in enumerate(_frame_outputs(frames, centers, codes, w, n, mode, taper)):
+                for f, res in enumerate(_frame_outputs(frames, index, w, n, mode, taper)):
                     fno = int(base + f)
                     out.append((r.source_id, fno, fno * L, frames[f], *res))
             if out:
@@ -206,10 +210,11 @@ def encode_frame_rows(frames: DataFrame, packed: DataFrame, w: int, mode: str =
     cols = ["source_id", "frame_ref", "frame", "meta", "best", "src", "coded", "loss", "score", "status"]
 
     def run(batches):
+        held = IndexCache()
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                centers, codes = _book_arrays(r.book)
+                index = _index(held, r.source_id, r.book)
                 by_length: dict[int, list] = {}
                 for it in r.items:
                     if it["status"] == "ok":
@@ -219,7 +224,7 @@ def encode_frame_rows(frames: DataFrame, packed: DataFrame, w: int, mode: str =
                                     None, None, None, None, None, it["status"]))
                 for length, items in by_length.items():
                     frames_ = np.array([np.asarray(it["frame"], dtype=float) for it in items])
-                    res_ = _frame_outputs(frames_, centers, codes, w, length // w, mode, taper)
+                    res_ = _frame_outputs(frames_, index, w, length // w, mode, taper)
                     for it, fr, res in zip(items, frames_, res_):
                         out.append((r.source_id, int(it["frame_ref"]), fr, it["meta"], *res))
             if out:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from shapecode.config import (ANOMALY_THRESHOLD, APNEA_LINE_FORMAT, APNEA_SAMPLES_PER_MINUTE, DC_OFFSET, EVENTS,
                               LINEITEM, SAMPLE_SEED, SPLIT_SEED, SWEEP_STEP, SWEEP_STEPS, SignalSpec)
 from shapecode.functions import arrays as A
+from shapecode.operators import chunked as CH
 from shapecode.operators import coding, framing
 from shapecode.operators import evaluate as EV
 from shapecode.operators import kmeans as KM
@@ -47,6 +48,7 @@ def frames_of(spark: SparkSession, sf_dir: str, spec: SignalSpec) -> DataFrame:
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
+SMALL_CHUNK = 2            # codes in a chunk of the query that merges chunks: the tables' dictionaries are far below CHUNK
 
 
 def stored_codebook(spark: SparkSession, sf_dir: str, spec: SignalSpec) -> DataFrame:
@@ -68,11 +70,13 @@ def scored(spark: SparkSession, sf_dir: str, spec: SignalSpec, mode: str = "cent
     ``sql``: frame rows + higher-order functions.  Both give identical rows.
     """
     samples = samples if samples is not None else signal_samples(spark, sf_dir, spec)
-    book = coding.pack_codebook(stored_codebook(spark, sf_dir, spec))
+    book = stored_codebook(spark, sf_dir, spec)
     if method == "vectorized":
-        out = V.score_samples(samples, book, spec.w, spec.n, mode)
+        out = CH.score_samples(samples, book, spec.w, spec.n, mode)
+    elif method == "chunked":
+        out = CH.score_samples(samples, book, spec.w, spec.n, mode, chunk=SMALL_CHUNK)
     else:
-        out = coding.score_frames(framing.tumbling_frames(samples, spec.frame_len), book, spec.w, spec.n, mode)
+        out = coding.score_frames(framing.tumbling_frames(samples, spec.frame_len), coding.pack_codebook(book), spec.w, spec.n, mode)
     return out.where(F.col("status") != "no_model")
 
 
@@ -113,6 +117,12 @@ def frame_scores(spark, sf_dir):
     return _scores_out(scored(spark, sf_dir, LINEITEM, "centered"))
 
 
+@register("frame_scores_chunked", _scores_sql(LINEITEM, "centered"))
+def frame_scores_chunked(spark, sf_dir):
+    """W10 with dictionaries spread over several rows: partial arg-mins merged over the chunks."""
+    return _scores_out(scored(spark, sf_dir, LINEITEM, "centered", method="chunked"))
+
+
 @register("frame_scores_sql", _scores_sql(LINEITEM, "centered"))
 def frame_scores_sql(spark, sf_dir):
     """W10 on the SQL coder (higher-order functions in the frame row)."""
