@@ -6,15 +6,15 @@ whatever the sizes:
 * init  -- ``k`` evenly spaced training windows per source
   (code ``c`` <- window ``floor(c * tr / k)``), deterministic; an all-zero
   seed window has no shape and seeds a zero centre, so ``k`` codes remain;
+  or k-means|| (``seeding``), drawn by hashes;
 * assign + partial update -- training windows are grouped once into blocks
   of up to 256 windows per source; each iteration joins a block with the
   packed centres of its source (one dictionary copy per block) and a
   ``mapInPandas`` task finds every window's nearest centre exactly (same
   arithmetic as the SQL arg-min) and emits, per code present in the block,
   the vector sum with the member count as its last element;
-* update -- partial sums are added per ``(source, code, position)``
-  (map-side partial aggregation; a hot source's codes spread over many
-  keys) and regrouped into centres;
+* update -- partial sums are added per ``(source, code)``, a column a position
+  (map-side partial aggregation; a hot source's codes spread over many keys);
 * a code that lost all its windows keeps its previous centre;
 * the centres are cut from the lineage after each iteration with a
   reliable checkpoint (shared storage), so a lost executor never replays
@@ -132,24 +132,30 @@ def block_partials(blocks: DataFrame, centers: DataFrame) -> DataFrame:
 
 def update_from_partials(partials: DataFrame, previous: DataFrame, w: int) -> DataFrame:
     """Centre = summed member features / member count; empty codes keep theirs."""
-    v = (partials.select("source_id", "code", F.posexplode("vec").alias("pos", "v"))
-         .groupBy("source_id", "code", "pos").agg(F.sum("v").alias("v")))
-    new = (v.groupBy("source_id", "code")
-           .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda z: z["v"]).alias("vec")))
-    new = new.select("source_id", "code", F.transform(
-        F.slice("vec", 1, w), lambda x: x.cast("double") / F.element_at("vec", -1).cast("double") / F.lit(float(GRID))).alias("new_center"))
+    # one sum a position, in one row a code: a single shuffle, added up on the map side first
+    new = partials.groupBy("source_id", "code").agg(*[F.sum(F.col("vec")[p]).alias(f"_{p}") for p in range(w + 1)])
+    members = F.col(f"_{w}").cast("double")
+    new = new.select("source_id", "code", F.array(*[F.col(f"_{p}").cast("double") / members / F.lit(float(GRID)) for p in range(w)]).alias("new_center"))
     return (previous.join(new, ["source_id", "code"], "left")
             .select("source_id", "code", F.coalesce("new_center", "center").alias("center")))
 
 
-def lloyd(train: DataFrame, budget: DataFrame, w: int, max_iter: int = ITERATIONS) -> DataFrame:
+def lloyd(train: DataFrame, budget: DataFrame, w: int, max_iter: int = ITERATIONS, init: str = "even") -> DataFrame:
     """All-source Lloyd iterations; returns the long codebook.
 
+    ``init``: ``even`` (evenly spaced windows) or ``parallel`` (k-means||, ``seeding``).
+
     Runs ``max_iter`` iterations, or fewer where one changes no centre (every
     later one would repeat it); one checksum per iteration reaches the driver.
     """
     train = cut_lineage(train)      # read every iteration: materialise once
-    centers = cut_lineage(init_centers(train, budget, w))
+    if init not in ("even", "parallel"):
+        raise ValueError("init must be even or parallel")
+    if init == "even":
+        centers = cut_lineage(init_centers(train, budget, w))
+    else:
+        from shapecode.operators.seeding import parallel_seeds
+        centers = parallel_seeds(train, budget, w).drop("j")
     blocks = cut_lineage(window_blocks(train))
     mark = F.sum(F.xxhash64("source_id", "code", "center").cast("decimal(38,0)"))
     seen = centers.agg(mark).first()[0]

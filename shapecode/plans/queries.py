@@ -21,6 +21,7 @@ from shapecode.operators import coding, framing
 from shapecode.operators import evaluate as EV
 from shapecode.operators import kmeans as KM
 from shapecode.operators import labels as LB
+from shapecode.operators import seeding as SD
 from shapecode.operators import vectorized as V
 from shapecode.operators import words as WD
 from shapecode.plans import detect as DT
@@ -504,6 +505,16 @@ def codebook_lloyd(spark, sf_dir):
                      F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v * v), 6).alias("center_sumsq"))
 
 
+@register("codebook_seeds", "WITH " + ", ".join(Q.lloyd_train_ctes(LI)) + ", " + Q.seeds_ctes(LI.w, SD.ROUNDS, SD.SEED) + (
+    f" SELECT s.source_id, s.code, CAST(s.j AS BIGINT) AS j, CASE WHEN t.feat IS NULL THEN CAST(0 AS DOUBLE) ELSE {Q.lsum('t.feat')} END AS center_sum "
+    "FROM seeds s JOIN train t ON t.source_id = s.source_id AND t.j = s.j"))
+def codebook_seeds(spark, sf_dir):
+    """A13 seeding: k-means|| for all sources at once, drawn by hashes."""
+    train, budget = KM.training_set(signal_samples(spark, sf_dir, LI), LI.w, LI.step)
+    s = SD.parallel_seeds(train, budget, LI.w)
+    return s.select("source_id", "code", "j", F.aggregate("center", F.lit(0.0), lambda a, v: a + v).alias("center_sum"))
+
+
 # ---------------------------------------------------------------- wire format, archive, detector
 
 

@@ -250,3 +250,33 @@ def embedding_train_ctes() -> list[str]:
         f"{on_grid('CAST(embedding AS DOUBLE[])')} AS feat FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)",
         f"bud AS (SELECT source_id, CAST(count(*) AS BIGINT) AS tr, CAST(floor({dlit(0.1)} * count(*)) AS BIGINT) AS k FROM train GROUP BY 1)",
     ]
+
+
+def seeds_ctes(w: int, rounds: int, seed: str) -> str:
+    """``s0, q1, n1, s1, ... , seeds``: the k-means|| draws over ``train`` / ``bud``."""
+    def draw(r):
+        return (f"((CAST('0x' || substr(md5('{seed}:{r}:' || CAST(t.source_id AS VARCHAR) || ':' || CAST(t.j AS VARCHAR)), 1, 13) AS BIGINT) + "
+                f"CAST(0.5 AS DOUBLE)) / CAST({1 << 52} AS DOUBLE))")
+    parts = [
+        "ws AS MATERIALIZED (SELECT t.* FROM train t JOIN bud b USING (source_id) WHERE b.k > 0)",
+        f"s0 AS MATERIALIZED (SELECT source_id, 0 AS code, j FROM (SELECT source_id, j, row_number() OVER (PARTITION BY source_id ORDER BY u, j) AS rn "
+        f"FROM (SELECT t.source_id, t.j, {draw(0)} AS u FROM ws t WHERE feat IS NOT NULL)) WHERE rn = 1)"]
+    d = sqdist("t.feat", "c.feat", w)
+    for r in range(1, rounds + 1):
+        parts += [
+            f"q{r} AS MATERIALIZED (SELECT t.source_id, t.j, min(CAST(floor({d} * CAST({GRID} AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS q "
+            f"FROM ws t JOIN s{r - 1} s ON s.source_id = t.source_id JOIN ws c ON c.source_id = s.source_id AND c.j = s.j WHERE t.feat IS NOT NULL GROUP BY 1, 2)",
+            f"n{r} AS (SELECT b.source_id, h.have, CAST(ceil(CAST(b.k - h.have AS DOUBLE) / {rounds - r + 1}) AS BIGINT) AS n, p.total FROM bud b "
+            f"JOIN (SELECT source_id, count(*) AS have FROM s{r - 1} GROUP BY 1) h USING (source_id) "
+            f"JOIN (SELECT source_id, sum(q) AS total FROM q{r} GROUP BY 1) p USING (source_id))",
+            f"s{r} AS MATERIALIZED (SELECT * FROM s{r - 1} UNION ALL SELECT source_id, CAST(have + rank - 1 AS INTEGER), j FROM ("
+            f"SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY x, j) AS rank FROM ("
+            f"SELECT t.source_id, t.j, n.have, n.n, {draw(r)} * CAST(n.total AS DOUBLE) / CAST(t.q AS DOUBLE) AS x FROM q{r} t JOIN n{r} n USING (source_id) "
+            f"WHERE t.q > 0) WHERE x < 2 * n + 16) WHERE rank <= n)"]
+    parts.append(
+        f"seeds AS (SELECT * FROM s{rounds} UNION ALL SELECT source_id, CAST(have + rank - 1 AS INTEGER) AS code, j FROM ("
+        f"SELECT t.source_id, t.j, l.k, l.have, row_number() OVER (PARTITION BY t.source_id ORDER BY {draw(rounds + 1)}, t.j) AS rank FROM ws t "
+        f"JOIN (SELECT b.source_id, b.k, coalesce(h.have, 0) AS have FROM bud b LEFT JOIN (SELECT source_id, count(*) AS have FROM s{rounds} GROUP BY 1) h "
+        f"USING (source_id) WHERE coalesce(h.have, 0) < b.k) l USING (source_id) LEFT JOIN s{rounds} s ON s.source_id = t.source_id AND s.j = t.j "
+        f"WHERE s.j IS NULL) WHERE rank <= k - have)")
+    return ", ".join(parts)
