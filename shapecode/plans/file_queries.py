@@ -195,25 +195,39 @@ def _replayed(spark, sf_dir) -> str:
     return root
 
 
-_HOUR = "make_timestamp(CAST(t0 AS BIGINT))"
+def _split_replayed(spark, sf_dir) -> str:
+    """The frame events replayed through the split detector, twice (the second run finds nothing new); the folder with its tables."""
+    from shapecode.streaming.detector import file_frames, start_split_detector
+    root = scratch_dir(spark, "split")
+    EVT.frame_events(P.raw_event_frames(spark, sf_dir)).repartition(3).write.text(f"{root}/in")
+    P.stored_codebook(spark, sf_dir, EVENTS)
+    for _ in range(2):
+        start_split_detector(file_frames(spark, f"{root}/in", 1), lambda: P._event_books(spark, sf_dir), root, f"{root}/_chk", None, None,
+                             EVENTS.w, EVENTS.n)
+    return root
 
 
 @register("stream_anomalies", Q.trained_prefix(EVENTS, "centered") + f", scores AS ({Q.scores_select(EVENTS)}), " + (
-    "t AS (SELECT CAST(user_id AS BIGINT) AS source_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) "
-    f"// {EVENTS.frame_len} AS frame_no, epoch_us(ts) AS t_us FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL), "
-    "t0 AS (SELECT source_id, frame_no, min(t_us) AS t0 FROM t GROUP BY 1, 2) "
-    "SELECT 'inj./data/' || CAST(s.source_id AS VARCHAR) || '.dat' AS srcId, t0 / 1000000 AS srcTs, CAST(frame_ref AS DOUBLE) AS frameRef, "
-    f"score AS maxLoss, strftime({_HOUR}, '%Y/%m/%d/') || CAST(hour({_HOUR}) AS VARCHAR) || '/' AS timePathRef, "
-    "CAST(60 AS BIGINT) AS slice_chars FROM scores s JOIN t0 ON t0.source_id = s.source_id AND t0.frame_no = s.frame_no "
-    f"WHERE score > {Q.dlit(ANOMALY_THRESHOLD)}"))
+    f"ca AS ({Q.coded_arrays_select(EVENTS)}), " + Q.event_times_ctes(EVENTS) +
+    "SELECT 'inj./data/' || CAST(s.source_id AS VARCHAR) || '.dat' AS srcId, t0 / 1000000 AS srcTs, CAST(s.frame_ref AS DOUBLE) AS frameRef, "
+    f"s.score AS maxLoss, {Q.utc_path('t0')} AS timePathRef, {Q.data_slice('ca.src', 'ca.coded', 'ca.loss')} AS dataSlice "
+    "FROM scores s JOIN t0 ON t0.source_id = s.source_id AND t0.frame_no = s.frame_no "
+    "JOIN ca ON ca.source_id = s.source_id AND ca.frame_ref = s.frame_ref "
+    f"WHERE s.score > {Q.dlit(ANOMALY_THRESHOLD)}"))
 def stream_anomalies(spark, sf_dir):
-    """P3 + P5 + K2 + K8: anomaly records of the stream, appended to a table with all six fields."""
-    root = _replayed(spark, sf_dir)
-    rec = spark.read.schema("srcId STRING, srcTs DOUBLE, frameRef DOUBLE, maxLoss DOUBLE, timePathRef STRING, dataSlice STRING").json(
-        f"{root}/anomalies")
-    WR.write_table(rec, f"{root}/table")
-    t = spark.read.parquet(f"{root}/table")
-    return t.select("srcId", "srcTs", "frameRef", "maxLoss", "timePathRef", F.length("dataSlice").cast("bigint").alias("slice_chars"))
+    """P3 + P5 + K2 + K8: anomaly records of the stream in their table, appended once a batch, all six fields."""
+    from shapecode.streaming.detector import anomaly_table
+    return anomaly_table(spark, _split_replayed(spark, sf_dir)).read()
+
+
+@register("stream_archive", P._STREAM_SQL)
+def stream_archive(spark, sf_dir):
+    """T2 + K1: the 8 s archive fed by the scoring query's committed frames, merged into few files."""
+    from shapecode.streaming.detector import archive_table
+    t = archive_table(spark, _split_replayed(spark, sf_dir))
+    t.compact()
+    t.vacuum()
+    return t.read().select("patient_id", "frame_ref", "score", "codes", "status")
 
 
 @register("stream_quarantine", "WITH " + Q.lloyd_ctes(EVENTS, 0) + (

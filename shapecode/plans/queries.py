@@ -578,18 +578,21 @@ def stream_detect(spark, sf_dir):
     return arch.select("patient_id", "frame_ref", "score", "codes", "status")
 
 
-@register("anomaly_json", Q.trained_prefix(EVENTS, "centered") + f", scores AS ({Q.scores_select(EVENTS)}) " + (
-    f"SELECT 'inj./data/' || CAST(source_id AS VARCHAR) || '.dat' AS srcId, CAST(frame_ref AS DOUBLE) AS frameRef, "
-    f"score AS maxLoss FROM scores WHERE score > {Q.dlit(ANOMALY_THRESHOLD)}"))
+@register("anomaly_json", Q.trained_prefix(EVENTS, "centered") + f", scores AS ({Q.scores_select(EVENTS)}), ca AS ({Q.coded_arrays_select(EVENTS)}), " + (
+    Q.event_times_ctes(EVENTS) +
+    "SELECT 'inj./data/' || CAST(s.source_id AS VARCHAR) || '.dat' AS srcId, t0 / 1000000 AS srcTs, CAST(s.frame_ref AS DOUBLE) AS frameRef, "
+    f"s.score AS maxLoss, {Q.utc_path('t0')} AS timePathRef, {Q.data_slice('ca.src', 'ca.coded', 'ca.loss')} AS dataSlice "
+    "FROM scores s JOIN t0 ON t0.source_id = s.source_id AND t0.frame_no = s.frame_no "
+    f"JOIN ca ON ca.source_id = s.source_id AND ca.frame_ref = s.frame_ref WHERE s.score > {Q.dlit(ANOMALY_THRESHOLD)}"))
 def anomaly_json(spark, sf_dir):
     """P5/K2: anomaly records as JSON (``dataSlice`` = first 60 characters),
-    parsed back to check the wire format."""
+    parsed back to check the wire format, all six fields."""
     ev = EVT.frame_events(raw_event_frames(spark, sf_dir))
     scored_ = DT.with_time_path(DT.detect(ev, _event_books(spark, sf_dir), EVENTS.w, EVENTS.n))
     js = WR.anomaly_json(DT.anomalies(scored_))
     back = js.select(F.from_json("value", "srcId STRING, srcTs DOUBLE, frameRef DOUBLE, maxLoss DOUBLE, "
                                           "timePathRef STRING, dataSlice STRING").alias("r"))
-    return back.select("r.srcId", "r.frameRef", "r.maxLoss")
+    return back.select("r.*")
 
 
 @register("no_model_frames", "WITH " + Q.lloyd_ctes(EVENTS, 0) + (

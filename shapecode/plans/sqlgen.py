@@ -280,3 +280,37 @@ def seeds_ctes(w: int, rounds: int, seed: str) -> str:
         f"USING (source_id) WHERE coalesce(h.have, 0) < b.k) l USING (source_id) LEFT JOIN s{rounds} s ON s.source_id = t.source_id AND s.j = t.j "
         f"WHERE s.j IS NULL) WHERE rank <= k - have)")
     return ", ".join(parts)
+
+
+def event_times_ctes(spec: SignalSpec) -> str:
+    """``t, t0``: the time of every frame's first sample, in microseconds."""
+    return (f"t AS (SELECT CAST({spec.source_col} AS BIGINT) AS source_id, CAST(row_number() OVER (PARTITION BY {spec.source_col} "
+            f"ORDER BY {', '.join(spec.order_cols)}) - 1 AS BIGINT) // {spec.frame_len} AS frame_no, epoch_us(ts) AS t_us FROM {spec.table} "
+            f"WHERE {spec.source_col} IS NOT NULL AND {spec.value_col} IS NOT NULL), "
+            "t0 AS (SELECT source_id, frame_no, min(t_us) AS t0 FROM t GROUP BY 1, 2) ")
+
+
+def utc_path(us: str) -> str:
+    """``yyyy/MM/dd/H/`` of microseconds."""
+    ts = f"make_timestamp(CAST({us} AS BIGINT))"
+    return f"strftime({ts}, '%Y/%m/%d/') || CAST(hour({ts}) AS VARCHAR) || '/'"
+
+
+def number_text(x: str) -> str:
+    """A double as Spark prints it: plain from 0.001 to below 10**7, else one digit, a fraction and ``E``."""
+    short = f"CAST({x} AS VARCHAR)"
+    sign, bare = f"CASE WHEN starts_with({short}, '-') THEN '-' ELSE '' END", f"ltrim({short}, '-')"
+    zeros = f"(length(regexp_extract({bare}, '^0[.](0*)', 1)) + 1)"
+    digits = f"regexp_replace({bare}, '^0[.]0*', '')"
+    fraction = lambda d: f"coalesce(nullif(substr({d}, 2), ''), '0')"
+    small = f"{sign} || substr({digits}, 1, 1) || '.' || {fraction(digits)} || 'E-' || {zeros}"
+    mantissa, power = f"split_part({bare}, 'e', 1)", f"split_part({bare}, 'e', 2)"
+    scientific = (f"{sign} || {mantissa} || CASE WHEN contains({mantissa}, '.') THEN '' ELSE '.0' END || 'E' || "
+                  f"CAST(CAST(ltrim({power}, '+') AS INTEGER) AS VARCHAR)")
+    return f"CASE WHEN contains({short}, 'e') THEN {scientific} WHEN {x} <> 0 AND abs({x}) < 0.001 THEN {small} ELSE {short} END"
+
+
+def data_slice(src: str, coded: str, loss: str) -> str:
+    """The first 60 characters of ``;src;coded;loss;``."""
+    part = lambda a: f"array_to_string(list_transform({a}, lambda v: {number_text('v')}), ',')"
+    return f"substr(';' || {part(src)} || ';' || {part(coded)} || ';' || {part(loss)} || ';', 1, 60)"

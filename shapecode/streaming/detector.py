@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from shapecode.config import ANOMALY_THRESHOLD, STREAM_WINDOWS, SIGNAL_WINDOW
 from shapecode.plans.detect import anomalies, detect, with_time_path
-from shapecode.sinks.writers import anomaly_json, utc
+from shapecode.sinks.writers import anomaly_json, anomaly_records, utc
+from shapecode.streaming.committed import CommittedTable
 
 
 def kafka_frames(spark: SparkSession, servers: str, topics: str, starting: str = "latest") -> DataFrame:
@@ -120,24 +121,74 @@ def start_detector(events: DataFrame, packed_books: DataFrame, archive_path: str
     return q.start()
 
 
-def start_split_detector(events_for_alerts: DataFrame, events_for_archive: DataFrame, packed_books: DataFrame,
-                         archive_path: str, anomaly_path: str, quarantine_path: str, checkpoint_root: str,
-                         alert_trigger: str = "2 seconds", archive_trigger: str = "8 seconds",
-                         w: int = SIGNAL_WINDOW, n: int = STREAM_WINDOWS, threshold: float = ANOMALY_THRESHOLD):
-    """Alerts every 2 s, the archive written in 8 s batches, as the
-    reference's 8 s tumbling window did.  Two queries with their own
-    checkpoints; pass two readers of the same source.  A trigger of ``None``
-    means ``availableNow`` (drain and stop)."""
-    def score(batch: DataFrame) -> DataFrame:
-        return detect(batch, packed_books, w, n)
-
-    def trig(w_, t):
-        return w_.trigger(availableNow=True) if t is None else w_.trigger(processingTime=t)
-
-    q1 = trig(events_for_alerts.writeStream
-              .foreachBatch(batch_writer(None, anomaly_path, quarantine_path, threshold, score))
-              .option("checkpointLocation", f"{checkpoint_root}/alerts"), alert_trigger).start()
-    q2 = trig(events_for_archive.writeStream
-              .foreachBatch(batch_writer(archive_path, None, None, threshold, score))
-              .option("checkpointLocation", f"{checkpoint_root}/archive"), archive_trigger).start()
-    return q1, q2
+# Rows of the committed tables.
+ANOMALIES = "srcId string, srcTs double, frameRef double, maxLoss double, timePathRef string, dataSlice string"
+SCORED = ("srcId string, srcTs double, frameRef double, patient_id string, frame_ref bigint, event_time timestamp, frame array<double>, "
+          "src array<double>, coded array<double>, loss array<double>, score double, codes string, status string, time_path string")
+ARCHIVE = SCORED + ", date date, hour int"
+
+
+def anomaly_table(spark: SparkSession, root: str) -> CommittedTable:
+    return CommittedTable(spark, f"{root}/anomalies", ANOMALIES)
+
+
+def archive_table(spark: SparkSession, root: str) -> CommittedTable:
+    return CommittedTable(spark, f"{root}/archive", ARCHIVE, ("date", "hour"))
+
+
+def scored_table(spark: SparkSession, root: str) -> CommittedTable:
+    return CommittedTable(spark, f"{root}/scored", SCORED)
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def start_split_detector(events: DataFrame, packed_books, root: str, checkpoint_root: str, alert_trigger: str | None = "2 seconds",
+                         archive_trigger: str | None = "8 seconds", w: int = SIGNAL_WINDOW, n: int = STREAM_WINDOWS,
+                         threshold: float = ANOMALY_THRESHOLD, on_counts=None):
+    """Alerts every 2 s and the archive in 8 s batches, every event scored once.
+
+    The first query scores a micro-batch and appends its anomalies, its
+    quarantine and its scored frames to committed tables below ``root``; the
+    second reads the ledger of the scored frames as a stream and appends what
+    was committed in the last 8 s to the archive, without scoring.  A batch
+    that is replayed after a failure leaves each record once.  A trigger of
+    ``None`` means ``availableNow``: the first query is drained before the
+    second starts.  ``packed_books`` as in :func:`start_detector`.
+    """
+    spark = events.sparkSession
+    scored, alerts, archive = scored_table(spark, root), anomaly_table(spark, root), archive_table(spark, root)
+
+    def score_batch(batch: DataFrame, batch_id: int) -> None:
+        books = packed_books() if callable(packed_books) else packed_books
+        b = _prepared(batch, batch_id, lambda x: detect(x, books, w, n)).persist()
+        try:
+            counts = batch_counts(b, threshold)
+            if on_counts:
+                on_counts(batch_id, counts)
+            if counts["frames"] == 0:
+                return
+            alerts.append(anomaly_records(anomalies(b, threshold)), batch_id)
+            (b.where(F.col("status") != "ok").select("srcId", "frameRef", "patient_id", "status", "batch_id")
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{root}/quarantine"))
+            # last: a batch that is part of the scored table has left its other records
+            scored.append(b.where(F.col("status") == "ok").select(*_columns(SCORED)), batch_id)
+        finally:
+            b.unpersist()
+
+    def archive_batch(commits: DataFrame, batch_id: int) -> None:
+        names = [r.segment for r in commits.where("replaces IS NULL AND rows > 0").select("segment").collect()]   # the commits of one interval
+        if names:
+            at = utc(F.col("event_time"))
+            rows = scored.segments(sorted(names)).withColumn("date", F.to_date(at)).withColumn("hour", F.hour(at))
+            archive.append(rows.sortWithinPartitions("date", "hour", "patient_id", "frame_ref"), batch_id)
+
+    def start(stream: DataFrame, body, name: str, trigger: str | None):
+        q = stream.writeStream.foreachBatch(body).option("checkpointLocation", f"{checkpoint_root}/{name}")
+        q = (q.trigger(availableNow=True) if trigger is None else q.trigger(processingTime=trigger)).start()
+        if trigger is None:
+            q.awaitTermination()
+        return q
+
+    return start(events, score_batch, "alerts", alert_trigger), start(scored.stream_of_commits(), archive_batch, "archive", archive_trigger)

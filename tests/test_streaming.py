@@ -1,10 +1,12 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from shapecode.operators import coding, framing
 from shapecode.plans.detect import detect
 from shapecode.sources import events as EVT
+from shapecode.streaming.committed import CommittedTable
 from shapecode.streaming.detector import file_frames, start_detector
 
 
@@ -112,7 +114,7 @@ def test_codebook_ml_single_source(spark):
 def test_split_detector_alerts_and_archive(spark, tmpdir_path):
     """Alerts and archive as two queries over the same source."""
     import numpy as np
-    from shapecode.streaming.detector import start_split_detector
+    from shapecode.streaming.detector import anomaly_table, archive_table, start_split_detector
     rng = np.random.default_rng(3)
     w, n = 8, 4
     rows = [(s, i, float(v)) for s in (1, 2) for i, v in enumerate(rng.integers(0, 400, 64))]
@@ -121,13 +123,45 @@ def test_split_detector_alerts_and_archive(spark, tmpdir_path):
     EVT.frame_events(frames).write.mode("overwrite").text(tmpdir_path + "/in")
     scaled = frames.withColumn("frame", F.transform("frame", lambda x: x * (1 / 200.0)))
     books = coding.pack_codebook(coding.first_frame_codebook(scaled, w, n).withColumn("source_id", F.col("source_id").cast("string")))
-    q1, q2 = start_split_detector(file_frames(spark, tmpdir_path + "/in"), file_frames(spark, tmpdir_path + "/in"), books,
-                                  tmpdir_path + "/arch", tmpdir_path + "/anom", tmpdir_path + "/quar", tmpdir_path + "/chk",
-                                  alert_trigger=None, archive_trigger=None, w=w, n=n, threshold=0.0)
-    q1.awaitTermination()
-    q2.awaitTermination()
-    assert spark.read.parquet(tmpdir_path + "/arch").count() == 4
-    assert spark.read.json(tmpdir_path + "/anom").count() == 4        # threshold 0: every scored frame
+    counts = []
+    for _ in range(2):                       # the second run restarts from the checkpoints
+        start_split_detector(file_frames(spark, tmpdir_path + "/in"), lambda: books, tmpdir_path, tmpdir_path + "/chk",
+                             alert_trigger=None, archive_trigger=None, w=w, n=n, threshold=0.0, on_counts=lambda i, c: counts.append(c["frames"]))
+    archive = archive_table(spark, tmpdir_path)
+    assert archive.read().count() == 4 == sum(counts)                # every event scored once
+    assert anomaly_table(spark, tmpdir_path).read().count() == 4     # threshold 0: every scored frame
+    assert {(r.date.isoformat(), r.hour) for r in archive.read().collect()} == {("1970-01-01", 0)}
+
+
+def test_replayed_and_failed_batches_leave_each_record_once(spark, tmpdir_path):
+    t = CommittedTable(spark, tmpdir_path + "/t", "id bigint, part int", ("part",))
+    rows = lambda a, b: spark.range(a, b).select("id", (F.col("id") % 2).cast("int").alias("part"))
+    assert t.read().count() == 0 and t.entries() == []
+    assert t.append(rows(0, 10), 0)
+    with pytest.raises(Exception):
+        t.append(rows(10, 20).withColumn("id", F.when(F.col("id") == 17, F.raise_error(F.lit("lost")).cast("bigint")).otherwise(F.col("id"))), 1)
+    t._write(rows(10, 20))                                            # an attempt that died before its commit
+    assert t.read().count() == 10
+    assert t.append(rows(10, 20), 1) and not t.append(rows(10, 20), 1) and not t.append(rows(0, 10), 0)
+    assert sorted(r.id for r in t.read().collect()) == list(range(20))
+    assert t.append(rows(0, 0), 2) and not t.append(rows(0, 5), 2)    # an empty batch is part of the table too
+    assert t.vacuum() >= 1
+    assert sorted(map(tuple, t.read().select("id", "part").collect())) == [(i, i % 2) for i in range(20)]
+
+
+def test_compaction_bounds_files_and_readers_see_old_or_new(spark, tmpdir_path):
+    t = CommittedTable(spark, tmpdir_path + "/t", "id bigint, part int", ("part",))
+    for k in range(6):
+        t.append(spark.range(10 * k, 10 * k + 10).select("id", (F.col("id") % 2).cast("int").alias("part")).repartition(4), k)
+    before = t.read()                                                 # planned before the merge, run after it
+    files = sum(e["files"] for e in t.entries())
+    assert t.compact() and len(t.entries()) == 1 and t.entries()[0]["files"] <= 2 < files
+    assert sorted(r.id for r in before.collect()) == sorted(r.id for r in t.read().collect()) == list(range(60))
+    assert not t.append(spark.range(3).select("id", F.lit(0).alias("part")), 5)     # merged batches stay committed
+    assert t.append(spark.range(60, 61).select("id", F.lit(0).alias("part")), 6)
+    assert t.vacuum() == 6 and t.read().count() == 61
+    assert len(os.listdir(tmpdir_path + "/t/ledger")) <= 4            # two entries (and their checksums)
+    assert t.compact() and t.read().count() == 61 and not t.compact()
 
 
 def test_multi_batch_and_restart_are_exactly_once(spark, tmpdir_path):
