@@ -1,6 +1,6 @@
 """Word counts.
 
-Words are the maximal runs of ASCII letters of the lower-cased text.
+Words are the maximal runs of letters (of any script) of the lower-cased text.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD_PATTERN = "[a-z]+"
+WORD_PATTERN = r"\p{L}+"
 
 
 def word_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shapecode.config import ANOMALY_THRESHOLD, EVENTS
 from shapecode.functions import arrays as A
 from shapecode.operators import evaluate as EV
+from shapecode.operators import framing
 from shapecode.operators import labels as LB
 from shapecode.plans import queries as P
 from shapecode.plans import sqlgen as Q
@@ -238,3 +239,91 @@ def stream_quarantine(spark, sf_dir):
     # a replay without such frames leaves no files, so the schema is given
     quarantine = spark.read.schema("srcId string, frameRef double, patient_id string, status string, batch_id int")
     return quarantine.parquet(f"{_replayed(spark, sf_dir)}/quarantine").select("patient_id", "frameRef", "status")
+
+
+@register("stream_counts", "WITH " + Q.lloyd_ctes(EVENTS, 0) + f", frames AS ({Q.frames_cte(EVENTS)}) " + (
+    "SELECT CAST(count(*) AS BIGINT) AS frames, CAST(count(*) FILTER (source_id IN (SELECT source_id FROM c0)) AS BIGINT) AS scored, "
+    "CAST(count(*) FILTER (source_id NOT IN (SELECT source_id FROM c0)) AS BIGINT) AS quarantined FROM frames"))
+def stream_counts(spark, sf_dir):
+    """The counts that the detector reports for its batches, added up."""
+    from shapecode.streaming.detector import file_frames, start_detector
+    root, seen = scratch_dir(spark, "counts"), []
+    EVT.frame_events(P.raw_event_frames(spark, sf_dir)).repartition(3).write.text(f"{root}/in")
+    P.stored_codebook(spark, sf_dir, EVENTS)
+    start_detector(file_frames(spark, f"{root}/in", 1), lambda: P._event_books(spark, sf_dir), f"{root}/archive", f"{root}/anomalies",
+                   f"{root}/quarantine", f"{root}/_chk", available_now=True, w=EVENTS.w, n=EVENTS.n,
+                   on_counts=lambda batch, c: seen.append((c["frames"], c["scored"], c["quarantined"]))).awaitTermination()
+    return (spark.createDataFrame(seen, "frames bigint, scored bigint, quarantined bigint")      # a row a micro-batch
+            .agg(*[F.sum(c).alias(c) for c in ("frames", "scored", "quarantined")]))
+
+
+_LENGTHS = (EVENTS.frame_len, 3 * EVENTS.w, 2 * EVENTS.w + 4, EVENTS.w)
+
+
+@register("mixed_frame_lengths", "WITH " + Q.lloyd_ctes(EVENTS, 0) + f", frames AS ({Q.frames_cte(EVENTS)}), " + (
+    f"f AS (SELECT *, ([{', '.join(map(str, _LENGTHS))}])[CAST(frame_no % {len(_LENGTHS)} AS INTEGER) + 1] AS n FROM frames) "
+    f"SELECT CAST(source_id AS VARCHAR) AS patient_id, frame_ref, CAST(n AS BIGINT) AS n_samples, CASE WHEN n % {EVENTS.w} <> 0 THEN 'bad_length' "
+    f"WHEN source_id NOT IN (SELECT source_id FROM c0) THEN 'no_model' WHEN n = {EVENTS.w} THEN 'single_window' ELSE 'ok' END AS status FROM f"))
+def mixed_frame_lengths(spark, sf_dir):
+    """Frames of several lengths in one stream; whole numbers of windows are coded, others are named."""
+    from shapecode.plans.detect import detect
+    n = F.element_at(F.array(*[F.lit(x) for x in _LENGTHS]), (F.floor(F.col("frame_ref") / EVENTS.frame_len) % len(_LENGTHS)).cast("int") + 1)
+    frames = P.raw_event_frames(spark, sf_dir).withColumn("frame", F.slice("frame", F.lit(1), n))
+    d = detect(EVT.frame_events(frames), P._event_books(spark, sf_dir), EVENTS.w, EVENTS.n)
+    return d.select("patient_id", "frame_ref", F.size("frame").cast("bigint").alias("n_samples"), "status")
+
+
+@register("training_windows_export", "WITH " + ", ".join(Q.lloyd_train_ctes(LI)) + (
+    f" SELECT source_id, CAST(j AS BIGINT) AS j, w[1] AS first_value, {Q.lsum('w')} AS total FROM tw"))
+def training_windows_export(spark, sf_dir):
+    """K4: the training windows written and read back."""
+    samples = TB.signal_samples(spark, sf_dir, LI)
+    path = scratch_dir(spark, "training")
+    WR.export_training_windows(framing.sliding_windows(samples, LI.w, LI.step, framing.training_budget(samples, LI.w, LI.step)), path)
+    return spark.read.parquet(path).select("source_id", "j", F.col("w")[0].alias("first_value"),
+                                           F.aggregate("w", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+@register("recording_inventory", P._DEC_SQL + (
+    " SELECT source_id, CAST(count(*) AS BIGINT) AS n_records, CAST(CASE WHEN source_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS partial_files "
+    "FROM samples GROUP BY 1"))
+def recording_inventory(spark, sf_dir):
+    """Whole records and files with a partial tail, from the listing alone."""
+    blocks = BIN.pack_212(P._expected_212(spark, sf_dir))
+    last = blocks.groupBy("source_id").agg(F.max("i0").alias("i0")).where("source_id % 5 = 0").withColumn("tail", F.unhex(F.lit("01")))
+    blocks = blocks.join(last, ["source_id", "i0"], "left").withColumn("content", F.concat("content", F.coalesce("tail", F.unhex(F.lit("")))))
+    path = scratch_dir(spark, "inventory")
+    REC.write_records(blocks, path, 3)
+    inv = BIN.inventory(spark, path, "part-*", 3).withColumn("id", F.regexp_extract("path", r"source_id=([^/]+)", 1).cast("bigint"))
+    return inv.groupBy(F.col("id").alias("source_id")).agg(F.sum("n_records").alias("n_records"), F.count_if(F.col("remainder") > 0).alias("partial_files"))
+
+
+@register("warehouse_by_id", f"WITH samples AS ({Q.samples_cte(EVENTS)}) SELECT source_id, i, value FROM samples")
+def warehouse_by_id(spark, sf_dir):
+    """K8 -> S12 by table id: a catalog table overwritten, appended to in halves, and read back under both forms of its id."""
+    path = scratch_dir(spark, "catalog")
+    db = "shapecode_" + path.rpartition("-")[2]
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{path}'")
+    s = TB.signal_samples(spark, sf_dir, EVENTS).select("source_id", "i", "value")
+    WR.write_table(s, f"spark_catalog:{db}.samples", mode="overwrite")
+    WR.write_table(s.where("i % 2 = 0"), f"{db}.samples", mode="overwrite")
+    WR.write_table(s.where("i % 2 = 1"), f":{db}.samples", mode="append", default_project="spark_catalog")
+    full = TB.warehouse_table(spark, f"spark_catalog:{db}.samples")
+    relative = TB.warehouse_table(spark, f":{db}.samples", default_project="spark_catalog")
+    return full.where("source_id % 2 = 0").unionByName(relative.where("source_id % 2 <> 0"))
+
+
+@register("view_totals", f"WITH samples AS ({Q.samples_cte(EVENTS)}) SELECT source_id, CAST(count(*) AS BIGINT) AS n, max(value) AS most FROM samples GROUP BY 1")
+def view_totals(spark, sf_dir):
+    """Samples registered as a view and queried by SQL."""
+    name = "samples_" + scratch_dir(spark, "view").rpartition("-")[2]
+    WR.register_view(TB.signal_samples(spark, sf_dir, EVENTS), name)
+    return spark.sql(f"SELECT source_id, count(*) AS n, max(value) AS most FROM {name} GROUP BY source_id")
+
+
+@register("time_of_day_keys", "SELECT event_id, CAST((epoch_us(ts) // 1000000) % 60 AS VARCHAR) || '-' || CAST((epoch_us(ts) // 1000) % 86400000 AS VARCHAR) AS key "
+          "FROM events WHERE ts IS NOT NULL")
+def time_of_day_keys(spark, sf_dir):
+    """Second of the minute and millisecond of the day of every event."""
+    e = TB.read_table(spark, sf_dir, "events").where("ts IS NOT NULL")
+    return e.select("event_id", WR.time_of_day_key(F.to_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))).alias("key"))

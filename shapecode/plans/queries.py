@@ -247,6 +247,19 @@ def taper_overlap_check(spark, sf_dir):
                     F.expr("array_max(zip_with(ola, src, (a, b) -> abs(a - b)))").alias("ola_max_err"))
 
 
+@register("taper_sums", f"WITH samples AS ({Q.samples_cte(LI)}), frames AS ({Q.frames_cte(LI)}), "
+          f"t AS (SELECT {Q.dlist(A.taper_values(LI.w))} AS t) "
+          f"SELECT source_id, frame_ref, CAST(len(frame) - {LI.w} AS BIGINT) AS n_sums, list_min(s) AS least, list_max(s) AS most, {Q.lsum('s')} AS total FROM ("
+          f"SELECT f.*, list_transform(range({LI.frame_len - LI.w}), lambda i: t[{LI.h} + i % {LI.h} + 1] + t[i % {LI.h} + 1]) AS s FROM frames f, t)")
+def taper_sums(spark, sf_dir):
+    """``w(i) + w(i + H)`` at every sample that two windows of a frame cover."""
+    f = frames_of(spark, sf_dir, LI).withColumn("t", F.expr(A.array_literal(A.taper_values(LI.w))))
+    f = f.withColumn("s", F.transform(F.sequence(F.lit(0), F.size("frame") - F.lit(LI.w + 1)),
+                                      lambda i: F.get("t", i % LI.h + LI.h) + F.get("t", i % LI.h)))
+    return f.select("source_id", "frame_ref", F.size("s").cast("bigint").alias("n_sums"), F.array_min("s").alias("least"), F.array_max("s").alias("most"),
+                    F.aggregate("s", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
 # ---------------------------------------------------------------- coding details
 @register("nearest_code", Q.trained_prefix(LI, "centered") + " SELECT source_id, frame_no, CAST(k AS INTEGER) AS k, code, d FROM nearest")
 def nearest_code(spark, sf_dir):
@@ -466,7 +479,7 @@ def anomalies(spark, sf_dir):
 
 # ---------------------------------------------------------------- words
 
-_WORDS = ("WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), "
+_WORDS = ("WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents), "
           "totals AS (SELECT lower(word) AS word, CAST(count(*) AS BIGINT) AS word_count FROM w GROUP BY 1)")
 
 
@@ -689,12 +702,12 @@ def encode_centered(spark, sf_dir):
                      F.aggregate("loss", F.lit(0.0), lambda a, v: a + v).alias("loss_sum"))
 
 
-@register("codebook_store_roundtrip", "WITH " + Q.lloyd_ctes(EVENTS, 0) + (
-    ", coarse AS (SELECT source_id, code, 16 AS w, 2 AS step, CAST(16 AS BIGINT) AS n FROM c0), "
-    f"fine AS (SELECT source_id, code, {EVENTS.w} AS w, {EVENTS.step} AS step, CAST({EVENTS.w} AS BIGINT) AS n FROM c0) "
-    "SELECT * FROM coarse UNION ALL SELECT * FROM fine"))
+@register("codebook_store_roundtrip", "WITH " + Q.lloyd_ctes(EVENTS, KM.ITERATIONS) + (
+    f", coarse AS (SELECT source_id, code, 16 AS w, 2 AS step, CAST(16 AS BIGINT) AS n, {Q.r6(Q.lsum('list_concat(center, center)'))} AS center_sum "
+    f"FROM c{KM.ITERATIONS}), fine AS (SELECT source_id, code, {EVENTS.w} AS w, {EVENTS.step} AS step, CAST({EVENTS.w} AS BIGINT) AS n, "
+    f"{Q.r6(Q.lsum('center'))} AS center_sum FROM c{KM.ITERATIONS}) SELECT * FROM coarse UNION ALL SELECT * FROM fine"))
 def codebook_store_roundtrip(spark, sf_dir):
-    """K7 + S13: two window sizes of one patient, the smaller saved twice; both load, once each."""
+    """K7 + S13: two window sizes of one patient, the smaller saved twice; both load, once each, with the centres saved last."""
     path = scratch_dir(spark, "codebooks")
     cb = stored_codebook(spark, sf_dir, EVENTS)
     wide = cb.withColumn("center", F.flatten(F.array("center", "center")))
@@ -702,7 +715,8 @@ def codebook_store_roundtrip(spark, sf_dir):
     WR.save_codebook(wide, path, 16, 2)
     WR.save_codebook(cb, path, EVENTS.w, EVENTS.step)
     read = lambda w, step: WR.load_codebook(spark, path, w, step).select(
-        "source_id", "code", F.lit(w).alias("w"), F.lit(step).alias("step"), F.size("center").cast("bigint").alias("n"))
+        "source_id", "code", F.lit(w).alias("w"), F.lit(step).alias("step"), F.size("center").cast("bigint").alias("n"),
+        F.round(F.aggregate("center", F.lit(0.0), lambda a, v: a + v), 6).alias("center_sum"))
     return read(EVENTS.w, EVENTS.step).unionByName(read(16, 2))
 
 
@@ -749,18 +763,27 @@ ML_CODES = 16
 
 
 @register("codebook_ml", (
-    f"SELECT CAST({ML_CODES} AS BIGINT) AS n_codes, CAST(count(*) AS BIGINT) AS n_members, true AS all_finite "
-    "FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL"))
+    f"WITH v AS (SELECT vec_id, {Q.on_grid('CAST(embedding AS DOUBLE[])')} AS feat FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), "
+    f"seeds AS (SELECT feat FROM v ORDER BY vec_id LIMIT {ML_CODES}), "
+    f"d AS (SELECT v.vec_id, min(CAST(floor({Q.sqdist('v.feat', 's.feat', 64)} * CAST({KM.GRID} AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS q FROM v, seeds s GROUP BY 1) "
+    f"SELECT CAST({ML_CODES} AS BIGINT) AS n_codes, CAST(count(*) AS BIGINT) AS n_members, true AS all_finite, "
+    "CAST(sum(q) AS BIGINT) AS seeds_cost, true AS costs_less FROM d"))
 def codebook_ml(spark, sf_dir):
     """A13(a): ``pyspark.ml`` KMeans (k-means||, seeded, 20 iterations) on all
     embedding vectors as one training set, with a fixed number of codes; its
     seeds depend on partitioning, so what is checked is free of order: codes
-    within k, every vector a member of one, finite centres."""
+    within k, every vector a member of one, finite centres, and a cost below
+    that of the first vectors as codes."""
     train, _ = embedding_windows(spark, sf_dir)
     cb = KM.fit_ml_codebook(train, ML_CODES, max_iter=20, seed=1, with_members=True)
     finite = F.forall("center", lambda v: ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return cb.agg(F.count(F.lit(1)).alias("n_codes"), F.sum("n_members").cast("bigint").alias("n_members"),
-                  F.bool_and(finite).alias("all_finite"))
+    one = train.select(F.lit(0).alias("source_id"), F.col("vec_id").alias("j"), "feat")
+    seeds = one.orderBy("j").limit(ML_CODES).select("source_id", F.monotonically_increasing_id().cast("int").alias("code"), F.col("feat").alias("center"))
+    costs = SD.cost(one, seeds).select("source_id", F.col("cost").alias("seeds_cost")).join(
+        SD.cost(one, cb.select(F.lit(0).alias("source_id"), "code", "center")), "source_id")
+    facts = cb.agg(F.count(F.lit(1)).alias("n_codes"), F.sum("n_members").cast("bigint").alias("n_members"),
+                   F.bool_and(finite).alias("all_finite"), F.lit(0).alias("source_id"))
+    return facts.join(costs, "source_id").select("n_codes", "n_members", "all_finite", "seeds_cost", (F.col("cost") < F.col("seeds_cost")).alias("costs_less"))
 
 
 @register("word_preview_filter", _WORDS + (
