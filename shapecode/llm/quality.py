@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapecode.llm.common import hash_words, text_buffer, whole_windows, window_hash
+from shapecode.llm.common import hash_words, text_buffer, whole_windows, window_hash, written
 from shapecode.session import ship_package
 
 TERMS = 2048               # hashed shape terms
@@ -114,7 +114,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         per_label: int = PER_LABEL, rank: int = RANK) -> dict:
     """The voting model: projection, sample vectors, votes and weights; at most 2 * per_label rows reach the driver."""
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0))
-             .select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")))
+             .groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label_col).cast("int").alias("_y"), F.max(label_col).cast("int").alias("_z"))
+             .where("_y = _z").drop("_z")
+             .join(docs.select(F.col(id_col).cast("long").alias("_id")), "_id", "left_semi"))
+    known = written(known, "quality-labels")
     total = {int(r["_y"]): int(r["n"]) for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = total.get(1, 0) / sum(total.values()) if total else 0.5
     chosen = None

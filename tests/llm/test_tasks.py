@@ -265,13 +265,38 @@ def test_quality_ignores_labels_of_held_out_rows_and_takes_odd_texts(spark):
     assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in a if r.doc_id is not None and r.doc_id < 80)
     model = make(labels)
     assert {r.doc_id: r.score for r in a if r.doc_id in (500, 501)} == {500: model["prior"], 501: model["prior"]}
-    other = make([x for x in flipped if x[0] < 80 and x[1] is not None])
-    assert (other["latent"] == model["latent"]).all() and (other["votes"] == model["votes"]).all()
+    # labels of no document (9999, 5000..), null, repeated and contradictory ones change nothing either
+    extra = [(i, 1) for i in range(5000, 5060)] + labels[:20] + [(2000, 0), (2000, 1), (501, 0), (501, 1)]
+    other = make(flipped + extra)
+    assert (other["latent"] == model["latent"]).all() and (other["votes"] == model["votes"]).all() and other["prior"] == model["prior"]
     none = quality.fit(frame(spark, rows), spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
     assert quality.score(docs.limit(0), model).collect() == []
 
 
+def test_votes_equal_brute_force():
+    """Scores are the similarity-weighted shares of the exact nearest labelled vectors."""
+    rng = np.random.default_rng(4)
+    terms, rank, n = quality.TERMS + quality.EXTRA, 12, 300
+    latent = rng.standard_normal((n, rank)).astype(np.float32)
+    latent /= np.linalg.norm(latent, axis=1, keepdims=True)
+    model = {"projection": rng.standard_normal((terms, rank)).astype(np.float32), "mean": rng.random(terms).astype(np.float32) / 50, "latent": latent,
+             "votes": rng.integers(0, 2, n).astype(float), "weight": rng.choice([0.5, 2.0], n), "neighbours": 25, "prior": 0.4}
+    x = rng.random((40, terms)).astype(np.float32)
+    x[3] = 0
+    got = quality.vote(model, x)
+    for i, row in enumerate(x):
+        if not row.any():
+            assert got[i] == model["prior"]
+            continue
+        z = [sum(float(a - m) * float(p) for a, m, p in zip(row, model["mean"], column)) for column in model["projection"].T]
+        length = math.sqrt(sum(v * v for v in z))
+        cosine = [sum(a * float(b) for a, b in zip(z, v)) / length for v in latent]
+        near = sorted(range(n), key=lambda k: -cosine[k])[:25]
+        weights = [max(cosine[k], 0) ** quality.SHARPNESS * model["weight"][k] for k in near]
+        assert abs(got[i] - sum(w * model["votes"][k] for w, k in zip(weights, near)) / sum(weights)) < 1e-3
+
+
 # ---------------------------------------------------------------- WARC
 
 def test_warc_round_trip(spark):
@@ -353,5 +378,5 @@ def test_pipeline_stages(spark):
 def test_every_operator_is_registered():
     import __spark_entry__ as e
     names = set(e.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {re.match(r"op\d+_", x)[0] for x in names if x.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} <= {re.match(r"op\d+_", x)[0] for x in names if x.startswith("op")}
     assert "pipeline" in names
