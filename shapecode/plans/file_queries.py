@@ -327,3 +327,22 @@ def time_of_day_keys(spark, sf_dir):
     """Second of the minute and millisecond of the day of every event."""
     e = TB.read_table(spark, sf_dir, "events").where("ts IS NOT NULL")
     return e.select("event_id", WR.time_of_day_key(F.to_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))).alias("key"))
+
+
+@register("stream_recordings", f"WITH samples AS ({Q.samples_cte(LI)}), frames AS ({Q.frames_cte(LI)}) "
+          f"SELECT source_id, frame_no, CAST({Q.lsum('list_transform(frame, lambda v: round(v / ' + Q.dlit(LI.scale) + '))')} AS BIGINT) AS total FROM frames")
+def stream_recordings(spark, sf_dir):
+    """Recordings followed as a stream of frames, in two runs of one query: the second continues where the first ended."""
+    samples = TB.signal_samples(spark, sf_dir, LI, extra={"v": "CAST(l_quantity AS INT)"})
+    rec = samples.withColumn("_hex", F.concat(F.lpad(F.hex(F.col("v").bitwiseAND(0xFF)), 2, "0"), F.lpad(F.hex(F.shiftright("v", 8)), 2, "0")))
+    path, out = scratch_dir(spark, "growing"), scratch_dir(spark, "frames")
+    # a recording's blocks lie in one file: files follow their source
+    blocks = BIN.pack_records(rec, "_hex")
+    for half in (0, 1):
+        part = blocks.where(F.col("source_id") % 2 == half)
+        REC.write_records(part, path, 2, one_file=True)
+        q = (REC.stream_frames(spark, path, "le16", LI.frame_len).select(_source_id(), F.col("i").alias("frame_no"),
+                                                                        F.aggregate("frame", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"))
+             .writeStream.format("parquet").option("checkpointLocation", f"{out}/_chk").option("path", f"{out}/rows").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.parquet(f"{out}/rows")

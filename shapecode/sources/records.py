@@ -19,6 +19,14 @@ follow each other in a task continue one file.  Files are written under hidden
 names and renamed when the whole job commits, so a reader never sees the files
 of failed or repeated tasks.
 
+``spark.readStream.format("fixed_records")`` follows recordings that grow (S1):
+an offset is the number of whole records read of every file, so a restart goes
+on where the last committed batch ended.  ``starting`` (``earliest`` or
+``latest``) says where a new query begins, ``max_records`` how many records a
+batch may take (the first batch after a restart takes what is there).  With
+``frame_len`` a record is a whole frame of samples (channel 1 of ``212``):
+columns ``path``, ``i`` (frame number) and ``frame``.
+
 Files are opened through ``pyarrow.fs`` (local, HDFS, S3, GCS URIs); for other
 stores ``sources.binary`` reads whole files through Spark.
 """
@@ -34,7 +42,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition,
+                                    WriterCommitMessage)
 
 SPLIT_BYTES = 32 << 20
 BATCH_RECORDS = 1 << 16
@@ -61,9 +70,18 @@ LAYOUTS = {"212": (3, ("s1 int", "s2 int"), _columns_212), "le16": (2, ("raw int
 
 
 def _layout(options) -> tuple[int, tuple[str, ...], object]:
+    """(bytes of a record, columns, decoder); with ``frame_len`` the samples of a record are one array."""
     name = options.get("layout", "raw")
     if name in LAYOUTS:
-        return LAYOUTS[name]
+        size, names, decode = LAYOUTS[name]
+        n = int(options.get("frame_len", 0))
+        if not n:
+            return size, names, decode
+
+        def frames(b: np.ndarray) -> list:
+            first = decode(b.reshape(-1, size))[0]
+            return [pa.ListArray.from_arrays(pa.array(np.arange(0, len(first) + 1, n, dtype=np.int32)), pa.array(first, pa.int32()))]
+        return size * n, ("frame array<int>",), frames
     if name != "raw":
         raise ValueError(f"layout must be raw or one of {sorted(LAYOUTS)}")
     return int(options["record_bytes"]), ("record binary",), None
@@ -170,7 +188,7 @@ class RecordReader(DataSourceReader):
     def _batch(self, path, first, b) -> pa.RecordBatch:
         n = len(b)
         if self.decode:
-            own = [pa.array(c, pa.int32()) for c in self.decode(b)]
+            own = [c if isinstance(c, pa.Array) else pa.array(c, pa.int32()) for c in self.decode(b)]
         else:
             off = pa.array(np.arange(0, (n + 1) * self.record, self.record, dtype=np.int32))
             own = [pa.Array.from_buffers(pa.binary(), n, [None, off.buffers()[1], pa.py_buffer(np.ascontiguousarray(b))])]
@@ -179,6 +197,53 @@ class RecordReader(DataSourceReader):
                                            pa.array(np.arange(first, first + n, dtype=np.int64)), *own], names=names)
 
 
+class RecordStreamReader(DataSourceStreamReader):
+    """Whole records that files have gained; offsets are ``{"files": {path: records}}``."""
+
+    def __init__(self, options):
+        self.reader = RecordReader(options)
+        self.starting = options.get("starting", "earliest")
+        if self.starting not in ("earliest", "latest"):
+            raise ValueError("starting must be earliest or latest")
+        self.most = int(options.get("max_records", 0))
+        self.position: dict[str, int] | None = None
+
+    def _there(self) -> dict[str, int]:
+        try:
+            return {p: n // self.reader.record for p, n in list_files(self.reader.path)}
+        except FileNotFoundError:
+            return {}
+
+    def initialOffset(self) -> dict:
+        self.position = self._there() if self.starting == "latest" else {}
+        return {"files": self.position}
+
+    def latestOffset(self) -> dict:
+        there, known = self._there(), self.position
+        if known is not None:
+            left, now = self.most or None, dict(known)          # a file that vanished or shrank keeps its place
+            for path, n in there.items():
+                more = max(0, n - known.get(path, 0))
+                take = more if left is None else min(left, more)
+                if take:
+                    now[path] = known.get(path, 0) + take
+                    left = None if left is None else left - take
+            there = now
+        self.position = there
+        return {"files": there}
+
+    def partitions(self, start: dict, end: dict):
+        self.position = dict(end["files"])
+        step, out = max(1, self.reader.split // self.reader.record), []
+        for path, stop in sorted(end["files"].items()):
+            for at in range(start["files"].get(path, 0), stop, step):
+                out.append(Ranges([(path, at * self.reader.record, min(step, stop - at) * self.reader.record)]))
+        return out
+
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(partition)
+
+
 # ------------------------------------------------------------------ writer
 
 @dataclass
@@ -238,6 +303,9 @@ class FixedRecords(DataSource):
     def reader(self, schema) -> RecordReader:
         return RecordReader(self.options)
 
+    def streamReader(self, schema) -> RecordStreamReader:
+        return RecordStreamReader(self.options)
+
     def writer(self, schema, overwrite: bool) -> RecordWriter:
         return RecordWriter(self.options, overwrite)
 
@@ -265,12 +333,26 @@ def read_records(spark: SparkSession, path: str, layout: str, **options) -> Data
     return reader.load(path)
 
 
-def write_records(blocks: DataFrame, path: str, record_bytes: int, mode: str = "append") -> None:
-    """Write ``(source_id, i0, content)`` blocks of whole records; neighbouring blocks of a source share a file."""
+def stream_frames(spark: SparkSession, path: str, layout: str, frame_len: int, **options) -> DataFrame:
+    """The frames of growing recordings as a stream ``path, i, frame`` (``i`` is the frame's number)."""
+    register(spark)
+    reader = spark.readStream.format("fixed_records").option("layout", layout).option("frame_len", str(frame_len)).option("path", path)
+    for k, v in options.items():
+        reader = reader.option(k, str(v))
+    return reader.load()
+
+
+def write_records(blocks: DataFrame, path: str, record_bytes: int, mode: str = "append", one_file: bool = False) -> None:
+    """Write ``(source_id, i0, content)`` blocks of whole records; neighbouring blocks of a source share a file.
+
+    ``one_file`` keeps a source in one task and so in one file (as a recorder
+    that appends to it would).
+    """
     from pyspark.sql import functions as F
     register(blocks.sparkSession)
     rows = blocks.select("source_id", "i0", "content", F.floor(F.length("content") / record_bytes).cast("bigint").alias("records"))
-    rows.repartitionByRange("source_id", "i0").sortWithinPartitions("source_id", "i0").write.format("fixed_records").mode(mode).save(path)
+    dealt = rows.repartition("source_id") if one_file else rows.repartitionByRange("source_id", "i0")
+    dealt.sortWithinPartitions("source_id", "i0").write.format("fixed_records").mode(mode).save(path)
 
 
 def partial_tails(spark: SparkSession, path: str, record_bytes: int) -> DataFrame:

@@ -87,3 +87,40 @@ def test_failed_write_leaves_nothing_visible(spark, tmpdir_path):
     with pytest.raises(Exception):
         REC.write_records(blocks.withColumn("content", F.when(F.col("i0") == 98, F.raise_error(F.lit("broken"))).otherwise(F.col("content"))), path, 1)
     assert not os.path.exists(path) or REC.list_files(path) == []
+
+
+def follow(spark, folder, out, **options):
+    q = (REC.stream_frames(spark, folder, "le16", 4, **options).writeStream.format("parquet").option("checkpointLocation", f"{out}/chk")
+         .option("path", f"{out}/rows").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return sorted((os.path.basename(r.path), r.i, list(r.frame)) for r in spark.read.schema("path string, i bigint, frame array<int>").parquet(f"{out}/rows").collect())
+
+
+def test_growing_recordings_are_followed_over_restarts(spark, tmpdir_path):
+    folder, out = f"{tmpdir_path}/g", f"{tmpdir_path}/o"
+    frames = lambda n: np.arange(n, dtype="<i2").tobytes()
+    put(f"{folder}/a.dat", frames(10))                                   # two frames and a half
+    want = [("a.dat", k, [4 * k + j for j in range(4)]) for k in range(6)]
+    assert follow(spark, folder, out) == want[:2]
+    assert follow(spark, folder, out) == want[:2]                        # nothing new: no doubles
+    put(f"{folder}/a.dat", frames(25))                                   # it grows, and another one begins
+    put(f"{folder}/b.dat", frames(4))
+    assert follow(spark, folder, out) == want + [("b.dat", 0, [0, 1, 2, 3])]
+    assert follow(spark, folder, f"{tmpdir_path}/late", starting="latest") == []
+    put(f"{folder}/b.dat", frames(9))
+    assert follow(spark, folder, f"{tmpdir_path}/late", starting="latest") == [("b.dat", 1, [4, 5, 6, 7])]
+
+
+def test_batches_of_a_stream_are_limited(tmpdir_path):
+    put(f"{tmpdir_path}/x/a.dat", bytes(2 * 10))
+    put(f"{tmpdir_path}/x/b.dat", bytes(2 * 5 + 1))
+    r = REC.RecordStreamReader({"path": f"{tmpdir_path}/x", "layout": "le16", "max_records": "6", "split_bytes": "4"})
+    at, seen = r.initialOffset(), []
+    for _ in range(5):
+        end = r.latestOffset()
+        parts = [x for p in r.partitions(at, end) for x in p.parts]
+        assert sum(n for *_, n in parts) <= 12 and all(n <= 4 for *_, n in parts)
+        seen += parts
+        at = end
+    assert sum(n for *_, n in seen) == 30 and len(set(seen)) == len(seen)
+    assert r.latestOffset() == at
