@@ -37,12 +37,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the folders this application's operators wrote; call it once their results are stored."""
-    paths = _MADE.pop(spark.sparkContext.applicationId, [])
-    for p in paths:
+def made(spark: SparkSession) -> list[str]:
+    """The folders this application's operators wrote and did not release, oldest first."""
+    return list(_MADE.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, keep: list[str] | tuple[str, ...] = ()) -> int:
+    """Delete the folders this application's operators wrote, but for ``keep``; call it once their results are stored."""
+    kept = set(keep)
+    gone = [p for p in made(spark) if p not in kept]
+    for p in gone:
         delete(spark, p)
-    return len(paths)
+    _MADE[spark.sparkContext.applicationId] = [p for p in made(spark) if p in kept]
+    return len(gone)
 
 
 def delete(spark: SparkSession, path: str) -> None:
