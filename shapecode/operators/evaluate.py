@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from shapecode.config import (NORMAL_CODE, SAMPLE_SEED, SPLIT_SEED, SWEEP_STEP, SWEEP_STEPS,
                               VALIDATION_FRACTION)
-from shapecode.operators.indexing import index_within
-from shapecode.session import cut_lineage
 
 
 def labelled_frames(scores: DataFrame, labels: DataFrame) -> DataFrame:
@@ -35,24 +33,47 @@ def split_key(seed: str):
                              F.col("frame_ref").cast("string")))
 
 
+def _reached(counts: DataFrame, bucket: str, target: str) -> DataFrame:
+    """Per source the bucket in which the running count reaches ``target``, and the count before it."""
+    run = Window.partitionBy("source_id").orderBy(bucket)
+    upto = F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    c = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col(target)) & (F.col("_upto") - F.col("_c") < F.col(target)))
+    return c.withColumn("_before", F.col("_upto") - F.col("_c"))
+
+
+def hash_cutoffs(keyed: DataFrame, fraction: float, key: str = "_h", digits: int = 3) -> DataFrame:
+    """(source_id, cutoff): the ``floor(fraction * n)``-th smallest key of every source, by radix selection.
+
+    Two rounds of counting by the next ``digits`` hex digits narrow a source to
+    one of 16**(2 * digits) buckets; only that bucket's keys are sorted.  A
+    source with nothing to select has no row.  Nothing is ranked or range
+    partitioned, and counts are partial sums, so a hot source spreads over all tasks.
+    """
+    first, second = F.substring(key, 1, digits), F.substring(key, digits + 1, digits)
+    n = keyed.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
+    target = n.select("source_id", F.floor(F.lit(fraction) * F.col("_n")).cast("bigint").alias("_t")).where("_t > 0")
+    one = keyed.groupBy("source_id", first.alias("_b1")).agg(F.count(F.lit(1)).alias("_c")).join(target, "source_id")
+    one = _reached(one, "_b1", "_t").select("source_id", "_b1", (F.col("_t") - F.col("_before")).alias("_t"))
+    near = keyed.withColumn("_b1", first).join(one, ["source_id", "_b1"])
+    two = near.groupBy("source_id", "_b1", "_t", second.alias("_b2")).agg(F.count(F.lit(1)).alias("_c"))
+    two = _reached(two, "_b2", "_t").select("source_id", "_b1", "_b2", (F.col("_t") - F.col("_before")).alias("_t"))
+    rest = keyed.withColumns({"_b1": first, "_b2": second}).join(two, ["source_id", "_b1", "_b2"])
+    return rest.groupBy("source_id", "_t").agg(F.array_sort(F.collect_list(key)).alias("_k")).select(
+        "source_id", F.element_at("_k", F.col("_t").cast("int")).alias("cutoff"))
+
+
 def split_validation_test(rest: DataFrame, fraction: float = VALIDATION_FRACTION,
                           seed: str = SPLIT_SEED) -> DataFrame:
     """L4: per source, the first ``floor(fraction * n)`` frames in md5 order
     are ``validation``, the others ``test`` (reproducible, no driver shuffle).
 
-    The md5 rank comes from the skew-safe index, so a hot source is ranked
-    across many tasks.  The held-out frames (a few columns per frame) are
-    written once first: range partitioning samples its input, which would
-    otherwise re-run the whole scoring pipeline.
+    The boundary of every source is found by radix selection (:func:`hash_cutoffs`);
+    the counting passes and the split are one query over the same exchange of
+    scored frames.  Rows that repeat a frame fall on the same side.
     """
-    keyed = cut_lineage(rest.withColumn("_h", split_key(seed)))
-    ranked = index_within(keyed, "source_id", ["_h"], out="_r", keep_order=False)
-    # counted from the (checkpointed) ranking, not by re-running its input
-    counts = ranked.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
-    out = ranked.join(counts, "source_id")
-    return out.withColumn(
-        "split", F.when(F.col("_r") < F.floor(F.lit(fraction) * F.col("_n")), F.lit("validation"))
-        .otherwise(F.lit("test"))).drop("_h", "_r", "_n")
+    keyed = rest.withColumn("_h", split_key(seed))
+    out = keyed.join(hash_cutoffs(keyed.select("source_id", "_h"), fraction), "source_id", "left")
+    return out.withColumn("split", F.when(F.col("_h") <= F.col("cutoff"), F.lit("validation")).otherwise(F.lit("test"))).drop("_h", "cutoff")
 
 
 def sample_frames(df: DataFrame, n: int = 20, seed: str = SAMPLE_SEED) -> DataFrame:

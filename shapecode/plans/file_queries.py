@@ -157,9 +157,8 @@ def annotation_text_labels(spark, sf_dir):
     return _read_labels(spark, out)
 
 
-@register("archive_test_error", P._EVAL_PRE + P._errors_sql("tst", "(SELECT t FROM best)"))
-def archive_test_error(spark, sf_dir):
-    """Evaluation from files: S6 archive + S8 labels -> J1 -> P4 -> L4 -> A9 -> A10 -> A8."""
+def _archive_and_labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Scored frames and labels written as text and parsed back (K1, S6; K6, S8)."""
     path, lab = scratch_dir(spark, "archive"), scratch_dir(spark, "labels")
     sc = P.scored(spark, sf_dir, LI, "centered")
     sc = sc.withColumns({"srcId": F.col("source_id").cast("string"), "srcTs": F.lit(0.0), "time_path": F.lit("batch/")})
@@ -167,12 +166,42 @@ def archive_test_error(spark, sf_dir):
     _write_labels(P.labels_of(spark, sf_dir, LI), lab)
     frames = TXT.parse_archive(spark.read.text(path)).select(
         F.col("srcId").cast("bigint").alias("source_id"), "frame_ref", F.col("max_err").alias("score"))
-    lf = EV.with_region(EV.labelled_frames(frames, _read_labels(spark, lab)), P.cutoffs_of(TB.signal_samples(spark, sf_dir, LI)))
+    return frames, _read_labels(spark, lab)
+
+
+def _test_error(spark, sf_dir, frames: DataFrame, labels: DataFrame) -> DataFrame:
+    lf = EV.with_region(EV.labelled_frames(frames, labels), P.cutoffs_of(TB.signal_samples(spark, sf_dir, LI)))
     sp = EV.split_validation_test(lf.where(F.col("region") == "rest").select("source_id", "frame_ref", "label", "score"))
     best = EV.best_threshold(EV.threshold_sweep(sp.where(F.col("split") == "validation")))
     return EV.errors_at(sp.where(F.col("split") == "test"), best.select("t").scalar())
 
 
+@register("archive_test_error", P._EVAL_PRE + P._errors_sql("tst", "(SELECT t FROM best)"))
+def archive_test_error(spark, sf_dir):
+    """Evaluation from files: S6 archive + S8 labels -> J1 -> P4 -> L4 -> A9 -> A10 -> A8."""
+    return _test_error(spark, sf_dir, *_archive_and_labels(spark, sf_dir))
+
+
+BUCKETS = 8
+
+
+def bucketed_archive(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The parsed archive and labels as catalog tables bucketed by (source, frame)."""
+    frames, labels = _archive_and_labels(spark, sf_dir)
+    path = scratch_dir(spark, "buckets")
+    db = "shapecode_" + path.rpartition("-")[2]
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{path}'")
+    WR.write_bucketed(frames, f"{db}.archive", ["source_id", "frame_ref"], BUCKETS)
+    WR.write_bucketed(labels, f"{db}.labels", ["record_id", "frame_ref"], BUCKETS)
+    return spark.table(f"{db}.archive"), spark.table(f"{db}.labels")
+
+
+@register("archive_test_error_bucketed", P._EVAL_PRE + P._errors_sql("tst", "(SELECT t FROM best)"))
+def archive_test_error_bucketed(spark, sf_dir):
+    """J1 on co-partitioned tables: archive and labels bucketed alike meet without a shuffle of either."""
+    return _test_error(spark, sf_dir, *bucketed_archive(spark, sf_dir))
+
+
 @register("warehouse_roundtrip", f"WITH samples AS ({Q.samples_cte(EVENTS)}) SELECT source_id, i, value FROM samples")
 def warehouse_roundtrip(spark, sf_dir):
     """K8 -> S12: a table overwritten, then appended to in halves, and read back."""

@@ -136,6 +136,11 @@ def write_table(df: DataFrame, path_or_table: str, fmt: str = "parquet", mode: s
         w.saveAsTable(table_name(path_or_table, default_project))
 
 
+def write_bucketed(df: DataFrame, table: str, cols: list[str], buckets: int, mode: str = "overwrite") -> None:
+    """A catalog table bucketed and sorted by ``cols``: joins on them with a table of as many buckets need no shuffle."""
+    df.write.mode(mode).bucketBy(buckets, *cols).sortBy(*cols).saveAsTable(table)
+
+
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """K12."""
     df.createOrReplaceTempView(name)

@@ -100,3 +100,44 @@ def test_distributed_range_chunk_boundaries(spark):
     out = LB.distributed_range(df, "n_frames", "f", chunk=4).collect()
     got = sorted((r.record_id, r.f) for r in out)
     assert got == sorted((r, f) for r, n in [(1, 0), (2, 1), (3, 4), (4, 5), (5, 9)] for f in range(n))
+
+
+def test_radix_selection_equals_ranking(spark):
+    import random
+    from shapecode.operators import evaluate as EV
+    rng = random.Random(2)
+    rows = [(s, 20 * f, rng.choice(["N", "NA"]), rng.random()) for s, n in ((1, 1000), (2, 1), (3, 2), (4, 37), (5, 3)) for f in range(n)]
+    df = spark.createDataFrame(rows, "source_id bigint, frame_ref bigint, label string, score double")
+    want = {}
+    for s in {r[0] for r in rows}:
+        import hashlib
+        order = sorted((hashlib.md5(f"{EV.SPLIT_SEED}:{s}:{r[1]}".encode()).hexdigest(), r[1]) for r in rows if r[0] == s)
+        want |= {(s, f): "validation" if k < int(0.4 * len(order)) else "test" for k, (_, f) in enumerate(order)}
+    assert {(r.source_id, r.frame_ref): r.split for r in EV.split_validation_test(df).collect()} == want
+    for digits in (1, 2):                                  # short buckets: the boundary bucket holds several keys
+        keyed = df.withColumn("_h", EV.split_key(EV.SPLIT_SEED))
+        cut = {r.source_id: r.cutoff for r in EV.hash_cutoffs(keyed, 0.4, digits=digits).collect()}
+        got = {(r.source_id, r.frame_ref): "validation" if r.source_id in cut and r._h <= cut[r.source_id] else "test" for r in keyed.collect()}
+        assert got == want
+    assert EV.split_validation_test(df.limit(0)).collect() == []
+
+
+def test_split_ranks_and_checkpoints_nothing(spark):
+    from shapecode.operators import evaluate as EV
+    df = spark.range(1000).select((F.col("id") % 3).alias("source_id"), "id", F.col("id").alias("frame_ref"), F.lit("N").alias("label"), F.lit(0.1).alias("score"))
+    out = EV.split_validation_test(df)
+    plan = out._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "ExistingRDD" not in plan.replace("Range", "")
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark):
+    from shapecode.operators import evaluate as EV
+    from shapecode.plans import file_queries as FQ
+    frames, labels = FQ.bucketed_archive(spark, "/root/testdata/sf0.001")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = EV.labelled_frames(frames, labels)
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
