@@ -127,13 +127,15 @@ def batch_coded_roundtrip(spark, sf_dir):
 
 
 def _write_labels(labels: DataFrame, path: str) -> None:
-    lines = labels.select("record_id", F.concat_ws(",", F.col("frame_ref").cast("string"), "label").alias("value"))
-    lines.write.partitionBy("record_id").text(path)
+    """``frameStart,label`` lines, one folder a record and one file in it (more where a record spans tasks)."""
+    lines = labels.select(F.col("record_id").alias("source_id"), F.floor(F.col("frame_ref") / LI.frame_len).cast("bigint").alias("i"),
+                          F.concat_ws(",", F.col("frame_ref").cast("string"), "label").alias("line"))
+    REC.write_lines(lines, path)
 
 
 def _read_labels(spark, path: str) -> DataFrame:
     return TXT.read_labels(spark, path).select(
-        F.regexp_extract("_path", r"record_id=([^/]+)", 1).cast("bigint").alias("record_id"), "frame_ref", "label")
+        F.regexp_extract("_path", r"source_id=([^/]+)", 1).cast("bigint").alias("record_id"), "frame_ref", "label")
 
 
 @register("labels_csv", P._LAB_LI + " SELECT record_id, frame_ref, label FROM labels")
@@ -150,9 +152,8 @@ def annotation_text_labels(spark, sf_dir):
     ann = TB.signal_annotations(spark, sf_dir, LI)
     line = F.format_string("    0:%02d.000  %d     %s", (F.col("sample") % 60).cast("int"), "sample", "code")
     path, out = scratch_dir(spark, "annotations"), scratch_dir(spark, "labels")
-    (ann.withColumn("value", line).repartition("record_id").sortWithinPartitions("record_id", "line_no")
-     .select("record_id", "value").write.partitionBy("record_id").text(path))
-    read = TXT.read_annotations(spark, path, r"record_id=([^/]+)").withColumn("record_id", F.col("record_id").cast("bigint"))
+    REC.write_lines(ann.select(F.col("record_id").alias("source_id"), F.col("line_no").alias("i"), line.alias("line")), path, one_file=True)
+    read = TXT.read_annotations(spark, path, r"source_id=([^/]+)").withColumn("record_id", F.col("record_id").cast("bigint"))
     _write_labels(LB.frame_labels(read, LI.frame_len), out)
     return _read_labels(spark, out)
 

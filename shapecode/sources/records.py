@@ -248,25 +248,31 @@ class RecordStreamReader(DataSourceStreamReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]           # (hidden, final) paths
+    files: list[str]           # final paths below the root; a file is hidden (a dot before its name) until the commit
+
+
+def _hidden(path: str) -> str:
+    folder, name = posixpath.split(path)
+    return f"{folder}/.{name}"
 
 
 class RecordWriter(DataSourceWriter):
     def __init__(self, options, overwrite: bool):
         self.path, self.overwrite = options["path"].rstrip("/"), overwrite
+        self.gaps = options.get("gaps", "false") == "true"
 
     def write(self, rows) -> Written:
         system, root = _open(self.path)
         files, now, out, following = [], None, None, None
         try:
             for r in rows:
-                if r.source_id != now or r.i0 != following:
+                if r.source_id != now or (r.i0 != following and not self.gaps):
                     if out:
                         out.close()
-                    name, folder = f"part-{r.i0}-{uuid.uuid4().hex}.dat", f"{root}/source_id={r.source_id}"
-                    system.create_dir(folder, recursive=True)
-                    files.append((f"{folder}/.{name}", f"{folder}/{name}"))
-                    out, now = system.open_output_stream(files[-1][0]), r.source_id
+                    folder = f"source_id={r.source_id}"
+                    system.create_dir(f"{root}/{folder}", recursive=True)
+                    files.append(f"{folder}/part-{r.i0}-{uuid.uuid4().hex}.dat")
+                    out, now = system.open_output_stream(f"{root}/{_hidden(files[-1])}"), r.source_id
                 out.write(bytes(r.content))
                 following = r.i0 + r.records
         finally:
@@ -276,20 +282,20 @@ class RecordWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         system, root = _open(self.path)
-        made = {final for m in messages if m for _, final in m.files}
+        made = {f"{root}/{f}" for m in messages if m for f in m.files}
         old = [p for p, _ in list_files(self.path)] if self.overwrite and system.get_file_info(root).type.name != "NotFound" else []
         for m in messages:
-            for hidden, final in m.files if m else ():
-                system.move(hidden, final)
+            for f in m.files if m else ():
+                system.move(f"{root}/{_hidden(f)}", f"{root}/{f}")
         for p in old:
             if p not in made:
                 system.delete_file(p)
 
     def abort(self, messages) -> None:
-        system, _ = _open(self.path)
+        system, root = _open(self.path)
         for m in messages:
-            for hidden, _final in m.files if m else ():
-                system.delete_file(hidden)
+            for f in m.files if m else ():
+                system.delete_file(f"{root}/{_hidden(f)}")
 
 
 class FixedRecords(DataSource):
@@ -351,8 +357,28 @@ def write_records(blocks: DataFrame, path: str, record_bytes: int, mode: str = "
     from pyspark.sql import functions as F
     register(blocks.sparkSession)
     rows = blocks.select("source_id", "i0", "content", F.floor(F.length("content") / record_bytes).cast("bigint").alias("records"))
+    _write_blocks(rows, path, mode, one_file)
+
+
+def _write_blocks(rows: DataFrame, path: str, mode: str, one_file: bool, **options) -> None:
     dealt = rows.repartition("source_id") if one_file else rows.repartitionByRange("source_id", "i0")
-    dealt.sortWithinPartitions("source_id", "i0").write.format("fixed_records").mode(mode).save(path)
+    dealt.sortWithinPartitions("source_id", "i0").write.format("fixed_records").mode(mode).options(**options).save(path)
+
+
+def write_lines(lines: DataFrame, path: str, block: int = 4096, one_file: bool = False) -> None:
+    """Text lines ``(source_id, i, line)`` as ``source_id=<id>/part-...`` files, in order of ``i``.
+
+    A recording's lines travel in blocks of ``block`` positions (bounded
+    groups) and neighbouring blocks share a file, so there are about as many
+    files as recordings, whatever the number of tasks.  ``one_file`` as in
+    :func:`write_records`, for readers that take the order from the file.
+    """
+    from pyspark.sql import functions as F
+    register(lines.sparkSession)
+    b = F.floor(F.col("i") / F.lit(block)).cast("bigint")
+    g = lines.groupBy("source_id", b.alias("i0")).agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("line", F.lit("")).alias("line")))).alias("_l"))
+    content = F.concat(F.array_join(F.transform("_l", lambda z: z["line"]), "\n"), F.lit("\n")).cast("binary")
+    _write_blocks(g.select("source_id", "i0", content.alias("content"), F.lit(1).cast("bigint").alias("records")), path, "append", one_file, gaps="true")
 
 
 def partial_tails(spark: SparkSession, path: str, record_bytes: int) -> DataFrame:
