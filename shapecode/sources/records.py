@@ -47,6 +47,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStre
 
 SPLIT_BYTES = 32 << 20
 BATCH_RECORDS = 1 << 16
+RANGE_FILES = 512           # most files that one task of a stream's batch opens
 TAIL = ("report", "error")
 
 
@@ -234,11 +235,18 @@ class RecordStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict):
         self.position = dict(end["files"])
-        step, out = max(1, self.reader.split // self.reader.record), []
+        size = self.reader.record
+        step = max(1, self.reader.split // size)
+        out, now, held = [], [], 0
         for path, stop in sorted(end["files"].items()):
             for at in range(start["files"].get(path, 0), stop, step):
-                out.append(Ranges([(path, at * self.reader.record, min(step, stop - at) * self.reader.record)]))
-        return out
+                n = min(step, stop - at)
+                if now and (held + n > step or len(now) == RANGE_FILES):
+                    out.append(Ranges(now))
+                    now, held = [], 0
+                now.append((path, at * size, n * size))
+                held += n
+        return out + [Ranges(now)] * bool(now)
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         return self.reader.read(partition)

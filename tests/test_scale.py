@@ -38,3 +38,14 @@ def test_annotations_with_gaps_keep_their_order(spark, tmpdir_path):
     REC.write_lines(spark.createDataFrame(rows, "source_id bigint, i bigint, line string"), f"{tmpdir_path}/a", one_file=True)
     read = TXT.read_annotations(spark, f"{tmpdir_path}/a", r"source_id=([^/]+)").where("record_id = '5'").orderBy("line_no")
     assert [r.sample for r in read.collect()] == [0, 3000, 6000]
+
+
+def test_a_stream_batch_reads_many_files_in_a_task(tmpdir_path):
+    for k in range(600):
+        os.makedirs(f"{tmpdir_path}/source_id={k}")
+        with open(f"{tmpdir_path}/source_id={k}/part-0-x.dat", "wb") as f:
+            f.write(bytes(2 * (k % 3 + 1)))
+    r = REC.RecordStreamReader({"path": tmpdir_path, "layout": "le16"})
+    parts = r.partitions(r.initialOffset(), r.latestOffset())
+    assert [len(p.parts) for p in parts] == [REC.RANGE_FILES, 600 - REC.RANGE_FILES]
+    assert sum(b.num_rows for p in parts for b in r.read(p)) == sum(k % 3 + 1 for k in range(600))
