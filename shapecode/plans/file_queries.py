@@ -97,7 +97,8 @@ def channel_export(spark, sf_dir):
 def reference_samples_diff(spark, sf_dir):
     """Tab-separated reference samples written per recording and read back with their difference."""
     path = scratch_dir(spark, "tsv")
-    (P._expected_212(spark, sf_dir).write.option("sep", "\t").partitionBy("source_id").csv(path))
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("i", "s1", "s2")]
+    REC.write_lines(P._expected_212(spark, sf_dir).select("source_id", "i", F.concat_ws("\t", *text).alias("line")), path)
     d = TXT.read_reference_samples(spark, path)
     return d.select(F.regexp_extract("_path", r"source_id=([^/]+)", 1).cast("bigint").alias("source_id"), "i", "s1", "s2", "diff")
 

@@ -49,3 +49,12 @@ def test_a_stream_batch_reads_many_files_in_a_task(tmpdir_path):
     parts = r.partitions(r.initialOffset(), r.latestOffset())
     assert [len(p.parts) for p in parts] == [REC.RANGE_FILES, 600 - REC.RANGE_FILES]
     assert sum(b.num_rows for p in parts for b in r.read(p)) == sum(k % 3 + 1 for k in range(600))
+
+
+def test_reference_samples_are_one_file_a_recording(spark, monkeypatch, tmpdir_path):
+    rows = spark.range(0, 400).selectExpr("id % 10 as source_id", "id div 10 as i", "CAST(id AS INT) as s1", "IF(id % 9 = 0, NULL, 5) as s2").repartition(8)
+    monkeypatch.setattr(FQ.P, "_expected_212", lambda *_: rows)
+    monkeypatch.setattr(FQ, "scratch_dir", lambda _spark, name: f"{tmpdir_path}/{name}")
+    got = FQ.reference_samples_diff(spark, "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, rows.withColumn("diff", F.col("s1") - F.col("s2")).collect()))
+    assert 10 <= len(data_files(f"{tmpdir_path}/tsv")) <= 18
