@@ -148,9 +148,10 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def export_channel(samples: DataFrame, path: str, channel: int = 1, mode: str = "overwrite") -> None:
-    """One channel of decoded recordings as its own table."""
+    """One channel of decoded recordings as its own table, sorted by source and
+    sample inside the files (statistics prune on the source; no folder a source)."""
     (samples.where(F.col("channel") == F.lit(channel)).select("source_id", "i", "raw")
-     .write.mode(mode).partitionBy("source_id").parquet(path))
+     .sortWithinPartitions("source_id", "i").write.mode(mode).parquet(path))
 
 
 def normalised_windows(frames: DataFrame, w: int, n: int) -> DataFrame:

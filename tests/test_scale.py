@@ -58,3 +58,12 @@ def test_reference_samples_are_one_file_a_recording(spark, monkeypatch, tmpdir_p
     got = FQ.reference_samples_diff(spark, "").collect()
     assert sorted(map(str, got)) == sorted(map(str, rows.withColumn("diff", F.col("s1") - F.col("s2")).collect()))
     assert 10 <= len(data_files(f"{tmpdir_path}/tsv")) <= 18
+
+
+def test_a_channel_is_exported_in_files_of_tasks_not_of_sources(spark, tmpdir_path):
+    from shapecode.sinks import writers as WR
+    rows = spark.range(0, 300).selectExpr("id % 50 as source_id", "CAST(id % 2 + 1 AS INT) as channel", "id div 50 as i", "CAST(id AS INT) as raw").repartition(3)
+    WR.export_channel(rows, f"{tmpdir_path}/c", channel=1)
+    assert len(data_files(f"{tmpdir_path}/c")) <= 3
+    back = spark.read.schema("i bigint, raw int, source_id bigint").parquet(f"{tmpdir_path}/c").select("source_id", "i", "raw")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.where("channel = 1").select("source_id", "i", "raw").collect()))
