@@ -44,10 +44,14 @@ def file_frames(spark: SparkSession, path: str, max_files_per_trigger: int | Non
 
 
 def _write_archive(b: DataFrame, archive_path: str) -> None:
-    """Scored frames, partitioned by batch id and event date/hour (UTC), sorted by patient."""
+    """Scored frames, partitioned by batch id and event date/hour (UTC), sorted by patient.
+
+    An hour's frames are brought together first (large hours split by size), so
+    a batch leaves a few files an hour, not one an hour and task.
+    """
     at = utc(F.col("event_time"))
     (b.where(F.col("status") == "ok").withColumn("date", F.to_date(at)).withColumn("hour", F.hour(at))
-     .sortWithinPartitions("patient_id", "frame_ref")
+     .hint("rebalance", "date", "hour").sortWithinPartitions("patient_id", "frame_ref")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id", "date", "hour").parquet(archive_path))
 

@@ -67,3 +67,12 @@ def test_a_channel_is_exported_in_files_of_tasks_not_of_sources(spark, tmpdir_pa
     assert len(data_files(f"{tmpdir_path}/c")) <= 3
     back = spark.read.schema("i bigint, raw int, source_id bigint").parquet(f"{tmpdir_path}/c").select("source_id", "i", "raw")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.where("channel = 1").select("source_id", "i", "raw").collect()))
+
+
+def test_archive_files_follow_hours_not_tasks(spark, tmpdir_path):
+    from shapecode.streaming.detector import _write_archive
+    rows = (spark.range(0, 400).selectExpr("'ok' as status", "timestamp_seconds((id % 5) * 3600) as event_time", "CAST(id % 7 AS STRING) as patient_id",
+                                           "id as frame_ref", "0 as batch_id").repartition(8))
+    _write_archive(rows, f"{tmpdir_path}/arch")
+    assert len(data_files(f"{tmpdir_path}/arch")) == 5
+    assert spark.read.parquet(f"{tmpdir_path}/arch").count() == 400
