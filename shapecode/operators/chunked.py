@@ -63,7 +63,7 @@ def nearest_in_chunks(blocks: DataFrame, chunks: DataFrame, key: str, features)
                 yield pd.DataFrame(out, columns=["source_id", key, "pos", "d", "code"])
 
     ship_package(joined.sparkSession)
-    part = joined.mapInPandas(run, f"source_id {sid}, {key} bigint, pos array<int>, d array<double>, code array<int>")
+    part = V.map_in_slices(joined, run, f"source_id {sid}, {key} bigint, pos array<int>, d array<double>, code array<int>")
     rows = part.select("source_id", key, F.inline(F.arrays_zip("pos", "d", "code")))
     best = rows.groupBy("source_id", key, "pos").agg(F.min(F.struct("d", "code")).alias("b"))
     return best.select("source_id", key, "pos", "b.d", "b.code")
@@ -116,7 +116,7 @@ def score_blocks(blocks: DataFrame, codebook: DataFrame, w: int, n: int, mode: s
                 yield pd.DataFrame(out, columns=cols)
 
     ship_package(blocks.sparkSession)
-    return ready.mapInPandas(run, V.OUT_SCHEMA.format(sid=sid))
+    return V.map_in_slices(ready, run, V.OUT_SCHEMA.format(sid=sid))
 
 
 def score_samples(samples: DataFrame, codebook: DataFrame, w: int, n: int, mode: str = "centered", block: int = 64,
@@ -150,4 +150,4 @@ def chunked_partials(blocks: DataFrame, centers: DataFrame, grid: int, chunk: in
             if out:
                 yield pd.DataFrame(out, columns=["source_id", "code", "vec"])
 
-    return blocks.join(codes, ["source_id", "blk"]).mapInPandas(run, f"source_id {sid}, code int, vec array<bigint>")
+    return V.map_in_slices(blocks.join(codes, ["source_id", "blk"]), run, f"source_id {sid}, code int, vec array<bigint>")

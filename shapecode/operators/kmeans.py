@@ -10,7 +10,7 @@ whatever the sizes:
 * assign + partial update -- training windows are grouped once into blocks
   of up to 256 windows per source; each iteration joins a block with the
   packed centres of its source (one dictionary copy per block) and a
-  ``mapInPandas`` task finds every window's nearest centre exactly (same
+  Python task finds every window's nearest centre exactly (same
   arithmetic as the SQL arg-min) and emits, per code present in the block,
   the vector sum with the member count as its last element;
 * update -- partial sums are added per ``(source, code)``, a column a position
@@ -99,7 +99,7 @@ def block_partials(blocks: DataFrame, centers: DataFrame) -> DataFrame:
 
     from shapecode.operators import chunked
     from shapecode.operators.code_index import IndexCache
-    from shapecode.operators.vectorized import _index
+    from shapecode.operators.vectorized import _index, map_in_slices
 
     if not chunked.fits_one_chunk(centers):
         return chunked.chunked_partials(blocks, centers, GRID)
@@ -127,7 +127,7 @@ def block_partials(blocks: DataFrame, centers: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out, columns=cols)
 
     ship_package(joined.sparkSession)
-    return joined.mapInPandas(run, f"source_id {sid}, code int, vec array<bigint>")
+    return map_in_slices(joined, run, f"source_id {sid}, code int, vec array<bigint>")
 
 
 def update_from_partials(partials: DataFrame, previous: DataFrame, w: int) -> DataFrame:

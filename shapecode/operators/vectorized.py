@@ -6,7 +6,7 @@ k = 1083 codes of 120 samples it costs ~130k lambda calls per window.  Here
 frames travel in blocks of up to ``block`` frames per source (built by the
 same single shuffle that cuts frames), each block is joined once with its
 source's packed dictionary (so the dictionary is copied once per block, not
-per frame), and ``mapInPandas`` codes a whole block with numpy:
+per frame), and ``map_in_slices`` codes a whole block with numpy:
 
 * distances are screened with matrix products (``code_index`` skips groups of
   codes that cannot hold the nearest one), then every code within a
@@ -26,8 +26,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 from shapecode.functions.arrays import taper_values
 from shapecode.operators.code_index import CodeIndex, IndexCache
@@ -38,6 +41,25 @@ OUT_SCHEMA = ("source_id {sid}, frame_no bigint, frame_ref bigint, frame array<d
               "loss array<double>, score double, status string")
 
 
+SLICE_ROWS = 16            # block rows that a task holds as Python objects
+
+
+def map_in_slices(df: DataFrame, run, schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """``df.mapInPandas(run, schema)``, but ``run`` gets (and its result is made from) at most ``rows`` rows at once.
+
+    A block row holds thousands of numbers and a dictionary, so a whole Arrow
+    batch of them as Python objects would fill a worker's memory.
+    """
+    arrow = to_arrow_schema(DataType.fromDDL(schema))
+
+    def body(batches):
+        slices = (b.slice(at, rows).to_pandas() for b in batches for at in range(0, b.num_rows, rows))
+        for pdf in run(slices):
+            yield pa.RecordBatch.from_pandas(pdf, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(body, schema)
+
+
 def sample_blocks(samples: DataFrame, frame_len: int, block: int = 64) -> DataFrame:
     """Samples -> ``(source_id, block_no, vals)``: ``block`` consecutive frames
     per row, in one shuffle keyed by (source, block) -- a bounded group."""
@@ -177,7 +199,7 @@ def encode_blocks(blocks_with_book: DataFrame, w: int, n: int, mode: str = "cent
                 yield pd.DataFrame(out, columns=cols)
 
     ship_package(blocks_with_book.sparkSession)
-    return blocks_with_book.mapInPandas(run, OUT_SCHEMA.format(sid=sid_type))
+    return map_in_slices(blocks_with_book, run, OUT_SCHEMA.format(sid=sid_type))
 
 
 def frame_blocks(frames: DataFrame, meta_cols: list[str], span: int = 1024) -> DataFrame:

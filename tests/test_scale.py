@@ -76,3 +76,18 @@ def test_archive_files_follow_hours_not_tasks(spark, tmpdir_path):
     _write_archive(rows, f"{tmpdir_path}/arch")
     assert len(data_files(f"{tmpdir_path}/arch")) == 5
     assert spark.read.parquet(f"{tmpdir_path}/arch").count() == 400
+
+
+def test_coders_hold_few_block_rows_at_once(spark):
+    from shapecode.operators import vectorized as V
+    rows = spark.range(0, 500, 1, 2).selectExpr("id", "CAST(IF(id % 3 = 0, NULL, id) AS DOUBLE) as x", "array(named_struct('code', 1, 'center', array(1D, 2D))) as book")
+
+    def run(batches):
+        for pdf in batches:
+            pdf["seen"] = len(pdf)
+            pdf["book"] = [[{"code": e["code"], "center": e["center"]} for e in b] for b in pdf["book"]]
+            yield pdf
+
+    out = V.map_in_slices(rows, run, "id bigint, x double, book array<struct<code:int,center:array<double>>>, seen bigint")
+    assert out.agg(F.max("seen")).first()[0] == V.SLICE_ROWS
+    assert sorted(map(str, out.drop("seen").collect())) == sorted(map(str, rows.collect()))
