@@ -24,6 +24,7 @@ from shapecode.operators.code_index import IndexCache
 from shapecode.session import cut_lineage, ship_package
 
 CHUNK = 2048
+BROADCAST_BYTES = 10 << 20          # dictionaries of all sources beyond this meet their blocks in a shuffled join
 
 
 def code_chunks(codebook: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -35,7 +36,10 @@ def code_chunks(codebook: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def fits_one_chunk(codebook: DataFrame, chunk: int = CHUNK) -> bool:
     """Whether no source has a code beyond the first chunk (one number reaches the driver)."""
-    top = codebook.agg(F.max("code")).first()[0]
+    return _fits(codebook.agg(F.max("code")).first()[0], chunk)
+
+
+def _fits(top, chunk: int) -> bool:
     return top is None or int(top) < chunk
 
 
@@ -121,10 +125,16 @@ def score_blocks(blocks: DataFrame, codebook: DataFrame, w: int, n: int, mode: s
 
 def score_samples(samples: DataFrame, codebook: DataFrame, w: int, n: int, mode: str = "centered", block: int = 64,
                   chunk: int = CHUNK) -> DataFrame:
-    """W10 batch form from the long codebook: one pass where every dictionary fits a chunk, chunks merged beyond."""
+    """W10 batch form from the long codebook: one pass where every dictionary fits a chunk, chunks merged beyond.
+
+    Dictionaries are broadcast only where their own count says that they are
+    small: the planner would go by the size of compressed files.
+    """
     from shapecode.operators.coding import pack_codebook
-    if fits_one_chunk(codebook, chunk):
-        return V.score_samples(samples, pack_codebook(codebook), w, n, mode, block)
+    top, codes = codebook.agg(F.max("code"), F.count("code")).first()
+    if _fits(top, chunk):
+        packed = pack_codebook(codebook)
+        return V.score_samples(samples, packed.hint("merge") if codes * w * 8 > BROADCAST_BYTES else packed, w, n, mode, block)
     return score_blocks(cut_lineage(V.sample_blocks(samples, w * n, block)), codebook, w, n, mode, block, chunk)
 
 

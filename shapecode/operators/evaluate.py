@@ -14,9 +14,13 @@ from shapecode.config import (NORMAL_CODE, SAMPLE_SEED, SPLIT_SEED, SWEEP_STEP,
 
 
 def labelled_frames(scores: DataFrame, labels: DataFrame) -> DataFrame:
-    """Inner equi-join of scored frames and labels on (source, frame_ref)."""
+    """Inner equi-join of scored frames and labels on (source, frame_ref).
+
+    Both sides grow with the recordings and the planner cannot size coded
+    frames, so the join is a merge: neither side is sent to the driver.
+    """
     lab = labels.withColumnRenamed("record_id", "source_id")
-    return scores.join(lab, ["source_id", "frame_ref"], "inner")
+    return scores.join(lab.hint("merge"), ["source_id", "frame_ref"], "inner")
 
 
 def with_region(df: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -119,7 +119,8 @@ def load_codebook(spark, path: str, w: int, step: int) -> DataFrame:
     """The newest dictionary of every patient for one window size and step."""
     df = spark.read.parquet(path).where((F.col("w_size") == w) & (F.col("step") == step))
     newest = df.groupBy("patient_id").agg(F.max("version").alias("version"))
-    return df.join(newest, ["patient_id", "version"], "left_semi").select("patient_id", "source_id", "code", "center")
+    # a row a patient on one side, all their codes on the other: neither is broadcast
+    return df.join(newest.hint("merge"), ["patient_id", "version"], "left_semi").select("patient_id", "source_id", "code", "center")
 
 
 def write_table(df: DataFrame, path_or_table: str, fmt: str = "parquet", mode: str = "append",

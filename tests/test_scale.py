@@ -91,3 +91,32 @@ def test_coders_hold_few_block_rows_at_once(spark):
     out = V.map_in_slices(rows, run, "id bigint, x double, book array<struct<code:int,center:array<double>>>, seen bigint")
     assert out.agg(F.max("seen")).first()[0] == V.SLICE_ROWS
     assert sorted(map(str, out.drop("seen").collect())) == sorted(map(str, rows.collect()))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scored_frames_and_labels_are_not_broadcast(spark):
+    from shapecode.operators import evaluate as EV
+    scores = spark.sql("SELECT * FROM VALUES (1L, 0L, 0.5D), (1L, 8L, 0.1D), (2L, 0L, NULL) t(source_id, frame_ref, score)")
+    labels = spark.sql("SELECT * FROM VALUES (1L, 0L, 'N'), (2L, 0L, 'NA'), (3L, 0L, 'N') t(record_id, frame_ref, label)")
+    joined = EV.labelled_frames(scores, labels)
+    assert "Broadcast" not in plan_of(joined)
+    assert sorted(map(str, joined.select("source_id", "frame_ref", "label").collect())) == sorted(
+        ["Row(source_id=1, frame_ref=0, label='N')", "Row(source_id=2, frame_ref=0, label='NA')"])
+
+
+def test_large_dictionaries_are_not_broadcast(spark, monkeypatch, tmpdir_path):
+    from shapecode.operators import chunked as CH
+    from shapecode.sinks import writers as WR
+    book = spark.createDataFrame([(1, 0, [0.5, 0.25]), (1, 1, [0.25, 0.5]), (2, 0, [1.0, 0.0])], "source_id bigint, code int, center array<double>")
+    WR.save_codebook(book, f"{tmpdir_path}/books", 2, 1)
+    stored = WR.load_codebook(spark, f"{tmpdir_path}/books", 2, 1)
+    assert "Broadcast" not in plan_of(stored) and stored.count() == 3
+    samples = spark.range(0, 16).selectExpr("id % 3 as source_id", "id div 3 as i", "CAST(id * id % 7 AS DOUBLE) as value")
+    small = CH.score_samples(samples, stored, 2, 2)
+    monkeypatch.setattr(CH, "BROADCAST_BYTES", 16)
+    large = CH.score_samples(samples, stored, 2, 2)
+    assert "Broadcast" not in plan_of(large)
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
