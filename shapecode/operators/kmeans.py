@@ -75,7 +75,41 @@ def init_centers(train: DataFrame, budget: DataFrame, w: int) -> DataFrame:
 
 
 def assign(train: DataFrame, centers: DataFrame) -> DataFrame:
-    """J3 for training windows: ``(source_id, j, feat, code, d)``."""
+    """J3 for training windows: ``(source_id, j, feat, code, d)``.
+
+    Windows meet chunks of their source's codes in blocks (``chunked``), not
+    with a copy of the dictionary each.  Sources that hold a vector with a
+    null, non-finite or missing component, or vectors of several lengths, are
+    measured by the SQL expression, which defines their distances.
+    """
+    vectors = train.select("source_id", F.col("feat").alias("v")).unionByName(centers.select("source_id", F.col("center").alias("v")))
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    plain = cut_lineage(vectors.where(F.col("v").isNotNull()).groupBy("source_id").agg(
+        F.max(odd).alias("_odd"), F.min(F.size("v")).alias("_lo"), F.max(F.size("v")).alias("_hi"))
+        .where(~F.col("_odd") & (F.col("_lo") == F.col("_hi"))).select("source_id"))
+    usable = F.col("feat").isNotNull()
+    rest = train.where(~usable).unionByName(train.where(usable).join(plain, "source_id", "left_anti"))
+    return _assign_blocks(train.where(usable).join(plain, "source_id", "left_semi"), centers).unionByName(_assign_sql(rest, centers))
+
+
+def _assign_blocks(train: DataFrame, centers: DataFrame) -> DataFrame:
+    import numpy as np
+
+    from shapecode.operators import chunked
+
+    item = F.struct("j", "feat")
+    blocks = cut_lineage(train.groupBy("source_id", F.floor(F.col("j") / F.lit(256)).cast("bigint").alias("blk"))
+                         .agg(F.array_sort(F.collect_list(item)).alias("items")))
+
+    def features(r):
+        return np.array([np.asarray(it["feat"], dtype=float) for it in r.items]), np.arange(len(r.items))
+
+    best = chunked.nearest_in_chunks(blocks, chunked.code_chunks(centers), "blk", features)
+    rows = blocks.select("source_id", "blk", F.posexplode("items").alias("pos", "x"))
+    return rows.join(best, ["source_id", "blk", "pos"]).select("source_id", "x.j", "x.feat", "code", "d")
+
+
+def _assign_sql(train: DataFrame, centers: DataFrame) -> DataFrame:
     packed = centers.groupBy("source_id").agg(
         F.array_sort(F.collect_list(F.struct("code", "center"))).alias("book"))
     t = train.join(packed, "source_id", "inner")

@@ -120,3 +120,18 @@ def test_large_dictionaries_are_not_broadcast(spark, monkeypatch, tmpdir_path):
     large = CH.score_samples(samples, stored, 2, 2)
     assert "Broadcast" not in plan_of(large)
     assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
+
+
+def test_assignment_in_blocks_equals_the_expression(spark):
+    from shapecode.operators import kmeans as KM
+    rows = [(s, j, [float((s * 31 + j * 7 + p * p) % 11) / 8 for p in range(4)]) for s in (1, 2, 3, 4) for j in range(300)]
+    rows[5] = (1, 5, None)
+    rows[310] = (2, 10, [0.5, float("nan"), 0.5, 0.5])
+    rows[610] = (3, 10, [0.5, None, 0.5, 0.5])
+    train = spark.createDataFrame(rows, "source_id bigint, j bigint, feat array<double>")
+    book = spark.createDataFrame([(s, c, [float((c * 5 + p) % 7) / 4 for p in range(4)]) for s in (1, 2, 3) for c in range(9)],
+                                 "source_id bigint, code int, center array<double>")
+    got, want = KM.assign(train, book), KM._assign_sql(train, book)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.count() == 900
