@@ -6,7 +6,7 @@ k = 1083 codes of 120 samples it costs ~130k lambda calls per window.  Here
 frames travel in blocks of up to ``block`` frames per source (built by the
 same single shuffle that cuts frames), each block is joined once with its
 source's packed dictionary (so the dictionary is copied once per block, not
-per frame), and ``map_in_slices`` codes a whole block with numpy:
+per frame), and ``mapInPandas`` codes a whole block with numpy:
 
 * distances are screened with matrix products (``code_index`` skips groups of
   codes that cannot hold the nearest one), then every code within a
@@ -169,11 +169,22 @@ def _index(held: IndexCache, source_id, book) -> CodeIndex | None:
     return held.held[source_id]
 
 
+def flat_index(held: IndexCache, source_id, codes, centers) -> CodeIndex | None:
+    """:func:`_index` of a dictionary given as its codes and its centres one after the other."""
+    if codes is None or len(codes) == 0:
+        return None
+    if source_id not in held.held:
+        return held.of(source_id, np.asarray(centers, dtype=float).reshape(len(codes), -1), np.asarray(codes, dtype=np.int64))
+    return held.held[source_id]
+
+
 def encode_blocks(blocks_with_book: DataFrame, w: int, n: int, mode: str = "centered",
                   block: int = 64) -> DataFrame:
     """``(source_id, block_no, vals, book)`` -> one coded row per whole frame.
 
-    Block ``b`` holds frames ``b*block ..``; only whole frames are coded.
+    Block ``b`` holds frames ``b*block ..``; only whole frames are coded.  A
+    dictionary enters the task as two flat arrays, not as an object a code, and
+    results leave it every ``SLICE_ROWS`` blocks.
     """
     L = w * n
     taper = np.array(taper_values(w))
@@ -184,13 +195,16 @@ def encode_blocks(blocks_with_book: DataFrame, w: int, n: int, mode: str = "cent
         held = IndexCache()
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
+            for k, r in enumerate(pdf.itertuples(index=False)):
+                if out and k % SLICE_ROWS == 0:
+                    yield pd.DataFrame(out, columns=cols)
+                    out = []
                 vals = np.asarray(r.vals, dtype=float)
                 nf = vals.shape[0] // L
                 if nf == 0:
                     continue
                 frames = vals[:nf * L].reshape(nf, L)
-                index = _index(held, r.source_id, r.book)
+                index = flat_index(held, r.source_id, r.codes, r.centers)
                 base = r.block_no * block
                 for f, res in enumerate(_frame_outputs(frames, index, w, n, mode, taper)):
                     fno = int(base + f)
@@ -199,7 +213,8 @@ def encode_blocks(blocks_with_book: DataFrame, w: int, n: int, mode: str = "cent
                 yield pd.DataFrame(out, columns=cols)
 
     ship_package(blocks_with_book.sparkSession)
-    return map_in_slices(blocks_with_book, run, OUT_SCHEMA.format(sid=sid_type))
+    flat = blocks_with_book.select("source_id", "block_no", "vals", F.col("book.code").alias("codes"), F.flatten("book.center").alias("centers"))
+    return flat.mapInPandas(run, OUT_SCHEMA.format(sid=sid_type))
 
 
 def frame_blocks(frames: DataFrame, meta_cols: list[str], span: int = 1024) -> DataFrame:
