@@ -17,6 +17,7 @@ from shapecode.operators import labels as LB
 from shapecode.plans import queries as P
 from shapecode.plans import sqlgen as Q
 from shapecode.plans.queries import LI, register, scratch_dir
+from shapecode.session import cut_lineage
 from shapecode.sinks import writers as WR
 from shapecode.sources import binary as BIN
 from shapecode.sources import events as EVT
@@ -160,20 +161,24 @@ def annotation_text_labels(spark, sf_dir):
 
 
 def _archive_and_labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Scored frames and labels written as text and parsed back (K1, S6; K6, S8)."""
+    """Scored frames and labels written as text and parsed back (K1, S6; K6, S8); no file or folder a record."""
     path, lab = scratch_dir(spark, "archive"), scratch_dir(spark, "labels")
-    sc = P.scored(spark, sf_dir, LI, "centered")
+    # indexed with the codes first: the dictionary, the labels and the cut-offs read the same table
+    samples = TB.signal_samples(spark, sf_dir, LI, extra={"code": TB.ANNOTATION_CODES["lineitem"]})
+    sc = P.scored(spark, sf_dir, LI, "centered", samples=samples)
     sc = sc.withColumns({"srcId": F.col("source_id").cast("string"), "srcTs": F.lit(0.0), "time_path": F.lit("batch/")})
     WR.archive_lines(sc).write.text(path)
-    _write_labels(P.labels_of(spark, sf_dir, LI), lab)
+    WR.export_labels(P.labels_of(spark, sf_dir, LI), lab)
     frames = TXT.parse_archive(spark.read.text(path)).select(
         F.col("srcId").cast("bigint").alias("source_id"), "frame_ref", F.col("max_err").alias("score"))
-    return frames, _read_labels(spark, lab)
+    return frames, TXT.read_labels(spark, lab, with_record=True).select("record_id", "frame_ref", "label")
 
 
 def _test_error(spark, sf_dir, frames: DataFrame, labels: DataFrame) -> DataFrame:
+    """The files are parsed and joined once: the split counts its rows several times, and both its sides are read."""
     lf = EV.with_region(EV.labelled_frames(frames, labels), P.cutoffs_of(TB.signal_samples(spark, sf_dir, LI)))
-    sp = EV.split_validation_test(lf.where(F.col("region") == "rest").select("source_id", "frame_ref", "label", "score"))
+    rest = cut_lineage(lf.where(F.col("region") == "rest").select("source_id", "frame_ref", "label", "score"))
+    sp = cut_lineage(EV.split_validation_test(rest))
     best = EV.best_threshold(EV.threshold_sweep(sp.where(F.col("split") == "validation")))
     return EV.errors_at(sp.where(F.col("split") == "test"), best.select("t").scalar())
 

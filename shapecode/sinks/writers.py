@@ -94,6 +94,17 @@ def label_lines(labels: DataFrame) -> DataFrame:
     return labels.select(F.concat_ws(",", F.col("frame_ref").cast("string"), F.col("label")).alias("value"))
 
 
+def export_labels(labels: DataFrame, path: str, mode: str = "append") -> None:
+    """K6 for many records: ``record,frameStart,label`` text in order of record and frame.
+
+    A file holds the labels of many records, so files follow the size of the
+    labels, not the number of records; a long record spans files.
+    """
+    (labels.repartitionByRange("record_id", "frame_ref").sortWithinPartitions("record_id", "frame_ref")
+     .select(F.concat_ws(",", F.col("record_id").cast("string"), F.col("frame_ref").cast("string"), "label").alias("value"))
+     .write.mode(mode).text(path))
+
+
 def export_apnea(apnea: DataFrame, path: str, buckets: int = 64, mode: str = "append") -> None:
     """``record,line`` text, a folder for each bucket of records (not one a record)."""
     (apnea.select(F.concat(F.col("record_id").cast("string"), F.lit(","), F.col("line")).alias("value"),

@@ -23,7 +23,8 @@ def signal_samples(spark: SparkSession, sf_dir: str, spec: SignalSpec,
     Only the source, value and order columns are read (column pruning reaches
     the Parquet scan); rows with a null source or sample are not samples.
     ``extra`` maps output names to SQL expressions over the table row that
-    are carried along (e.g. annotation codes).
+    are carried along (e.g. annotation codes).  A signal that is indexed
+    already with these columns and others is read, not indexed again.
     """
     extra = extra or {}
     t = read_table(spark, sf_dir, spec.table)
@@ -34,6 +35,10 @@ def signal_samples(spark: SparkSession, sf_dir: str, spec: SignalSpec,
         .where(F.col("source_id").isNotNull() & F.col("raw").isNotNull())
     )
     key = (spark.sparkContext.applicationId, spec, index_method, tuple(sorted(t.inputFiles())), tuple(sorted(extra.items())))
+    names = ["source_id", "i", "raw", "value", *extra.keys()]
+    wider = next((d for k, d in _INDEXED.items() if k[:-1] == key[:-1] and set(key[-1]) < set(k[-1])), None)
+    if key not in _INDEXED and wider is not None:
+        return wider.select(*names)
     if key not in _INDEXED:
         idx = index_within(base, "source_id", spec.order_cols, method=index_method, keep_order=False)
         _INDEXED[key] = idx.select("source_id", "i", "raw",

@@ -26,9 +26,15 @@ def read_frames_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_archive(lines: DataFrame, value_col: str = "value") -> DataFrame:
-    """``(srcId,srcTs,frameRef,maxErr,path,;src;coded;loss;)`` lines."""
-    v = F.regexp_replace(F.col(value_col), r"^\(|\)$", "")
-    head = F.split_part(v, F.lit(";"), F.lit(1))
+    """``(srcId,srcTs,frameRef,maxErr,path,;src;coded;loss;)`` lines.
+
+    The head is cut off first, so a reader that wants no lists does not search
+    through them; a closing bracket belongs to the head of a line without lists only.
+    """
+    line = F.col(value_col)
+    v = F.regexp_replace(line, r"^\(|\)$", "")
+    head = F.substring_index(line, ";", 1)
+    head = F.when(F.contains(line, F.lit(";")), F.regexp_replace(head, r"^\(", "")).otherwise(F.regexp_replace(head, r"^\(|\)$", ""))
     hp = F.split(head, ",")
     return lines.select(
         hp[0].alias("srcId"), hp[1].try_cast("double").alias("srcTs"),
@@ -48,9 +54,14 @@ def parse_batch_coded(lines: DataFrame, value_col: str = "value") -> DataFrame:
         double_list(F.split_part(v, F.lit(";"), F.lit(3))).alias("loss"))
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``frameStart,label`` lines, with the file of each as ``_path``."""
-    return spark.read.schema("frame_ref BIGINT, label STRING").csv(path).withColumn("_path", F.col("_metadata.file_path"))
+def read_labels(spark: SparkSession, path: str, with_record: bool = False) -> DataFrame:
+    """``frameStart,label`` lines, with the file of each as ``_path``.
+
+    ``with_record``: ``record,frameStart,label`` lines of files that hold many
+    records, with the record as ``record_id``.
+    """
+    record = "record_id BIGINT, " if with_record else ""
+    return spark.read.schema(f"{record}frame_ref BIGINT, label STRING").csv(path).withColumn("_path", F.col("_metadata.file_path"))
 
 
 def parse_annotations(lines: DataFrame, record_id: Column | str, value_col: str = "value",
