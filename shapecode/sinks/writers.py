@@ -149,8 +149,12 @@ def write_table(df: DataFrame, path_or_table: str, fmt: str = "parquet", mode: s
 
 
 def write_bucketed(df: DataFrame, table: str, cols: list[str], buckets: int, mode: str = "overwrite") -> None:
-    """A catalog table bucketed and sorted by ``cols``: joins on them with a table of as many buckets need no shuffle."""
-    df.write.mode(mode).bucketBy(buckets, *cols).sortBy(*cols).saveAsTable(table)
+    """A catalog table bucketed and sorted by ``cols``: joins on them with a table of as many buckets need no shuffle.
+
+    Rows are dealt by bucket first (``repartition`` hashes as ``bucketBy`` does), so a
+    bucket is one file, not one for every task that had rows of it.
+    """
+    df.repartition(buckets, *cols).write.mode(mode).bucketBy(buckets, *cols).sortBy(*cols).saveAsTable(table)
 
 
 def register_view(df: DataFrame, name: str) -> DataFrame:

@@ -68,6 +68,15 @@ def test_heads_are_read_without_a_search_through_the_lists(spark):
     assert "regexp_replace(value" not in plan and "split_part(" not in plan
 
 
+def test_bucketed_evaluation(spark, signals):
+    frames, labels = FQ.bucketed_archive(spark, signals)
+    for t in (frames, labels):
+        assert len(t.inputFiles()) <= FQ.BUCKETS
+    df = FQ.archive_test_error_bucketed(spark, signals)
+    assert "FileScan" not in plan_of(df)
+    assert rows_of(df.columns, map(tuple, df.collect())) == expected("archive_test_error_bucketed", signals)
+
+
 def test_a_signal_is_indexed_once_for_all_its_columns(spark, signals):
     TB.forget_signals()
     wide = TB.signal_samples(spark, signals, FQ.LI, extra={"code": TB.ANNOTATION_CODES["lineitem"]})
