@@ -14,6 +14,7 @@ import numpy as np
 
 SMALLEST = 128             # fewer codes are searched plainly
 ROUNDS = 4                 # refinements of the pivots
+AT_ONCE = 1 << 16          # numbers up to which pairs are measured in one array
 GIVE_UP = 0.6              # share of products left after the bounds beyond which one product is cheaper
 
 
@@ -92,6 +93,17 @@ class CodeIndex:
         self.evaluated += near.size
         return np.nonzero(near <= (near.min(axis=1) + margin)[:, None])
 
+    def _distances(self, feats, rows, cols):
+        """Squared distances of the pairs, added left to right."""
+        if 0 < len(rows) * feats.shape[1] <= AT_ONCE:             # accumulate adds in the same order
+            diff = feats[rows] - self.centers[cols]
+            return np.add.accumulate(diff * diff, axis=1)[:, -1]
+        d = np.zeros(len(rows))
+        for p in range(feats.shape[1]):
+            diff = feats[rows, p] - self.centers[cols, p]
+            d = d + diff * diff
+        return d
+
     def nearest(self, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of the nearest centre, squared distance); equal distances go to the lowest code."""
         m = len(feats)
@@ -100,10 +112,9 @@ class CodeIndex:
             return out_c, out_d
         ff = (feats * feats).sum(axis=1)
         rows, cols = self._pairs(feats, ff, margins(ff, self.cc))
-        d = np.zeros(len(rows))
-        for p in range(feats.shape[1]):
-            diff = feats[rows, p] - self.centers[cols, p]
-            d = d + diff * diff
+        d = self._distances(feats, rows, cols)
+        if len(rows) == m and (rows == np.arange(m)).all():       # one candidate a feature
+            return cols, d
         order = np.lexsort((self.codes[cols], d, rows))
         first = np.ones(len(order), dtype=bool)
         first[1:] = rows[order][1:] != rows[order][:-1]

@@ -39,6 +39,7 @@ from shapecode.session import cut_lineage, ship_package
 
 GRID = 1 << 30             # features are multiples of 1 / GRID
 ITERATIONS = 20
+PARTIAL_BYTES = 4 << 20    # sums that a training task holds before it hands them on
 
 
 def on_grid(arr: str) -> str:
@@ -129,11 +130,13 @@ def block_partials(blocks: DataFrame, centers: DataFrame) -> DataFrame:
     """Assign every window of every block; emit per (source, code) ``vec``: the
     member features' sum in grid units, then the member count."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import DataType
 
     from shapecode.operators import chunked
     from shapecode.operators.code_index import IndexCache
-    from shapecode.operators.vectorized import _index, map_in_slices
+    from shapecode.operators.vectorized import list_matrices
 
     if not chunked.fits_one_chunk(centers):
         return chunked.chunked_partials(blocks, centers, GRID)
@@ -141,27 +144,43 @@ def block_partials(blocks: DataFrame, centers: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("code", "center"))).alias("book"))
     joined = blocks.join(packed, "source_id", "inner")
     sid = dict(joined.dtypes)["source_id"]
-    cols = ["source_id", "code", "vec"]
+    schema = f"source_id {sid}, code int, vec array<bigint>"
+    arrow = to_arrow_schema(DataType.fromDDL(schema))
+
+    def table(sources, rows, codes, vecs):
+        ends = np.cumsum([0, *(len(v) for v in vecs)], dtype=np.int32)
+        vec = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(vecs), pa.int64()), type=arrow.field("vec").type)
+        return pa.RecordBatch.from_arrays([sources.take(pa.array(rows, pa.int32())), pa.array(codes, pa.int32()), vec], schema=arrow)
 
     def run(batches):
         held = IndexCache()
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                index = _index(held, r.source_id, r.book)
-                if index is None:
+        for b in batches:
+            sources, feats, books, codes = b.column("source_id"), list_matrices(b.column("feats")), list_matrices(b.column("centers")), b.column("codes")
+            of, flat = codes.offsets.to_numpy(), codes.values.to_numpy()
+            out, size = ([], [], []), 0
+            for r, source in enumerate(sources.to_pylist()):
+                index = held.held.get(source) or held.of(source, books(r), flat[of[r]:of[r + 1]].astype(np.int64))
+                x = feats(r)
+                if not len(x):
                     continue
-                feats = np.array([np.asarray(it["feat"], dtype=float) for it in r.items])
-                ci, _d = index.nearest(feats)
-                whole = np.rint(feats * GRID).astype(np.int64)
-                for c in np.unique(ci):
-                    m = ci == c
-                    out.append((r.source_id, int(index.codes[c]), np.append(whole[m].sum(axis=0), m.sum())))
-            if out:
-                yield pd.DataFrame(out, columns=cols)
+                ci, _d = index.nearest(x)
+                # the sums of the blocks' codes: windows in order of their code, added up run by run
+                order = np.argsort(ci, kind="stable")
+                first = np.flatnonzero(np.diff(ci[order], prepend=ci[order[0]] - 1))
+                whole = np.append(np.rint(x * GRID).astype(np.int64), np.ones((len(x), 1), dtype=np.int64), axis=1)
+                sums = np.add.reduceat(whole[order], first, axis=0)
+                for to, new in zip(out, ([r] * len(sums), index.codes[ci[order[first]]], sums), strict=True):
+                    to.extend(new)
+                size += sums.nbytes
+                if size > PARTIAL_BYTES:
+                    yield table(sources, *out)
+                    out, size = ([], [], []), 0
+            if size:
+                yield table(sources, *out)
 
     ship_package(joined.sparkSession)
-    return map_in_slices(joined, run, f"source_id {sid}, code int, vec array<bigint>")
+    flat_rows = joined.select("source_id", F.col("items.feat").alias("feats"), F.col("book.code").alias("codes"), F.col("book.center").alias("centers"))
+    return flat_rows.mapInArrow(run, schema)
 
 
 def update_from_partials(partials: DataFrame, previous: DataFrame, w: int) -> DataFrame:

@@ -60,6 +60,25 @@ def map_in_slices(df: DataFrame, run, schema: str, rows: int = SLICE_ROWS) -> Da
     return df.mapInArrow(body, schema)
 
 
+def list_matrices(column: pa.ListArray):
+    """Row number -> matrix of that row's vectors, out of an Arrow column of lists of vectors (nulls are NaN).
+
+    Nothing is made a Python object; vectors of several lengths in one row are an error.
+    """
+    rows, ends = column.offsets.to_numpy(), column.values.offsets.to_numpy()
+    flat = column.values.values.to_numpy(zero_copy_only=False)
+
+    def matrix(r: int) -> np.ndarray:
+        at = ends[rows[r]:rows[r + 1] + 1]
+        size = np.diff(at)
+        width = size[0] if len(size) else 0
+        if (size != width).any():
+            raise ValueError("vectors of one source have several lengths")
+        return flat[at[0]:at[-1]].reshape(len(size), width)
+
+    return matrix
+
+
 def sample_blocks(samples: DataFrame, frame_len: int, block: int = 64) -> DataFrame:
     """Samples -> ``(source_id, block_no, vals)``: ``block`` consecutive frames
     per row, in one shuffle keyed by (source, block) -- a bounded group."""

@@ -103,3 +103,29 @@ def test_training_in_chunks_gives_the_same_centres(spark):
     blocks = KM.window_blocks(train, 16)
     total = lambda p: {(r.source_id, r.code): r.center for r in KM.update_from_partials(p, centers, 12).collect()}
     assert total(KM.block_partials(blocks, centers)) == total(CH.chunked_partials(blocks, centers, KM.GRID, chunk=2))
+
+
+def test_training_sums_leave_as_arrays(spark, monkeypatch):
+    """Sums of every block and code, whatever a task hands on at once, equal a plain count; vectors are no Python objects."""
+    from shapecode.operators import kmeans as KM
+    rng = np.random.default_rng(6)
+    books = {s: np.rint(rng.normal(size=(k, w)) * 64) / 64 for s, k, w in ((1, 5, 4), (2, 1, 4), (3, 140, 3))}
+    feats = {s: np.rint(rng.normal(size=(50, b.shape[1])) * 64) / 64 for s, b in books.items()}
+    feats[3][7] = books[3][9]
+    train = spark.createDataFrame([(s, j, x.tolist()) for s, f in feats.items() for j, x in enumerate(f)], "source_id bigint, j bigint, feat array<double>")
+    centers = spark.createDataFrame([(s, c, x.tolist()) for s, b in books.items() for c, x in enumerate(b)], "source_id bigint, code int, center array<double>")
+    want = {}
+    for s, f in feats.items():
+        for j, x in enumerate(f):
+            code = int(((x - books[s]) ** 2).sum(axis=1).argmin())
+            key = (s, j // 16, code)
+            want[key] = want.get(key, 0) + np.append((x * KM.GRID).astype(np.int64), 1)
+    want = sorted((s, c, v.tolist()) for (s, _, c), v in want.items())
+    for held in (KM.PARTIAL_BYTES, 1):
+        monkeypatch.setattr(KM, "PARTIAL_BYTES", held)
+        out = KM.block_partials(KM.window_blocks(train, 16), centers)
+        assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.source_id, r.code, list(r.vec)) for r in out.collect()) == want
+    uneven = train.where("source_id = 1").withColumn("feat", F.expr("IF(j = 3, slice(feat, 1, 2), feat)"))
+    with pytest.raises(Exception, match="several lengths"):
+        KM.block_partials(KM.window_blocks(uneven), centers).collect()
