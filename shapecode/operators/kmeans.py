@@ -58,8 +58,12 @@ def window_feature_expr(w_col: str, w: int) -> str:
 
 def training_set(samples: DataFrame, w: int, step: int) -> tuple[DataFrame, DataFrame]:
     """(train(source_id, j, feat), budget) -- the first 20 % of sliding windows
-    (``feat`` is NULL for an all-zero window)."""
-    budget = framing.training_budget(samples, w, step)
+    (``feat`` is NULL for an all-zero window).
+
+    The budget, a row a source, is kept: the windows and the seeds both need
+    it, and counting reads every sample.
+    """
+    budget = cut_lineage(framing.training_budget(samples, w, step))
     wins = framing.sliding_windows(samples, w, step, budget)
     train = wins.select("source_id", "j", F.expr(window_feature_expr("w", w)).alias("feat"))
     return A.fence(train), budget

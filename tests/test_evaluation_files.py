@@ -85,3 +85,13 @@ def test_a_signal_is_indexed_once_for_all_its_columns(spark, signals):
     assert {x.partition("Scan")[2] for x in scan(plain)} and all("code" in x for x in scan(plain))
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, wide.drop("code").collect()))
     assert plain.columns == ["source_id", "i", "raw", "value"]
+
+
+def test_samples_are_counted_once_for_training(spark, signals):
+    from shapecode.operators import kmeans as KM
+    samples = TB.signal_samples(spark, signals, FQ.LI)
+    train, budget = KM.training_set(samples, FQ.LI.w, FQ.LI.step)
+    assert "Join" not in plan_of(budget) and "Aggregate" not in plan_of(budget)
+    sizes = {r.source_id: (r.n_samples, r.tr) for r in budget.collect()}
+    assert sizes == {s: (min(790, 400 + 10 * s), min(790, 400 + 10 * s) // FQ.LI.step // 5) for s in range(SOURCES)}
+    assert {r.source_id: r["count"] for r in train.groupBy("source_id").count().collect()} == {s: tr for s, (_, tr) in sizes.items()}
